@@ -36,19 +36,17 @@ def confusion(
 def full_grid(counts: DataFrame, classes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Extend a confusion table to the whole class list, gaps become 0.
 
-    Each row adds zero rows for its group's grid; one grouping sums them with the counts.
+    A group's counts become one map of at most classes x classes entries, looked up per grid cell.
     """
     listed = F.array(*[F.lit(c) for c in classes])
-    groups = counts.groupBy(*by).agg(F.count("*").alias("any")) if by else counts.agg(F.count("*").alias("any"))
-    grid = groups.select(*by, F.explode(listed).alias("true")).select(*by, "true", F.explode(listed).alias("pred"))
     known = F.col("true").isin(list(classes)) & F.col("pred").isin(list(classes))
-    return (
-        counts.filter(known)
-        .select(*by, "true", "pred", F.col("n").cast("bigint").alias("n"))
-        .unionByName(grid.withColumn("n", F.lit(0).cast("bigint")))
-        .groupBy(*by, "true", "pred")
-        .agg(F.sum("n").alias("n"))
+    entry = F.when(known, F.struct(F.struct("true", "pred").alias("pair"), F.col("n").cast("bigint").alias("n")))
+    groups = counts.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("cells"))
+    grid = groups.select(*by, "cells", F.explode(listed).alias("true")).select(
+        *by, "cells", "true", F.explode(listed).alias("pred")
     )
+    found = F.try_element_at("cells", F.struct("true", "pred"))
+    return grid.select(*by, "true", "pred", F.coalesce(found, F.lit(0)).alias("n"))
 
 
 def merge(matrices: DataFrame) -> DataFrame:

@@ -1,0 +1,6 @@
+"""The registered queries; importing this package fills the registry."""
+
+from shardscope.plans import distribution, evaluation, sources  # noqa: F401
+from shardscope.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,32 +15,32 @@ LABEL = "__label"
 SOURCE = "__source_file"
 
 
-def _as_uri(spark: SparkSession, root: str) -> str:
-    """Absolute form of a folder, as Spark writes it into file metadata."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return system.makeQualified(path).toString().rstrip("/")
+def relative_path(path: Column, root: str) -> Column:
+    """Part of a file path below ``root``. Paths of file metadata are URIs, so escapes are decoded."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_extract(decoded, "^" + LOCAL_SCHEME + re.escape(_bare(root)) + "/+(.*)$", 1)
 
 
-def relative_path(path: Column, root: str) -> Column:
-    """Path below ``root``; file metadata has the form of a URI, so escapes are decoded."""
-    plain = F.regexp_replace(path, r"^([A-Za-z0-9+.-]+):/+", "$1:/")
-    start = F.regexp_replace(F.lit(root), r"^([A-Za-z0-9+.-]+):/+", "$1:/")
-    decoded = F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))
-    return F.substring(decoded, F.length(start) + 2, F.length(decoded))
+LOCAL_SCHEME = "(?:file:)?/*"
+
+
+def _bare(root: str) -> str:
+    """Root without the local scheme and outer slashes; it has to be absolute."""
+    if not root.startswith("/") and ":/" not in root:
+        raise ValueError(f"give an absolute path or a URI, not {root}")
+    return re.sub("^file:", "", root).strip("/")
 
 
 def file_index(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
     """``rel, path, label, size_mb`` of every file below ``root``; contents are never read."""
-    base = _as_uri(spark, root)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
-        .load(base)
-        .select("path", "length")
+        .load(root)
+        .select("path", "length", F.col("_metadata.file_path").alias("uri"))
     )
-    rel = relative_path(F.col("path"), base)
+    rel = relative_path(F.col("uri"), root)
     return files.select(
         rel.alias("rel"),
         "path",
@@ -48,36 +49,47 @@ def file_index(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFr
     )
 
 
-def read_tree(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
+def read_tree(
+    spark: SparkSession, root: str, pattern: str = "*.csv", types: Mapping[str, str] | None = None
+) -> DataFrame:
     """All CSV files below ``root``, joined by column name, with ``__label`` and ``__source_file``.
 
     A single read over files with different headers would assign columns by position, so the files
-    are read once per distinct header; columns a file lacks are NULL.
+    are read once per distinct header; columns a file lacks are NULL. ``types`` names column types;
+    without it they are inferred, which reads the files once more.
     """
-    base = _as_uri(spark, root)
-    groups = _paths_by_header(spark, base, pattern)
+    groups = _paths_by_header(spark, root, pattern)
     if not groups:
         raise FileNotFoundError(f"no {pattern} files below {root}")
     parts = []
     for paths in groups.values():
-        rel = relative_path(F.col("_metadata.file_path"), base)
-        rows = spark.read.option("header", "true").option("inferSchema", "true").csv(paths)
+        rel = relative_path(F.col("_metadata.file_path"), root)
+        rows = _read_same_header(spark, paths, types)
         parts.append(
-            rows.select(*[quoted(c) for c in rows.columns], label_from_path(rel).alias(LABEL), rel.alias(SOURCE))
+            rows.select(*[quoted(c) for c in rows.columns if c != "_metadata"], label_from_path(rel).alias(LABEL), rel.alias(SOURCE))
         )
     return union_by_name(parts)
 
 
-def _paths_by_header(spark: SparkSession, base: str, pattern: str) -> dict[str, list[str]]:
+def _read_same_header(spark: SparkSession, paths: Sequence[str], types: Mapping[str, str] | None) -> DataFrame:
+    reader = spark.read.option("header", "true")
+    if types is None:
+        return reader.option("inferSchema", "true").csv(list(paths))
+    rows = reader.csv(list(paths))
+    return rows.select(*[quoted(c).try_cast(types[c]).alias(c) if c in types else quoted(c) for c in rows.columns], "_metadata")
+
+
+def _paths_by_header(spark: SparkSession, root: str, pattern: str) -> dict[str, list[str]]:
     """File paths grouped by header line: one short line per file reaches the driver."""
     lines = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
-        .text(base)
-        .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+        .text(root)
+        .select("value", F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("start"))
         .filter("start = 0")
     )
-    first = lines.groupBy("path").agg(F.first("value").alias("header"))
+    path = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
+    first = lines.groupBy("uri").agg(F.first("value").alias("header")).select(path.alias("path"), "header")
     groups: dict[str, list[str]] = {}
     for r in first.orderBy("path").collect():
         groups.setdefault(r.header, []).append(r.path)
@@ -106,22 +118,27 @@ def union_by_name(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def read_clients(spark: SparkSession, folder: str, pattern: str = "client_*.csv", label: str = LABEL) -> DataFrame:
+def read_clients(
+    spark: SparkSession,
+    folder: str,
+    pattern: str = "client_*.csv",
+    label: str = LABEL,
+    types: Mapping[str, str] | None = None,
+) -> DataFrame:
     """All client files of a folder with ``client`` = file name without its ending.
 
     No file, or a table without the label column, is an error.
     """
-    base = _as_uri(spark, folder)
-    groups = _paths_by_header(spark, base, pattern)
+    groups = _paths_by_header(spark, folder, pattern)
     if not groups:
         raise FileNotFoundError(f"no {pattern} files in {folder}")
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1)
     parts = []
     for paths in groups.values():
-        rows = spark.read.option("header", "true").option("inferSchema", "true").csv(paths)
+        rows = _read_same_header(spark, paths, types)
         if label not in rows.columns:
             raise ValueError(f"column {label} is missing in {paths[0]}")
-        parts.append(rows.select(*[quoted(c) for c in rows.columns], name.alias("client")))
+        parts.append(rows.select(*[quoted(c) for c in rows.columns if c != "_metadata"], name.alias("client")))
     return union_by_name(parts)
 
 
