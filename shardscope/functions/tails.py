@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TINY = 1e-300
 STEPS = 500
@@ -71,13 +72,13 @@ def beta_share(a: float, b: float, x: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_tail(statistic: pd.Series, df: pd.Series) -> pd.Series:
     tail = gamma_tail(df.to_numpy(float) / 2.0, statistic.to_numpy(float) / 2.0)
     return pd.Series(np.where(statistic.isna(), np.nan, tail))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_tail(statistic: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     rows = zip(statistic.astype(float), df1.astype(float), df2.astype(float))
     return pd.Series(

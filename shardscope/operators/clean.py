@@ -43,9 +43,20 @@ def impute_median(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame |
     """Fill missing and non-finite values with global medians, by default those of ``df`` itself.
 
     A client table filled with the medians of the whole table passes the whole as ``fitted_on``.
+    Only columns that have something to fill need their median.
     """
-    found = medians(df if fitted_on is None else fitted_on, columns)
-    return replace_columns(df, {c: F.coalesce(finite(quoted(c)), F.lit(found[c]).cast("double")) for c in columns})
+    short = with_gaps(df, columns)
+    found = medians(df if fitted_on is None else fitted_on, short)
+    filled = {c: F.coalesce(finite(quoted(c)), F.lit(found[c]).cast("double")) for c in short}
+    return replace_columns(df, {c: filled.get(c, quoted(c).cast("double")) for c in columns})
+
+
+def with_gaps(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Columns with a missing or non-finite value; one scan with one counter per column."""
+    if not columns:
+        return []
+    gaps = df.agg(F.count("*"), *[F.count(finite(quoted(c))) for c in columns]).first()
+    return [c for c, n in zip(columns, gaps[1:]) if n < gaps[0]]
 
 
 def most_frequent(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardscope.functions.scalars import numeric_columns, quoted
+from shardscope.operators.clean import with_gaps
 from shardscope.operators.quantiles import medians
-from shardscope.operators.totals import running_totals, value_counts
+from shardscope.operators.totals import long_values, running_totals
 from shardscope.session import local_if_small
 
 MAX_DRIFT_FEATURES = 80
@@ -120,25 +121,25 @@ def ks_drift(
     """
     columns = list(columns or numeric_columns(df, exclude=[label])[:MAX_DRIFT_FEATURES])
     clients = list(label_map)
-    middle = medians(df, columns)
-    fill = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(middle[c]).cast("double"))])
-    members = [F.sum(F.when(F.col("class").isin(list(label_map[c])), F.col("n")).otherwise(0)) for c in clients]
+    middle = medians(df, with_gaps(df, columns))
+    fill = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(middle.get(c)).cast("double"))])
+    sums = ["whole", *[f"member{i}" for i in range(len(clients))]]
+    cells = long_values(df, columns, by=[quoted(label).alias("class")])
     freq = (
-        value_counts(df, columns, by=[quoted(label).alias("class")])
-        .withColumn("value", F.coalesce("value", F.element_at(fill, F.col("feature"))))
+        cells.withColumn("value", F.coalesce("value", F.element_at(fill, F.col("feature"))))
         .filter("value is not null")
         .groupBy("feature", "value")
-        .agg(F.sum("n").alias("whole"), *[m.alias(f"member{i}") for i, m in enumerate(members)])
+        .agg(
+            F.count("*").alias("whole"),
+            *[F.count_if(F.col("class").isin(list(label_map[c]))).alias(f"member{i}") for i, c in enumerate(clients)],
+        )
     )
-    sums = ["whole", *[f"member{i}" for i in range(len(clients))]]
     cumulative = running_totals(freq, ["feature"], "value", sums)
-    sizes = local_if_small(freq_sizes(cumulative, sums))
-    gaps = cumulative.join(sizes, "feature")
 
     def share(name: str) -> Column:
-        return (F.col(f"{name}_before") + F.col(name)) / F.nullif(F.col(f"{name}_size"), F.lit(0))
+        return (F.col(f"{name}_before") + F.col(name)) / F.nullif(F.col(f"{name}_total"), F.lit(0))
 
-    largest = gaps.groupBy("feature").agg(
+    largest = cumulative.groupBy("feature").agg(
         F.array(
             *[
                 F.struct(F.lit(c).alias("client"), F.max(F.abs(share("whole") - share(f"member{i}"))).alias("ks_stat"))
@@ -149,11 +150,6 @@ def ks_drift(
     return largest.select("feature", F.inline("per_client")).select("client", "feature", "ks_stat")
 
 
-def freq_sizes(freq: DataFrame, sums: Sequence[str]) -> DataFrame:
-    """Total of each count column per feature."""
-    return freq.groupBy("feature").agg(*[F.sum(s).alias(f"{s}_size") for s in sums])
-
-
 def top_k(table: DataFrame, k: int, by: Sequence[str], score: str, tie: Sequence[str] = ("feature",)) -> DataFrame:
     """The k highest scores of each group, ties by name. Ranks are cut before the shuffle."""
     ranked = Window.partitionBy(*by).orderBy(F.desc(score), *tie)

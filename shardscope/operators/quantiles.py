@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardscope.functions.scalars import finite, quoted
-from shardscope.session import local_if_small
+from shardscope.session import small_table
 
 ACCURACY = 10_000
 MAX_SURVIVORS = 5_000_000
@@ -47,16 +47,15 @@ def exact_quantiles(
             "cuts"
         ),
     )
-    sketch = local_if_small(sketch)
-    largest = sketch.agg(F.max(F.array_max("counts"))).first()[0] or 0
-    survivors = largest * 3 * margin
+    sketch, found = _settled(sketch)
+    survivors = _largest(sketch, found) * 3 * margin
     while survivors > max_survivors:
-        sketch = local_if_small(_narrow(_attach(rows, sketch, keys, by), keys, values, probs, accuracy))
+        sketch, found = _settled(_narrow(_attach(rows, sketch, found, keys, by), keys, values, probs, accuracy))
         survivors *= 3 * margin
 
     slots = _slots(len(columns), probs)
     counted = (
-        _attach(rows, sketch, keys, by)
+        _attach(rows, sketch, found, keys, by)
         .select(
             *keys,
             F.explode(
@@ -80,7 +79,7 @@ def exact_quantiles(
     ordered = Window.partitionBy(*keys, "slot").orderBy(F.col("value").asc_nulls_first())
     cumulative = counted.withColumn("upto", F.sum("count").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     wanted = _wanted(sketch, keys, columns, probs)
-    found = (
+    located = (
         cumulative.join(wanted.select(*keys, "slot", "low_pos", "high_pos"), [*keys, "slot"])
         .filter("value is not null")
         .groupBy(*keys, "slot")
@@ -95,7 +94,7 @@ def exact_quantiles(
     broken = (F.col("n") > 0) & (
         F.col("low_value").isNull() | F.col("high_value").isNull() | (F.col("below") > F.col("low_pos"))
     )
-    return wanted.join(found, [*keys, "slot"], "left").select(
+    return wanted.join(located, [*keys, "slot"], "left").select(
         *by,
         "feature",
         "prob",
@@ -114,12 +113,28 @@ def _slots(width: int, probs: Sequence[float]) -> list[tuple[int, int, int]]:
     return [(c * len(probs) + p, c, p) for c in range(width) for p in range(len(probs))]
 
 
-def _attach(rows: DataFrame, sketch: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+def _settled(sketch: DataFrame) -> tuple[DataFrame, list[dict] | None]:
+    """The sketch as a local relation with its rows, or unchanged when it has too many groups."""
+    table = small_table(sketch)
+    if table is None:
+        return sketch, None
+    return sketch.sparkSession.createDataFrame(table, schema=sketch.schema), table.to_pylist()
+
+
+def _largest(sketch: DataFrame, found: list[dict] | None) -> int:
+    """Most values any group has in any column."""
+    if found is not None:
+        return max((n for r in found for n in r["counts"]), default=0)
+    return sketch.agg(F.max(F.array_max("counts"))).first()[0] or 0
+
+
+def _attach(
+    rows: DataFrame, sketch: DataFrame, found: list[dict] | None, keys: Sequence[str], by: Sequence[str]
+) -> DataFrame:
     """Put each group's sketch beside its rows; the single row of a whole table becomes literals."""
-    if not by:
-        only = sketch.first()
-        counts = F.lit(only.counts).cast("array<bigint>")
-        cuts = F.array(*[F.lit(c).cast("array<double>") for c in only.cuts])
+    if not by and found is not None:
+        counts = F.lit(found[0]["counts"]).cast("array<bigint>")
+        cuts = F.array(*[F.lit(c or []).cast("array<double>") for c in found[0]["cuts"]])
         return rows.withColumn("counts", counts).withColumn("cuts", cuts)
     condition = rows[keys[0]].eqNullSafe(sketch[keys[0]])
     for k in keys[1:]:

@@ -44,22 +44,30 @@ def value_counts(
 
 
 def running_totals(freq: DataFrame, by: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
-    """Add ``<name>_before`` (sum over smaller values) for each column in ``sums``.
+    """Add ``<name>_before`` (sum over smaller values) and ``<name>_total`` for each column in ``sums``.
 
     Rows must be unique on ``by`` and ``value``.
     """
     placed = materialise(
         freq.repartitionByRange(*by, value).withColumn("slice", F.spark_partition_id())
     )
-    earlier = Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = placed.groupBy(*by, "slice").agg(*[F.sum(s).alias(f"{s}_slice") for s in sums])
+    slices = placed.groupBy(*by, "slice").agg(*[F.sum(s).alias(s) for s in sums])
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = local_if_small(
-        slices.select(*by, "slice", *[F.coalesce(F.sum(f"{s}_slice").over(earlier), F.lit(0)).alias(f"{s}_offset") for s in sums])
+        slices.select(
+            *by,
+            "slice",
+            *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"{s}_offset") for s in sums],
+            *[F.sum(s).over(group).alias(f"{s}_total") for s in sums],
+        )
     )
     within = Window.partitionBy(*by, "slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = placed.select(
         "*", *[F.coalesce(F.sum(s).over(within), F.lit(0)).alias(f"{s}_within") for s in sums]
     )
     return local.join(offsets, [*by, "slice"]).select(
-        *freq.columns, *[(F.col(f"{s}_offset") + F.col(f"{s}_within")).alias(f"{s}_before") for s in sums]
+        *freq.columns,
+        *[(F.col(f"{s}_offset") + F.col(f"{s}_within")).alias(f"{s}_before") for s in sums],
+        *[f"{s}_total" for s in sums],
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SMALL_ROWS = 100_000
@@ -44,6 +45,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_table(df: DataFrame, limit: int = SMALL_ROWS) -> pa.Table | None:
+    """A summary's rows on the driver when there are at most ``limit``, else None."""
+    table = df.limit(limit + 1).toArrow()
+    return table if table.num_rows <= limit else None
+
+
 def local_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """Return a summary of at most ``limit`` rows as a local relation, anything larger unchanged.
 
@@ -51,7 +58,5 @@ def local_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     exactly when it fits ``spark.sql.autoBroadcastJoinThreshold``. Larger summaries stay
     distributed and are joined by shuffle, with adaptive skew handling.
     """
-    table = df.limit(limit + 1).toArrow()
-    if table.num_rows > limit:
-        return df
-    return df.sparkSession.createDataFrame(table, schema=df.schema)
+    table = small_table(df, limit)
+    return df if table is None else df.sparkSession.createDataFrame(table, schema=df.schema)
