@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TINY = 1e-300
 STEPS = 500
 
-
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    return np.array([math.lgamma(v) for v in np.ravel(x)]).reshape(np.shape(x))
+# The functions travel with the task, so workers need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def gamma_tail(a: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -17,6 +17,7 @@ from shardscope.functions.scalars import finite, quoted
 from shardscope.session import small_table
 
 ACCURACY = 10_000
+SHORT = 5
 MAX_SURVIVORS = 5_000_000
 
 
@@ -32,13 +33,12 @@ def exact_quantiles(
 
     Missing and non-finite values are skipped. ``n`` is the number of values used.
     """
-    rows = df.select(*[quoted(b) for b in by], *[finite(quoted(c)).alias(f"v{i}") for i, c in enumerate(columns)])
+    # One struct as group key: structs with missing fields still equal each other in joins.
+    group = F.struct(*[quoted(b) for b in by]) if by else F.lit(0)
+    rows = df.select(group.alias("group_key"), *[finite(quoted(c)).alias(f"v{i}") for i, c in enumerate(columns)])
     values = [F.col(f"v{i}") for i in range(len(columns))]
     margin = 2.0 / accuracy
-    # One group is enough for a table without grouping columns, and lets one join serve both cases.
-    keys = list(by) or ["whole_table"]
-    if not by:
-        rows = rows.withColumn("whole_table", F.lit(0))
+    keys = ["group_key"]
 
     around = [min(1.0, max(0.0, p + side)) for p in probs for side in (-margin, margin)]
     sketch = rows.groupBy(*keys).agg(
@@ -47,30 +47,25 @@ def exact_quantiles(
             "cuts"
         ),
     )
+    # A sketch may be a few ranks off however short the group is, so short groups are kept whole.
+    whole = F.array(*[F.lit(side * float("inf")) for _ in probs for side in (-1, 1)])
+    sketch = sketch.withColumn(
+        "cuts", F.zip_with("counts", "cuts", lambda n, cut: F.when(n <= SHORT * accuracy, whole).otherwise(cut))
+    )
     sketch, found = _settled(sketch)
     survivors = _largest(sketch, found) * 3 * margin
     while survivors > max_survivors:
         sketch, found = _settled(_narrow(_attach(rows, sketch, found, keys, by), keys, values, probs, accuracy))
         survivors *= 3 * margin
 
-    slots = _slots(len(columns), probs)
-    counted = (
+    cells = (
         _attach(rows, sketch, found, keys, by)
-        .select(
-            *keys,
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(slot).alias("slot"),
-                            _inside(values[c], F.get(F.col("cuts")[c], F.lit(2 * p)), F.get(F.col("cuts")[c], F.lit(2 * p + 1))),
-                        )
-                        for slot, c, p in slots
-                    ]
-                )
-            ).alias("hit"),
-        )
-        .select(*keys, "hit.slot", "hit.where.kept", "hit.where.value")
+        .select(*keys, "cuts", F.posexplode(F.array(*values)).alias("place", "cell"))
+        .filter("cell is not null")
+        .select(*keys, "place", "cell", F.get("cuts", F.col("place")).alias("cut"))
+    )
+    counted = (
+        cells.select(*keys, F.inline(F.array(*[_inside(p, len(probs)) for p in range(len(probs))])))
         .filter("kept")
         # NULL stands for all rows below the bracket: one counted row per group and slot.
         .groupBy(*keys, "slot", "value")
@@ -95,7 +90,7 @@ def exact_quantiles(
         F.col("low_value").isNull() | F.col("high_value").isNull() | (F.col("below") > F.col("low_pos"))
     )
     return wanted.join(located, [*keys, "slot"], "left").select(
-        *by,
+        *[F.col("group_key")[b].alias(b) for b in by],
         "feature",
         "prob",
         "n",
@@ -109,10 +104,6 @@ def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     return {r.feature: r.value for r in rows}
 
 
-def _slots(width: int, probs: Sequence[float]) -> list[tuple[int, int, int]]:
-    return [(c * len(probs) + p, c, p) for c in range(width) for p in range(len(probs))]
-
-
 def _settled(sketch: DataFrame) -> tuple[DataFrame, list[dict] | None]:
     """The sketch as a local relation with its rows, or unchanged when it has too many groups."""
     table = small_table(sketch)
@@ -136,37 +127,34 @@ def _attach(
         counts = F.lit(found[0]["counts"]).cast("array<bigint>")
         cuts = F.array(*[F.lit(c or []).cast("array<double>") for c in found[0]["cuts"]])
         return rows.withColumn("counts", counts).withColumn("cuts", cuts)
-    condition = rows[keys[0]].eqNullSafe(sketch[keys[0]])
-    for k in keys[1:]:
-        condition = condition & rows[k].eqNullSafe(sketch[k])
-    values = [rows[c] for c in rows.columns if c not in keys]
-    return rows.join(sketch, condition).select(*[rows[k] for k in keys], *values, "counts", "cuts")
+    return rows.join(sketch, list(keys))
 
 
-def _inside(value: Column, low: Column, high: Column) -> Column:
-    """Keep values up to the upper cut; those under the lower cut lose their value."""
+def _inside(p: int, width: int) -> Column:
+    """Keep a cell up to the upper cut of one probability; under the lower cut it loses its value."""
+    low, high = F.get("cut", F.lit(2 * p)), F.get("cut", F.lit(2 * p + 1))
     return F.struct(
-        F.coalesce(value <= high, F.lit(False)).alias("kept"),
-        F.when(value >= low, value).alias("value"),
-    ).alias("where")
+        (F.col("place") * width + p).alias("slot"),
+        (F.col("cell") <= high).alias("kept"),
+        F.when(F.col("cell") >= low, F.col("cell")).alias("value"),
+    )
 
 
 def _wanted(sketch: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """One row per group, column and probability with the 0-based positions it lies between."""
-    listed = F.array(
-        *[
-            F.struct(
-                F.lit(slot).alias("slot"),
-                F.lit(columns[c]).alias("feature"),
-                F.lit(float(probs[p])).alias("prob"),
-                F.col("counts")[c].alias("n"),
-                ((F.col("counts")[c] - 1) * F.lit(float(probs[p]))).alias("exact_pos"),
-            )
-            for slot, c, p in _slots(len(columns), probs)
-        ]
-    )
-    return sketch.select(*keys, F.inline(listed)).select(
-        "*", F.floor("exact_pos").alias("low_pos"), F.ceil("exact_pos").alias("high_pos")
+    names = F.array(*[F.lit(c) for c in columns])
+    listed = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(float(p)).alias("prob")) for i, p in enumerate(probs)])
+    cells = sketch.select(*keys, F.posexplode("counts").alias("place", "n")).select(*keys, "place", "n", F.inline(listed))
+    exact = (F.col("n") - 1) * F.col("prob")
+    return cells.select(
+        *keys,
+        (F.col("place") * len(probs) + F.col("step")).alias("slot"),
+        F.get(names, F.col("place")).alias("feature"),
+        "prob",
+        "n",
+        exact.alias("exact_pos"),
+        F.floor(exact).alias("low_pos"),
+        F.ceil(exact).alias("high_pos"),
     )
 
 
@@ -184,7 +172,7 @@ def _narrow(
             parts += [F.count(F.when(v < low, v)), F.count(kept), F.percentile_approx(kept, grid, F.lit(accuracy))]
     names = [f"s{i}" for i in range(len(parts))]
     sketched = joined.groupBy(*keys).agg(
-        F.any_value("counts").alias("counts"), *[part.alias(n) for part, n in zip(parts, names)]
+        F.any_value("counts").alias("counts"), F.any_value("cuts").alias("cuts"), *[part.alias(n) for part, n in zip(parts, names)]
     )
     cuts = []
     for c in range(len(values)):
@@ -194,6 +182,11 @@ def _narrow(
             rank = ((F.col("counts")[c] - 1) * F.lit(float(p)) - below) / F.greatest(kept, F.lit(1))
             step = F.floor(rank / F.lit(margin)).cast("int")
             last = F.size(marks) - 1
-            pair += [F.get(marks, F.greatest(step - 2, F.lit(0))), F.get(marks, F.least(step + 3, last))]
+            low, high = (F.get(F.get("cuts", F.lit(c)), F.lit(2 * i + side)) for side in (0, 1))
+            short = kept <= SHORT * accuracy
+            pair += [
+                F.when(short, low).otherwise(F.get(marks, F.greatest(step - 2, F.lit(0)))),
+                F.when(short, high).otherwise(F.get(marks, F.least(step + 3, last))),
+            ]
         cuts.append(F.array(*pair))
     return sketched.select(*keys, "counts", F.array(*cuts).alias("cuts"))

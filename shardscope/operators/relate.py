@@ -32,7 +32,7 @@ def _correlate(df: DataFrame, pairs: Sequence[tuple[str, str, Column, Column]])
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_SCAN):
         cells = [
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(F.nanvl(F.corr(x, y), F.lit(0.0)), F.lit(0.0)).alias("r"))
+            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _corr(x, y).alias("r"))
             for a, b, x, y in pairs[start : start + PAIRS_PER_SCAN]
         ]
         parts.append(df.agg(F.array(*cells).alias("cells")).select(F.inline("cells")))
@@ -46,6 +46,12 @@ def _correlate(df: DataFrame, pairs: Sequence[tuple[str, str, Column, Column]])
     return half.select(F.inline(sides), "r").select("a", "b", "r")
 
 
+def _corr(x: Column, y: Column) -> Column:
+    """Correlation of two columns, 0 when one of them does not vary (``corr`` would fail there)."""
+    spread = F.var_pop(F.when(y.isNotNull(), x)) * F.var_pop(F.when(x.isNotNull(), y))
+    return F.coalesce(F.covar_pop(x, y) / F.nullif(F.sqrt(spread), F.lit(0.0)), F.lit(0.0))
+
+
 def spearman(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of average ranks, pair by pair over rows where both have a value.
 

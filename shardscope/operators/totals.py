@@ -26,10 +26,17 @@ def long_values(
     by: Sequence[str | Column] = (),
     read: Callable[[Column], Column] = finite,
 ) -> DataFrame:
-    """One row per cell: ``by..., feature, value``; ``read`` gives all cells one type."""
-    cells = [F.struct(F.lit(c).alias("feature"), read(quoted(c)).alias("value")) for c in columns]
+    """One row per cell: ``by..., feature, value``; ``read`` is applied to every cell.
+
+    Cells travel as one array and are cleaned after the unfolding, so the generated code stays short
+    for tables of a hundred columns.
+    """
+    kind = "string" if read is as_text else "double"
     by_columns = [quoted(b) if isinstance(b, str) else b for b in by]
-    return df.select(*by_columns, F.inline(F.array(*cells)))
+    rows = df.select(*by_columns, F.posexplode(F.array(*[quoted(c).cast(kind) for c in columns])).alias("place", "cell"))
+    kept = [c for c in rows.columns if c not in ("place", "cell")]
+    names = F.array(*[F.lit(c) for c in columns])
+    return rows.select(*[quoted(c) for c in kept], F.get(names, F.col("place")).alias("feature"), read(F.col("cell")).alias("value"))
 
 
 def value_counts(

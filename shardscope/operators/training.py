@@ -213,6 +213,7 @@ def run_rounds(
 ) -> DataFrame:
     """Train for ``count`` rounds and return the history, one row per round.
 
+    Every round reads ``train`` and ``test`` again, so pass written or materialised tables.
     ``method`` is ``adaptive`` or ``control``. ``held_out`` is a shared table evaluated every round
     (``central_*`` columns). With ``sink``, every round is appended there as soon as it is done, so
     a lost driver loses no history.

@@ -8,6 +8,7 @@ from shardscope.functions.labels import MODEL_CLASSES, PFCP_CLASSES
 from shardscope.operators import clients as client_ops
 from shardscope.operators import explain, forest, sampling, scoring, training
 from shardscope.plans.registry import query
+from shardscope.session import materialise
 from shardscope.plans.tables import CLIENTS, FEATURES, FLOW, LABELS, clients, flow, rounded, table
 
 # Features brought to about the unit range, as a scaled model table has them.
@@ -84,7 +85,7 @@ def occlusion(spark, folder):
 # Parts as a second small table of scored rows: three features, three classes.
 PART_FEATURES = ["size", "price", "turn"]
 PART_SQL = """parts AS (
-    SELECT p_partkey, p_size / 5e1 AS size, p_retailprice / 1e3 AS price, (p_partkey % 11) / 1.1e1 AS turn,
+    SELECT p_partkey, p_size / 53e0 AS size, p_retailprice / 937e0 AS price, (p_partkey % 11) / 1.1e1 AS turn,
            CAST(p_size % 4 AS VARCHAR) AS label FROM part)"""
 PART_COEF = [[1.5, -0.5, 0.25], [-1.0, 0.75, 0.5], [0.25, 0.5, -1.25]]
 PART_MODEL = scoring.Linear(PART_COEF, INTERCEPT)
@@ -93,8 +94,8 @@ PART_MODEL = scoring.Linear(PART_COEF, INTERCEPT)
 def parts(spark, folder):
     return table(spark, folder, "part").select(
         "p_partkey",
-        (F.col("p_size") / 50.0).alias("size"),
-        (F.col("p_retailprice") / 1e3).alias("price"),
+        (F.col("p_size") / 53.0).alias("size"),
+        (F.col("p_retailprice") / 937.0).alias("price"),
         ((F.col("p_partkey") % 11) / 11.0).alias("turn"),
         (F.col("p_size") % 4).cast("string").alias("label"),
     )
@@ -168,8 +169,7 @@ HEAD_SQL = (explain.PREAMBLE + "\n\n" + "\n".join(explain.PROMPT_LINES)).replace
 @query(
     "l13_prompts",
     f"""WITH {PART_VALUES}, {PART_SCORED},
-        placed AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY abs_mean DESC, feature) AS place FROM (
-          SELECT p_partkey, feature, round(abs_mean, 7) AS abs_mean FROM summary)),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY abs_mean DESC, feature) AS place FROM summary),
         lines AS (
           SELECT p_partkey, string_agg(printf('{explain.FEATURE_LINE}', feature, abs_mean), chr(10) ORDER BY place) AS feature_lines
           FROM placed WHERE place <= 2 GROUP BY p_partkey),
@@ -180,7 +180,7 @@ HEAD_SQL = (explain.PREAMBLE + "\n\n" + "\n".join(explain.PROMPT_LINES)).replace
         FROM named JOIN lines USING (p_partkey)""",
 )
 def prompts(spark, folder):
-    summary = rounded(explain.summary(_part_values(spark, folder), ["p_partkey"]), 7)
+    summary = explain.summary(_part_values(spark, folder), ["p_partkey"])
     return explain.prompts(summary, _part_scores(spark, folder), ["p_partkey"], MODEL_CLASSES, 2)
 
 
@@ -226,7 +226,7 @@ def local_training(spark, folder):
 @query("l9_adaptive_rounds")
 def adaptive_rounds(spark, folder):
     """Three rounds with the adaptive server update; the history, one row per round."""
-    parted = sampling.split(_weighted_clients(spark, folder), "label", ["row_key"])
+    parted = materialise(sampling.split(_weighted_clients(spark, folder), "label", ["row_key"]))
     train, test = parted.filter(~F.col("is_test")), parted.filter("is_test")
     return training.run_rounds(train, test, SHAPE, 3, "adaptive", STEP, held_out=test)
 
@@ -234,7 +234,7 @@ def adaptive_rounds(spark, folder):
 @query("l11_control_rounds")
 def control_rounds(spark, folder):
     """Three rounds with control variates."""
-    parted = sampling.split(_weighted_clients(spark, folder), "label", ["row_key"])
+    parted = materialise(sampling.split(_weighted_clients(spark, folder), "label", ["row_key"]))
     train, test = parted.filter(~F.col("is_test")), parted.filter("is_test")
     return training.run_rounds(train, test, SHAPE, 3, "control", STEP, local=2)
 
