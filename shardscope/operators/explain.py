@@ -20,7 +20,6 @@ def occlusion(
     background mean. All rows are scored once as they are and once per feature.
     """
     means = background.agg(*[F.avg(quoted(c)).alias(c) for c in features]).first()
-    middle = F.array(*[F.lit(means[c]).cast("double") for c in features])
     rows = df.select(*[quoted(k) for k in key], feature_array(df, features).alias("inputs"))
     base = scorer(rows, "inputs", "base").withColumn("output", argmax(F.col("base")))
     changed = base.select(
@@ -31,10 +30,11 @@ def occlusion(
         F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("slot"),
     ).withColumn(
         "swapped",
-        F.zip_with(
-            F.transform("inputs", lambda v, i: F.struct(v.alias("own"), i.alias("place"))),
-            middle,
-            lambda own, mean: F.when(own["place"] == F.col("slot"), mean).otherwise(own["own"]),
+        F.array(
+            *[
+                F.when(F.col("slot") == i, F.lit(means[c]).cast("double")).otherwise(F.get("inputs", F.lit(i)))
+                for i, c in enumerate(features)
+            ]
         ),
     )
     after = scorer(changed, "swapped", "after")
@@ -82,8 +82,12 @@ def shapley(
     turn = F.get("walk.place", F.col("slot"))
 
     def mixed(upto: Column) -> Column:
-        pairs = F.arrays_zip(F.col("inputs").alias("own"), F.col("walk.place").alias("place"), F.col("walk.base").alias("base"))
-        return F.transform(pairs, lambda e: F.when(e["place"] < upto, e["own"]).otherwise(e["base"]))
+        return F.array(
+            *[
+                F.when(F.get("walk.place", F.lit(i)) < upto, F.get("inputs", F.lit(i))).otherwise(F.get("walk.base", F.lit(i)))
+                for i in range(len(features))
+            ]
+        )
 
     scored = scorer(
         scorer(steps.withColumn("without", mixed(turn)).withColumn("with", mixed(turn + 1)), "without", "before"),

@@ -138,11 +138,7 @@ def robust_stats(df: DataFrame, columns: Sequence[str] | None = None, by: str |
     keys = [by] if by else []
     rows = df.filter(quoted(by).isNotNull()) if by else df
     wide = local_if_small(_quartiles(rows, columns, keys))
-    deviations = local_if_small(
-        exact_quantiles(_deviations(rows, columns, wide, by), columns, [0.5], by=keys).select(
-            *keys, "feature", F.col("value").alias("mad")
-        )
-    )
+    deviations = local_if_small(_medians_of_deviations(rows, columns, wide, by))
     moments = (
         long_values(rows, columns, by=keys)
         .groupBy(*keys, "feature")
@@ -162,6 +158,26 @@ def robust_stats(df: DataFrame, columns: Sequence[str] | None = None, by: str |
     )
 
 
+def mad(df: DataFrame, columns: Sequence[str], by: str | None = None, **options: int) -> DataFrame:
+    """``[<by>,] feature, mad``: median absolute deviation from the median.
+
+    ``options`` go to ``exact_quantiles``.
+    """
+    keys = [by] if by else []
+    rows = df.filter(quoted(by).isNotNull()) if by else df
+    middle = exact_quantiles(rows, columns, [0.5], by=keys, **options)
+    wide = local_if_small(middle.select(*keys, "feature", F.col("value").alias("median")))
+    return _medians_of_deviations(rows, columns, wide, by, **options)
+
+
+def _medians_of_deviations(
+    rows: DataFrame, columns: Sequence[str], wide: DataFrame, by: str | None, **options: int
+) -> DataFrame:
+    keys = [by] if by else []
+    found = exact_quantiles(_deviations(rows, columns, wide, by), columns, [0.5], by=keys, **options)
+    return found.select(*keys, "feature", F.col("value").alias("mad"))
+
+
 def _quartiles(rows: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     def at(prob: float) -> Column:
         return F.max(F.when(F.col("prob") == prob, F.col("value")))

@@ -19,6 +19,7 @@ from shardscope.session import small_table
 ACCURACY = 10_000
 SHORT = 5
 MAX_SURVIVORS = 5_000_000
+SMALL_CELLS = 5_000_000
 
 
 def exact_quantiles(
@@ -28,10 +29,12 @@ def exact_quantiles(
     by: Sequence[str] = (),
     accuracy: int = ACCURACY,
     max_survivors: int = MAX_SURVIVORS,
+    small_cells: int = SMALL_CELLS,
 ) -> DataFrame:
     """Linear-interpolation percentiles: ``by..., feature, prob, n, value``; NULL for no values.
 
-    Missing and non-finite values are skipped. ``n`` is the number of values used.
+    Missing and non-finite values are skipped. ``n`` is the number of values used. A table of at
+    most ``small_cells`` cells fits the built-in aggregate and is read once.
     """
     # One struct as group key: structs with missing fields still equal each other in joins.
     group = F.struct(*[quoted(b) for b in by]) if by else F.lit(0)
@@ -39,6 +42,8 @@ def exact_quantiles(
     values = [F.col(f"v{i}") for i in range(len(columns))]
     margin = 2.0 / accuracy
     keys = ["group_key"]
+    if rows.count() * len(columns) <= small_cells:
+        return _in_one_pass(rows, values, columns, probs, by)
 
     around = [min(1.0, max(0.0, p + side)) for p in probs for side in (-margin, margin)]
     sketch = rows.groupBy(*keys).agg(
@@ -98,6 +103,28 @@ def exact_quantiles(
     )
 
 
+def _in_one_pass(
+    rows: DataFrame, values: Sequence[Column], columns: Sequence[str], probs: Sequence[float], by: Sequence[str]
+) -> DataFrame:
+    """The built-in exact percentile, for tables whose distinct values fit one buffer."""
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    found = rows.groupBy("group_key").agg(
+        F.array(*[F.count(v) for v in values]).alias("counts"),
+        F.array(*[F.percentile(v, wanted) for v in values]).alias("found"),
+    )
+    names = F.array(*[F.lit(c) for c in columns])
+    cells = found.select("group_key", "found", F.posexplode("counts").alias("place", "n")).select(
+        "group_key", "place", "n", "found", F.posexplode(wanted).alias("step", "prob")
+    )
+    return cells.select(
+        *[F.col("group_key")[b].alias(b) for b in by],
+        F.get(names, F.col("place")).alias("feature"),
+        "prob",
+        "n",
+        F.get(F.get("found", F.col("place")), F.col("step")).alias("value"),
+    )
+
+
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     """Global medians on the driver: one number per column, however long the table is."""
     rows = exact_quantiles(df, columns, [0.5]).select("feature", "value").collect() if columns else []

@@ -15,14 +15,18 @@ from pyspark.sql import functions as F
 from shardscope.functions.scalars import hash_order, quoted
 from shardscope.session import local_if_small
 
-PREFIX = 4
 SEED = 42
+# Leading hash digits to count by, and the number of rows up to which they are enough: about ten
+# thousand rows then share a prefix.
+DIGITS = ((3, 50_000_000), (4, 1_000_000_000), (5, 20_000_000_000))
+MOST_DIGITS = 6
 
 
-def _tagged(df: DataFrame, label: str | None, key: Sequence[str], seed: int) -> DataFrame:
+def _tagged(df: DataFrame, label: str | None, key: Sequence[str], seed: int, rows: int) -> DataFrame:
+    digits = next((d for d, most in DIGITS if rows <= most), MOST_DIGITS)
     stratum = quoted(label) if label is not None else F.lit(0)
     return df.withColumn("order_hash", hash_order(key, seed)).withColumn("stratum", stratum).withColumn(
-        "prefix", F.substring("order_hash", 1, PREFIX)
+        "prefix", F.substring("order_hash", 1, digits)
     )
 
 
@@ -45,9 +49,9 @@ def _strata(tagged: DataFrame, quotas) -> DataFrame:
     )
 
 
-def _split_at_quota(df: DataFrame, label: str | None, key: Sequence[str], seed: int, quotas) -> DataFrame:
+def _split_at_quota(df: DataFrame, label: str | None, key: Sequence[str], seed: int, quotas, rows: int) -> DataFrame:
     """Add ``taken``: whether the row is among the first ``quota`` of its class in hash order."""
-    tagged = _tagged(df, label, key, seed)
+    tagged = _tagged(df, label, key, seed, rows)
     cuts = _strata(tagged, quotas)
     joined = tagged.join(cuts, tagged["stratum"].eqNullSafe(cuts["cut_stratum"]), "left")
     clear = joined.filter(F.col("cut_prefix").isNull() | (F.col("prefix") != F.col("cut_prefix"))).withColumn(
@@ -76,7 +80,7 @@ def stratified(
         return sizes.withColumn("quota", F.least("size", F.lit(max(floor, budget // classes))))
 
     rows = df.filter(quoted(label).isNotNull())
-    return _split_at_quota(rows, label, key, seed, quotas).filter("taken").drop("taken")
+    return _split_at_quota(rows, label, key, seed, quotas, size).filter("taken").drop("taken")
 
 
 def plain(df: DataFrame, key: Sequence[str], n: int, seed: int = SEED) -> DataFrame:
@@ -85,7 +89,7 @@ def plain(df: DataFrame, key: Sequence[str], n: int, seed: int = SEED) -> DataFr
     def quotas(sizes: DataFrame) -> DataFrame:
         return sizes.withColumn("quota", F.least("size", F.lit(n)))
 
-    return _split_at_quota(df, None, key, seed, quotas).filter("taken").drop("taken")
+    return _split_at_quota(df, None, key, seed, quotas, df.count()).filter("taken").drop("taken")
 
 
 def background(df: DataFrame, key: Sequence[str], size: int = 100, seed: int = 0) -> DataFrame:
@@ -101,7 +105,8 @@ def split(df: DataFrame, label: str, key: Sequence[str], test_size: float = 0.2,
     split without strata.
     """
     classes = df.groupBy(quoted(label).alias("stratum")).agg(F.count("*").alias("size"))
-    smallest = classes.agg(F.min("size")).first()[0] or 0
+    found = classes.agg(F.min("size").alias("smallest"), F.sum("size").alias("rows")).first()
+    stratify = (found.smallest or 0) >= 2
 
     def quotas(sizes: DataFrame) -> DataFrame:
         total = sizes.agg(F.sum("size")).first()[0] or 0
@@ -112,7 +117,8 @@ def split(df: DataFrame, label: str, key: Sequence[str], test_size: float = 0.2,
         left = F.lit(target) - F.sum("base").over(Window.partitionBy())
         return base.withColumn("quota", F.col("base") + (place <= left).cast("int"))
 
-    return _split_at_quota(df, label if smallest >= 2 else None, key, seed, quotas).withColumnRenamed("taken", "is_test")
+    parted = _split_at_quota(df, label if stratify else None, key, seed, quotas, found.rows or 0)
+    return parted.withColumnRenamed("taken", "is_test")
 
 
 def test_set(df: DataFrame, label: str, key: Sequence[str], total: int = 2000, seed: int = SEED) -> DataFrame:
@@ -128,7 +134,7 @@ def test_set(df: DataFrame, label: str, key: Sequence[str], total: int = 2000, s
         return sizes.withColumn("quota", F.least("size", wanted))
 
     rows = df.filter(quoted(label).isNotNull())
-    return _split_at_quota(rows, label, key, seed, quotas).filter("taken").drop("taken")
+    return _split_at_quota(rows, label, key, seed, quotas, rows.count()).filter("taken").drop("taken")
 
 
 def first_of_class(df: DataFrame, label: str, order: Column) -> DataFrame:

@@ -27,35 +27,39 @@ class Linear:
     coef: Sequence[Sequence[float]]
     intercept: Sequence[float]
 
-    def outputs(self, features: Column) -> Column:
+    def outputs(self, features: Column) -> list[Column]:
         def one(weights: Sequence[float], start: float) -> Column:
             total = F.lit(float(start))
             for i, w in enumerate(weights):
                 total = total + F.get(features, F.lit(i)) * F.lit(float(w))
             return total
 
-        return F.array(*[one(w, b) for w, b in zip(self.coef, self.intercept)])
+        return [one(w, b) for w, b in zip(self.coef, self.intercept)]
 
-    def probabilities(self, features: Column) -> Column:
-        return softmax(self.outputs(features))
 
+def with_softmax(df: DataFrame, outputs: Sequence[Column], target: str) -> DataFrame:
+    """Add the shares of the outputs' exponentials as an array.
 
-def softmax(outputs: Column) -> Column:
-    """Shares of exponentials; the outputs are evaluated once and reused through a one-entry array."""
-
-    def shares(z: Column) -> Column:
-        powers = F.transform(z, lambda v: F.exp(v - F.array_max(z)))
-        return F.transform(
-            F.array(powers), lambda p: F.transform(p, lambda v: v / F.aggregate(p, F.lit(0.0), lambda a, b: a + b))
-        )[0]
-
-    return F.transform(F.array(outputs), shares)[0]
+    Done in steps with a column each: every output is evaluated once, inside generated code.
+    """
+    raw = [f"{target}_raw_{k}" for k in range(len(outputs))]
+    powers = [f"{target}_exp_{k}" for k in range(len(outputs))]
+    named = df.withColumns(dict(zip(raw, outputs)))
+    top = F.greatest(*raw) if len(raw) > 1 else F.col(raw[0])
+    lifted = named.withColumn(f"{target}_top", top)
+    raised = lifted.withColumns({p: F.exp(F.col(r) - F.col(f"{target}_top")) for p, r in zip(powers, raw)})
+    total = F.col(powers[0])
+    for p in powers[1:]:
+        total = total + F.col(p)
+    summed = raised.withColumn(f"{target}_sum", total)
+    shares = F.array(*[F.col(p) / F.col(f"{target}_sum") for p in powers])
+    return summed.withColumn(target, shares).drop(*raw, *powers, f"{target}_top", f"{target}_sum")
 
 
 def linear_scorer(model: Linear, probabilities: bool = True) -> Scorer:
     def run(df: DataFrame, source: str, target: str) -> DataFrame:
-        features = F.col(source)
-        return df.withColumn(target, model.probabilities(features) if probabilities else model.outputs(features))
+        outputs = model.outputs(F.col(source))
+        return with_softmax(df, outputs, target) if probabilities else df.withColumn(target, F.array(*outputs))
 
     return run
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shardscope.functions.scalars import argmax, clip, quoted
 from shardscope.operators.evaluate import central, confusion, macro, rounds
-from shardscope.operators.scoring import Linear, linear_scorer, score, softmax
+from shardscope.operators.scoring import Linear, linear_scorer, score, with_softmax
 from shardscope.session import local_if_small, materialise
 
 # Decay rates, floor and step of the adaptive server update.
@@ -89,9 +89,8 @@ def _settle(state: DataFrame) -> DataFrame:
 def _one_step(df: DataFrame, shape: Shape, state: DataFrame, step: float) -> DataFrame:
     held = state.select("client", "theta", "shift")
     rows = df.select("client", "label", "weight", *[quoted(c).cast("double").alias(c) for c in shape.features])
-    shares = rows.join(held.select("client", "theta"), "client").withColumn(
-        "shares", softmax(F.array(*shape.outputs(F.col("theta"))))
-    )
+    joined = rows.join(held.select("client", "theta"), "client")
+    shares = with_softmax(joined, shape.outputs(F.col("theta")), "shares")
     own = [F.when(F.col("label") == c, 1.0).otherwise(0.0) for c in shape.classes]
     errors = shares.select(
         "client",

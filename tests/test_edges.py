@@ -43,14 +43,22 @@ def test_quantiles_match_the_builtin(spark):
         want = rows.groupBy(*by).agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in "xy"]).collect()
         expected = {(*[r[b] for b in by], c, p): r[c][i] for r in want for c in "xy" for i, p in enumerate(probs)}
         for options in ({}, {"accuracy": 200, "max_survivors": 300}, {"accuracy": 50}, {"accuracy": 20, "max_survivors": 50}):
-            got = exact_quantiles(rows, ["x", "y"], probs, by, **options).collect()
+            got = exact_quantiles(rows, ["x", "y"], probs, by, small_cells=0, **options).collect()
             assert {(*[r[b] for b in by], r.feature, r.prob): r.value for r in got} == pytest.approx(expected)
 
 
 def test_quantiles_of_nothing_are_null(odd):
-    found = by_feature(exact_quantiles(odd, ["nothing", "wild"], [0.5]))
-    assert found["nothing",].value is None and found["nothing",].n == 0
-    assert found["wild",].value == 2.0 and found["wild",].n == 3
+    for cells in (0, 1000):
+        found = by_feature(exact_quantiles(odd, ["nothing", "wild"], [0.5], small_cells=cells))
+        assert found["nothing",].value is None and found["nothing",].n == 0
+        assert found["wild",].value == 2.0 and found["wild",].n == 3
+
+
+def test_quantiles_of_an_unnamed_group(spark):
+    table = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, x double")
+    for cells in (0, 1000):
+        found = exact_quantiles(table, ["x"], [0.5], ["g"], small_cells=cells).collect()
+        assert {r.g: r.value for r in found} == {None: 2.0, "a": 5.0}
 
 
 def test_missing_counts(odd):
