@@ -1,8 +1,8 @@
 """Exact-size samples and splits, stratified by class.
 
 Rows are taken in the order of a seeded hash of their key. Counts per class and leading hash digits
-tell which digits are taken whole and where the quota ends; only the rows sharing that last prefix
-are sorted. Nothing else moves, whatever the size of a class.
+tell in which prefix the quota ends; only the rows sharing that prefix are sorted, to find the last
+row taken. Nothing else moves, whatever the size of a class.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardscope.functions.scalars import hash_order, quoted
-from shardscope.session import local_if_small
+from shardscope.session import local_if_small, settle
 
 SEED = 42
 # Leading hash digits to count by, and the number of rows up to which they are enough: about ten
@@ -30,36 +30,49 @@ def _tagged(df: DataFrame, label: str | None, key: Sequence[str], seed: int, row
     )
 
 
-def _strata(tagged: DataFrame, quotas) -> DataFrame:
-    """One row per class: its size, its quota, the prefix the quota ends in and what to take of it."""
-    histogram = tagged.groupBy("stratum", "prefix").agg(F.count("*").alias("n"))
+def _cutoffs(tagged: DataFrame, key: Sequence[str], quotas) -> DataFrame:
+    """``cut_stratum, cut_hash, cut_key``: the last row, in hash order, that each class gives."""
+    histogram = settle(tagged.groupBy("stratum", "prefix").agg(F.count("*").alias("n")))
     sizes = local_if_small(histogram.groupBy("stratum").agg(F.sum("n").alias("size")))
-    quota = local_if_small(quotas(sizes).select("stratum", "size", F.col("quota").cast("bigint").alias("quota")))
-    upto = Window.partitionBy("stratum").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
-    running = histogram.withColumn("upto", F.sum("n").over(upto)).join(
-        quota.withColumnRenamed("stratum", "quota_stratum"), F.col("stratum").eqNullSafe(F.col("quota_stratum"))
+    quota = quotas(sizes).select(F.col("stratum").alias("quota_stratum"), F.col("quota").cast("bigint").alias("quota"))
+    upto = F.sum("n").over(Window.partitionBy("stratum").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0))
+    running = histogram.withColumn("upto", upto).join(quota, F.col("stratum").eqNullSafe(F.col("quota_stratum")))
+    ends = local_if_small(
+        running.filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota"))).select(
+            F.col("stratum").alias("end_stratum"),
+            F.col("prefix").alias("end_prefix"),
+            (F.col("quota") - (F.col("upto") - F.col("n"))).alias("needed"),
+        )
     )
-    ends = running.filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
+    same = F.col("stratum").eqNullSafe(F.col("end_stratum")) & (F.col("prefix") == F.col("end_prefix"))
+    # Equal keys collapse first, so the window holds the distinct keys of one prefix per class.
+    edge = (
+        tagged.join(ends, same)
+        .groupBy("stratum", "needed", F.struct("order_hash", *[quoted(k) for k in key]).alias("cut"))
+        .agg(F.count("*").alias("n"))
+    )
+    place = F.sum("n").over(Window.partitionBy("stratum").orderBy("cut").rowsBetween(Window.unboundedPreceding, 0))
+    last = edge.withColumn("upto", place).filter((F.col("upto") >= F.col("needed")) & (F.col("upto") - F.col("n") < F.col("needed")))
+    repeated = F.raise_error(F.lit("the key given does not identify a row")).cast("boolean")
     return local_if_small(
-        ends.select(
-            F.col("stratum").alias("cut_stratum"),
-            F.col("prefix").alias("cut_prefix"),
-            (F.col("quota") - (F.col("upto") - F.col("n"))).alias("needed"),
+        last.filter(F.when(F.col("upto") > F.col("needed"), repeated).otherwise(F.lit(True))).select(
+            F.col("stratum").alias("cut_stratum"), "cut"
         )
     )
 
 
 def _split_at_quota(df: DataFrame, label: str | None, key: Sequence[str], seed: int, quotas, rows: int) -> DataFrame:
-    """Add ``taken``: whether the row is among the first ``quota`` of its class in hash order."""
+    """Add ``taken``: whether the row is among the first ``quota`` of its class in hash order.
+
+    The result only compares each row with the cutoff of its class, so it can be read any number of
+    times without a shuffle.
+    """
     tagged = _tagged(df, label, key, seed, rows)
-    cuts = _strata(tagged, quotas)
+    cuts = _cutoffs(tagged, key, quotas)
     joined = tagged.join(cuts, tagged["stratum"].eqNullSafe(cuts["cut_stratum"]), "left")
-    clear = joined.filter(F.col("cut_prefix").isNull() | (F.col("prefix") != F.col("cut_prefix"))).withColumn(
-        "taken", F.coalesce(F.col("prefix") < F.col("cut_prefix"), F.lit(False))
-    )
-    place = F.row_number().over(Window.partitionBy("stratum").orderBy("order_hash", *[quoted(k) for k in key]))
-    edge = joined.filter(F.col("prefix") == F.col("cut_prefix")).withColumn("taken", place <= F.col("needed"))
-    return clear.unionByName(edge).select(*[quoted(c) for c in df.columns], "taken")
+    own = F.struct("order_hash", *[quoted(k) for k in key])
+    taken = F.coalesce(own <= F.col("cut"), F.lit(False))
+    return joined.select(*[quoted(c) for c in df.columns], taken.alias("taken"))
 
 
 def stratified(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from shardscope.functions.scalars import argmax, clip, quoted
 from shardscope.operators.evaluate import central, confusion, macro, rounds
 from shardscope.operators.scoring import Linear, linear_scorer, score, with_softmax
-from shardscope.session import local_if_small, materialise
+from shardscope.session import local_if_small, settle
 
 # Decay rates, floor and step of the adaptive server update.
 BETA_1 = 0.9
@@ -76,16 +76,10 @@ def local_steps(df: DataFrame, shape: Shape, state: DataFrame, step: float, step
     cross-entropy before the last step; ``shift`` is added to the gradient.
     """
     for _ in range(steps):
-        state = _settle(_one_step(df, shape, state, step))
+        state = settle(_one_step(df, shape, state, step))
     return state
 
 
-def _settle(state: DataFrame) -> DataFrame:
-    """End a step: a short table becomes local, a long one is written to the checkpoint folder."""
-    kept = local_if_small(state)
-    return materialise(state) if kept is state else kept
-
-
 def _one_step(df: DataFrame, shape: Shape, state: DataFrame, step: float) -> DataFrame:
     held = state.select("client", "theta", "shift")
     rows = df.select("client", "label", "weight", *[quoted(c).cast("double").alias(c) for c in shape.features])
@@ -233,19 +227,19 @@ def run_rounds(
         after = local_steps(train, shape, begin, step, local)
         loss = after.agg((F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("loss")).first().loss
         if method == "adaptive":
-            state = _settle(server_step(to_long(after, shape), state))
+            state = settle(server_step(to_long(after, shape), state))
         else:
             old = clients.select("client", F.array_repeat(F.lit(0.0), shape.size).alias("theta")) if number == 1 else c_old
             updates = to_long(after, shape, "y").drop("n").join(to_long(old, shape, "c_i"), ["client", "layer", "idx"])
             new = control_clients(updates, state, local, step)
-            state = _settle(control_step(updates, state, local, step))
+            state = settle(control_step(updates, state, local, step))
             c_old, controls = _next_controls(new, state, shape)
         theta = _as_list(state, shape)
         row = rounds(evaluate_clients(test, shape, theta).withColumn("round", F.lit(number)))
         if held_out is not None:
             shared = central(predict(held_out.withColumn("round", F.lit(number)), shape, theta, ["round"]), shape.classes, ["round"])
             row = row.join(shared, "round")
-        row = _settle(row.withColumn("loss", F.lit(loss)))
+        row = settle(row.withColumn("loss", F.lit(loss)))
         if sink is not None:
             row.write.mode("append").parquet(sink)
         history = row if history is None else history.unionByName(row)
@@ -262,6 +256,6 @@ def _next_controls(new: DataFrame, state: DataFrame, shape: Shape) -> tuple[Data
 
     joined = new.join(state.select("layer", "idx", "c"), ["layer", "idx"])
     return (
-        _settle(arrays(new, F.col("c_new"), "theta")),
-        _settle(arrays(joined, F.col("c") - F.col("c_new"), "shift")),
+        settle(arrays(new, F.col("c_new"), "theta")),
+        settle(arrays(joined, F.col("c") - F.col("c_new"), "shift")),
     )

@@ -60,3 +60,9 @@ def local_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """
     table = small_table(df, limit)
     return df if table is None else df.sparkSession.createDataFrame(table, schema=df.schema)
+
+
+def settle(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """Run a summary once: a short one becomes local, a long one goes to the checkpoint folder."""
+    kept = local_if_small(df, limit)
+    return materialise(df) if kept is df else kept

@@ -224,6 +224,12 @@ def test_samples_have_exact_sizes_under_skew(spark):
     assert again.count() == 0
 
 
+def test_samples_refuse_repeated_keys(spark):
+    rows = spark.range(1000).select((F.col("id") % 2).alias("id"), F.lit("a").alias("label"))
+    with pytest.raises(Exception, match="does not identify a row"):
+        sampling.plain(rows, ["id"], 10).count()
+
+
 def test_small_tables_are_not_sampled(spark):
     rows = spark.range(10).withColumn("label", F.lit("a"))
     assert sampling.stratified(rows, "label", ["id"], 100).count() == 10
