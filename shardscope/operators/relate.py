@@ -17,7 +17,7 @@ from shardscope.session import local_if_small
 
 MAX_CORRELATED = 60
 PAIRS_PER_SCAN = 150
-HOT_SHARE = 1000
+HOT_ROWS = 100_000
 
 
 def pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -81,7 +81,7 @@ def spearman(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None =
     ranks = running_totals(freq, ["feature"], "value", ["n"]).select(
         "feature", "value", "n", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank")
     )
-    ranked = _attach_ranks(cells, ranks, counts.rows)
+    ranked = _attach_ranks(cells, ranks, counts.rows, len(slots))
     names = {s: f"r{i}" for i, s in enumerate(slots)}
     wide = ranked.groupBy(*[quoted(k) for k in key]).agg(
         *[F.max(F.when(F.col("feature") == s, F.col("rank"))).alias(n) for s, n in names.items()]
@@ -89,13 +89,15 @@ def spearman(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None =
     return _correlate(wide, [(a, b, F.col(names[x]), F.col(names[y])) for a, b, x, y in pairs])
 
 
-def _attach_ranks(cells: DataFrame, ranks: DataFrame, rows: int) -> DataFrame:
-    """Join ranks to cells. Values held by over 1/1000 of the rows go through a side of their own:
+def _attach_ranks(cells: DataFrame, ranks: DataFrame, rows: int, features: int) -> DataFrame:
+    """Join ranks to cells, frequent values on a side of their own.
 
-    there are at most 1000 of them per feature, so that side has a size bound and is broadcast; no
-    shuffled key of the other side holds more than 1/1000 of the rows.
+    A value counts as frequent when more than 1/k of the rows hold it. At most k values of a feature
+    can, and k is chosen so that all features together have at most ``HOT_ROWS`` of them: that side
+    has a size bound and is broadcast. The other side is shuffled and has no frequent key left.
     """
-    hot = F.col("n") * HOT_SHARE > F.lit(rows)
+    per_feature = max(1, HOT_ROWS // features)
+    hot = F.col("n") * per_feature > F.lit(rows)
     hot_ranks = F.broadcast(ranks.filter(hot).drop("n").withColumnRenamed("rank", "hot_rank"))
     marked = cells.join(hot_ranks, ["feature", "value"], "left")
     cold = marked.filter("hot_rank is null").drop("hot_rank").join(ranks.filter(~hot).drop("n"), ["feature", "value"])

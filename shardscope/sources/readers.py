@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,49 +51,76 @@ def file_index(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFr
 
 
 def read_tree(
-    spark: SparkSession, root: str, pattern: str = "*.csv", types: Mapping[str, str] | None = None
+    spark: SparkSession,
+    root: str,
+    pattern: str = "*.csv",
+    types: Mapping[str, str] | None = None,
+    same_header_per_folder: bool = False,
 ) -> DataFrame:
     """All CSV files below ``root``, joined by column name, with ``__label`` and ``__source_file``.
 
     A single read over files with different headers would assign columns by position, so the files
     are read once per distinct header; columns a file lacks are NULL. ``types`` names column types;
-    without it they are inferred, which reads the files once more.
+    without it they are inferred, which reads the files once more. Where files of one folder share
+    their header, ``same_header_per_folder`` looks at one file per folder instead of every file;
+    Spark then checks the others while reading and fails on a different header.
     """
-    groups = _paths_by_header(spark, root, pattern)
+    rel = relative_path(F.col("_metadata.file_path"), root)
+    extra = [label_from_path(rel).alias(LABEL), rel.alias(SOURCE)]
+    return _read_by_header(spark, root, pattern, types, same_header_per_folder, extra)
+
+
+def _read_by_header(
+    spark: SparkSession,
+    root: str,
+    pattern: str,
+    types: Mapping[str, str] | None,
+    per_folder: bool,
+    extra: Sequence[Column],
+    needed: str | None = None,
+) -> DataFrame:
+    groups = _paths_by_header(spark, root, pattern, per_folder)
     if not groups:
         raise FileNotFoundError(f"no {pattern} files below {root}")
     parts = []
-    for paths in groups.values():
-        rel = relative_path(F.col("_metadata.file_path"), root)
-        rows = _read_same_header(spark, paths, types)
-        parts.append(
-            rows.select(*[quoted(c) for c in rows.columns if c != "_metadata"], label_from_path(rel).alias(LABEL), rel.alias(SOURCE))
-        )
+    for header, paths in groups.items():
+        if needed is not None and needed not in header:
+            raise ValueError(f"column {needed} is missing in {paths[0]}")
+        reader = spark.read.option("header", "true").option("enforceSchema", "false").option("pathGlobFilter", pattern)
+        if types is None:
+            reader = reader.option("inferSchema", "true")
+        rows = reader.csv(paths)
+        cells = [quoted(c).try_cast(types[c]).alias(c) if types and c in types else quoted(c) for c in rows.columns]
+        parts.append(rows.select(*cells, *extra))
     return union_by_name(parts)
 
 
-def _read_same_header(spark: SparkSession, paths: Sequence[str], types: Mapping[str, str] | None) -> DataFrame:
-    reader = spark.read.option("header", "true")
-    if types is None:
-        return reader.option("inferSchema", "true").csv(list(paths))
-    rows = reader.csv(list(paths))
-    return rows.select(*[quoted(c).try_cast(types[c]).alias(c) if c in types else quoted(c) for c in rows.columns], "_metadata")
+def _paths_by_header(spark: SparkSession, root: str, pattern: str, per_folder: bool) -> dict[tuple[str, ...], list[str]]:
+    """Paths to read together: files, or folders, grouped by their column names.
 
-
-def _paths_by_header(spark: SparkSession, root: str, pattern: str) -> dict[str, list[str]]:
-    """File paths grouped by header line: one short line per file reaches the driver."""
-    lines = (
-        spark.read.option("recursiveFileLookup", "true")
+    The file listing reads no contents; a header costs the first line of its file.
+    """
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
-        .text(root)
-        .select("value", F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("start"))
-        .filter("start = 0")
+        .load(root)
+        .select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"))
     )
-    path = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
-    first = lines.groupBy("uri").agg(F.first("value").alias("header")).select(path.alias("path"), "header")
-    groups: dict[str, list[str]] = {}
-    for r in first.orderBy("path").collect():
-        groups.setdefault(r.header, []).append(r.path)
+    if per_folder:
+        chosen = files.groupBy("folder").agg(F.min("path").alias("path")).select(F.col("folder").alias("unit"), "path")
+    else:
+        chosen = files.select(F.col("path").alias("unit"), "path")
+    units = [(r.unit, r.path) for r in chosen.orderBy("unit").collect()]
+
+    def header(path: str) -> tuple[str, ...]:
+        return tuple(spark.read.option("header", "true").csv(path).columns)
+
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        headers = list(pool.map(header, [path for _, path in units]))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for (unit, _), names in zip(units, headers):
+        groups.setdefault(names, []).append(unit)
     return groups
 
 
@@ -129,17 +157,8 @@ def read_clients(
 
     No file, or a table without the label column, is an error.
     """
-    groups = _paths_by_header(spark, folder, pattern)
-    if not groups:
-        raise FileNotFoundError(f"no {pattern} files in {folder}")
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1)
-    parts = []
-    for paths in groups.values():
-        rows = _read_same_header(spark, paths, types)
-        if label not in rows.columns:
-            raise ValueError(f"column {label} is missing in {paths[0]}")
-        parts.append(rows.select(*[quoted(c) for c in rows.columns if c != "_metadata"], name.alias("client")))
-    return union_by_name(parts)
+    return _read_by_header(spark, folder, pattern, types, False, [name.alias("client")], needed=label)
 
 
 def read_client(spark: SparkSession, folder: str, client: str) -> DataFrame:

@@ -43,6 +43,19 @@ def test_given_types_replace_inference(spark, tree):
     assert table.agg(F.sum("a"), F.count("b")).first() == (16, 2)
 
 
+def test_one_header_per_folder(spark, tmp_path):
+    for folder, text in (("benign", "a,b\n1,2\n"), ("pfcp", "b,a\n3,4\n")):
+        (tmp_path / folder).mkdir()
+        for name in ("x.csv", "y.csv"):
+            (tmp_path / folder / name).write_text(text)
+    table = readers.read_tree(spark, str(tmp_path), same_header_per_folder=True)
+    assert sorted((r["__label"], r.a, r.b) for r in table.collect()) == [("benign", 1, 2)] * 2 + [("pfcp", 4, 3)] * 2
+    (tmp_path / "pfcp" / "z.csv").write_text("a,b\n5,6\n")
+    with pytest.raises(Exception, match="header does not conform"):
+        readers.read_tree(spark, str(tmp_path), types={}, same_header_per_folder=True).collect()
+    assert readers.read_tree(spark, str(tmp_path)).agg(F.sum("a")).first()[0] == 15
+
+
 def test_file_index(spark, tree):
     found = {r.rel: r.label for r in readers.file_index(spark, str(tree)).collect()}
     assert found == {"benign/normal.csv": "benign", "ddos/TCP DDOS/tcp+1.csv": "ddos_tcp_ddos", "pfcp/x.csv": "pfcp"}
