@@ -69,8 +69,13 @@ def _split_at_quota(df: DataFrame, label: str | None, key: Sequence[str], seed:
     """
     tagged = _tagged(df, label, key, seed, rows)
     cuts = _cutoffs(tagged, key, quotas)
-    joined = tagged.join(cuts, tagged["stratum"].eqNullSafe(cuts["cut_stratum"]), "left")
     own = F.struct("order_hash", *[quoted(k) for k in key])
+    if label is None:
+        # One cutoff for the whole table: a literal instead of a join.
+        only = cuts.first()
+        limit = F.lit(False) if only is None else own <= F.struct(*[F.lit(v).cast(f.dataType) for v, f in zip(only.cut, cuts.schema["cut"].dataType)])
+        return tagged.select(*[quoted(c) for c in df.columns], limit.alias("taken"))
+    joined = tagged.join(cuts, tagged["stratum"].eqNullSafe(cuts["cut_stratum"]), "left")
     taken = F.coalesce(own <= F.col("cut"), F.lit(False))
     return joined.select(*[quoted(c) for c in df.columns], taken.alias("taken"))
 
