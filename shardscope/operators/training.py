@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardscope.functions.scalars import argmax, clip, quoted
+from shardscope.functions.scalars import clip, quoted
 from shardscope.operators.evaluate import central, confusion, macro, rounds
 from shardscope.operators.scoring import Linear, linear_scorer, score, with_softmax
 from shardscope.session import local_if_small, settle

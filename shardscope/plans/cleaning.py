@@ -14,7 +14,6 @@ from shardscope.plans.tables import (
     FEATURES,
     FLOW,
     GAPS,
-    LABELS,
     VIRTUAL_CLIENTS,
     clients,
     flow,

@@ -9,7 +9,7 @@ from shardscope.functions.labels import MODEL_CLASSES
 from shardscope.operators import evaluate as ops
 from shardscope.operators import explain
 from shardscope.plans.registry import query
-from shardscope.plans.tables import CLIENTS, FLOW, LABELS, ROUND_PREDICTIONS, flow, predictions, rounded
+from shardscope.plans.tables import FLOW, ROUND_PREDICTIONS, flow, predictions, rounded
 
 # A class list with one name nobody uses, so that the grid has gaps.
 LISTED = ["A", "N", "R", "X"]

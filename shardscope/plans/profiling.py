@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shardscope.operators import clients as client_ops
 from shardscope.operators import profile, relate
 from shardscope.plans.registry import query
 from shardscope.plans.tables import FEATURES, FLOW, GAPS, LABELS, flow, per_feature, rounded, table

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shardscope.functions.labels import label_from_path
 from shardscope.operators import clean
 from shardscope.plans.registry import query
-from shardscope.plans.tables import FEATURES, FLOW, LABELS, flow, per_feature, regions, rounded, scratch, table
+from shardscope.plans.tables import FEATURES, FLOW, LABELS, flow, rounded, scratch, table
 from shardscope.sources import contract, readers, sinks
 
 EVENT_TYPES = {"event_id": "bigint", "value": "double", "user_id": "bigint"}
