@@ -1,15 +1,18 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
-from shardscope.llm import exact_dedup, mixing, quality, vantage
+from shardscope.llm import exact_dedup, mixing, ngram_join, ppm, quality, vantage
 
 QUERIES = {
     "op3_quality_classifier": quality.op3_quality_classifier,
+    "op4_ppm_scoring": ppm.op4_ppm_scoring,
     "op5_vantage_point_trees": vantage.op5_vantage_point_trees,
     "op7_source_mixing": mixing.op7_source_mixing,
+    "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
     "op5_vantage_point_trees": vantage.SQL,
     "op7_source_mixing": mixing.SQL,
+    "op9_ngram_jaccard_join": ngram_join.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
