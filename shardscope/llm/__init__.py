@@ -1,8 +1,9 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
-from shardscope.llm import exact_dedup, mixing, ngram_join, ppm, quality, vantage
+from shardscope.llm import exact_dedup, mixing, ngram_join, ppm, quality, substring_dedup, vantage
 
 QUERIES = {
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_ppm_scoring": ppm.op4_ppm_scoring,
     "op5_vantage_point_trees": vantage.op5_vantage_point_trees,
@@ -11,6 +12,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
+    "op2_substring_dedup": substring_dedup.SQL,
     "op5_vantage_point_trees": vantage.SQL,
     "op7_source_mixing": mixing.SQL,
     "op9_ngram_jaccard_join": ngram_join.SQL,

@@ -53,6 +53,34 @@ def crc_part(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts
 
 
+FILTER_SLOTS = 1 << 18
+
+
+def key_filter(keys: DataFrame, *columns: str) -> DataFrame:
+    """A bitmap of the keys, at most ``FILTER_SLOTS`` rows of 64 bits whatever their number: columns _slot and _bits."""
+    bits = keys.select(_slot(columns).alias("_slot"), _bit(columns).alias("_bit"))
+    return bits.groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+
+
+def maybe_in(rows: DataFrame, bitmap: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with a flag _maybe: false only where the key is surely not among the bitmap's keys.
+
+    The flag saves shuffling rows that an equi-join would drop; it never decides a result. The bitmap is bounded by construction and so
+    can be broadcast.
+    """
+    met = rows.withColumn("_slot", _slot(columns)).join(F.broadcast(bitmap), "_slot", "left")
+    return met.withColumn("_maybe", F.coalesce(F.col("_bits"), F.lit(0)).bitwiseAND(_bit(columns)) != 0).drop("_slot", "_bits")
+
+
+def _slot(columns: tuple[str, ...]) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_SLOTS))
+
+
+def _bit(columns: tuple[str, ...]) -> Column:
+    place = F.pmod(F.shiftright(F.xxhash64(*columns), 32), F.lit(64)).cast("int")
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
+
 # Words as arrays ---------------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)

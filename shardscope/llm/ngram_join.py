@@ -23,14 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from shardscope.llm.common import LOWER, mix64, signed, slices, table, window_hashes, word_bounds, word_hashes, written
+from shardscope.llm.common import LOWER, key_filter, maybe_in, mix64, signed, slices, table, window_hashes, word_bounds, word_hashes, written
 from shardscope.llm.graph import components
 
 WIDTH, PERCENT = 5, 75
-#: Share of the hash range whose shingles are ordered by frequency; shingles of a block; 64-bit slots of the document filter.
+#: Share of the hash range whose shingles are ordered by frequency; shingles of a block.
 LEVEL = 0.36
 BLOCK_SHINGLES = 1_000_000
-FILTER_SLOTS = 1 << 18
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -163,13 +162,7 @@ def block_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[in
 
 def _verified(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """a, b: spanning links of every unit. ``members`` has unit and node."""
-    slot, bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_SLOTS)), F.lit(1).cast("long")
-    place = F.pmod(F.shiftright(F.xxhash64("node"), 32), F.lit(64)).cast("int")
-    # a bitmap of at most FILTER_SLOTS x 64 bits keeps most texts without candidates out of the shuffle; it decides nothing else
-    bits = members.select(slot.alias("_slot"), F.call_function("shiftleft", bit, place).alias("_bit"))
-    bits = bits.groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
-    named = docs.withColumnRenamed("doc_id", "node").withColumn("_slot", slot).join(F.broadcast(bits), "_slot")
-    named = named.where(F.call_function("shiftleft", bit, place).bitwiseAND(F.col("_bits")) != 0).select("node", "text")
+    named = maybe_in(docs.withColumnRenamed("doc_id", "node"), key_filter(members, "node"), "node").where("_maybe").select("node", "text")
     rows = named.join(members, "node").repartition("unit").sortWithinPartitions("unit", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
