@@ -1,35 +1,50 @@
 """A training-data pipeline of five stages; every stage is one operator of ``shardscope.llm``.
 
 Each function takes (spark, documents, folder of tables) and returns a DataFrame, which is written as Parquet and read again as the
-next one's documents. The last stage returns token rows, all others the columns of ``documents``.
+next one's documents. The last stage returns rows of token numbers, all others the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardscope.llm import exact_dedup, mixing, quality
+from shardscope.llm import exact_dedup, mixing, ngram_join, quality, segmentation
 from shardscope.llm.common import table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quadratic discriminant, learned from the labelled ones among them, rejects go."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document of the largest identifier stays."""
     return exact_dedup.keep_one(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by shingle similarity the one of the smallest identifier stays."""
+    return ngram_join.keep_one(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are brought to their target weights; a document taken twice is two rows."""
     return mixing.mixed_rows(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every row, as token numbers with inclusion scores."""
+    return segmentation.sampled(docs)
+
+
 STAGES = [
     ("quality_classifier", keep_quality),
     ("exact_dedup", drop_copies),
+    ("ngram_jaccard_join", drop_near_copies),
     ("source_mixing", mix_sources),
+    ("gumbel_segmentations", encode),
 ]
-#: The classifier and the sampled segmentations are not SQL; the pipeline is tested against plain versions of its stages.
+#: The classifier and the sampled segmentations are no SQL; the pipeline is tested against plain versions of its stages.
 ORACLE_SQL = None
 
 
