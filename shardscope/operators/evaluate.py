@@ -25,7 +25,8 @@ def confusion(
 ) -> DataFrame:
     """``by..., true, pred, n``: every pair of listed classes, 0 where it never occurs.
 
-    Pairs outside the list are left out.
+    Predictions outside the list are errors: they form one more cell per true class, with a missing
+    ``pred``, where they occur. A true class outside the list fails the job.
     """
     counts = predictions.groupBy(*[quoted(b) for b in by], quoted(true).alias("true"), quoted(pred).alias("pred")).agg(
         F.count("*").alias("n")
@@ -39,14 +40,24 @@ def full_grid(counts: DataFrame, classes: Sequence[str], by: Sequence[str] = ())
     A group's counts become one map of at most classes x classes entries, looked up per grid cell.
     """
     listed = F.array(*[F.lit(c) for c in classes])
-    known = F.col("true").isin(list(classes)) & F.col("pred").isin(list(classes))
-    entry = F.when(known, F.struct(F.struct("true", "pred").alias("pair"), F.col("n").cast("bigint").alias("n")))
-    groups = counts.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("cells"))
+    unknown = F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce("true", F.lit("NULL")))).cast("string")
+    known = counts.select(
+        *by,
+        F.when(F.col("true").isin(list(classes)), F.col("true")).otherwise(unknown).alias("true"),
+        F.when(F.col("pred").isin(list(classes)), F.col("pred")).alias("pred"),
+        "n",
+    )
+    cells = known.groupBy(*by, "true", "pred").agg(F.sum("n").cast("bigint").alias("n"))
+    entry = F.struct(F.struct("true", "pred").alias("pair"), "n")
+    groups = cells.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("cells"))
+    outside = F.struct(F.lit(None).cast("string").alias("name"))
+    columns = F.concat(F.transform(listed, lambda c: F.struct(c.alias("name"))), F.array(outside))
     grid = groups.select(*by, "cells", F.explode(listed).alias("true")).select(
-        *by, "cells", "true", F.explode(listed).alias("pred")
+        *by, "cells", "true", F.explode(columns).alias("column")
     )
-    found = F.try_element_at("cells", F.struct("true", "pred"))
-    return grid.select(*by, "true", "pred", F.coalesce(found, F.lit(0)).alias("n"))
+    pred = F.col("column.name")
+    found = F.try_element_at("cells", F.struct("true", pred.alias("pred")))
+    return grid.select(*by, "true", pred.alias("pred"), F.coalesce(found, F.lit(0)).alias("n")).filter("pred is not null or n > 0")
 
 
 def merge(matrices: DataFrame) -> DataFrame:
@@ -67,6 +78,7 @@ def per_class(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     hit = F.when((F.col("true") == F.col("pred")) & (F.col("support") > 0), F.col("support")).otherwise(0)
     sums = (
         matrix.select(*by, "true", "pred", F.inline(cell))
+        .filter("label is not null")
         .groupBy(*by, "label")
         .agg(F.sum(hit).alias("hits"), F.sum("support").alias("support"), F.sum("predicted").alias("predicted"))
     )

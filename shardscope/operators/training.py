@@ -73,7 +73,8 @@ def local_steps(df: DataFrame, shape: Shape, state: DataFrame, step: float, step
     """Weighted gradient steps of every client on its own rows: ``client, theta, shift, n, loss``.
 
     ``df`` has ``client, label, weight`` and the features. The loss is the mean weighted
-    cross-entropy before the last step; ``shift`` is added to the gradient.
+    cross-entropy before the last step; ``shift`` is added to the gradient. A label outside the
+    shape's classes fails the job.
     """
     for _ in range(steps):
         state = settle(_one_step(df, shape, state, step))
@@ -84,13 +85,21 @@ def _one_step(df: DataFrame, shape: Shape, state: DataFrame, step: float) -> Dat
     held = state.select("client", "theta", "shift")
     rows = df.select("client", "label", "weight", *[quoted(c).cast("double").alias(c) for c in shape.features])
     joined = rows.join(held.select("client", "theta"), "client")
-    shares = with_softmax(joined, shape.outputs(F.col("theta")), "shares")
+    raw = [f"output{k}" for k in range(len(shape.classes))]
+    named = joined.withColumns(dict(zip(raw, shape.outputs(F.col("theta")))))
+    shares = with_softmax(named, [F.col(r) for r in raw], "shares")
     own = [F.when(F.col("label") == c, 1.0).otherwise(0.0) for c in shape.classes]
+    # The loss comes from the outputs, so that a share of 0 gives a large loss and not a missing one.
+    top = F.greatest(*raw) if len(raw) > 1 else F.col(raw[0])
+    total = top + F.log(sum((F.exp(F.col(r) - top) for r in raw), F.lit(0.0)))
+    chosen = F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(F.col("label").cast("string"), F.lit("NULL")))).cast("double")
+    for r, c in zip(raw, shape.classes):
+        chosen = F.when(F.col("label") == c, F.col(r)).otherwise(chosen)
     errors = shares.select(
         "client",
         *[quoted(c) for c in shape.features],
         *[(F.col("weight") * (F.get("shares", F.lit(k)) - y)).alias(f"error{k}") for k, y in enumerate(own)],
-        (-F.col("weight") * F.log(sum((F.get("shares", F.lit(k)) * y for k, y in enumerate(own)), F.lit(0.0)))).alias("loss"),
+        (F.col("weight") * (total - chosen)).alias("loss"),
     )
     sums = [F.sum(F.col(f"error{k}") * quoted(c)) for k in range(len(shape.classes)) for c in shape.features]
     sums += [F.sum(f"error{k}") for k in range(len(shape.classes))]

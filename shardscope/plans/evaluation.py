@@ -26,7 +26,8 @@ def matrix_sql(by: str = "", classes: str = LIST_SQL) -> str:
         SELECT {keys}t.name AS truth, q.name AS pred, count(p.truth) AS n
         FROM listed AS t CROSS JOIN listed AS q {groups}
         LEFT JOIN predictions AS p ON {own}p.truth = t.name AND p.pred = q.name
-        GROUP BY ALL)"""
+        GROUP BY ALL
+        UNION ALL SELECT {head}truth, NULL, count(*) FROM predictions WHERE pred NOT IN (SELECT name FROM listed) GROUP BY ALL)"""
 
 
 def class_sql(by: str = "") -> str:
@@ -35,7 +36,7 @@ def class_sql(by: str = "") -> str:
     return f"""sums AS (
         SELECT {keys}label, sum(hits) AS hits, CAST(sum(support) AS BIGINT) AS support, sum(predicted) AS predicted FROM (
           SELECT {keys}truth AS label, CASE WHEN truth = pred THEN n ELSE 0 END AS hits, n AS support, 0 AS predicted FROM matrix
-          UNION ALL SELECT {keys}pred, 0, 0, n FROM matrix) GROUP BY ALL),
+          UNION ALL SELECT {keys}pred, 0, 0, n FROM matrix) WHERE label IS NOT NULL GROUP BY ALL),
       rates AS (
         SELECT {keys}label, support, predicted, COALESCE(CAST(hits AS DOUBLE) / nullif(predicted, 0), 0) AS precision,
                COALESCE(CAST(hits AS DOUBLE) / nullif(support, 0), 0) AS recall FROM sums),
@@ -47,9 +48,9 @@ def _matrix(spark, folder, by=(), classes=LISTED):
     return ops.confusion(predictions(spark, folder), classes, by)
 
 
-@query("a25_confusion_matrix", f"WITH {ROUND_PREDICTIONS}, {matrix_sql('client')} SELECT client, truth AS \"true\", pred, n FROM matrix")
+@query("a25_confusion_matrix", f"WITH {ROUND_PREDICTIONS}, {matrix_sql('client')} SELECT client, truth AS \"true\", pred, n FROM matrix WHERE pred IS NOT NULL")
 def confusion_matrix(spark, folder):
-    return _matrix(spark, folder, ["client"])
+    return _matrix(spark, folder, ["client"]).filter("pred is not null")
 
 
 @query(
