@@ -13,8 +13,6 @@ from shardscope.operators.quantiles import medians
 from shardscope.operators.totals import long_values, running_totals
 from shardscope.session import local_if_small
 
-MAX_DRIFT_FEATURES = 80
-
 
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
     """``class, count, percent, log_count``; log_count is log10(count + 1)."""
@@ -35,17 +33,22 @@ def client_counts(df: DataFrame, client: str = "client") -> DataFrame:
 
 
 def class_client_grid(df: DataFrame, client: str = "client", label: str = "label") -> DataFrame:
-    """``class, client, count``: every class beside every client, 0 where they never meet."""
+    """``class, client, count``: every class beside every client, 0 where they never meet.
+
+    A missing class or client is one of its own.
+    """
     counts = df.groupBy(quoted(client).alias("client"), quoted(label).alias("class")).agg(F.count("*").alias("count"))
     counts = local_if_small(counts)
-    classes = counts.agg(F.collect_set("class").alias("classes"))
-    listed = sorted(classes.first().classes)
-    grid = counts.select("client").distinct().select(
-        "client", F.explode(F.array(*[F.lit(c) for c in listed])).alias("class")
-    )
-    return grid.join(counts, ["client", "class"], "left").select(
-        "class", "client", F.coalesce("count", F.lit(0)).alias("count")
-    )
+    # One row per client with its classes; structs keep a missing class beside the others.
+    entry = F.struct(F.struct("class").alias("key"), "count")
+    held = counts.groupBy("client").agg(F.map_from_entries(F.collect_list(entry)).alias("held"))
+    kind = counts.schema["class"].dataType
+    classes = [r["class"] for r in counts.select("class").distinct().collect()]
+    if not classes:
+        return counts.select("class", "client", "count")
+    listed = F.array(*[F.struct(F.lit(c).cast(kind).alias("class")) for c in classes])
+    grid = held.select("client", "held", F.explode(listed).alias("entry"))
+    return grid.select("entry.class", "client", F.coalesce(F.try_element_at("held", F.col("entry")), F.lit(0)).alias("count"))
 
 
 def label_counts(df: DataFrame, client: str = "client", label: str = "label") -> DataFrame:
@@ -119,7 +122,7 @@ def ks_drift(
     """``client, feature, ks_stat``: largest gap between a client's and the whole table's
     cumulative shares. Missing values count as the global median; the whole includes the client.
     """
-    columns = list(columns or numeric_columns(df, exclude=[label])[:MAX_DRIFT_FEATURES])
+    columns = list(columns or numeric_columns(df, exclude=[label]))
     clients = list(label_map)
     middle = medians(df, with_gaps(df, columns))
     fill = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(middle.get(c)).cast("double"))])

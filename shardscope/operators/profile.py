@@ -217,10 +217,16 @@ def screen(df: DataFrame, label: str, columns: Sequence[str] | None = None) -> D
     """
     columns = list(columns or [c for c in df.columns if c != label])
     numbers = [c for c in columns if c not in text_columns(df)]
-    spread = _frequencies(df, columns).groupBy("feature").agg(
-        F.round(F.coalesce(F.sum(F.when(F.col("hidden"), F.col("n"))), F.lit(0)) / F.sum("n") * 100, 6).alias("missing_pct"),
-        (F.count("*") <= 1).alias("is_constant"),
-    )
+    # Least, greatest and number of values say whether a column is constant: no value is counted.
+    cells = []
+    for c in columns:
+        held = F.when(~_is_missing(c, df), quoted(c))
+        missing = F.count(F.lit(1)) - F.count(held)
+        one = (missing == 0) & (F.min(held) == F.max(held))
+        share = F.round(missing / F.nullif(F.count(F.lit(1)), F.lit(0)) * 100, 6)
+        constant = F.coalesce(one, F.lit(False)) | (F.count(held) == 0)
+        cells.append(F.struct(F.lit(c).alias("feature"), share.alias("missing_pct"), constant.alias("is_constant")))
+    spread = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells")).filter("missing_pct is not null")
     zeros = zero_rates(df, numbers).join(
         zero_rates(df, numbers, by=label).groupBy("feature").agg(F.min("zero_pct").alias("least_zero_pct")), "feature"
     )

@@ -3,7 +3,8 @@
 Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here a sketch first
 brackets each wanted order statistic; a second scan then counts the rows below the bracket and
 keeps only the values inside it. The bracket holds a fixed small share of the rows, hot values
-collapse into one counted value, and the answer is exact.
+collapse into one counted value, and the answer is exact: a bracket that missed its rank is widened.
+Tables of every size go the same way.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardscope.functions.scalars import finite, quoted
-from shardscope.session import small_table
+from shardscope.session import settle, small_table
 
 ACCURACY = 10_000
-SHORT = 5
+# Groups of at most this share of ``accuracy`` rows have brackets of a few ranks at most and are
+# taken whole; the answer is the same.
+SHORT = 0.1
 MAX_SURVIVORS = 5_000_000
-SMALL_CELLS = 5_000_000
+WIDER = 16
 
 
 def exact_quantiles(
@@ -29,22 +32,19 @@ def exact_quantiles(
     by: Sequence[str] = (),
     accuracy: int = ACCURACY,
     max_survivors: int = MAX_SURVIVORS,
-    small_cells: int = SMALL_CELLS,
+    margin: float | None = None,
 ) -> DataFrame:
     """Linear-interpolation percentiles: ``by..., feature, prob, n, value``; NULL for no values.
 
-    Missing and non-finite values are skipped. ``n`` is the number of values used. A table of at
-    most ``small_cells`` cells fits the built-in aggregate and is read once.
+    Missing and non-finite values are skipped. ``n`` is the number of values used. ``margin`` is the
+    share of the rows on either side of a rank that its bracket aims at.
     """
     # One struct as group key: structs with missing fields still equal each other in joins.
     group = F.struct(*[quoted(b) for b in by]) if by else F.lit(0)
     rows = df.select(group.alias("group_key"), *[finite(quoted(c)).alias(f"v{i}") for i, c in enumerate(columns)])
     values = [F.col(f"v{i}") for i in range(len(columns))]
-    margin = 2.0 / accuracy
+    margin = 2.0 / accuracy if margin is None else margin
     keys = ["group_key"]
-    if rows.count() * len(columns) <= small_cells:
-        return _in_one_pass(rows, values, columns, probs, by)
-
     around = [min(1.0, max(0.0, p + side)) for p in probs for side in (-margin, margin)]
     sketch = rows.groupBy(*keys).agg(
         F.array(*[F.count(v) for v in values]).alias("counts"),
@@ -52,77 +52,44 @@ def exact_quantiles(
             "cuts"
         ),
     )
-    # A sketch may be a few ranks off however short the group is, so short groups are kept whole.
     whole = F.array(*[F.lit(side * float("inf")) for _ in probs for side in (-1, 1)])
+    every = F.lit(margin >= 0.5)
     sketch = sketch.withColumn(
-        "cuts", F.zip_with("counts", "cuts", lambda n, cut: F.when(n <= SHORT * accuracy, whole).otherwise(cut))
+        "cuts", F.zip_with("counts", "cuts", lambda n, cut: F.when(every | (n <= SHORT * accuracy), whole).otherwise(cut))
     )
     sketch, found = _settled(sketch)
     survivors = _largest(sketch, found) * 3 * margin
-    while survivors > max_survivors:
+    while margin < 0.5 and survivors > max_survivors:
         sketch, found = _settled(_narrow(_attach(rows, sketch, found, keys, by), keys, values, probs, accuracy))
         survivors *= 3 * margin
 
-    cells = (
-        _attach(rows, sketch, found, keys, by)
-        .select(*keys, "cuts", F.posexplode(F.array(*values)).alias("place", "cell"))
-        .filter("cell is not null")
-        .select(*keys, "place", "cell", F.get("cuts", F.col("place")).alias("cut"))
-    )
-    counted = (
-        cells.select(*keys, F.inline(F.array(*[_inside(p, len(probs)) for p in range(len(probs))])))
-        .filter("kept")
-        # NULL stands for all rows below the bracket: one counted row per group and slot.
-        .groupBy(*keys, "slot", "value")
-        .count()
-    )
-    ordered = Window.partitionBy(*keys, "slot").orderBy(F.col("value").asc_nulls_first())
-    cumulative = counted.withColumn("upto", F.sum("count").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    wanted = _wanted(sketch, keys, columns, probs)
+    joined = _attach(rows, sketch, found, keys, by)
+    cells = [(c * len(probs) + p, v, *(F.get(F.get("cuts", F.lit(c)), F.lit(2 * p + side)) for side in (0, 1))) for c, v in enumerate(values) for p in range(len(probs))]
+    below = joined.groupBy(*keys).agg(F.array(*[F.count_if(v < low) for _, v, low, _ in cells]).alias("below"))
+    below = below.select(*keys, F.posexplode("below").alias("slot", "below"))
+    inside = F.array(*[F.when((v >= low) & (v <= high), F.struct(F.lit(slot).alias("slot"), v.alias("value"))) for slot, v, low, high in cells])
+    counted = joined.select(*keys, F.inline(F.array_compact(inside))).groupBy(*keys, "slot", "value").count()
+    ordered = Window.partitionBy(*keys, "slot").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = _wanted(sketch, keys, columns, probs).join(below, [*keys, "slot"])
     located = (
-        cumulative.join(wanted.select(*keys, "slot", "low_pos", "high_pos"), [*keys, "slot"])
-        .filter("value is not null")
+        counted.withColumn("upto", F.sum("count").over(ordered))
+        .join(wanted.select(*keys, "slot", "low_pos", "high_pos", "below"), [*keys, "slot"])
+        .withColumn("upto", F.col("upto") + F.col("below"))
         .groupBy(*keys, "slot")
         .agg(
             F.min(F.when(F.col("upto") > F.col("low_pos"), F.col("value"))).alias("low_value"),
             F.min(F.when(F.col("upto") > F.col("high_pos"), F.col("value"))).alias("high_value"),
-            F.min(F.col("upto") - F.col("count")).alias("below"),
         )
     )
     share = F.col("exact_pos") - F.col("low_pos")
     value = F.col("low_value") + (F.col("high_value") - F.col("low_value")) * share
-    broken = (F.col("n") > 0) & (
+    missed = (F.col("n") > 0) & (
         F.col("low_value").isNull() | F.col("high_value").isNull() | (F.col("below") > F.col("low_pos"))
     )
-    return wanted.join(located, [*keys, "slot"], "left").select(
-        *[F.col("group_key")[b].alias(b) for b in by],
-        "feature",
-        "prob",
-        "n",
-        F.when(broken, F.raise_error(F.lit("percentile bracket missed its rank")).cast("double")).otherwise(value).alias("value"),
-    )
-
-
-def _in_one_pass(
-    rows: DataFrame, values: Sequence[Column], columns: Sequence[str], probs: Sequence[float], by: Sequence[str]
-) -> DataFrame:
-    """The built-in exact percentile, for tables whose distinct values fit one buffer."""
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    found = rows.groupBy("group_key").agg(
-        F.array(*[F.count(v) for v in values]).alias("counts"),
-        F.array(*[F.percentile(v, wanted) for v in values]).alias("found"),
-    )
-    names = F.array(*[F.lit(c) for c in columns])
-    cells = found.select("group_key", "found", F.posexplode("counts").alias("place", "n")).select(
-        "group_key", "place", "n", "found", F.posexplode(wanted).alias("step", "prob")
-    )
-    return cells.select(
-        *[F.col("group_key")[b].alias(b) for b in by],
-        F.get(names, F.col("place")).alias("feature"),
-        "prob",
-        "n",
-        F.get(F.get("found", F.col("place")), F.col("step")).alias("value"),
-    )
+    answers = settle(wanted.join(located, [*keys, "slot"], "left").select(*keys, "feature", "prob", "n", value.alias("value"), missed.alias("missed")))
+    if margin < 0.5 and not answers.filter("missed").isEmpty():
+        return exact_quantiles(df, columns, probs, by, accuracy, max_survivors, margin * WIDER)
+    return answers.select(*[F.col("group_key")[b].alias(b) for b in by], "feature", "prob", "n", "value")
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
@@ -157,16 +124,6 @@ def _attach(
     return rows.join(sketch, list(keys))
 
 
-def _inside(p: int, width: int) -> Column:
-    """Keep a cell up to the upper cut of one probability; under the lower cut it loses its value."""
-    low, high = F.get("cut", F.lit(2 * p)), F.get("cut", F.lit(2 * p + 1))
-    return F.struct(
-        (F.col("place") * width + p).alias("slot"),
-        (F.col("cell") <= high).alias("kept"),
-        F.when(F.col("cell") >= low, F.col("cell")).alias("value"),
-    )
-
-
 def _wanted(sketch: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """One row per group, column and probability with the 0-based positions it lies between."""
     names = F.array(*[F.lit(c) for c in columns])

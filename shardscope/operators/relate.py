@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 from itertools import combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,43 +17,72 @@ from shardscope.functions.tails import chi2_tail, f_tail
 from shardscope.operators.clean import impute_median, most_frequent
 from shardscope.operators.quantiles import exact_quantiles
 from shardscope.operators.totals import as_text, long_values, running_totals, value_counts
-from shardscope.session import local_if_small
+from shardscope.session import local_if_small, settle
 
-MAX_CORRELATED = 60
-PAIRS_PER_SCAN = 150
 HOT_ROWS = 100_000
 
+# The functions travel with the task, so workers need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``a, b, r`` for every ordered pair, over rows where both have a value; undefined is 0."""
-    columns = list(columns or numeric_columns(df)[:MAX_CORRELATED])
-    values = {c: finite(quoted(c)) for c in columns}
-    return _correlate(df, [(a, b, values[a], values[b]) for a, b in combinations_with_replacement(columns, 2)])
-
-
-def _correlate(df: DataFrame, pairs: Sequence[tuple[str, str, Column, Column]]) -> DataFrame:
-    """Correlations of many column pairs, a bounded number of aggregates per scan."""
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        cells = [
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _corr(x, y).alias("r"))
-            for a, b, x, y in pairs[start : start + PAIRS_PER_SCAN]
-        ]
-        parts.append(df.agg(F.array(*cells).alias("cells")).select(F.inline("cells")))
-    half = parts[0]
-    for part in parts[1:]:
-        half = half.unionByName(part)
-    flip = F.array(
-        F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    columns = list(columns or numeric_columns(df))
+    pairs = [(a, b, a, b) for a, b in combinations_with_replacement(columns, 2)]
+    values = df.select(*[finite(quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+    return _correlate(values, columns, pairs)
+
+
+def _correlate(df: DataFrame, slots: Sequence[str], pairs: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+    """``a, b, r`` both ways for every (a, b, slot of a, slot of b), in one scan of a table of slots.
+
+    Every task brings, per pair of slots, the number of its rows with both values, their means, and squares
+    and products about these means; they combine like those of groups of rows. 0 where a side does not vary.
+    """
+    parts = settle(df.mapInArrow(_moments, "i long, j long, n double, mx double, my double, xx double, yy double, xy double"))
+    n = F.sum("n")
+    means = parts.groupBy("i", "j").agg((F.sum(F.col("n") * F.col("mx")) / n).alias("gx"), (F.sum(F.col("n") * F.col("my")) / n).alias("gy"))
+    dx, dy = F.col("mx") - F.col("gx"), F.col("my") - F.col("gy")
+    whole = parts.join(means, ["i", "j"]).groupBy("i", "j").agg(
+        F.sum(F.col("xx") + F.col("n") * dx * dx).alias("xx"),
+        F.sum(F.col("yy") + F.col("n") * dy * dy).alias("yy"),
+        F.sum(F.col("xy") + F.col("n") * dx * dy).alias("xy"),
+        # What rounding of a mean may leave of a column that does not vary.
+        (n * F.pow(F.max(F.abs("gx")) * 1e-14, F.lit(2))).alias("ex"),
+        (n * F.pow(F.max(F.abs("gy")) * 1e-14, F.lit(2))).alias("ey"),
     )
+    place = {s: i for i, s in enumerate(slots)}
+    listed = [(a, b, *sorted((place[x], place[y]))) for a, b, x, y in pairs]
+    wanted = df.sparkSession.createDataFrame(listed, "a string, b string, i long, j long")
+    varies = (F.col("xx") > F.col("ex")) & (F.col("yy") > F.col("ey"))
+    r = F.coalesce(F.when(varies, F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))), F.lit(0.0))
+    half = wanted.join(whole, ["i", "j"], "left").select("a", "b", r.alias("r"))
+    flip = F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     sides = F.when(F.col("a") == F.col("b"), F.slice(flip, 1, 1)).otherwise(flip)
     return half.select(F.inline(sides), "r").select("a", "b", "r")
 
 
-def _corr(x: Column, y: Column) -> Column:
-    """Correlation of two columns, 0 when one of them does not vary (``corr`` would fail there)."""
-    spread = F.var_pop(F.when(y.isNotNull(), x)) * F.var_pop(F.when(x.isNotNull(), y))
-    return F.coalesce(F.covar_pop(x, y) / F.nullif(F.sqrt(spread), F.lit(0.0)), F.lit(0.0))
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, origin = None, None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+        known = ~np.isnan(x)
+        if origin is None:
+            origin = np.where(known.any(axis=0), x[known.argmax(axis=0), np.arange(x.shape[1])], 0.0)
+        x, known = np.where(known, x - origin, 0.0), known.astype(float)
+        sums = np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
+        total = sums if total is None else total + sums
+    if total is None:
+        return
+    i, j = np.triu_indices(len(origin))
+    keep = total[0][i, j] > 0
+    i, j = i[keep], j[keep]
+    n, sx, sy = total[0][i, j], total[1][i, j], total[1][j, i]
+    squares = [total[2][i, j] - sx * sx / n, total[2][j, i] - sy * sy / n, total[3][i, j] - sx * sy / n]
+    found = [i, j, n, origin[i] + sx / n, origin[j] + sy / n, np.maximum(squares[0], 0), np.maximum(squares[1], 0), squares[2]]
+    yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], ["i", "j", "n", "mx", "my", "xx", "yy", "xy"])
 
 
 def spearman(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
@@ -58,7 +91,7 @@ def spearman(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None =
     ``key`` identifies a row. Columns without missing values are ranked once; a pair with missing
     values gets ranks of its own among its common rows.
     """
-    columns = list(columns or numeric_columns(df, exclude=key)[:MAX_CORRELATED])
+    columns = list(columns or numeric_columns(df, exclude=key))
     clean = df.select(*[quoted(k) for k in key], *[finite(quoted(c)).alias(c) for c in columns])
     counts = clean.agg(F.count("*").alias("rows"), F.array(*[F.count(quoted(c)) for c in columns]).alias("filled")).first()
     full = {c for c, n in zip(columns, counts.filled) if n == counts.rows}
@@ -86,7 +119,7 @@ def spearman(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None =
     wide = ranked.groupBy(*[quoted(k) for k in key]).agg(
         *[F.max(F.when(F.col("feature") == s, F.col("rank"))).alias(n) for s, n in names.items()]
     )
-    return _correlate(wide, [(a, b, F.col(names[x]), F.col(names[y])) for a, b, x, y in pairs])
+    return _correlate(wide.select(*names.values()), list(names.values()), [(a, b, names[x], names[y]) for a, b, x, y in pairs])
 
 
 def _attach_ranks(cells: DataFrame, ranks: DataFrame, rows: int, features: int) -> DataFrame:

@@ -16,17 +16,14 @@ from shardscope.functions.scalars import hash_order, quoted
 from shardscope.session import local_if_small, settle
 
 SEED = 42
-# Leading hash digits to count by, and the number of rows up to which they are enough: about ten
-# thousand rows then share a prefix.
-DIGITS = ((3, 50_000_000), (4, 1_000_000_000), (5, 20_000_000_000))
-MOST_DIGITS = 6
+# Leading hash digits to count by: 65,536 prefixes per class.
+DIGITS = 4
 
 
-def _tagged(df: DataFrame, label: str | None, key: Sequence[str], seed: int, rows: int) -> DataFrame:
-    digits = next((d for d, most in DIGITS if rows <= most), MOST_DIGITS)
+def _tagged(df: DataFrame, label: str | None, key: Sequence[str], seed: int) -> DataFrame:
     stratum = quoted(label) if label is not None else F.lit(0)
     return df.withColumn("order_hash", hash_order(key, seed)).withColumn("stratum", stratum).withColumn(
-        "prefix", F.substring("order_hash", 1, digits)
+        "prefix", F.substring("order_hash", 1, DIGITS)
     )
 
 
@@ -61,13 +58,13 @@ def _cutoffs(tagged: DataFrame, key: Sequence[str], quotas) -> DataFrame:
     )
 
 
-def _split_at_quota(df: DataFrame, label: str | None, key: Sequence[str], seed: int, quotas, rows: int) -> DataFrame:
+def _split_at_quota(df: DataFrame, label: str | None, key: Sequence[str], seed: int, quotas) -> DataFrame:
     """Add ``taken``: whether the row is among the first ``quota`` of its class in hash order.
 
     The result only compares each row with the cutoff of its class, so it can be read any number of
     times without a shuffle.
     """
-    tagged = _tagged(df, label, key, seed, rows)
+    tagged = _tagged(df, label, key, seed)
     cuts = _cutoffs(tagged, key, quotas)
     own = F.struct("order_hash", *[quoted(k) for k in key])
     if label is None:
@@ -85,12 +82,13 @@ def stratified(
 ) -> DataFrame:
     """At most max(floor, total / classes) rows of each class.
 
-    With ``when_larger`` a table of at most ``total`` rows is returned whole; without it ``total``
-    is first lowered to the number of rows.
+    Rows without a label belong to no class and are never taken. With ``when_larger`` a table of at
+    most ``total`` rows gives all its labelled rows; without it ``total`` is first lowered to the
+    number of rows.
     """
     size = df.count()
     if when_larger and size <= total:
-        return df
+        return df.filter(quoted(label).isNotNull())
     budget = total if when_larger else min(size, total)
 
     def quotas(sizes: DataFrame) -> DataFrame:
@@ -98,7 +96,7 @@ def stratified(
         return sizes.withColumn("quota", F.least("size", F.lit(max(floor, budget // classes))))
 
     rows = df.filter(quoted(label).isNotNull())
-    return _split_at_quota(rows, label, key, seed, quotas, size).filter("taken").drop("taken")
+    return _split_at_quota(rows, label, key, seed, quotas).filter("taken").drop("taken")
 
 
 def plain(df: DataFrame, key: Sequence[str], n: int, seed: int = SEED) -> DataFrame:
@@ -107,7 +105,7 @@ def plain(df: DataFrame, key: Sequence[str], n: int, seed: int = SEED) -> DataFr
     def quotas(sizes: DataFrame) -> DataFrame:
         return sizes.withColumn("quota", F.least("size", F.lit(n)))
 
-    return _split_at_quota(df, None, key, seed, quotas, df.count()).filter("taken").drop("taken")
+    return _split_at_quota(df, None, key, seed, quotas).filter("taken").drop("taken")
 
 
 def background(df: DataFrame, key: Sequence[str], size: int = 100, seed: int = 0) -> DataFrame:
@@ -135,7 +133,7 @@ def split(df: DataFrame, label: str, key: Sequence[str], test_size: float = 0.2,
         left = F.lit(target) - F.sum("base").over(Window.partitionBy())
         return base.withColumn("quota", F.col("base") + (place <= left).cast("int"))
 
-    parted = _split_at_quota(df, label if stratify else None, key, seed, quotas, found.rows or 0)
+    parted = _split_at_quota(df, label if stratify else None, key, seed, quotas)
     return parted.withColumnRenamed("taken", "is_test")
 
 
@@ -152,7 +150,7 @@ def test_set(df: DataFrame, label: str, key: Sequence[str], total: int = 2000, s
         return sizes.withColumn("quota", F.least("size", wanted))
 
     rows = df.filter(quoted(label).isNotNull())
-    return _split_at_quota(rows, label, key, seed, quotas, rows.count()).filter("taken").drop("taken")
+    return _split_at_quota(rows, label, key, seed, quotas).filter("taken").drop("taken")
 
 
 def first_of_class(df: DataFrame, label: str, order: Column) -> DataFrame:

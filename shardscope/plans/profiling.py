@@ -146,7 +146,7 @@ def robust_stats_by_class(spark, folder):
 )
 def mad(spark, folder):
     """MAD per class by the way long tables go: bracketed order statistics."""
-    return rounded(profile.mad(flow(spark, folder), FEATURES, by="label", small_cells=0), 8)
+    return rounded(profile.mad(flow(spark, folder), FEATURES, by="label"), 8)
 
 
 @query(

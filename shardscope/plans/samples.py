@@ -135,19 +135,14 @@ def plain_sample(spark, folder):
 
 
 EVENTS = """rows AS (
-    SELECT event_type AS class, 'client_' || (user_id % 3 + 1) AS client, event_id, value FROM events WHERE user_id % 5 <> 0 OR event_type <> 'view')"""
+    SELECT event_type AS class, CASE WHEN event_type = 'view' THEN 'client_' || (user_id % 2 + 2) ELSE 'client_' || (user_id % 3 + 1) END AS client, event_id, value FROM events)"""
 
 
 def _events(spark, folder):
-    return (
-        table(spark, folder, "events")
-        .filter((F.col("user_id") % 5 != 0) | (F.col("event_type") != "view"))
-        .select(
-            F.col("event_type").alias("class"),
-            F.concat(F.lit("client_"), (F.col("user_id") % 3 + 1).cast("string")).alias("client"),
-            "event_id",
-            "value",
-        )
+    """All events; the first client has no view."""
+    turn = F.when(F.col("event_type") == "view", F.col("user_id") % 2 + 2).otherwise(F.col("user_id") % 3 + 1)
+    return table(spark, folder, "events").select(
+        F.col("event_type").alias("class"), F.concat(F.lit("client_"), turn.cast("string")).alias("client"), "event_id", "value"
     )
 
 

@@ -43,22 +43,28 @@ def test_quantiles_match_the_builtin(spark):
         want = rows.groupBy(*by).agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in "xy"]).collect()
         expected = {(*[r[b] for b in by], c, p): r[c][i] for r in want for c in "xy" for i, p in enumerate(probs)}
         for options in ({}, {"accuracy": 200, "max_survivors": 300}, {"accuracy": 50}, {"accuracy": 20, "max_survivors": 50}):
-            got = exact_quantiles(rows, ["x", "y"], probs, by, small_cells=0, **options).collect()
+            got = exact_quantiles(rows, ["x", "y"], probs, by, **options).collect()
             assert {(*[r[b] for b in by], r.feature, r.prob): r.value for r in got} == pytest.approx(expected)
 
 
 def test_quantiles_of_nothing_are_null(odd):
-    for cells in (0, 1000):
-        found = by_feature(exact_quantiles(odd, ["nothing", "wild"], [0.5], small_cells=cells))
-        assert found["nothing",].value is None and found["nothing",].n == 0
-        assert found["wild",].value == 2.0 and found["wild",].n == 3
+    found = by_feature(exact_quantiles(odd, ["nothing", "wild"], [0.5]))
+    assert found["nothing",].value is None and found["nothing",].n == 0
+    assert found["wild",].value == 2.0 and found["wild",].n == 3
 
 
 def test_quantiles_of_an_unnamed_group(spark):
     table = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, x double")
-    for cells in (0, 1000):
-        found = exact_quantiles(table, ["x"], [0.5], ["g"], small_cells=cells).collect()
-        assert {r.g: r.value for r in found} == {None: 2.0, "a": 5.0}
+    found = exact_quantiles(table, ["x"], [0.5], ["g"]).collect()
+    assert {r.g: r.value for r in found} == {None: 2.0, "a": 5.0}
+
+
+def test_a_missed_bracket_is_widened(spark):
+    """Brackets without any width miss their ranks at first."""
+    rows = spark.range(30_000).select((F.pmod(F.xxhash64("id"), F.lit(9_973)) / 3.0).alias("x"))
+    want = rows.agg(F.percentile("x", F.array(F.lit(0.3), F.lit(0.77)))).first()[0]
+    found = exact_quantiles(rows, ["x"], [0.3, 0.77], accuracy=100, margin=1e-9).orderBy("prob").collect()
+    assert [r.value for r in found] == pytest.approx(want)
 
 
 def test_missing_counts(odd):
@@ -154,9 +160,11 @@ def test_weighted_mean_without_any_metric(spark):
 
 
 def test_grid_keeps_groups_without_known_pairs(spark):
-    counts = spark.createDataFrame([("c1", "q", "q", 2)], "client string, true string, pred string, n bigint")
+    counts = spark.createDataFrame([("c1", "a", "q", 2)], "client string, true string, pred string, n bigint")
     grid = evaluate.full_grid(counts, ["a", "b"], ["client"])
-    assert grid.count() == 4 and grid.agg(F.sum("n")).first()[0] == 0
+    listed = grid.filter("pred is not null")
+    assert listed.count() == 4 and listed.agg(F.sum("n")).first()[0] == 0
+    assert grid.filter("pred is null").collect() == [("c1", "a", None, 2)]
 
 
 def test_pairwise_correlations_with_missing_values(spark):
@@ -288,3 +296,45 @@ def test_wide_tables_profile(spark):
     assert profile.robust_stats(rows).count() == 110
     assert profile.missingness(rows).count() == 111
     assert profile.zero_rates(rows, by="label").count() == 220
+
+
+def test_wide_tables_keep_all_columns(spark):
+    """130 numeric columns: none is left out by default."""
+    names = [f"n{i}" for i in range(130)]
+    rows = spark.range(40).select(
+        F.col("id"),
+        F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("label"),
+        *[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(50)) / 7.0).alias(n) for i, n in enumerate(names)],
+    )
+    pairs = relate.pearson(rows.drop("id", "label"))
+    assert pairs.count() == 130 * 130
+    checked = rows.agg(F.corr("n3", "n128")).first()[0]
+    assert pairs.filter("a = 'n3' and b = 'n128'").first().r == pytest.approx(checked)
+    assert relate.spearman(rows.drop("label"), ["id"]).select("a").distinct().count() == 130
+    drift = clients.ks_drift(rows.drop("id"), {"one": ["A"], "two": ["B"]}, "label")
+    assert drift.select("feature").distinct().count() == 130
+
+
+def test_correlation_of_a_constant_is_zero(spark):
+    rows = spark.range(1000).repartition(7).select(F.lit(0.1).alias("same"), F.col("id").cast("double").alias("x"), (-F.col("id") * 3.0 + 1e9).alias("y"))
+    found = {(r.a, r.b): r.r for r in relate.pearson(rows).collect()}
+    assert found["same", "x"] == 0 and found["same", "same"] == 0 and found["x", "y"] == pytest.approx(-1)
+
+
+def test_unlisted_predictions_are_errors(spark):
+    rows = spark.createDataFrame([("a", "a"), ("a", "zz"), ("a", "zz"), ("b", "b")], "true string, pred string")
+    found = evaluate.macro(evaluate.confusion(rows, ["a", "b"])).first()
+    assert (found.accuracy, found.n_test) == (0.5, 4)
+    with pytest.raises(Exception, match="unknown label"):
+        evaluate.confusion(rows, ["a"]).collect()
+
+
+def test_missing_labels_stay_in_the_grid(spark):
+    rows = spark.createDataFrame([("x", "A"), ("x", None), ("y", "A"), (None, "B")], "client string, label string")
+    found = {(r["class"], r.client): r["count"] for r in clients.class_client_grid(rows).collect()}
+    assert found[None, "x"] == 1 and found[None, "y"] == 0 and found["B", None] == 1 and len(found) == 9
+
+
+def test_small_samples_leave_unlabelled_rows_out(spark):
+    rows = spark.createDataFrame([(i, "A" if i % 2 else None) for i in range(50)], "id long, label string")
+    assert {sampling.stratified(rows, "label", ["id"], total, 1000).count() for total in (100, 49)} == {25}
