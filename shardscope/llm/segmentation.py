@@ -35,6 +35,7 @@ ZIPF = 10.0
 SPACE = 0xFF
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 SLOT_BITS = 20
+LIFT, EARLY = 37.5, 128
 
 
 def model_path(name: str = MODEL) -> str:
@@ -114,7 +115,7 @@ class Lattice:
     """Edges of the lattices of distinct units, ordered by their first byte.
 
     ``rest`` counts the bytes from a node to its unit's end, ``heads`` says where a node's edges begin, ``logs`` are their log probabilities at
-    the node, ``upto`` the sums of probabilities up to each, 1 for a node's last.
+    the node, ``aside`` those of taking another, ``upto`` the sums of probabilities up to each, 1 for a node's last.
     """
 
     rest: np.ndarray
@@ -122,6 +123,7 @@ class Lattice:
     length: np.ndarray
     piece: np.ndarray
     logs: np.ndarray
+    aside: np.ndarray
     upto: np.ndarray
     heads: np.ndarray
 
@@ -174,7 +176,9 @@ def lattice(data: np.ndarray, rest: np.ndarray, pieces: Pieces) -> Lattice:
     last = heads[start + 1] - 1
     upto = np.minimum(upto / upto[last], 1.0)
     upto[last] = 1.0
-    return Lattice(rest, start, length, piece, logs, upto, heads)
+    with np.errstate(divide="ignore"):
+        aside = np.where(logs < 0, np.log(-np.expm1(np.minimum(logs, 0))), -np.inf)
+    return Lattice(rest, start, length, piece, logs, aside, upto, heads)
 
 
 def _folded(*parts: np.ndarray | int) -> np.ndarray:
@@ -217,7 +221,7 @@ def _walk(lat: Lattice, nodes: np.ndarray, keys: np.ndarray, sample: int, units:
     return edges, begins
 
 
-def _truncated(location: np.ndarray, top: np.ndarray, uniform: np.ndarray) -> np.ndarray:
+def _truncated(location: np.ndarray, top: np.ndarray | float, uniform: np.ndarray) -> np.ndarray:
     """Gumbel values of ``location`` given that they are at most ``top``; -inf where the location is."""
     with np.errstate(divide="ignore", over="ignore"):
         return np.minimum(location - np.logaddexp(location - top, np.log(-np.log(uniform))), top)
@@ -238,12 +242,26 @@ class Path:
         return float(lat.logs[self.edges].sum())
 
 
-def _regions(lat: Lattice, edges: np.ndarray, before: float, value: float, key: np.uint64, sample: int) -> np.ndarray:
-    logs = lat.logs[edges]
-    prefix = before + np.concatenate([[0.0], np.cumsum(logs)[:-1]]) if len(logs) else logs
-    with np.errstate(divide="ignore"):
-        aside = prefix + np.where(logs < 0, np.log(-np.expm1(np.minimum(logs, 0))), -np.inf)
-    return _truncated(aside, np.full(len(edges), value), _uniform(_folded(key, sample, 1 << 40) + np.arange(len(edges), dtype=np.uint64)))
+def _regions(lat: Lattice, edges: np.ndarray, before: float, value: float, chance: np.uint64, most: int) -> np.ndarray:
+    """Values of the regions that the steps of ``edges`` leave aside; -inf where one cannot be among the ``most`` largest.
+
+    A uniform number of 53 bits lifts a location by less than ``LIFT``, so late steps whose location lies further below the values of the
+    first ones need no number at all.
+    """
+    location = np.empty(len(edges))
+    if len(edges):
+        location[0] = before
+        np.cumsum(lat.logs[edges[:-1]], out=location[1:])
+        location[1:] += before
+        location += lat.aside[edges]
+    out = np.full(len(edges), -np.inf)
+    at = np.arange(min(len(edges), EARLY))
+    out[at] = _truncated(location[at], value, _uniform(at.astype(np.uint64) + chance))
+    if len(edges) > EARLY:
+        floor = np.partition(out[:EARLY], EARLY - most)[EARLY - most] if most <= EARLY else -np.inf
+        at = EARLY + np.flatnonzero(location[EARLY:] + LIFT >= floor)
+        out[at] = _truncated(location[at], value, _uniform(at.astype(np.uint64) + chance))
+    return out
 
 
 def segment(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces: Pieces, samples: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -256,8 +274,10 @@ def segment(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces: Pie
     some = np.diff(offsets) > 0
     shift = np.cumsum(some)
     inner = np.full(len(data) + int(some.sum()), SPACE, np.uint8)
-    inner[np.arange(len(data)) + np.repeat(shift, np.diff(offsets))] = np.where(data == 32, np.uint8(SPACE), data)
     bounds = offsets + np.concatenate([[0], shift])
+    own = np.ones(len(inner), bool)
+    own[bounds[:-1][some]] = False
+    inner[own] = np.where(data == 32, np.uint8(SPACE), data)
     cut = np.zeros(len(inner) + 1, bool)
     cut[bounds] = True
     space, feed = inner == SPACE, inner == 10
@@ -281,14 +301,16 @@ def segment(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces: Pie
     within = np.arange(len(starts)) - np.repeat(first_unit[:-1], counts)
     edges, begins = _walk(lat, at, np.repeat(seeds, counts), 0, within) if lat else (at, np.zeros(1, np.int64))
     unit_of = np.repeat(within, np.diff(begins))
+    chances_of = _folded(seeds, 0, 1 << 40)
     paths: list[list[Path]] = []
     for t in range(n):
         lo, hi = begins[first_unit[t]], begins[first_unit[t + 1]]
         own = edges[lo:hi]
-        regions = _regions(lat, own, 0.0, roots[t], seeds[t], 0) if lat else np.zeros(0)
+        regions = _regions(lat, own, 0.0, float(roots[t]), chances_of[t], samples + 1) if lat else np.zeros(0)
         paths.append([Path(own, unit_of[lo:hi], float(roots[t]), regions, 0, {})])
     for sample in range(1, samples):
         turns, nodes, node_units, node_keys, sizes = [], [], [], [], []
+        chances_of, picks, rests = _folded(seeds, sample, 1 << 40), _uniform(seeds, sample, 1 << 42), _uniform(seeds, sample, 1 << 43)
         for t in range(n):
             best = _best(paths[t]) if len(paths[t]) == sample else None
             if best is None:
@@ -299,15 +321,15 @@ def segment(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces: Pie
             node = int(lat.start[path.edges[step]])
             options = np.arange(lat.heads[node], lat.heads[node + 1])
             chances = np.exp(lat.logs[options])
-            chances[np.isin(options, tried)] = 0.0
-            pick = np.searchsorted(np.cumsum(chances), _uniform(seeds[t], sample, 1 << 42)[0] * chances.sum(), "right")
+            chances[[e - options[0] for e in tried]] = 0.0
+            pick = np.searchsorted(np.cumsum(chances), picks[t] * chances.sum(), "right")
             edge = int(options[min(pick, int(np.flatnonzero(chances)[-1]))])
             tried.append(edge)
             # what the node still leaves aside
             prefix = float(lat.logs[path.edges[:step]].sum())
             left = chances.sum() - chances[edge - options[0]]
             aside = prefix + np.log(left) if left > 0 and len(tried) < len(options) else -np.inf
-            path.regions[step - path.fresh] = _truncated(np.array([aside]), np.array([value]), _uniform(seeds[t], sample, 1 << 43))[0]
+            path.regions[step - path.fresh] = _truncated(np.array([aside]), value, rests[t : t + 1])[0]
             unit = int(path.units[step])
             rest_of = [node + int(lat.length[edge])] if lat.length[edge] < lat.rest[node] else []
             later = at[first_unit[t] + unit + 1 : first_unit[t + 1]]
@@ -325,7 +347,7 @@ def segment(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces: Pie
         begins = begins[np.concatenate([[0], np.cumsum(sizes)])]
         for (t, path, step, edge, value, prefix), lo, hi in zip(turns, begins[:-1], begins[1:]):
             own = edges[lo:hi]
-            regions = _regions(lat, own, prefix + float(lat.logs[edge]), value, seeds[t], sample)
+            regions = _regions(lat, own, prefix + float(lat.logs[edge]), value, chances_of[t], samples + 1)
             all_edges = np.concatenate([path.edges[:step], [edge], own])
             all_units = np.concatenate([path.units[: step + 1], edge_units[lo:hi]])
             paths[t].append(Path(all_edges, all_units, value, regions, step + 1, {}))
@@ -367,7 +389,7 @@ def sampled(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: i
 
     Null counts as empty; an empty text has one segmentation without pieces. Rows that repeat an identifier draw from the same random numbers, so equal
     texts get equal samples. A null identifier draws as -1. An empty table gives no rows; other columns are not read. With ``digest``, ids_sha256 (of the numbers
-    joined by commas) and same (whether decoding gives the text back) take the place of ids.
+    as little-endian integers of 4 bytes) and same (whether decoding gives the text back) take the place of ids.
     """
     path = model or model_path()
 
@@ -390,7 +412,7 @@ def sampled(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: i
                 names = ["doc_id", "rank", "n_pieces", "log_prob", "perturbed", "inclusion"]
                 if digest:
                     lists = [x.tolist() for x in ids]
-                    columns.append(pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in lists]))
+                    columns.append(pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]))
                     columns.append(pa.array([decode(x, pieces) == data[offsets[k] : offsets[k + 1]].tobytes() for k, x in zip(owner, lists)], pa.bool_()))
                     names += ["ids_sha256", "same"]
                 else:
