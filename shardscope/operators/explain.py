@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shardscope.functions.labels import PFCP_CLASSES
 from shardscope.functions.scalars import argmax, code_name, confidence, quoted
 from shardscope.operators.scoring import Scorer, feature_array
 
 
+# Most background rows a plan may carry.
+MAX_BACKGROUND = 1_000
+
+
 def occlusion(
     df: DataFrame, scorer: Scorer, features: Sequence[str], key: Sequence[str], background: DataFrame
 ) -> DataFrame:
@@ -60,9 +67,14 @@ def shapley(
     Each background row is used with ``permutations`` orders, every second one the reverse of the
     one before. A feature's value is the mean gain of the outputs when it turns from background to
     own; for each row and output the values sum to f(row) - mean f(background). ``background`` is a
-    bounded sample (``sampling.background``) and travels with the plan.
+    bounded sample (``sampling.background``) and travels with the plan; more than ``MAX_BACKGROUND``
+    rows are an error. A scorer with a matrix function is evaluated inside the tasks, once per prefix of
+    an order, without unfolding rows; a fitted model scores unfolded rows.
     """
-    base = [[float(v) for v in r] for r in background.select(*[quoted(c).cast("double") for c in features]).collect()]
+    taken = background.select(*[quoted(c).cast("double") for c in features]).limit(MAX_BACKGROUND + 1).collect()
+    if len(taken) > MAX_BACKGROUND:
+        raise ValueError(f"the background has more than {MAX_BACKGROUND} rows")
+    base = [[float(v) for v in r] for r in taken]
     draw = random.Random(seed)
     walks = []
     for row in base:
@@ -74,8 +86,10 @@ def shapley(
                 order = order[::-1]
             place = [order.index(i) for i in range(len(features))]
             walks.append((place, row))
-    listed = F.array(*[_walk(place, row) for place, row in walks])
     rows = df.select(*[quoted(k) for k in key], feature_array(df, features).alias("inputs"))
+    if getattr(scorer, "matrix", None) is not None:
+        return _walked(rows, scorer.matrix, features, key, walks)
+    listed = F.array(*[_walk(place, row) for place, row in walks])
     steps = rows.select("*", F.explode(listed).alias("walk")).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("slot")
     )
@@ -104,6 +118,44 @@ def shapley(
     )
 
 
+def _walked(
+    rows: DataFrame, matrix: Callable[[np.ndarray], np.ndarray], features: Sequence[str], key: Sequence[str], walks: list
+) -> DataFrame:
+    """Mean gains over all walks, batch by batch; every row of the table is read and kept in its task."""
+    width = len(features)
+    orders = [(np.argsort(place), np.array(base)) for place, base in walks]
+    names = list(features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = np.array(batch.column(len(key)).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, width)
+            gains = None
+            for order, base in orders:
+                point = np.repeat(base[None, :], len(x), axis=0)
+                before = matrix(point)
+                gains = np.zeros((len(x), before.shape[1], width)) if gains is None else gains
+                for feature in order:
+                    point[:, feature] = x[:, feature]
+                    after = matrix(point)
+                    gains[:, :, feature] += after - before
+                    before = after
+            gains /= len(orders)
+            n, outputs = len(x), gains.shape[1]
+            owner = pa.array(np.repeat(np.arange(n), outputs * width))
+            columns = [batch.column(i).take(owner) for i in range(len(key))]
+            columns.append(pa.array(np.tile(np.repeat(np.arange(outputs, dtype=np.int32), width), n)))
+            columns.append(pa.array(names * (n * outputs), pa.string()))
+            columns.append(pa.array(gains.reshape(-1)))
+            yield pa.RecordBatch.from_arrays(columns, [*key, "output", "feature", "value"])
+
+    schema = T.StructType(
+        [*[rows.schema[k] for k in key], T.StructField("output", T.IntegerType()), T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType())]
+    )
+    return rows.mapInArrow(run, schema)
+
+
 def _walk(place: Sequence[int], row: Sequence[float]) -> Column:
     return F.struct(
         F.array(*[F.lit(p) for p in place]).alias("place"), F.array(*[F.lit(v) for v in row]).alias("base")
@@ -141,18 +193,18 @@ def outcome(pred: Column, true: Column, names: Sequence[str], family: Sequence[s
     ]
 
 
-# Line formats of a prompt.
 PROMPT_LINES = (
     "Predicted class: %s",
     "True class: %s",
     "",
-    "Evaluation:",
-    "- Prediction correct: %s",
-    "- Attack family: %s",
+    "Outcome:",
+    "- The prediction is right: %s",
+    "- Family: %s",
     "- Confidence: %.1f%%",
     "",
-    "Top contributing features (ranked by SHAP importance):",
+    "Features that moved the prediction most:",
 )
+# Fixed value: the line of a feature.
 FEATURE_LINE = "- %s: importance %.6f"
 PREAMBLE = "Explain the following traffic classification to a security analyst."
 

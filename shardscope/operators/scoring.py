@@ -2,7 +2,8 @@
 
 A scorer adds to a table an ``array<double>`` column of class outputs, computed from an
 ``array<double>`` column of features. The same attribution code so serves JVM expressions, fitted
-ML models and Python functions.
+ML models and Python functions. Scorers that know their function on a (rows x features) matrix carry
+it as ``matrix``, for operators that score many variants of each row inside a task.
 """
 
 from __future__ import annotations
@@ -61,6 +62,16 @@ def linear_scorer(model: Linear, probabilities: bool = True) -> Scorer:
         outputs = model.outputs(F.col(source))
         return with_softmax(df, outputs, target) if probabilities else df.withColumn(target, F.array(*outputs))
 
+    coef, intercept = np.array(model.coef, float).T, np.array(model.intercept, float)
+
+    def matrix(x: np.ndarray) -> np.ndarray:
+        raw = x @ coef + intercept
+        if not probabilities:
+            return raw
+        powers = np.exp(raw - raw.max(axis=1, keepdims=True))
+        return powers / powers.sum(axis=1, keepdims=True)
+
+    run.matrix = matrix
     return run
 
 
@@ -73,7 +84,11 @@ def python_scorer(predict: Callable[[np.ndarray], np.ndarray]) -> Scorer:
             return pd.Series([], dtype=object)
         return pd.Series(list(np.asarray(predict(np.stack(features.to_numpy())), dtype=float)))
 
-    return lambda df, source, target: df.withColumn(target, outputs(F.col(source)))
+    def run(df: DataFrame, source: str, target: str) -> DataFrame:
+        return df.withColumn(target, outputs(F.col(source)))
+
+    run.matrix = lambda x: np.asarray(predict(x), dtype=float)
+    return run
 
 
 def fitted_scorer(model) -> Scorer:

@@ -103,7 +103,7 @@ def parts(spark, folder):
 
 # For a linear output the Shapley value is weight * (value - background mean), whatever the orders.
 PART_VALUES = f"""{PART_SQL},
-  sample AS (SELECT * FROM parts QUALIFY row_number() OVER (ORDER BY md5('0|' || p_partkey)) <= 2),
+  sample AS (SELECT * FROM parts QUALIFY row_number() OVER (ORDER BY md5('0|' || p_partkey)) <= least(100, greatest(1, (SELECT count(*) FROM parts) // 10))),
   middle AS (SELECT {', '.join(f'avg({c}) AS {c}_mean' for c in PART_FEATURES)} FROM sample),
   attributions AS ({' UNION ALL '.join(
       f"SELECT p_partkey, {k} AS output, '{c}' AS feature, {w}e0 * ({c} - {c}_mean) AS value FROM parts CROSS JOIN middle"
@@ -113,8 +113,8 @@ PART_VALUES = f"""{PART_SQL},
 
 def _part_values(spark, folder):
     rows = parts(spark, folder)
-    sample = sampling.plain(rows, ["p_partkey"], 2, seed=0)
-    return explain.shapley(rows, scoring.linear_scorer(PART_MODEL, probabilities=False), PART_FEATURES, ["p_partkey"], sample, 2)
+    sample = sampling.background(rows, ["p_partkey"])
+    return explain.shapley(rows, scoring.linear_scorer(PART_MODEL, probabilities=False), PART_FEATURES, ["p_partkey"], sample)
 
 
 @query("l6_shapley", f"WITH {PART_VALUES} SELECT p_partkey, output, feature, round(value, 7) AS value FROM attributions")
@@ -132,11 +132,11 @@ def attribution_summary(spark, folder):
     f"""WITH {PART_VALUES}, placed AS (
           SELECT p_partkey, feature, round(abs_mean, 7) AS abs_mean,
                  CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY round(abs_mean, 7) DESC, feature) AS INTEGER) AS place FROM summary)
-        SELECT * FROM placed WHERE place <= 2""",
+        SELECT * FROM placed WHERE place <= 10""",
 )
 def top_attributions(spark, folder):
     summary = rounded(explain.summary(_part_values(spark, folder), ["p_partkey"]), 7)
-    return explain.top_features(summary, ["p_partkey"], 2)
+    return explain.top_features(summary, ["p_partkey"], 10)
 
 
 PART_PROBS = ", ".join(f"{p} AS p_{i}" for i, p in enumerate(probability_sql(outputs_sql({c: c for c in PART_FEATURES}, PART_COEF))))
@@ -163,7 +163,17 @@ def attribution_with_prediction(spark, folder):
 
 NAMES = "[" + ", ".join(f"'{c}'" for c in MODEL_CLASSES) + "]"
 FAMILY = ", ".join(f"'{c}'" for c in PFCP_CLASSES)
-HEAD_SQL = (explain.PREAMBLE + "\n\n" + "\n".join(explain.PROMPT_LINES)).replace("'", "''")
+HEAD_SQL = """Explain the following traffic classification to a security analyst.
+
+Predicted class: %s
+True class: %s
+
+Outcome:
+- The prediction is right: %s
+- Family: %s
+- Confidence: %.1f%%
+
+Features that moved the prediction most:"""
 
 
 @query(
@@ -171,8 +181,8 @@ HEAD_SQL = (explain.PREAMBLE + "\n\n" + "\n".join(explain.PROMPT_LINES)).replace
     f"""WITH {PART_VALUES}, {PART_SCORED},
         placed AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY abs_mean DESC, feature) AS place FROM summary),
         lines AS (
-          SELECT p_partkey, string_agg(printf('{explain.FEATURE_LINE}', feature, abs_mean), chr(10) ORDER BY place) AS feature_lines
-          FROM placed WHERE place <= 2 GROUP BY p_partkey),
+          SELECT p_partkey, string_agg(printf('- %s: importance %.6f', feature, abs_mean), chr(10) ORDER BY place) AS feature_lines
+          FROM placed WHERE place <= 10 GROUP BY p_partkey),
         named AS (
           SELECT p_partkey, ({NAMES})[pred + 1] AS pred_name, ({NAMES})[CAST(label AS INTEGER) + 1] AS true_name, sure FROM part_scored)
         SELECT p_partkey, printf('{HEAD_SQL}', pred_name, true_name, CASE WHEN pred_name = true_name THEN 'True' ELSE 'False' END,
@@ -181,7 +191,7 @@ HEAD_SQL = (explain.PREAMBLE + "\n\n" + "\n".join(explain.PROMPT_LINES)).replace
 )
 def prompts(spark, folder):
     summary = explain.summary(_part_values(spark, folder), ["p_partkey"])
-    return explain.prompts(summary, _part_scores(spark, folder), ["p_partkey"], MODEL_CLASSES, 2)
+    return explain.prompts(summary, _part_scores(spark, folder), ["p_partkey"], MODEL_CLASSES)
 
 
 STEP = 0.5

@@ -131,5 +131,5 @@ def test_prompt_text(spark):
     names = ["benign", "bruteForce", "ddos_tcp_ddos", "pfcp_session_deletion"]
     text = explain.prompts(attributions, predictions, ["id"], names, 2, preamble="100% plain").first().prompt
     assert text.startswith("100% plain\n\nPredicted class: pfcp_session_deletion\nTrue class: pfcp_session_deletion\n")
-    assert "- Prediction correct: True\n- Attack family: PFCP\n- Confidence: 70.0%" in text
+    assert "- The prediction is right: True\n- Family: PFCP\n- Confidence: 70.0%" in text
     assert text.endswith("- a: importance 0.500000\n- b: importance 0.500000")
