@@ -18,31 +18,29 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def gamma_tail(a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised upper incomplete gamma Q(a, x): power series for small x, continued fraction else."""
-    a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
-    out = np.ones(a.shape)
-    for i in np.ndindex(a.shape):
-        s, v = a[i], x[i]
-        if not v > 0:
-            out[i] = np.nan if np.isnan(v) else 1.0
-            continue
-        if np.isinf(v):
-            out[i] = 0.0
-            continue
-        front = math.exp(s * math.log(v) - v - math.lgamma(s))
-        if v < s + 1:
-            term = total = 1.0 / s
-            k = s
-            while abs(term) > abs(total) * 1e-17:
-                k += 1
-                term *= v / k
-                total += term
-            out[i] = 1.0 - front * total
-        else:
-            fraction = 0.0
-            for k in range(STEPS, 0, -1):
-                fraction = k * (k - s) / (v - s + 1 + 2 * k - fraction)
-            out[i] = front / (v - s + 1 - fraction)
+    """Regularised upper incomplete gamma Q(a, x): power series for small x, continued fraction else.
+
+    All values go through each step together.
+    """
+    a, x = (v.astype(float).ravel() for v in np.broadcast_arrays(a, x))
+    out = np.where(np.isnan(x) | np.isnan(a), np.nan, np.where(x > 0, 0.0, 1.0))
+    open_ = (x > 0) & (x < np.inf) & ~np.isnan(a)
+    logs = np.array([math.lgamma(s) for s in np.unique(a[open_])])[np.searchsorted(np.unique(a[open_]), a[open_])]
+    front = np.zeros(len(a))
+    front[open_] = np.exp(a[open_] * np.log(x[open_]) - x[open_] - logs)
+    low = np.flatnonzero(open_ & (x < a + 1))
+    term = total = 1.0 / a[low]
+    k = a[low]
+    while len(low) and (term > total * 1e-17).any():
+        k = k + 1
+        term = term * x[low] / k
+        total = total + term
+    out[low] = 1.0 - front[low] * total
+    high = np.flatnonzero(open_ & (x >= a + 1))
+    s, v, fraction = a[high], x[high], np.zeros(len(high))
+    for k in range(STEPS, 0, -1):
+        fraction = k * (k - s) / (v - s + 1 + 2 * k - fraction)
+    out[high] = front[high] / (v - s + 1 - fraction)
     return np.clip(out, 0.0, 1.0)
 
 

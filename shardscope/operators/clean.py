@@ -67,14 +67,15 @@ def most_frequent(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None
     return {c: found.get(c) for c in columns}
 
 
-def impute_most_frequent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    found = most_frequent(df, columns)
+def impute_most_frequent(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame | None = None) -> DataFrame:
+    """Fill missing texts with the most frequent one, by default of ``df`` itself."""
+    found = most_frequent(df if fitted_on is None else fitted_on, columns)
     return replace_columns(df, {c: F.coalesce(quoted(c), F.lit(found[c]).cast(df.schema[c].dataType)) for c in columns})
 
 
-def robust_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(x - median) / IQR over the whole table; a zero IQR divides by 1."""
-    rows = exact_quantiles(df, columns, [0.25, 0.5, 0.75]).select("feature", "prob", "value").collect()
+def robust_scale(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame | None = None) -> DataFrame:
+    """(x - median) / IQR over the whole table or over ``fitted_on``; a zero IQR divides by 1."""
+    rows = exact_quantiles(df if fitted_on is None else fitted_on, columns, [0.25, 0.5, 0.75]).select("feature", "prob", "value").collect()
     at = {(r.feature, r.prob): r.value for r in rows}
 
     def scaled(c: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shardscope.functions.labels import MODEL_CLASSES, PFCP_CLASSES
 from shardscope.operators import clients as client_ops
+from shardscope.operators.clean import impute_median
 from shardscope.operators import explain, forest, sampling, scoring, training
 from shardscope.plans.registry import query
 from shardscope.session import materialise
@@ -332,9 +333,11 @@ def permutation_importance(spark, folder):
 
 @query("l8_forest_attribution")
 def forest_attribution(spark, folder):
-    """Mean absolute attribution of a numeric forest over its stratified sample."""
-    sample = forest.attribution_sample(flow(spark, folder), "label", ["row_key"])
+    """Mean absolute attribution of a numeric forest over all rows; a stratified sample fits it."""
+    rows = flow(spark, folder, gaps=True)
+    sample = forest.attribution_sample(rows, "label", ["row_key"])
     model = forest.fit_numeric_forest(sample, "label", FEATURES, trees=10, depth=5)
-    base = sampling.plain(sample, ["row_key"], 2, seed=0)
-    values = explain.shapley(sample, scoring.fitted_scorer(model), FEATURES, ["row_key"], base, 1)
+    filled = impute_median(rows, FEATURES, fitted_on=sample)
+    base = sampling.plain(filled, ["row_key"], 2, seed=0)
+    values = explain.shapley(filled, scoring.fitted_scorer(model), FEATURES, ["row_key"], base, 1)
     return explain.summary(values)
