@@ -10,7 +10,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import shutil
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -53,6 +55,7 @@ HEADLINE = [
 def main() -> int:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    scratch = tempfile.mkdtemp(prefix="shardscope-bench-")
     spark = get_session(
         "bench",
         master=f"local[{cpus}]",
@@ -61,6 +64,7 @@ def main() -> int:
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "16g",
+            "spark.checkpoint.dir": scratch,
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -72,6 +76,8 @@ def main() -> int:
         began = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - began, 3)
+    spark.stop()
+    shutil.rmtree(scratch, ignore_errors=True)
     scale = re.search(r"sf([0-9.]+)", folder)
     print(
         json.dumps(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardscope.functions.scalars import clip, quoted
-from shardscope.operators.evaluate import central, confusion, macro, rounds
+from shardscope.operators.evaluate import averaged_f1, central, confusion, macro, rounds
 from shardscope.operators.scoring import Linear, linear_scorer, score, with_softmax
 from shardscope.session import local_if_small, settle
 
@@ -89,17 +89,11 @@ def _one_step(df: DataFrame, shape: Shape, state: DataFrame, step: float) -> Dat
     named = joined.withColumns(dict(zip(raw, shape.outputs(F.col("theta")))))
     shares = with_softmax(named, [F.col(r) for r in raw], "shares")
     own = [F.when(F.col("label") == c, 1.0).otherwise(0.0) for c in shape.classes]
-    # The loss comes from the outputs, so that a share of 0 gives a large loss and not a missing one.
-    top = F.greatest(*raw) if len(raw) > 1 else F.col(raw[0])
-    total = top + F.log(sum((F.exp(F.col(r) - top) for r in raw), F.lit(0.0)))
-    chosen = F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(F.col("label").cast("string"), F.lit("NULL")))).cast("double")
-    for r, c in zip(raw, shape.classes):
-        chosen = F.when(F.col("label") == c, F.col(r)).otherwise(chosen)
     errors = shares.select(
         "client",
         *[quoted(c) for c in shape.features],
         *[(F.col("weight") * (F.get("shares", F.lit(k)) - y)).alias(f"error{k}") for k, y in enumerate(own)],
-        (F.col("weight") * (total - chosen)).alias("loss"),
+        (F.col("weight") * _cross_entropy(shape, raw)).alias("loss"),
     )
     sums = [F.sum(F.col(f"error{k}") * quoted(c)) for k in range(len(shape.classes)) for c in shape.features]
     sums += [F.sum(f"error{k}") for k in range(len(shape.classes))]
@@ -112,6 +106,17 @@ def _one_step(df: DataFrame, shape: Shape, state: DataFrame, step: float) -> Dat
     return held.join(gradients, "client").select("client", moved.alias("theta"), "shift", "n", "loss")
 
 
+def _cross_entropy(shape: Shape, raw: Sequence[str]) -> Column:
+    """Loss of a row from its outputs, so that a share of 0 gives a large loss and not a missing one."""
+    top = F.greatest(*raw) if len(raw) > 1 else F.col(raw[0])
+    total = top + F.log(sum((F.exp(F.col(r) - top) for r in raw), F.lit(0.0)))
+    name = F.coalesce(F.col("label").cast("string"), F.lit("NULL"))
+    chosen = F.raise_error(F.concat(F.lit("unknown label: "), name)).cast("double")
+    for r, c in zip(raw, shape.classes):
+        chosen = F.when(F.col("label") == c, F.col(r)).otherwise(chosen)
+    return total - chosen
+
+
 def to_long(state: DataFrame, shape: Shape, value: str = "value") -> DataFrame:
     """Parameters as rows: ``client, layer, idx, <value>`` and, when known, ``n``."""
     extra = [c for c in ("n",) if c in state.columns]
@@ -187,6 +192,14 @@ def evaluate_clients(df: DataFrame, shape: Shape, theta: Sequence[float], by: Se
     return macro(confusion(predict(df, shape, theta, by), shape.classes, by), by)
 
 
+def test_loss(df: DataFrame, shape: Shape, theta: Sequence[float]) -> float | None:
+    """Mean cross-entropy of one model over labelled rows; None without rows."""
+    state = F.array(*[F.lit(float(v)) for v in theta])
+    raw = [f"output{k}" for k in range(len(shape.classes))]
+    rows = df.select("label", *[quoted(c).cast("double").alias(c) for c in shape.features])
+    return rows.withColumns(dict(zip(raw, shape.outputs(state)))).agg(F.avg(_cross_entropy(shape, raw))).first()[0]
+
+
 def predict(df: DataFrame, shape: Shape, theta: Sequence[float], keep: Sequence[str]) -> DataFrame:
     """``keep..., true, pred`` with class names."""
     scored = score(df, linear_scorer(shape.linear(theta), probabilities=False), shape.features, keep, "label")
@@ -217,7 +230,7 @@ def run_rounds(
 
     Every round reads ``train`` and ``test`` again, so pass written or materialised tables.
     ``method`` is ``adaptive`` or ``control``. ``held_out`` is a shared table evaluated every round
-    (``central_*`` columns). With ``sink``, every round is appended there as soon as it is done, so
+    (``central_*`` columns, with weighted F1 and mean loss). With ``sink``, every round is appended there as soon as it is done, so
     a lost driver loses no history.
     """
     spark = train.sparkSession
@@ -246,8 +259,11 @@ def run_rounds(
         theta = _as_list(state, shape)
         row = rounds(evaluate_clients(test, shape, theta).withColumn("round", F.lit(number)))
         if held_out is not None:
-            shared = central(predict(held_out.withColumn("round", F.lit(number)), shape, theta, ["round"]), shape.classes, ["round"])
-            row = row.join(shared, "round")
+            said = predict(held_out.withColumn("round", F.lit(number)), shape, theta, ["round"])
+            weighted = averaged_f1(confusion(said, shape.classes, ["round"]), ["round"])
+            weighted = weighted.select("round", F.col("weighted_f1").alias("central_weighted_f1"))
+            shared = central(said, shape.classes, ["round"]).join(weighted, "round")
+            row = row.join(shared, "round").withColumn("central_loss", F.lit(test_loss(held_out, shape, theta)))
         row = settle(row.withColumn("loss", F.lit(loss)))
         if sink is not None:
             row.write.mode("append").parquet(sink)

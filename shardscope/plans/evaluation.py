@@ -182,18 +182,6 @@ def diagnostics_status(spark, folder):
     return ops.diagnostics_status(received)
 
 
-@query(
-    "l12_central_evaluation",
-    f"""WITH {ROUND_PREDICTIONS}, {matrix_sql('client, round')}, {class_sql('client, round')},
-        macros AS (SELECT client, round, {MACRO_SQL} FROM classes GROUP BY client, round)
-        SELECT client, round, round(macro_f1, 9) AS central_macro_f1, round(macro_precision, 9) AS central_macro_precision,
-               round(macro_recall, 9) AS central_macro_recall, round(accuracy, 9) AS central_accuracy,
-               n_test AS central_n_test, n_classes_test AS central_n_classes_test FROM macros""",
-)
-def central_evaluation(spark, folder):
-    return rounded(ops.central(predictions(spark, folder), LISTED, ["client", "round"]), 9)
-
-
 PROBS = "[quantity / 50e0, price / 105e0, discount * 10e0, 0.5e0]"
 
 

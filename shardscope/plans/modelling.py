@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from shardscope.functions.labels import MODEL_CLASSES, PFCP_CLASSES
 from shardscope.operators import clients as client_ops
 from shardscope.operators.clean import impute_median
-from shardscope.operators import explain, forest, sampling, scoring, training
+from shardscope.operators import evaluate, explain, forest, sampling, scoring, training
+from shardscope.plans.evaluation import LISTED, MACRO_SQL, class_sql, matrix_sql
 from shardscope.plans.registry import query
 from shardscope.session import materialise
 from shardscope.plans.tables import CLIENTS, FEATURES, FLOW, LABELS, clients, flow, rounded, table
@@ -234,12 +235,34 @@ def local_training(spark, folder):
     return rounded(after.select("client", "n", "loss", *[F.get("theta", F.lit(i)).alias(f"t{i}") for i in range(SHAPE.size)]), 8)
 
 
+@query(
+    "l12_central_evaluation",
+    f"""WITH {CLIENTS}, {UNIT_SQL.format(extra='client,', source='clients')},
+        shares AS (SELECT client, label, {PROBS} FROM unit),
+        predictions AS (
+          SELECT client, label AS truth, (['A', 'N', 'R'])[list_position([p_0, p_1, p_2], greatest(p_0, p_1, p_2))] AS pred FROM shares),
+        {matrix_sql('client')}, {class_sql('client')}, macros AS (SELECT client, {MACRO_SQL} FROM classes GROUP BY client)
+        SELECT client, {', '.join(f'round({m}, 9) AS central_{m}' for m in evaluate.MACRO)}, round(accuracy, 9) AS central_accuracy,
+               n_test AS central_n_test, n_classes_test AS central_n_classes_test FROM macros""",
+)
+def central_evaluation(spark, folder):
+    """The linear model scores every row of every client."""
+    theta = [w for row in COEF for w in row] + INTERCEPT
+    scored = training.predict(unit(clients(spark, folder), "client"), SHAPE, theta, ["client"])
+    return rounded(evaluate.central(scored, LISTED, ["client"]), 9)
+
+
 @query("l9_adaptive_rounds")
 def adaptive_rounds(spark, folder):
-    """Three rounds with the adaptive server update; the history, one row per round."""
+    """Three rounds with the adaptive server update; the history, one row per round.
+
+    A tenth of the rows tests the clients, another tenth is held out for the shared evaluation.
+    """
     parted = materialise(sampling.split(_weighted_clients(spark, folder), "label", ["row_key"]))
-    train, test = parted.filter(~F.col("is_test")), parted.filter("is_test")
-    return training.run_rounds(train, test, SHAPE, 3, "adaptive", STEP, held_out=test)
+    train, rest = parted.filter(~F.col("is_test")), parted.filter("is_test").drop("is_test")
+    halves = materialise(sampling.split(rest, "label", ["row_key"], 0.5, seed=7))
+    test, held_out = halves.filter(~F.col("is_test")), halves.filter("is_test")
+    return training.run_rounds(train, test, SHAPE, 3, "adaptive", STEP, held_out=held_out)
 
 
 @query("l11_control_rounds")
