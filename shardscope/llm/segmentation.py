@@ -28,7 +28,7 @@ from shardscope.llm.common import mix64, slices, table, word_hashes
 
 MODEL = "piece_bpe_32k.model"
 SAMPLES, SEED = 2, 20240601
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Zipf offset: a piece of rank r weighs 1 / (r + ZIPF).
 ZIPF = 10.0
 #: Stands for the space inside the lattice; it occurs in no UTF-8 text.
@@ -46,11 +46,12 @@ def model_path(name: str = MODEL) -> str:
 
 @dataclass(frozen=True)
 class Pieces:
-    """Pieces as byte strings, and the hashes of all their prefixes with the piece (or -1) and weight of each, in a table of slots."""
+    """Pieces as byte strings, and the hashes of all their prefixes in a table of slots.
+
+    ``ids`` and ``weights`` have an entry per prefix (-1 where it is no piece) and then one per byte.
+    """
 
     texts: list[bytes]
-    byte_ids: np.ndarray
-    byte_weight: float
     prefixes: np.ndarray
     ids: np.ndarray
     weights: np.ndarray
@@ -107,7 +108,8 @@ def load(path: str) -> Pieces:
             slot = (slot + 1) % len(slots)
         slots[slot] = place
     lowest = -float(np.log((len(normal) + ZIPF) * mass))
-    return Pieces(texts, byte_ids, lowest, prefixes, ids.astype(np.int64), weights, max(len(x[1]) for x in normal), slots)
+    ids, weights = np.concatenate([ids, byte_ids]).astype(np.int32), np.concatenate([weights, np.full(256, lowest)])
+    return Pieces(texts, prefixes, ids, weights, max(len(x[1]) for x in normal), slots)
 
 
 @dataclass
@@ -132,9 +134,9 @@ def lattice(data: np.ndarray, rest: np.ndarray, pieces: Pieces) -> Lattice:
     """``data``: the bytes of the units one after another."""
     n = len(data)
     lead = (data < 128) | (data >= 192)
-    at, h = np.flatnonzero(lead), np.zeros(int(lead.sum()), np.uint64)
+    at, h = np.flatnonzero(lead).astype(np.int32), np.zeros(int(lead.sum()), np.uint64)
     found: list[tuple[np.ndarray, ...]] = []
-    width = np.ones(n, np.int64)
+    width = np.ones(n, np.int8)
     for low, size in ((192, 2), (224, 3), (240, 4)):
         width[(data >= low) & (data < 248)] = size
     whole = np.zeros(n, bool)
@@ -150,19 +152,22 @@ def lattice(data: np.ndarray, rest: np.ndarray, pieces: Pieces) -> Lattice:
             at, h, place = at[known], h[known], place[known]
             is_piece = pieces.ids[place] >= 0
             ends = at[is_piece]
-            found.append((ends, np.full(len(ends), length), pieces.ids[place[is_piece]], pieces.weights[place[is_piece]]))
+            found.append((ends, np.full(len(ends), length, np.int16), place[is_piece]))
             whole[ends[width[ends] == length]] = True
-    bare = np.flatnonzero(lead & ~whole)
+    bare = np.flatnonzero(lead & ~whole).astype(np.int32)
     bare = np.concatenate([bare[width[bare] > k] + k for k in range(4)]) if len(bare) else bare
-    found.append((bare, np.ones(len(bare), np.int64), pieces.byte_ids[data[bare]], np.full(len(bare), pieces.byte_weight)))
-    start, length, piece, weight = (np.concatenate(x) for x in zip(*found))
+    found.append((bare, np.ones(len(bare), np.int16), len(pieces.prefixes) + data[bare].astype(np.int32)))
+    start, length, place = (np.concatenate(x) for x in zip(*found))
+    found.clear()
     order = np.argsort(start, kind="stable")
-    start, length, piece, weight = start[order], length[order], piece[order], weight[order]
+    start, length, place = start[order], length[order], place[order]
+    piece, weight = pieces.ids[place], pieces.weights[place]
+    del order, place
     heads = np.searchsorted(start, np.arange(n + 1))
     # backward sums, all nodes with the same number of bytes left at once
     beta = np.zeros(n + 1)
-    by_rest = np.argsort(rest[start], kind="stable")
-    left = rest[start][by_rest]
+    by_rest = np.argsort(rest[start], kind="stable").astype(np.int32)
+    left = rest[start[by_rest]]
     cuts = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1], [True]]))
     for lo, hi in zip(cuts[:-1], cuts[1:]):
         e = by_rest[lo:hi]
@@ -293,7 +298,7 @@ def segment(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces: Pie
         sizes = ends[example] - starts[example]
         begins = np.concatenate([[0], np.cumsum(sizes)])
         take = np.repeat(starts[example] - begins[:-1], sizes) + np.arange(begins[-1])
-        rest = np.repeat(begins[1:], sizes) - np.arange(begins[-1])
+        rest = (np.repeat(begins[1:], sizes) - np.arange(begins[-1])).astype(np.int32)
         lat, at = lattice(inner[take], rest, pieces), begins[kind]
     seeds = mix64(keys.astype(np.int64).view(np.uint64) + np.uint64(SEED))
     roots = -np.log(-np.log(_uniform(seeds, 0, 1 << 41)))

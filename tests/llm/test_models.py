@@ -118,7 +118,7 @@ def ways(text, pieces):
     known = {}
     for i, raw in enumerate(pieces.texts):
         key = raw.replace(b" ", bytes([segmentation.SPACE]))
-        if raw and i not in set(pieces.byte_ids.tolist()):
+        if raw and i not in set(pieces.ids[len(pieces.prefixes) :].tolist()):
             h = np.zeros(1, np.uint64)
             with np.errstate(over="ignore"):
                 for b in key:
