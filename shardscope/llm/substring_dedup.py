@@ -221,6 +221,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """d, mark, lo, hi: spans of words covered by windows that start earlier too. ``docs`` has d, mark and text."""
     rows = _anchor_rows(docs, window)
     firsts = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("d", "place")).alias("first")).where("n > 1").drop("n")
+    # written first: the join then has both its shuffles to itself, and a hot anchor's side of it can be split
+    firsts = written(firsts, "firsts")
     hits = written(rows.join(firsts, "h").select("d", "place", F.col("first.d").alias("fd"), F.col("first.place").alias("fp")), "hits")
     own = (F.col("d") == F.col("fd")) & (F.col("place") == F.col("fp"))
     mask = (1 << PLACE_BITS) - 1
