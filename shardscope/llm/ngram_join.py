@@ -90,7 +90,9 @@ def _prefix_tokens(docs: DataFrame, percent: int) -> DataFrame:
 def _hubs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """hub, node, n: every two similar sets meet under at least one hub."""
     tokens = _prefix_tokens(docs, percent)
-    shared = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token")
+    # counts and hubs are written before their joins: these then have both shuffles to themselves, and hot keys can be split
+    counts = written(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "counts")
+    shared = tokens.join(counts, "token")
     below = (F.col("token") >= 0) & (F.col("token") < int(LEVEL * 2**64))
     nodes = sets.where("doc_id = node").select("doc_id", "n_shingles", "low", "texts")
     mine = shared.join(nodes, "doc_id")
@@ -103,6 +105,7 @@ def _hubs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     kept = mine.where((F.col("texts") > 1) | ~below | (F.col("place") <= length - (F.col("low") - F.col("n_low"))))
     kept = written(kept.select(F.col("doc_id").alias("node"), "token", F.col("n_shingles").alias("n")), "prefixes")
     met = kept.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub < _last").drop("_last")
+    met = written(met, "met")
     return written(kept.join(met, "token").select("hub", "node", "n").distinct(), "hubs")
 
 
@@ -194,6 +197,7 @@ def near_links(docs: DataFrame, sets: DataFrame, percent: int, block: int = BLOC
     """a, b: links between sets whose components are those of all similar pairs."""
     hubs = _hubs(docs, sets, percent)
     weights = hubs.groupBy("hub").agg(F.sum("n").alias("w")).withColumn("blocks", F.ceil(F.col("w") / block)).drop("w")
+    weights = written(weights, "weights")
     placed = hubs.join(weights, "hub").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")))
     # every block of a hub holds the hub itself
     copies = placed.where("node = hub AND blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
