@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from shardscope.llm.common import LOWER, key_filter, maybe_in, mix64, signed, slices, table, window_hashes, word_bounds, word_hashes, written
+from shardscope.llm.common import LOWER, key_filter, maybe_in, mix64, reach_workers, signed, slices, table, window_hashes, word_bounds, word_hashes, written
 from shardscope.llm.graph import components
 
 WIDTH, PERCENT = 5, 75
@@ -232,6 +232,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     null component. Rows that repeat an identifier are compared by their own texts and share a component. An empty table gives
     no rows; other columns are not read.
     """
+    reach_workers(docs.sparkSession)
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = written(_summaries(plain), "sets")
     by_set = ["s1", "s2", "n_shingles"]

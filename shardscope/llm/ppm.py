@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardscope.llm.common import LOWER, crc_part, mix64, slices, table, written
+from shardscope.llm.common import LOWER, crc_part, reach_workers, slices, table, written
 
 ORDER, NODES = 5, 1 << 20
 FREQUENT, FREQUENT_BYTES = 1 << 16, 64
@@ -191,6 +191,7 @@ def train(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> Trie:
         if parts:
             yield _gram_rows(_merged(parts))
 
+    reach_workers(texts.sparkSession)
     counted = texts.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     counted = written(counted, "grams")
     symbols = counted.agg(F.sum("n")).first()[0] or 0

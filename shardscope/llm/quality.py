@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardscope.llm.common import LOWER, crc_part, mix64, slices, table, window_hashes, word_bounds, word_hashes, written
+from shardscope.llm.common import LOWER, crc_part, mix64, reach_workers, slices, table, window_hashes, word_bounds, word_hashes, written
 
 STATISTICS = (
     "upper", "bang", "pipe", "symbol", "accent", "newline", "same_next", "repeated_words", "repeated_pairs",
@@ -92,6 +92,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 rows = batch.column(0).slice(first, len(found))
                 yield pa.RecordBatch.from_arrays([rows, *(pa.array(x) for x in found.T)], ["doc_id", *STATISTICS])
 
+    reach_workers(docs.sparkSession)
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(s, T.DoubleType()) for s in STATISTICS)])
     return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardscope.llm.common import mix64, slices, table, word_hashes
+from shardscope.llm.common import mix64, reach_workers, slices, table, word_hashes
 
 MODEL = "piece_bpe_32k.model"
 SAMPLES, SEED = 2, 20240601
@@ -396,6 +396,7 @@ def sampled(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: i
     texts get equal samples. A null identifier draws as -1. An empty table gives no rows; other columns are not read. With ``digest``, ids_sha256 (of the numbers
     as little-endian integers of 4 bytes) and same (whether decoding gives the text back) take the place of ids.
     """
+    reach_workers(docs.sparkSession)
     path = model or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

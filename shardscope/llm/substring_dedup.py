@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardscope.llm.common import key_filter, maybe_in, signed, slices, table, window_hashes, word_bounds, word_hashes, written
+from shardscope.llm.common import key_filter, maybe_in, reach_workers, signed, slices, table, window_hashes, word_bounds, word_hashes, written
 
 WINDOW, ANCHOR = 20, 10
 #: Words of a shard's references and of a block of streamed pieces (aims, not limits), and of the range whose owners share a shard.
@@ -249,6 +249,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     words; a null identifier is smaller than any other. Rows that repeat an identifier follow each other by a hash of their texts, and those that
     repeat the text too count as one document. An empty table gives no rows; other columns are not read. With ``digest``, kept is its SHA-256.
     """
+    reach_workers(docs.sparkSession)
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     mark = F.xxhash64(whole).bitwiseAND(F.lit(0xFFFF)).cast("int")
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("d"), mark.alias("mark"), whole.alias("text"))

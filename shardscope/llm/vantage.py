@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shardscope.llm.common import table, written
+from shardscope.llm.common import reach_workers, table, written
 
 SHARD_ROWS = 4096
 LEAF_ROWS = 32
@@ -133,6 +133,7 @@ def nearest(
     Vectors of another length than the query are no candidates. Equal distances go to the smaller identifier; rows that repeat an
     identifier are candidates each. Empty tables give no rows.
     """
+    reach_workers(vectors.sparkSession)
     base = usable(vectors, key, vector)
     shards = max(1, math.ceil(base.count() / shard_rows))
     dealt = base.select("vec_id", "v", F.size("v").alias("width"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("_shard"))
