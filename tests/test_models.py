@@ -133,3 +133,26 @@ def test_prompt_text(spark):
     assert text.startswith("100% plain\n\nPredicted class: pfcp_session_deletion\nTrue class: pfcp_session_deletion\n")
     assert "- The prediction is right: True\n- Family: PFCP\n- Confidence: 70.0%" in text
     assert text.endswith("- a: importance 0.500000\n- b: importance 0.500000")
+
+
+def test_loss_of_a_hopeless_row_is_large(spark):
+    """A share that rounds to 0 costs much; it is not left out of the mean."""
+    shape = training.Shape(["x"], ["a", "b"])
+    rows = spark.createDataFrame([("c", "a", 1.0, 1.0), ("c", "b", 1.0, 1.0)], "client string, label string, weight double, x double")
+    state = spark.createDataFrame([("c", [2000.0, 0.0, 0.0, 0.0], [0.0] * 4)], "client string, theta array<double>, shift array<double>")
+    assert training.local_steps(rows, shape, state, 0.1).first().loss == pytest.approx(1000.0)
+    assert training.test_loss(rows, shape, [2000.0, 0.0, 0.0, 0.0]) == pytest.approx(1000.0)
+    with pytest.raises(Exception, match="unknown label"):
+        training.local_steps(rows.replace("b", "zz"), shape, state, 0.1)
+
+
+def test_walks_inside_tasks_equal_unfolded_ones(rows):
+    base = sampling.plain(rows, ["id"], 3)
+    scorer = scoring.linear_scorer(scoring.Linear([[1.0, -2.0], [0.5, 0.25]], [0.1, 0.0]))
+    unfolded = lambda df, source, target: scorer(df, source, target)
+    found, want = (
+        {(r.id, r.output, r.feature): r.value for r in explain.shapley(rows, s, FEATURES[:2], ["id"], base).collect()} for s in (scorer, unfolded)
+    )
+    assert found == pytest.approx(want)
+    with pytest.raises(ValueError):
+        explain.shapley(rows, scorer, FEATURES[:2], ["id"], rows.crossJoin(rows.select("id").withColumnRenamed("id", "other")).limit(2000))

@@ -44,5 +44,5 @@ SURVEYED = (
 
 
 def test_every_surveyed_operator_has_a_query():
-    found = {re.match(r"[a-z]\d+", name).group().upper() for name in entry.queries()}
+    found = {m.group().upper() for m in (re.match(r"[a-z]\d+", name) for name in entry.queries()) if m}
     assert len(SURVEYED) == 97 and set(SURVEYED) <= found
