@@ -31,21 +31,33 @@ RATIOS = {
     ),
 }
 
-# Feature names of the model table whose formulas are our own definitions.
-DIRECTION_RATES = {
-    "src2dst": ("fin", "psh", "rst"),
-    "dst2src": ("syn", "ack", "fin", "psh"),
+# The further feature names of the model table -> (formula, inputs). The formulas are our own
+# definitions: ``share`` n / (d + 1), ``part`` n / d, ``burstiness`` and ``imbalance`` as below, ``rate_gap`` the
+# imbalance of two shares.
+MODEL_RATIOS = {
+    "fe_bidirectional_piat_burstiness": ("burstiness", ["bidirectional_stddev_piat_ms", "bidirectional_mean_piat_ms"]),
+    "fe_dst2src_piat_burstiness": ("burstiness", ["dst2src_stddev_piat_ms", "dst2src_mean_piat_ms"]),
+    "fe_src2dst_piat_burstiness": ("burstiness", ["src2dst_stddev_piat_ms", "src2dst_mean_piat_ms"]),
+    "fe_src2dst_fin_rate": ("share", ["src2dst_fin_packets", "src2dst_packets"]),
+    "fe_src2dst_psh_rate": ("share", ["src2dst_psh_packets", "src2dst_packets"]),
+    "fe_src2dst_rst_rate": ("share", ["src2dst_rst_packets", "src2dst_packets"]),
+    "fe_dst2src_syn_rate": ("share", ["dst2src_syn_packets", "dst2src_packets"]),
+    "fe_dst2src_ack_rate": ("share", ["dst2src_ack_packets", "dst2src_packets"]),
+    "fe_dst2src_fin_rate": ("share", ["dst2src_fin_packets", "dst2src_packets"]),
+    "fe_dst2src_psh_rate": ("share", ["dst2src_psh_packets", "dst2src_packets"]),
+    "fe_ack_rate_imbalance": ("rate_gap", ["src2dst_ack_packets", "src2dst_packets", "dst2src_ack_packets", "dst2src_packets"]),
+    "fe_src2dst_min_over_mean_ps": ("part", ["src2dst_min_ps", "src2dst_mean_ps"]),
+    "fe_session_del_req_per_packet": ("share", ["udps.session_deletion_request_counter", "bidirectional_packets"]),
+    "fe_session_del_resp_per_packet": ("share", ["udps.session_deletion_response_counter", "bidirectional_packets"]),
+    "fe_session_est_req_per_packet": ("share", ["udps.session_establishment_request_counter", "bidirectional_packets"]),
+    "fe_session_mod_req_per_packet": ("share", ["udps.session_modification_request_counter", "bidirectional_packets"]),
+    "fe_session_mod_resp_per_packet": ("share", ["udps.session_modification_response_counter", "bidirectional_packets"]),
+    "fe_session_rep_req_per_packet": ("share", ["udps.session_report_request_counter", "bidirectional_packets"]),
+    "fe_session_rep_resp_per_packet": ("share", ["udps.session_report_response_counter", "bidirectional_packets"]),
+    "fe_session_del_req_resp_imbalance": ("imbalance", ["udps.session_deletion_request_counter", "udps.session_deletion_response_counter"]),
+    "fe_session_mod_req_resp_imbalance": ("imbalance", ["udps.session_modification_request_counter", "udps.session_modification_response_counter"]),
+    "fe_session_rep_req_resp_imbalance": ("imbalance", ["udps.session_report_request_counter", "udps.session_report_response_counter"]),
 }
-SESSION_COUNTERS = {
-    "est": "session_establishment",
-    "mod": "session_modification",
-    "del": "session_deletion",
-    "rep": "session_report",
-}
-PER_PACKET = (("del", "req"), ("del", "resp"), ("est", "req"), ("mod", "req"), ("mod", "resp"), ("rep", "req"), ("rep", "resp"))
-IMBALANCES = ("del", "mod", "rep")
-BURSTY = ("bidirectional", "dst2src", "src2dst")
-COUNTER_SIDES = {"req": "request", "resp": "response"}
 
 
 def add_ratios(df: DataFrame, ratios: Mapping[str, tuple[str, str, int]] = RATIOS) -> DataFrame:
@@ -71,29 +83,18 @@ def imbalance(a: Column, b: Column) -> Column:
 def add_model_ratios(df: DataFrame) -> DataFrame:
     """Add the further ratio features of the model table, where their inputs exist."""
     have = set(df.columns)
-    new: dict[str, Column] = {}
-
-    def add(name: str, inputs: Sequence[str], build) -> None:
-        if have.issuperset(inputs):
-            new[name] = build(*[quoted(c) for c in inputs])
-
-    for side in BURSTY:
-        add(f"fe_{side}_piat_burstiness", [f"{side}_stddev_piat_ms", f"{side}_mean_piat_ms"], burstiness)
-    for side, flags in DIRECTION_RATES.items():
-        for flag in flags:
-            add(f"fe_{side}_{flag}_rate", [f"{side}_{flag}_packets", f"{side}_packets"], lambda n, d: safe_div(n, d + 1))
-    add(
-        "fe_ack_rate_imbalance",
-        ["src2dst_ack_packets", "src2dst_packets", "dst2src_ack_packets", "dst2src_packets"],
-        lambda a, n, b, m: imbalance(safe_div(a, n + 1), safe_div(b, m + 1)),
-    )
-    add("fe_src2dst_min_over_mean_ps", ["src2dst_min_ps", "src2dst_mean_ps"], safe_div)
-    for short, side in PER_PACKET:
-        counter = f"udps.{SESSION_COUNTERS[short]}_{COUNTER_SIDES[side]}_counter"
-        add(f"fe_session_{short}_{side}_per_packet", [counter, "bidirectional_packets"], lambda n, d: safe_div(n, d + 1))
-    for short in IMBALANCES:
-        sides = [f"udps.{SESSION_COUNTERS[short]}_{s}_counter" for s in COUNTER_SIDES.values()]
-        add(f"fe_session_{short}_req_resp_imbalance", sides, imbalance)
+    formulas = {
+        "burstiness": burstiness,
+        "imbalance": imbalance,
+        "share": lambda n, d: safe_div(n, d + 1),
+        "part": safe_div,
+        "rate_gap": lambda a, n, b, m: imbalance(safe_div(a, n + 1), safe_div(b, m + 1)),
+    }
+    new = {
+        name: formulas[formula](*[quoted(c) for c in inputs])
+        for name, (formula, inputs) in MODEL_RATIOS.items()
+        if have.issuperset(inputs)
+    }
     return replace_columns(df, new)
 
 

@@ -155,23 +155,38 @@ def traffic(spark, folder, names=None):
     return rows.select(F.col("l_returnflag").alias("label"), *[F.expr(e).alias(n) for n, e in columns.items()])
 
 
-def _ratio_sql(name: str) -> str:
-    top, bottom, shift = features.RATIOS[name]
-    return f"COALESCE(CAST({TRAFFIC[top]} AS DOUBLE) / nullif({TRAFFIC[bottom]} + {shift}, 0), 0) AS {name}"
-
-
-RATIO_ROWS = "ratios AS (SELECT l_returnflag AS label, " + ", ".join(_ratio_sql(n) for n in features.RATIOS) + " FROM lineitem)"
+# Every ratio as it is meant, over the columns named above.
+RATIO_SQL = {
+    "fe_bytes_per_packet_bi": "bidirectional_bytes / nullif(bidirectional_packets, 0)",
+    "fe_bytes_per_packet_s2d": "src2dst_bytes / nullif(src2dst_packets, 0)",
+    "fe_bytes_per_packet_d2s": "dst2src_bytes / nullif(dst2src_packets, 0)",
+    "fe_byte_ratio_s2d_over_d2s": "src2dst_bytes / nullif(dst2src_bytes + 1, 0)",
+    "fe_packet_ratio_s2d_over_d2s": "src2dst_packets / nullif(dst2src_packets + 1, 0)",
+    "fe_packets_per_ms_bi": "bidirectional_packets / nullif(bidirectional_duration_ms + 1, 0)",
+    "fe_bytes_per_ms_bi": "bidirectional_bytes / nullif(bidirectional_duration_ms + 1, 0)",
+    "fe_syn_rate_bi": "bidirectional_syn_packets / nullif(bidirectional_packets + 1, 0)",
+    "fe_rst_rate_bi": "bidirectional_rst_packets / nullif(bidirectional_packets + 1, 0)",
+    "fe_fin_rate_bi": "bidirectional_fin_packets / nullif(bidirectional_packets + 1, 0)",
+    "fe_ack_rate_bi": "bidirectional_ack_packets / nullif(bidirectional_packets + 1, 0)",
+    "fe_psh_rate_bi": "bidirectional_psh_packets / nullif(bidirectional_packets + 1, 0)",
+    "fe_udps_session_report_req_per_packet": '"udps.session_report_request_counter" / nullif(bidirectional_packets + 1, 0)',
+}
+TRAFFIC_COLUMNS = ", ".join(f'CAST({e} AS DOUBLE) AS "{n}"' for n, e in TRAFFIC.items())
+RATIO_ROWS = f"""traffic AS (SELECT l_returnflag AS label, {TRAFFIC_COLUMNS} FROM lineitem),
+  ratios AS (SELECT label, {', '.join(f'COALESCE({e}, 0) AS {n}' for n, e in RATIO_SQL.items())} FROM traffic)"""
 
 
-@query("p12_engineered_ratios", f"WITH {RATIO_ROWS} {digest_sql('ratios', 'label', list(features.RATIOS), 4)}")
+@query("p12_engineered_ratios", f"WITH {RATIO_ROWS} {digest_sql('ratios', 'label', list(RATIO_SQL), 4)}")
 def engineered_ratios(spark, folder):
-    return digest(features.add_ratios(traffic(spark, folder)), "label", list(features.RATIOS), 4)
+    return digest(features.add_ratios(traffic(spark, folder)), "label", list(RATIO_SQL), 4)
 
 
+SIDES = ("bidirectional", "dst2src", "src2dst")
+SESSIONS = ("session_establishment", "session_modification", "session_deletion", "session_report")
 # Inputs of the further model ratios, again with zeros.
 MODEL_TRAFFIC = {
-    **{f"{s}_stddev_piat_ms": f"l_quantity * {i}" for i, s in enumerate(features.BURSTY, 1)},
-    **{f"{s}_mean_piat_ms": f"l_tax * {100 * i}" for i, s in enumerate(features.BURSTY, 1)},
+    **{f"{s}_stddev_piat_ms": f"l_quantity * {i}" for i, s in enumerate(SIDES, 1)},
+    **{f"{s}_mean_piat_ms": f"l_tax * {100 * i}" for i, s in enumerate(SIDES, 1)},
     "bidirectional_packets": "l_linenumber",
     "src2dst_packets": "l_linenumber - 1",
     "dst2src_packets": "l_linenumber - 2",
@@ -179,8 +194,8 @@ MODEL_TRAFFIC = {
     **{f"dst2src_{f}_packets": f"l_suppkey % {i}" for i, f in enumerate(("syn", "ack", "fin", "psh"), 2)},
     "src2dst_min_ps": "l_quantity",
     "src2dst_mean_ps": "l_discount * 1000",
-    **{f"udps.{s}_request_counter": f"l_partkey % {i}" for i, s in enumerate(features.SESSION_COUNTERS.values(), 3)},
-    **{f"udps.{s}_response_counter": f"l_suppkey % {i}" for i, s in enumerate(features.SESSION_COUNTERS.values(), 3)},
+    **{f"udps.{s}_request_counter": f"l_partkey % {i}" for i, s in enumerate(SESSIONS, 3)},
+    **{f"udps.{s}_response_counter": f"l_suppkey % {i}" for i, s in enumerate(SESSIONS, 3)},
 }
 
 

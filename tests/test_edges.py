@@ -258,14 +258,11 @@ def test_ratios_need_their_inputs(spark):
 
 
 def test_model_ratio_names(spark):
-    names = (
-        [f"{s}_{m}" for s in features.BURSTY for m in ("stddev_piat_ms", "mean_piat_ms", "packets")]
-        + [f"{s}_{f}_packets" for s in ("src2dst", "dst2src") for f in ("syn", "ack", "fin", "psh", "rst")]
-        + ["src2dst_min_ps", "src2dst_mean_ps"]
-        + [f"udps.{s}_{m}_counter" for s in features.SESSION_COUNTERS.values() for m in ("request", "response")]
-    )
+    names = sorted({c for _, inputs in features.MODEL_RATIOS.values() for c in inputs})
     table = spark.range(1).select(*[F.lit(1.0).alias(n) for n in names])
-    assert len([c for c in features.add_model_ratios(table).columns if c.startswith("fe_")]) == 22
+    made = [c for c in features.add_model_ratios(table).columns if c.startswith("fe_")]
+    assert made == list(features.MODEL_RATIOS) and len(made) == 22
+    assert features.add_model_ratios(table.drop("src2dst_min_ps")).columns.count("fe_src2dst_min_over_mean_ps") == 0
 
 
 def test_one_hot_of_unknown_values_is_all_zeros(spark):
