@@ -87,10 +87,17 @@ def label_of_path(spark, folder):
     )
 
 
-@query("s3_file_index")
+@query(
+    "s3_file_index",
+    "SELECT 'folder=' || lower(event_type) AS label, 1::BIGINT AS files, true AS filled FROM events GROUP BY event_type",
+)
 def file_index(spark, folder):
-    """Index of the driver's own files."""
-    return readers.file_index(spark, folder, "*.parquet").drop("path")
+    """Write the events as a tree with one file per folder, and index it."""
+    root = scratch(spark)
+    events = table(spark, folder, "events").select(F.col("event_type").alias("folder"), "event_id", "value")
+    events.repartition("folder").write.partitionBy("folder").option("header", "true").csv(root)
+    found = readers.file_index(spark, root)
+    return found.groupBy("label").agg(F.count("*").alias("files"), F.bool_and(F.col("rel").endswith(".csv")).alias("filled"))
 
 
 @query(

@@ -55,15 +55,15 @@ def read_tree(
     root: str,
     pattern: str = "*.csv",
     types: Mapping[str, str] | None = None,
-    same_header_per_folder: bool = False,
+    same_header_per_folder: bool = True,
 ) -> DataFrame:
     """All CSV files below ``root``, joined by column name, with ``__label`` and ``__source_file``.
 
     A single read over files with different headers would assign columns by position, so the files
     are read once per distinct header; columns a file lacks are NULL. ``types`` names column types;
-    without it they are inferred, which reads the files once more. Where files of one folder share
-    their header, ``same_header_per_folder`` looks at one file per folder instead of every file;
-    Spark then checks the others while reading and fails on a different header.
+    without it they are inferred, which reads the files once more. One file per folder is looked at and
+    folders are listed, not files; Spark checks the other files while reading and fails on a different
+    header. Only where files of one folder differ, pass ``same_header_per_folder=False``.
     """
     rel = relative_path(F.col("_metadata.file_path"), root)
     extra = [label_from_path(rel).alias(LABEL), rel.alias(SOURCE)]
@@ -152,13 +152,14 @@ def read_clients(
     pattern: str = "client_*.csv",
     label: str = LABEL,
     types: Mapping[str, str] | None = None,
+    same_header_per_folder: bool = True,
 ) -> DataFrame:
     """All client files of a folder with ``client`` = file name without its ending.
 
     No file, or a table without the label column, is an error.
     """
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1)
-    return _read_by_header(spark, folder, pattern, types, False, [name.alias("client")], needed=label)
+    return _read_by_header(spark, folder, pattern, types, same_header_per_folder, [name.alias("client")], needed=label)
 
 
 def read_client(spark: SparkSession, folder: str, client: str) -> DataFrame:

@@ -48,12 +48,12 @@ def test_one_header_per_folder(spark, tmp_path):
         (tmp_path / folder).mkdir()
         for name in ("x.csv", "y.csv"):
             (tmp_path / folder / name).write_text(text)
-    table = readers.read_tree(spark, str(tmp_path), same_header_per_folder=True)
+    table = readers.read_tree(spark, str(tmp_path))
     assert sorted((r["__label"], r.a, r.b) for r in table.collect()) == [("benign", 1, 2)] * 2 + [("pfcp", 4, 3)] * 2
     (tmp_path / "pfcp" / "z.csv").write_text("a,b\n5,6\n")
     with pytest.raises(Exception, match="header does not conform"):
-        readers.read_tree(spark, str(tmp_path), types={}, same_header_per_folder=True).collect()
-    assert readers.read_tree(spark, str(tmp_path)).agg(F.sum("a")).first()[0] == 15
+        readers.read_tree(spark, str(tmp_path), types={}).collect()
+    assert readers.read_tree(spark, str(tmp_path), same_header_per_folder=False).agg(F.sum("a")).first()[0] == 15
 
 
 def test_file_index(spark, tree):
@@ -73,7 +73,7 @@ def test_clients_by_file_name(spark, tmp_path):
     (tmp_path / "client_1.csv").write_text("__label,x\na,1\nb,2\n")
     (tmp_path / "client_2.csv").write_text('x,__label,note\n3,a,"two\n"\n')
     (tmp_path / "other.csv").write_text("x\n1\n")
-    table = readers.read_clients(spark, str(tmp_path))
+    table = readers.read_clients(spark, str(tmp_path), same_header_per_folder=False)
     assert {r.client: r["count"] for r in table.groupBy("client").count().collect()}["client_1"] == 2
     assert readers.read_client(spark, str(tmp_path), "client_1").count() == 2
     with pytest.raises(ValueError, match="__label"):
