@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from shardscope.llm.common import reach_workers, table, written
 
 SHARD_ROWS = 4096
-LEAF_ROWS = 32
+LEAF_ROWS = 256
 BLOCK_QUERIES = 128
 FACTOR = 1.0
 K = 10

@@ -225,3 +225,13 @@ def test_relaxed_pruning_keeps_recall(spark):
     exact, relaxed = ({(r.query_id, r.vec_id) for r in vantage.nearest(df, queries, factor=f).collect()} for f in (1.0, 1.2))
     assert len(exact & relaxed) / len(exact) > 0.9
     assert vantage.nearest(df.limit(0), queries.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("leaf", [1, 4, 64])
+def test_tree_of_any_leaf_size(vectors, leaf):
+    rows, _ = vectors
+    tree = vantage.Tree.build(np.array([i for i, _ in rows]), np.array([v for _, v in rows]), leaf)
+    tree = vantage.Tree.from_row(tree.to_row())
+    for q, v in rows[::37]:
+        ids, away = tree.search(np.array(v), q, 10, 1.0)
+        assert [(q, r + 1, i, d) for r, (i, d) in enumerate(zip(ids.tolist(), away.tolist()))] == brute(rows, [(q, v)])
