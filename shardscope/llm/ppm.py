@@ -271,7 +271,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", order:
     counts = written(token_counts(learning), "tokens")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = int(totals[0]), int(totals[1])
-    frequent = (F.col("c") * FREQUENT >= n) & (F.octet_length("token") <= FREQUENT_BYTES)
+    # the end is in every text, so it is sent whatever its share
+    frequent = ((F.col("c") * FREQUENT >= n) & (F.octet_length("token") <= FREQUENT_BYTES)) | (F.octet_length("token") == 0)
     often = {bytes(r["token"]): r["c"] for r in counts.where(frequent).collect()}
     base = math.log10(n + v + 1)
     often_logs = {w: math.log10(c + 1) for w, c in often.items()}

@@ -93,6 +93,15 @@ def test_ppm_scores(spark, docs, none):
     assert untrained.count() == 0 or untrained.first().n_known == 0
 
 
+def test_ppm_knows_the_end_of_very_long_texts(spark):
+    docs = spark.createDataFrame([(2, "aa bb " * 100_000), (3, "aa zz")], "doc_id long, text string")
+    assert [crc(d) % 7 == 2 for d in (2, 3)] == [False, False]
+    found = {r.doc_id: r for r in ppm.score_texts(docs).collect()}
+    assert (found[3].n_tokens, found[3].n_known, found[2].n_known) == (3, 3, 200_001)
+    counts, n, v = (100_001, 1, 2), 200_004, 4
+    assert math.isclose(found[3].base_score, sum(math.log10((c + 1) / (n + v + 1)) for c in counts), abs_tol=1e-9)
+
+
 def test_ppm_cache_changes_nothing(docs):
     trie = ppm.train(docs.where("text IS NOT NULL").select("text"))
     raw = "\n".join(t or "" for t in plain.corpus(2)).encode()
