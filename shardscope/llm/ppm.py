@@ -1,14 +1,13 @@
 """Prediction by partial matching: code length of every text under a byte-context trie counted over the whole corpus.
 
 Counting. Every task counts the grams of ``ORDER`` + 1 symbols (bytes after lower-casing, an end, padding before a text) of its training
-texts; Spark sums them and folds them to all shorter grams. A node of the trie stays when it holds at least 1 / ``NODES`` of all training
-symbols, so each level has at most ``NODES`` nodes whatever the size of the corpus: that is the bound of what is sent to the tasks. The rule
-is closed: prefixes and suffixes of a kept gram are kept.
+texts; Spark sums them and folds them to all shorter grams. All of them stay, as written tables that grow with the corpus.
 
-Scoring. From the longest context in the trie down: a symbol seen in the context costs (c - 1/2) / n; otherwise an escape of half the
-number of its seen symbols plus what fell below the node limit goes to the next shorter context, where all symbols seen in the longer one are
-excluded. Below order 0 the unseen symbols of 256 bytes and the end share evenly. As the model is fixed while it scores, the cost of a gram
-is computed once per worker and looked up for every position.
+Scoring. From the longest seen context down: a symbol seen in the context costs (c - 1/2) / n; otherwise an escape of half the number of its
+seen symbols goes to the next shorter context, where all symbols seen in the longer one are excluded. Below order 0 the unseen symbols of 256
+bytes and the end share evenly. As the model is fixed while it scores, a gram has one cost. The costs of the most frequent grams (at most
+``NODES``) are sent to the tasks. What is left of a text, gathered by gram, meets its costs in an equi-join: a gram of the training texts has
+its cost from its count and the total of its context, any other (held-out texts only) from all its shorter contexts.
 
 Beside it the base score of a text under smoothed counts of whole tokens: frequent tokens (at most ``FREQUENT``, by the same kind of share) are
 sent to the tasks, all others meet their counts in an equi-join.
@@ -24,7 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -175,8 +174,8 @@ def cached(shared) -> Cached:
     return _CACHED[shared.value.mark]
 
 
-def train(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> Trie:
-    """The trie of ``texts`` (a column text without nulls). Brings at most ``nodes`` codes and counts per level to the driver."""
+def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """code, n of all grams of ``order`` + 1 symbols of ``texts`` (a column text without nulls)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list = []
@@ -193,18 +192,126 @@ def train(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> Trie:
 
     reach_workers(texts.sparkSession)
     counted = texts.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    counted = written(counted, "grams")
+    return written(counted, "grams")
+
+
+def _low(code: str, symbols: str) -> Column:
+    """The last symbols of a gram."""
+    return F.expr(f"{code} & (shiftleft(1L, 9 * ({symbols})) - 1)")
+
+
+def _each(order: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(order))).alias("d")
+
+
+def gram_levels(counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """d, code, n of all grams of d + 1 symbols, for d from 0 to ``order``."""
+    return counted.select("code", "n", _each(order)).groupBy("d", _low("code", "d + 1").alias("code")).agg(F.sum("n").alias("n"))
+
+
+def train(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> Trie:
+    """A trie for one process, of the nodes with at least 1 / ``nodes`` of all symbols: at most ``nodes`` codes and counts per level.
+
+    On texts of up to ``nodes`` symbols it is the whole model, by which ``score_texts`` is tested; that function does not use it.
+    """
+    counted = gram_counts(texts, order)
     symbols = counted.agg(F.sum("n")).first()[0] or 0
-    level = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col("code").bitwiseAND(F.lit((1 << 9 * (d + 1)) - 1)).alias("code"), "n") for d in range(order + 1)]))
-    levels = counted.select(level.alias("x")).select("x.*").groupBy("d", "code").agg(F.sum("n").alias("n"))
-    levels = written(levels.where(F.col("n") * nodes >= symbols), "nodes")
-    parents = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.shiftright(F.col("code").bitwiseAND(F.lit((1 << 9 * (d + 1)) - 1)), 9).alias("context"), "n") for d in range(order + 1)]))
-    totals = counted.select(parents.alias("x")).select("x.*").groupBy("d", "context").agg(F.sum("n").alias("n"))
-    totals = totals.where(F.col("n") * nodes >= symbols)
+    levels = written(gram_levels(counted, order).where(F.col("n") * nodes >= symbols), "nodes")
+    parents = counted.select("code", "n", _each(order)).groupBy("d", F.shiftright(_low("code", "d + 1"), 9).alias("context"))
+    totals = parents.agg(F.sum("n").alias("n")).where(F.col("n") * nodes >= symbols)
     totals = totals.join(levels.select("d", F.shiftright("code", 9).alias("context")).distinct(), ["d", "context"], "left_semi")
     return Trie.build(order, _arrays(levels, "code"), _arrays(totals, "context"))
 
 
+# The whole model ----------------------------------------------------------------------------------
+
+
+@dataclass
+class Frequent:
+    """Costs of the most frequent grams; not a number for all others."""
+
+    codes: np.ndarray
+    costs: np.ndarray
+    mark: int = field(default_factory=lambda: uuid.uuid4().int)
+
+    def log10(self, codes: np.ndarray) -> np.ndarray:
+        at = Trie._find(self.codes, codes)
+        return np.where(at >= 0, self.costs[at], np.nan) if len(self.codes) else np.full(len(codes), np.nan)
+
+
+def seen_costs(counted: DataFrame) -> DataFrame:
+    """code, n, cost of all grams of the training texts. A context has at most as many grams as there are symbols."""
+    total = F.sum("n").over(Window.partitionBy(F.shiftright("code", 9)))
+    return counted.select("code", "n", F.log10((F.col("n") - 0.5) / total).alias("cost"))
+
+
+def least_count(costs: DataFrame, most: int) -> int:
+    """The smallest power of 2 that at most ``most`` grams reach."""
+    power = F.floor(F.log2(F.col("n") + 0.5)).cast("int")
+    sizes, held = {r["p"]: r["count"] for r in costs.groupBy(power.alias("p")).count().collect()}, 0
+    for p in range(max(sizes, default=0), -1, -1):
+        held += sizes.get(p, 0)
+        if held > most:
+            return 1 << p + 1
+    return 1
+
+
+def unseen_costs(unseen: DataFrame, counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """code, cost of distinct grams (a column code) that the training texts do not have.
+
+    Each gram meets, for each of its contexts, the context's occurrences, its number of symbols, and what these symbols count in the next
+    shorter context; and the count of its own symbol there. Contexts of up to two symbols and grams of up to two are few whatever the corpus
+    and shared by many grams, so their tables are broadcast.
+    """
+    levels = written(gram_levels(counted, order), "levels")
+    contexts = unseen.select("code", _each(order)).select("code", "d", F.shiftright(_low("code", "d + 1"), 9).alias("context"))
+    contexts = written(contexts, "contexts")
+    children = levels.withColumn("context", F.shiftright("code", 9)).join(contexts.select("d", "context").distinct(), ["d", "context"], "left_semi")
+    shorter = levels.select((F.col("d") + 1).alias("d"), F.col("code").alias("_suffix"), F.col("n").alias("_n"))
+    children = children.withColumn("_suffix", _low("code", "d")).join(shorter, ["d", "_suffix"], "left")
+    stats = children.groupBy("d", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.coalesce(F.sum("_n"), F.lit(0)).alias("lower"))
+    stats = written(stats, "stats")
+    counts = levels.select("d", F.col("code").alias("_gram"), "n")
+    contexts = contexts.withColumn("_gram", _low("code", "d + 1"))
+
+    def met(upto: int, context: bool) -> DataFrame:
+        """Rows by the two keys, each once by broadcast (short) and once by shuffle (long)."""
+        table, keys = (stats, ["d", "context"]) if context else (counts, ["d", "_gram"])
+        short = contexts.where(F.col("d") <= upto).join(F.broadcast(table.where(F.col("d") <= upto)), keys)
+        long = contexts.where(F.col("d") > upto).join(table.where(F.col("d") > upto), keys)
+        return short.select("code", "d", *table.columns[2:]).unionByName(long.select("code", "d", *table.columns[2:]))
+
+    values = ["total", "kinds", "lower", "n"]
+    rows = met(2, True).withColumn("n", F.lit(None).cast("long")).unionByName(met(1, False).select("code", "d", *[F.lit(None).cast("long").alias(c) for c in values[:3]], "n"))
+    # a gram none of whose contexts was seen keeps its row
+    rows = rows.unionByName(unseen.select("code", F.lit(-1).alias("d"), *[F.lit(None).cast("long").alias(c) for c in values]))
+    wide = rows.groupBy("code").agg(*[F.coalesce(F.max(F.when(F.col("d") == d, F.col(c))), F.lit(0)).alias(f"{c}_{d}") for d in range(order + 1) for c in values])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[batch.column(1 + 4 * d + k).to_numpy().astype(float) for k in range(4)] for d in range(order + 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_escaped(found))], ["code", "cost"])
+
+    return wide.mapInArrow(run, "code long, cost double")
+
+
+def _escaped(levels: list[list[np.ndarray]]) -> np.ndarray:
+    """log10 probabilities; by d the context's total, kinds and what its symbols count one level below, and the gram's count, 0 if unseen."""
+    size = len(levels[0][0])
+    out, open_, seen_kinds, seen_mass = np.zeros(size), np.ones(size, bool), np.zeros(size), np.zeros(size)
+    for total, kinds, lower, n in reversed(levels):
+        here = np.flatnonzero(open_ & (total > 0))
+        left, others = total[here] - seen_mass[here], kinds[here] - seen_kinds[here]
+        hit = n[here] > 0
+        out[here[hit]] += np.log10((n[here][hit] - 0.5) / left[hit])
+        missed = ~hit & (left > 0)
+        out[here[missed]] += np.log10(0.5 * others[missed] / left[missed])
+        open_[here[hit]] = False
+        seen_kinds[here], seen_mass[here] = kinds[here], lower[here]
+    out[open_] -= np.log10(SYMBOLS - seen_kinds[open_])
+    return out
+
+
 def _gram_rows(counted: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(counted[0].view(np.int64)), pa.array(counted[1].astype(np.int64))], ["code", "n"])
 
@@ -250,15 +357,27 @@ def token_counts(texts: DataFrame) -> DataFrame:
 DOCUMENT = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("mark", T.IntegerType()), T.StructField("held_out", T.BooleanType()),
     T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("logs", T.DoubleType()), T.StructField("score", T.DoubleType()),
+    T.StructField("codes", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.IntegerType())),
 ])
 
 
+def _left(codes: np.ndarray, begins: np.ndarray, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """For each text its distinct grams among those at the places ``at``, and how often each occurs."""
+    owner, codes = np.searchsorted(begins, at, "right") - 1, codes[at]
+    order = np.lexsort((codes, owner))
+    owner, codes = owner[order], codes[order]
+    heads = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])])) if len(codes) else np.zeros(0, np.int64)
+    times = np.diff(np.concatenate([heads, [len(codes)]]))
+    offsets = pa.array(np.searchsorted(owner[heads], np.arange(len(begins) + 1)), pa.int32())
+    return tuple(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (codes[heads].astype(np.int64), times.astype(np.int32)))
+
+
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, nodes: int = NODES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Learns from the rows whose crc32(doc_id as text) mod 7 is not 2. Null counts as an empty text, which still has its end. Rows that repeat
     an identifier are scored by their own texts. Without training rows no token is known and all symbols are equally likely.
-    An empty table gives no rows; other columns are not read.
+    An empty table gives no rows; other columns are not read. At most ``nodes`` grams are sent to the tasks; the scores do not depend on it.
     """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     part = crc_part(F.col(key), FOLDS)
@@ -267,7 +386,13 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", order:
         whole.alias("text"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(whole).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("mark"), (part == HELD_OUT).alias("held_out")
     )
     learning = plain.where(~F.col("held_out"))
-    shared = docs.sparkSession.sparkContext.broadcast(train(learning, order, nodes))
+    counted = gram_counts(learning, order)
+    costs = written(seen_costs(counted), "costs")
+    least = least_count(costs, nodes)
+    sent = costs.where(F.col("n") >= least).select("code", "cost").toArrow()
+    sent_codes, sent_costs = (sent.column(k).to_numpy() for k in (0, 1))
+    shared = docs.sparkSession.sparkContext.broadcast(Frequent(*_by_code(sent_codes.astype(np.uint64), sent_costs)))
+    del sent, sent_codes, sent_costs
     counts = written(token_counts(learning), "tokens")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = int(totals[0]), int(totals[1])
@@ -289,9 +414,11 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", order:
                     known.append(len(found))
                     logs.append(math.fsum(found))
                 codes, begins = grams(data, offsets, order)
-                scores = np.add.reduceat(model.log10(codes), begins)
+                logs10 = model.log10(codes)
+                rare = np.isnan(logs10)
+                scores = np.add.reduceat(np.where(rare, 0.0, logs10), begins)
                 rows = [batch.column(k).slice(first, len(sizes)) for k in (1, 2, 3)]
-                found = [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(scores)]
+                found = [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(scores), *_left(codes, begins, np.flatnonzero(rare))]
                 yield pa.RecordBatch.from_arrays([*rows, *found], schema=pa.schema([(f.name, a.type) for f, a in zip(DOCUMENT, [*rows, *found])]))
 
     def seldom(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,19 +441,26 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", order:
     met = met.withColumnsRenamed({"doc_id": "_d", "mark": "_m"})
     # rows that repeat identifier and text were summed together
     scored = written(scored, "scored")
+    left = scored.select("doc_id", "mark", "held_out", F.explode(F.arrays_zip("codes", "times")).alias("x")).select("doc_id", "mark", "held_out", "x.*")
+    left = left.withColumnRenamed("codes", "code")
+    unseen = written(left.where("held_out").select("code").distinct().join(costs, "code", "left_anti"), "unseen")
+    others = costs.where(F.col("n") < least).select("code", "cost").unionByName(unseen_costs(unseen, counted, order))
+    far = left.join(others, "code").groupBy("doc_id", "mark").agg(F.sum(F.col("times") * F.col("cost")).alias("_far")).withColumnsRenamed({"doc_id": "_d", "mark": "_m"})
+    scored = scored.drop("codes", "times")
     twice = scored.groupBy("doc_id", "mark").agg(F.count("*").alias("_rows")).where("_rows > 1").withColumnsRenamed({"doc_id": "_d", "mark": "_m"})
 
     def with_(left: DataFrame, right: DataFrame) -> DataFrame:
         same = left["doc_id"].eqNullSafe(right["_d"]) & (left["mark"] == right["_m"])
         return left.join(right, same, "left").drop("_d", "_m")
 
-    rows = with_(with_(scored, met), twice)
+    rows = with_(with_(with_(scored, met), far), twice)
     share = F.coalesce("_rows", F.lit(1))
     known = F.coalesce("_known", F.lit(0)) / share
     logs = F.coalesce("_logs", F.lit(0.0)) / share
     return rows.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + known).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("logs") + logs - F.col("n_tokens") * F.lit(base)).alias("base_score"), "score",
+        (F.col("logs") + logs - F.col("n_tokens") * F.lit(base)).alias("base_score"),
+        (F.col("score") + F.coalesce("_far", F.lit(0.0)) / share).alias("score"),
     )
 
 

@@ -93,6 +93,17 @@ def test_ppm_scores(spark, docs, none):
     assert untrained.count() == 0 or untrained.first().n_known == 0
 
 
+def test_ppm_scores_by_all_grams(spark, docs):
+    """However few grams are sent to the tasks, every text costs what the whole trie says."""
+    texts = texts_of(docs)
+    trie = ppm.train(docs.where("crc32(coalesce(cast(doc_id AS string), '')) % 7 <> 2").selectExpr("coalesce(text, '') AS text"), 3, 1 << 40)
+    expected = Counter()
+    for d, t in texts:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        expected[(d, round(trie.log10(ppm.grams(raw, np.array([0, len(raw)]), 3)[0]).sum(), 6))] += 1
+    assert Counter((r.doc_id, round(r.score, 6)) for r in ppm.score_texts(docs, order=3, nodes=200).collect()) == expected
+
+
 def test_ppm_knows_the_end_of_very_long_texts(spark):
     docs = spark.createDataFrame([(2, "aa bb " * 100_000), (3, "aa zz")], "doc_id long, text string")
     assert [crc(d) % 7 == 2 for d in (2, 3)] == [False, False]
