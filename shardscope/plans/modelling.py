@@ -336,7 +336,7 @@ def pca(spark, folder):
 
 def _forest(spark, folder):
     rows = flow(spark, folder, gaps=True).drop("suppkey")
-    return forest.proxy_forest(rows, "label", ["row_key"], FEATURES, ["status"], trees=10, depth=5)
+    return forest.proxy_forest(rows, "label", ["row_key"], FEATURES, ["status"])
 
 
 @query("l2_proxy_forest")

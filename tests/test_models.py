@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import inspect
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shardscope.operators import explain, forest, sampling, scoring, training
+from shardscope.plans import modelling
 
 FEATURES = ["x", "y"]
 MODEL = scoring.Linear([[1.0, -2.0], [0.5, 0.5], [-1.0, 1.0]], [0.1, 0.0, -0.1])
@@ -156,3 +160,12 @@ def test_walks_inside_tasks_equal_unfolded_ones(rows):
     assert found == pytest.approx(want)
     with pytest.raises(ValueError):
         explain.shapley(rows, scorer, FEATURES[:2], ["id"], rows.crossJoin(rows.select("id").withColumnRenamed("id", "other")).limit(2000))
+
+
+def test_registered_forest_has_the_operators_own_size(monkeypatch):
+    taken = {}
+    monkeypatch.setattr(modelling, "flow", lambda *a, **k: SimpleNamespace(drop=lambda *c: None))
+    own = inspect.signature(forest.proxy_forest)
+    monkeypatch.setattr(forest, "proxy_forest", lambda *a, **k: taken.update(own.bind(*a, **k).arguments))
+    modelling._forest(None, "")
+    assert {k: taken.get(k, own.parameters[k].default) for k in ("trees", "depth")} == {"trees": 400, "depth": 10}
