@@ -6,7 +6,7 @@
    the level, a third of all shingles; they are counted over all documents and joined back, hot shingles aggregating before the shuffle.
    Shingles of one document come first and are never sent on, so texts with enough of their own have no candidates at all.
 3. The sets of a prefix shingle meet at the smallest of them, their hub. A hub's sets are verified in blocks of bounded size.
-   In a block, index lists run by set size and are entered by binary search where sizes can match; and the overlaps of a set that
+   In a block, index lists run by set size and are read whole: nothing is skipped where sizes cannot match. The overlaps of a set that
    is close to its predecessor are the predecessor's, corrected by the lists of the few shingles in which the two differ.
 4. Where a hub has several blocks, each holds the hub too. Sets that its links do not tie to the hub meet all other blocks in a second
    pass; two sets that are tied to it need no link of their own to be in one component. No pair is ever expanded.
