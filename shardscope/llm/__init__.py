@@ -1,6 +1,19 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
-from shardscope.llm import exact_dedup, mixing, ngram_join, personal_data, ppm, quality, revisits, segmentation, substring_dedup, vantage
+from shardscope.llm import (
+    exact_dedup,
+    mixing,
+    ngram_join,
+    personal_data,
+    ppm,
+    quality,
+    revisits,
+    segmentation,
+    substring_dedup,
+    token_alignment,
+    token_counts,
+    vantage,
+)
 
 QUERIES = {
     "op1_warc_revisits": revisits.op1_warc_revisits,
@@ -13,6 +26,8 @@ QUERIES = {
     "op8_personal_data": personal_data.op8_personal_data,
     "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
+    "op13_token_counts": token_counts.op13_token_counts,
 }
 ORACLES = {
     "op1_warc_revisits": revisits.SQL,
