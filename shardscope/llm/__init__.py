@@ -9,6 +9,7 @@ from shardscope.llm import (
     quality,
     revisits,
     segmentation,
+    spelling,
     substring_dedup,
     token_alignment,
     token_counts,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_personal_data": personal_data.op8_personal_data,
     "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_token_alignment": token_alignment.op12_token_alignment,
     "op13_token_counts": token_counts.op13_token_counts,
 }
@@ -36,4 +38,5 @@ ORACLES = {
     "op7_source_mixing": mixing.SQL,
     "op9_ngram_jaccard_join": ngram_join.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_spelling_variants": spelling.SQL,
 }
