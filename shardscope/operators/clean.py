@@ -12,6 +12,8 @@ from shardscope.operators.quantiles import exact_quantiles, medians
 from shardscope.operators.totals import as_text, running_totals, value_counts
 from shardscope.session import local_if_small
 
+# Most distinct labels that a plan may list.
+MAX_CLASSES = 10_000
 # Columns that only record where a row came from.
 PROVENANCE = ("original_file", "original_index")
 # Text columns that are mostly absent.
@@ -137,8 +139,10 @@ def encode_labels(df: DataFrame, label: str, classes: Sequence[str], into: str =
 
 
 def category_codes(df: DataFrame, label: str, into: str = "code") -> DataFrame:
-    """Integer code by sorted order of the labels found; missing labels get -1."""
-    labels = [r[0] for r in df.select(quoted(label)).distinct().collect() if r[0] is not None]
+    """Integer code by sorted order of the labels found; missing labels get -1. More than ``MAX_CLASSES`` labels are an error."""
+    labels = [r[0] for r in df.select(quoted(label)).distinct().limit(MAX_CLASSES + 2).collect() if r[0] is not None]
+    if len(labels) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
     if not labels:
         return df.withColumn(into, F.lit(-1))
     codes = literal_map({v: i for i, v in enumerate(sorted(labels))})

@@ -6,9 +6,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shardscope.functions.scalars import quoted, safe_div
 from shardscope.operators.clean import impute_most_frequent, replace_columns
+from shardscope.operators.totals import as_text, running_totals, value_counts
+from shardscope.session import written
 
 # Engineered ratio -> (numerator, denominator, added to the denominator).
 RATIOS = {
@@ -105,17 +108,48 @@ def one_hot_long(df: DataFrame, columns: Sequence[str], key: Sequence[str]) -> D
     return filled.select(*[quoted(k) for k in key], F.inline(F.array(*cells)))
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame | None = None):
-    """Add one sparse vector ``<column>_hot`` per text column; an unknown value is all zeros.
+def dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``feature, value, code, size``: the distinct texts of each column, numbered in their order from 0.
 
-    Returns the table and the fitted pipeline.
+    Texts are range-partitioned and numbered by the sums of the partitions before, so a column may have as many distinct
+    texts as rows: none of them reaches the driver.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
-
-    stages = [
-        StringIndexer(inputCols=list(columns), outputCols=[f"{c}_index" for c in columns], handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=[f"{c}_index" for c in columns], outputCols=[f"{c}_hot" for c in columns], dropLast=True),
-    ]
-    fitted = Pipeline(stages=stages).fit(df if fitted_on is None else fitted_on)
-    return fitted.transform(df).drop(*[f"{c}_index" for c in columns]), fitted
+    distinct = value_counts(df, columns, read=as_text).filter("value is not null").select("feature", "value", F.lit(1).alias("n"))
+    numbered = running_totals(distinct, ["feature"], "value", ["n"])
+    return numbered.select("feature", "value", F.col("n_before").alias("code"), F.col("n_total").alias("size"))
+
+
+def text_codes(df: DataFrame, columns: Sequence[str], words: DataFrame) -> DataFrame:
+    """Add ``<column>_code``, the number of the text in the dictionary ``words``; NULL for a missing or unknown text.
+
+    A short dictionary is broadcast by its known size, a long one meets the rows in a shuffle whose hot texts
+    adaptive execution splits.
+    """
+    for c in columns:
+        own = words.filter(F.col("feature") == c).select(F.col("value").alias("own_text"), F.col("code").alias(f"{c}_code"))
+        df = df.join(own, quoted(c).cast("string") == F.col("own_text"), "left").drop("own_text")
+    return df
+
+
+def one_hot(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Add one sparse vector ``<column>_hot`` per text column; an unknown or missing text is all zeros.
+
+    Returns the table and the dictionary of the fitting rows. The vectors' stored form (size, one index, one value) is put together by column
+    expressions, written to the shared folder and read back as vectors: no Python, and no list of categories in the schema.
+    """
+    from pyspark.ml.linalg import VectorUDT
+
+    words = written(dictionary(df if fitted_on is None else fitted_on, columns))
+    sizes = {r.feature: r.size for r in words.groupBy("feature").agg(F.max("size").alias("size")).collect()}
+    coded = text_codes(df, columns, words)
+    kind = "struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+
+    def vector(c: str) -> Column:
+        code = quoted(f"{c}_code").cast("int")
+        known = F.struct(F.lit(0), F.lit(sizes.get(c, 0)), F.array(code), F.array(F.lit(1.0)))
+        unknown = F.struct(F.lit(0), F.lit(sizes.get(c, 0)), F.array().cast("array<int>"), F.array().cast("array<double>"))
+        return F.when(code.isNotNull(), known.cast(kind)).otherwise(unknown.cast(kind)).alias(f"{c}_hot")
+
+    table = coded.select(*[quoted(c) for c in df.columns], *[vector(c) for c in columns])
+    schema = T.StructType([*df.schema.fields, *[T.StructField(f"{c}_hot", VectorUDT()) for c in columns]])
+    return written(table, schema), words

@@ -20,6 +20,7 @@ from shardscope.plans.tables import (
     rounded,
     table,
 )
+from shardscope.session import written
 
 
 def digest(df: DataFrame, by: str, columns=FEATURES, digits: int = 6) -> DataFrame:
@@ -114,6 +115,49 @@ def one_hot(spark, folder):
     return entries.groupBy("feature", "value").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
+@query(
+    "p9_one_hot_vectors",
+    """WITH codes AS (
+         SELECT o_orderkey, 'o_orderpriority' AS feature, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS place FROM orders WHERE o_orderpriority <> '3-MEDIUM'
+         UNION ALL SELECT o_orderkey, 'o_orderstatus', dense_rank() OVER (ORDER BY o_orderstatus) - 1 FROM orders WHERE o_orderstatus <> 'P'),
+       sizes AS (SELECT feature, max(place) + 1 AS size FROM codes GROUP BY 1)
+       SELECT feature, CAST(size AS INTEGER) AS size, CAST(place AS INTEGER) AS place, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys
+       FROM codes JOIN sizes USING (feature) GROUP BY 1, 2, 3
+       UNION ALL SELECT feature, CAST(size AS INTEGER), -1, count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders, sizes
+       WHERE CASE WHEN feature = 'o_orderstatus' THEN o_orderstatus = 'P' ELSE o_orderpriority = '3-MEDIUM' END GROUP BY 1, 2""",
+)
+def one_hot_vectors(spark, folder):
+    """Vectors fitted without one category of either column, whose rows so become all zeros."""
+    from pyspark.ml.functions import vector_to_array
+
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    known = orders.select(F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"), F.nullif("o_orderpriority", F.lit("3-MEDIUM")).alias("o_orderpriority"))
+    coded, _ = features.one_hot(orders, ["o_orderpriority", "o_orderstatus"], fitted_on=known)
+    parts = []
+    for c in ("o_orderpriority", "o_orderstatus"):
+        entries = vector_to_array(F.col(f"{c}_hot"))
+        place = (F.coalesce(F.array_position(entries, 1.0), F.lit(0)) - 1).cast("int")
+        parts.append(coded.select(F.lit(c).alias("feature"), F.size(entries).alias("size"), place.alias("place"), "o_orderkey"))
+    every = parts[0].unionByName(parts[1])
+    return every.groupBy("feature", "size", "place").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query(
+    "p9_text_codes",
+    f"""WITH {FLOW}, codes AS (
+          SELECT label, status, dense_rank() OVER (ORDER BY row_key) - 1 AS row_key_code, dense_rank() OVER (ORDER BY status) - 1 AS status_code FROM flow)
+        SELECT label, status_code, count(*) AS n, min(row_key_code) AS first_code, max(row_key_code) AS last_code,
+               CAST(sum(row_key_code) AS BIGINT) AS code_sum FROM codes GROUP BY 1, 2""",
+)
+def text_codes(spark, folder):
+    """A column with as many texts as rows beside one with two."""
+    rows = flow(spark, folder).select("label", "status", "row_key")
+    coded = features.text_codes(rows, ["row_key", "status"], written(features.dictionary(rows, ["row_key", "status"])))
+    return coded.groupBy("label", "status_code").agg(
+        F.count("*").alias("n"), F.min("row_key_code").alias("first_code"), F.max("row_key_code").alias("last_code"), F.sum("row_key_code").alias("code_sum")
+    )
+
+
 @query(
     "p11_presence_flags",
     """SELECT c_nationkey, CAST(sum(CASE WHEN nullif(c_mktsegment, 'BUILDING') IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS agents,
@@ -181,64 +225,72 @@ def engineered_ratios(spark, folder):
     return digest(features.add_ratios(traffic(spark, folder)), "label", list(RATIO_SQL), 4)
 
 
-SIDES = ("bidirectional", "dst2src", "src2dst")
-SESSIONS = ("session_establishment", "session_modification", "session_deletion", "session_report")
 # Inputs of the further model ratios, again with zeros.
 MODEL_TRAFFIC = {
-    **{f"{s}_stddev_piat_ms": f"l_quantity * {i}" for i, s in enumerate(SIDES, 1)},
-    **{f"{s}_mean_piat_ms": f"l_tax * {100 * i}" for i, s in enumerate(SIDES, 1)},
+    "bidirectional_stddev_piat_ms": "l_quantity * 1",
+    "dst2src_stddev_piat_ms": "l_quantity * 2",
+    "src2dst_stddev_piat_ms": "l_quantity * 3",
+    "bidirectional_mean_piat_ms": "l_tax * 100",
+    "dst2src_mean_piat_ms": "l_tax * 200",
+    "src2dst_mean_piat_ms": "l_tax * 300",
     "bidirectional_packets": "l_linenumber",
     "src2dst_packets": "l_linenumber - 1",
     "dst2src_packets": "l_linenumber - 2",
-    **{f"src2dst_{f}_packets": f"l_partkey % {i}" for i, f in enumerate(("fin", "psh", "rst", "ack"), 2)},
-    **{f"dst2src_{f}_packets": f"l_suppkey % {i}" for i, f in enumerate(("syn", "ack", "fin", "psh"), 2)},
+    "src2dst_fin_packets": "l_partkey % 2",
+    "src2dst_psh_packets": "l_partkey % 3",
+    "src2dst_rst_packets": "l_partkey % 4",
+    "src2dst_ack_packets": "l_partkey % 5",
+    "dst2src_syn_packets": "l_suppkey % 2",
+    "dst2src_ack_packets": "l_suppkey % 3",
+    "dst2src_fin_packets": "l_suppkey % 4",
+    "dst2src_psh_packets": "l_suppkey % 5",
     "src2dst_min_ps": "l_quantity",
     "src2dst_mean_ps": "l_discount * 1000",
-    **{f"udps.{s}_request_counter": f"l_partkey % {i}" for i, s in enumerate(SESSIONS, 3)},
-    **{f"udps.{s}_response_counter": f"l_suppkey % {i}" for i, s in enumerate(SESSIONS, 3)},
+    "udps.session_establishment_request_counter": "l_partkey % 3",
+    "udps.session_modification_request_counter": "l_partkey % 4",
+    "udps.session_deletion_request_counter": "l_partkey % 5",
+    "udps.session_report_request_counter": "l_partkey % 6",
+    "udps.session_establishment_response_counter": "l_suppkey % 3",
+    "udps.session_modification_response_counter": "l_suppkey % 4",
+    "udps.session_deletion_response_counter": "l_suppkey % 5",
+    "udps.session_report_response_counter": "l_suppkey % 6",
 }
 
-
-def _model_ratio_sql() -> dict[str, str]:
-    x = {n: f"CAST({e} AS DOUBLE)" for n, e in MODEL_TRAFFIC.items()}
-
-    def div(a: str, b: str) -> str:
-        return f"COALESCE(({a}) / nullif({b}, 0), 0)"
-
-    def even(a: str, b: str) -> str:
-        return div(f"{a} - {b}", f"{a} + {b} + 1")
-
-    out = {}
-    for s in ("bidirectional", "dst2src", "src2dst"):
-        sd, mean = x[f"{s}_stddev_piat_ms"], x[f"{s}_mean_piat_ms"]
-        out[f"fe_{s}_piat_burstiness"] = div(f"{sd} - {mean}", f"{sd} + {mean}")
-    for s, f in (("src2dst", "fin"), ("src2dst", "psh"), ("src2dst", "rst"), ("dst2src", "syn"), ("dst2src", "ack"), ("dst2src", "fin"), ("dst2src", "psh")):
-        out[f"fe_{s}_{f}_rate"] = div(x[f"{s}_{f}_packets"], f"{x[f'{s}_packets']} + 1")
-    out["fe_ack_rate_imbalance"] = even(
-        div(x["src2dst_ack_packets"], f"{x['src2dst_packets']} + 1"), div(x["dst2src_ack_packets"], f"{x['dst2src_packets']} + 1")
-    )
-    out["fe_src2dst_min_over_mean_ps"] = div(x["src2dst_min_ps"], x["src2dst_mean_ps"])
-    long = {"est": "establishment", "mod": "modification", "del": "deletion", "rep": "report"}
-    for s, side in (("del", "req"), ("del", "resp"), ("est", "req"), ("mod", "req"), ("mod", "resp"), ("rep", "req"), ("rep", "resp")):
-        counter = x[f"udps.session_{long[s]}_{'request' if side == 'req' else 'response'}_counter"]
-        out[f"fe_session_{s}_{side}_per_packet"] = div(counter, f"{x['bidirectional_packets']} + 1")
-    for s in ("del", "mod", "rep"):
-        out[f"fe_session_{s}_req_resp_imbalance"] = even(
-            x[f"udps.session_{long[s]}_request_counter"], x[f"udps.session_{long[s]}_response_counter"]
-        )
-    return out
-
-
-MODEL_RATIOS = _model_ratio_sql()
+# The further ratios over these inputs, spelled out; an undefined ratio is 0.
+MODEL_RATIO_SQL = {
+    "fe_bidirectional_piat_burstiness": '("bidirectional_stddev_piat_ms" - "bidirectional_mean_piat_ms") / nullif("bidirectional_stddev_piat_ms" + "bidirectional_mean_piat_ms", 0)',
+    "fe_dst2src_piat_burstiness": '("dst2src_stddev_piat_ms" - "dst2src_mean_piat_ms") / nullif("dst2src_stddev_piat_ms" + "dst2src_mean_piat_ms", 0)',
+    "fe_src2dst_piat_burstiness": '("src2dst_stddev_piat_ms" - "src2dst_mean_piat_ms") / nullif("src2dst_stddev_piat_ms" + "src2dst_mean_piat_ms", 0)',
+    "fe_src2dst_fin_rate": '"src2dst_fin_packets" / nullif("src2dst_packets" + 1, 0)',
+    "fe_src2dst_psh_rate": '"src2dst_psh_packets" / nullif("src2dst_packets" + 1, 0)',
+    "fe_src2dst_rst_rate": '"src2dst_rst_packets" / nullif("src2dst_packets" + 1, 0)',
+    "fe_dst2src_syn_rate": '"dst2src_syn_packets" / nullif("dst2src_packets" + 1, 0)',
+    "fe_dst2src_ack_rate": '"dst2src_ack_packets" / nullif("dst2src_packets" + 1, 0)',
+    "fe_dst2src_fin_rate": '"dst2src_fin_packets" / nullif("dst2src_packets" + 1, 0)',
+    "fe_dst2src_psh_rate": '"dst2src_psh_packets" / nullif("dst2src_packets" + 1, 0)',
+    "fe_ack_rate_imbalance": '(coalesce("src2dst_ack_packets" / nullif("src2dst_packets" + 1, 0), 0) - coalesce("dst2src_ack_packets" / nullif("dst2src_packets" + 1, 0), 0)) / nullif(coalesce("src2dst_ack_packets" / nullif("src2dst_packets" + 1, 0), 0) + coalesce("dst2src_ack_packets" / nullif("dst2src_packets" + 1, 0), 0) + 1, 0)',
+    "fe_src2dst_min_over_mean_ps": '"src2dst_min_ps" / nullif("src2dst_mean_ps", 0)',
+    "fe_session_del_req_per_packet": '"udps.session_deletion_request_counter" / nullif("bidirectional_packets" + 1, 0)',
+    "fe_session_del_resp_per_packet": '"udps.session_deletion_response_counter" / nullif("bidirectional_packets" + 1, 0)',
+    "fe_session_est_req_per_packet": '"udps.session_establishment_request_counter" / nullif("bidirectional_packets" + 1, 0)',
+    "fe_session_mod_req_per_packet": '"udps.session_modification_request_counter" / nullif("bidirectional_packets" + 1, 0)',
+    "fe_session_mod_resp_per_packet": '"udps.session_modification_response_counter" / nullif("bidirectional_packets" + 1, 0)',
+    "fe_session_rep_req_per_packet": '"udps.session_report_request_counter" / nullif("bidirectional_packets" + 1, 0)',
+    "fe_session_rep_resp_per_packet": '"udps.session_report_response_counter" / nullif("bidirectional_packets" + 1, 0)',
+    "fe_session_del_req_resp_imbalance": '("udps.session_deletion_request_counter" - "udps.session_deletion_response_counter") / nullif("udps.session_deletion_request_counter" + "udps.session_deletion_response_counter" + 1, 0)',
+    "fe_session_mod_req_resp_imbalance": '("udps.session_modification_request_counter" - "udps.session_modification_response_counter") / nullif("udps.session_modification_request_counter" + "udps.session_modification_response_counter" + 1, 0)',
+    "fe_session_rep_req_resp_imbalance": '("udps.session_report_request_counter" - "udps.session_report_response_counter") / nullif("udps.session_report_request_counter" + "udps.session_report_response_counter" + 1, 0)',
+}
 
 
 @query(
     "p23_model_ratios",
-    f"""WITH ratios AS (SELECT l_returnflag AS label, {', '.join(f'{e} AS {n}' for n, e in MODEL_RATIOS.items())} FROM lineitem)
-        {digest_sql('ratios', 'label', list(MODEL_RATIOS), 5)}""",
+    f"""WITH inputs AS (SELECT l_returnflag AS label, {', '.join(f'CAST({e} AS DOUBLE) AS "{n}"' for n, e in MODEL_TRAFFIC.items())} FROM lineitem),
+        ratios AS (SELECT label, {', '.join(f'coalesce({e}, 0) AS {n}' for n, e in MODEL_RATIO_SQL.items())} FROM inputs)
+        {digest_sql('ratios', 'label', list(MODEL_RATIO_SQL), 5)}""",
 )
 def model_ratios(spark, folder):
-    return digest(features.add_model_ratios(traffic(spark, folder, MODEL_TRAFFIC)), "label", list(MODEL_RATIOS), 5)
+    return digest(features.add_model_ratios(traffic(spark, folder, MODEL_TRAFFIC)), "label", list(MODEL_RATIO_SQL), 5)
 
 
 @query(

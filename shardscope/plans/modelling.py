@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from shardscope.functions.labels import MODEL_CLASSES, PFCP_CLASSES
 from shardscope.operators import clients as client_ops
 from shardscope.operators.clean import impute_median
-from shardscope.operators import evaluate, explain, forest, sampling, scoring, training
+from shardscope.operators import evaluate, explain, forest, sampling, scoring, training, trees
 from shardscope.plans.evaluation import LISTED, MACRO_SQL, class_sql, matrix_sql
 from shardscope.plans.registry import query
-from shardscope.session import materialise
+from shardscope.plans.samples import ordered_sql, quota_sql
+from shardscope.session import materialise, written
 from shardscope.plans.tables import CLIENTS, FEATURES, FLOW, LABELS, clients, flow, rounded, table
 
 # Features brought to about the unit range, as a scaled model table has them.
@@ -334,9 +335,16 @@ def pca(spark, folder):
     return rounded(forest.principal_components(wide, "label", names, ["vec_id"]).variance, 9)
 
 
+FORESTS: dict[tuple[str, str], forest.Forest] = {}
+
+
 def _forest(spark, folder):
-    rows = flow(spark, folder, gaps=True).drop("suppkey")
-    return forest.proxy_forest(rows, "label", ["row_key"], FEATURES, ["status"])
+    """One fit per session and folder, shared by the queries that read it; its table lies in the checkpoint folder."""
+    at = (spark.sparkContext.applicationId, folder)
+    if at not in FORESTS:
+        rows = flow(spark, folder, gaps=True).drop("suppkey")
+        FORESTS[at] = forest.proxy_forest(rows, "label", ["row_key"], FEATURES, ["status"])
+    return FORESTS[at]
 
 
 @query("l2_proxy_forest")
@@ -349,18 +357,110 @@ def proxy_forest(spark, folder):
     )
 
 
+@query(
+    "l2_forest_checks",
+    f"""WITH {FLOW}, {ordered_sql()}, {quota_sql('label')}, test AS (
+          SELECT numbered.label FROM numbered JOIN quotas ON stratum = label WHERE place <= quota),
+        codes AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS VARCHAR) AS code FROM (SELECT DISTINCT label FROM flow))
+        SELECT 'support' AS part, code AS name, CAST(count(*) AS DOUBLE) AS value FROM test JOIN codes USING (label) GROUP BY 2
+        UNION ALL SELECT 'test rows', 'all', CAST(count(*) AS DOUBLE) FROM test
+        UNION ALL SELECT 'trees', 'all', 400
+        UNION ALL SELECT 'importance', 'sum', 1
+        UNION ALL SELECT 'importance', name, 1 FROM (VALUES ('quantity'), ('price'), ('discount'), ('tax'), ('status_hot_F'), ('status_hot_O')) t(name)
+        UNION ALL SELECT 'share sums of leaves', 'largest gap', 0""",
+)
+def forest_checks(spark, folder):
+    """What is sure about the fitted forest whatever its trees: rows tested, inputs, sums."""
+    fitted = _forest(spark, folder)
+    one = F.lit(1.0)
+    shares = fitted.table.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("column") - 1), lambda i: F.aggregate(F.slice("shares", i * 3 + 1, 3), F.lit(0.0), lambda a, x: a + x))).alias("total"))
+    parts = [
+        fitted.matrix.groupBy(F.col("true").alias("name")).agg(F.sum("n").cast("double").alias("value")).select(F.lit("support").alias("part"), "name", "value"),
+        fitted.test.agg(F.count("*").cast("double").alias("value")).select(F.lit("test rows").alias("part"), F.lit("all").alias("name"), "value"),
+        fitted.table.agg(F.count("*").cast("double").alias("value")).select(F.lit("trees").alias("part"), F.lit("all").alias("name"), "value"),
+        fitted.importances.agg(F.round(F.sum("importance"), 9).alias("value")).select(F.lit("importance").alias("part"), F.lit("sum").alias("name"), "value"),
+        fitted.importances.filter("importance >= 0").select(F.lit("importance").alias("part"), F.col("feature").alias("name"), one.alias("value")),
+        shares.agg(F.round(F.max(F.abs(F.col("total") - 1)), 9).alias("value")).select(
+            F.lit("share sums of leaves").alias("part"), F.lit("largest gap").alias("name"), "value"
+        ),
+    ]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every
+
+
 @query("l3_permutation_importance")
 def permutation_importance(spark, folder):
     return forest.permutation_importance(_forest(spark, folder), ["row_key"], repeats=5)
 
 
+def _permutation_sql(repeats: int) -> str:
+    """Falls of a linear model's accuracy, one donor join per trial."""
+    values = {c: c for c in PART_FEATURES}
+
+    def said(v: dict[str, str]) -> str:
+        outputs = outputs_sql(v, PART_COEF)
+        return f"list_position([{', '.join(outputs)}], greatest({', '.join(outputs)})) - 1"
+
+    falls = [
+        f"""SELECT {t} AS trial, '{c}' AS feature, avg(CASE WHEN r.said = r.code THEN 1 ELSE 0 END) - avg(CASE WHEN {said({f: f'd.{f}' if f == c else f'r.{f}' for f in PART_FEATURES})} = r.code THEN 1 ELSE 0 END) AS fall
+            FROM placed r CROSS JOIN size JOIN placed d ON d.place = (r.place * ({forest.PRIMES[t]} % n) + {forest.SHIFT * (sampling.SEED + t + 1)} % n) % n"""
+        for t in range(repeats)
+        for c in PART_FEATURES
+    ]
+    return f"""WITH {PART_SQL}, size AS (SELECT count(*) AS n FROM parts),
+      placed AS (SELECT *, CAST(label AS INTEGER) AS code, {said(values)} AS said,
+                        row_number() OVER (ORDER BY md5('{sampling.SEED}|' || p_partkey), p_partkey) - 1 AS place FROM parts),
+      falls AS ({' UNION ALL '.join(falls)})
+      SELECT feature, round(avg(fall), 9) AS perm_importance_mean, round(stddev_pop(fall), 9) AS perm_importance_std FROM falls GROUP BY 1"""
+
+
+@query("l3_linear_permutation", _permutation_sql(5))
+def linear_permutation(spark, folder):
+    """The same trials for a linear model over all parts, which SQL can follow."""
+    rows = parts(spark, folder)
+    test = rows.select("p_partkey", F.col("label").cast("int").alias("code"), scoring.feature_array(rows, PART_FEATURES).alias("inputs"))
+    return rounded(forest.permuted_falls(test, scoring.linear_scorer(PART_MODEL, probabilities=False), PART_FEATURES, ["p_partkey"]), 9)
+
+
+ATTRIBUTED: dict[tuple[str, str], tuple] = {}
+
+
+def _attributed(spark, folder):
+    """Exact values of all rows for a forest fitted on a stratified sample, with the table and what scored it; once per session and folder."""
+    at = (spark.sparkContext.applicationId, folder)
+    if at not in ATTRIBUTED:
+        rows = flow(spark, folder, gaps=True)
+        sample = forest.attribution_sample(rows, "label", ["row_key"])
+        model = forest.fit_numeric_forest(sample, "label", FEATURES)
+        filled = materialise(impute_median(rows, FEATURES, fitted_on=sample))
+        base = sampling.background(filled, ["row_key"])
+        values = written(trees.attribute(filled, model, FEATURES, ["row_key"], base))
+        ATTRIBUTED[at] = (values, filled, base, trees.scorer(spark, model))
+    return ATTRIBUTED[at]
+
+
 @query("l8_forest_attribution")
 def forest_attribution(spark, folder):
     """Mean absolute attribution of a numeric forest over all rows; a stratified sample fits it."""
-    rows = flow(spark, folder, gaps=True)
-    sample = forest.attribution_sample(rows, "label", ["row_key"])
-    model = forest.fit_numeric_forest(sample, "label", FEATURES, trees=10, depth=5)
-    filled = impute_median(rows, FEATURES, fitted_on=sample)
-    base = sampling.plain(filled, ["row_key"], 2, seed=0)
-    values = explain.shapley(filled, scoring.fitted_scorer(model), FEATURES, ["row_key"], base, 1)
-    return explain.summary(values)
+    return explain.summary(_attributed(spark, folder)[0])
+
+
+@query(
+    "l8_attribution_sums",
+    f"""WITH {FLOW}, classes AS (SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS output FROM (SELECT DISTINCT label FROM flow WHERE label IS NOT NULL))
+        SELECT output, (SELECT count(*) FROM flow) AS n, {len(FEATURES)} AS features, 0e0 AS largest_gap FROM classes""",
+)
+def attribution_sums(spark, folder):
+    """Per output, how far any row's values are from adding up to f(row) - mean f(background)."""
+    values, filled, base, scored = _attributed(spark, folder)
+    sums = values.groupBy("row_key", "output").agg(F.sum("value").alias("total"), F.count("*").alias("features"))
+    inputs = filled.select("row_key", scoring.feature_array(filled, FEATURES).alias("inputs"))
+    own = scored(inputs, "inputs", "probs").select("row_key", F.posexplode("probs").alias("output", "p"))
+    middle = scored(base.select(scoring.feature_array(base, FEATURES).alias("inputs")), "inputs", "probs")
+    means = middle.select(F.posexplode("probs").alias("output", "p")).groupBy("output").agg(F.avg("p").alias("mean"))
+    gap = F.abs(F.col("total") - F.col("p") + F.col("mean"))
+    return sums.join(own, ["row_key", "output"]).join(means, "output").groupBy("output").agg(
+        F.count("*").alias("n"), F.max("features").cast("int").alias("features"), F.round(F.max(gap), 9).alias("largest_gap")
+    )

@@ -58,7 +58,7 @@ def stratified_small(spark, folder):
     return trace(sampling.stratified(flow(spark, folder), "label", ["row_key"], 12_000, 300, when_larger=False), ["label"])
 
 
-def _quota_sql(label: str) -> str:
+def quota_sql(label: str) -> str:
     """Test rows per class: rounded-down shares, leftovers to the largest remainders."""
     return f"""sizes AS (SELECT {label} AS stratum, count(*) AS size, sum(count(*)) OVER () AS total FROM flow GROUP BY 1),
       shares AS (
@@ -71,7 +71,7 @@ def _quota_sql(label: str) -> str:
 
 @query(
     "m2_train_test_split",
-    f"""WITH {FLOW}, {ordered_sql()}, {_quota_sql('label')},
+    f"""WITH {FLOW}, {ordered_sql()}, {quota_sql('label')},
         taken AS (SELECT numbered.*, place <= quota AS is_test FROM numbered JOIN quotas ON stratum = label)
         {trace_sql('taken', 'label, is_test')}""",
 )
@@ -84,7 +84,7 @@ def train_test_split(spark, folder):
     f"""WITH flow AS (
           SELECT CASE WHEN o_orderkey = 0 THEN 'solo' ELSE o_orderstatus END AS label, CAST(o_orderkey AS VARCHAR) AS row_key,
                  o_totalprice / 1e3 AS price, o_custkey AS suppkey FROM orders),
-        {ordered_sql(by='')}, {_quota_sql('0')},
+        {ordered_sql(by='')}, {quota_sql('0')},
         taken AS (SELECT numbered.*, place <= quota AS is_test FROM numbered CROSS JOIN quotas)
         {trace_sql('taken', 'label, is_test')}""",
 )

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SMALL_ROWS = 100_000
 
@@ -26,14 +28,13 @@ def get_session(app: str = "shardscope", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session without that
-    setting gets a temporary folder of its own; a cluster without it is an error, because a folder
-    of one machine does not survive the loss of that machine.
+    It is the session's ``spark.checkpoint.dir``. Only a local session without that setting gets a
+    temporary folder of its own; a cluster without it is an error, because a folder of one machine does not survive the
+    loss of that machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,6 +43,22 @@ def materialise(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="shardscope-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again, by column and with statistics.
+
+    ``schema`` may read the same columns as richer types, such as a struct as the vector type that it stores.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/shardscope-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

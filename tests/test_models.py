@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import inspect
+import itertools
+import math
 from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shardscope.operators import explain, forest, sampling, scoring, training
+from shardscope.operators import explain, forest, sampling, scoring, training, trees
 from shardscope.plans import modelling
 
 FEATURES = ["x", "y"]
@@ -124,11 +127,121 @@ def test_components_and_forest(rows):
     falls = {r.feature: r for r in forest.permutation_importance(fitted, ["id"], 3).collect()}
     assert set(falls) == {"x", "y", "client"}
     assert falls["x"].perm_importance_mean > falls["client"].perm_importance_mean
+    assert fitted.table.count() == 5 and fitted.report.count() > 0
     model = forest.fit_numeric_forest(rows, "label", FEATURES, trees=5, depth=4)
+    values = trees.attribute(rows, model, FEATURES, ["id"], sampling.plain(rows, ["id"], 2))
+    assert values.count() == 300 * 2 * 3
+
+
+def test_fitted_models_score_and_attribute(rows):
+    """A Spark ML classifier as scorer, attributed over unfolded rows."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    coded = rows.select((F.col("id") % 3).cast("double").alias("code"), array_to_vector(F.array("x", "y")).alias("inputs"))
+    model = RandomForestClassifier(featuresCol="inputs", labelCol="code", numTrees=3, maxDepth=3, seed=1).fit(coded)
     values = explain.shapley(rows, scoring.fitted_scorer(model), FEATURES, ["id"], sampling.plain(rows, ["id"], 2), 1)
     assert values.count() == 300 * 2 * 3
 
 
+def grown(numbers, classes, n_trees, depth, codes=None, categories=()):
+    codes = np.zeros((len(classes), 0)) if codes is None else codes
+    return trees.Sample.build(numbers, codes, list(categories), classes, int(classes.max()) + 1), n_trees, depth
+
+
+@pytest.mark.parametrize("depth", [3, None])
+@pytest.mark.parametrize("dense", [trees.DENSE, 0])
+def test_attribution_equals_all_subsets(spark, monkeypatch, depth, dense):
+    """Six features, the definition of the Shapley value over all 64 subsets."""
+    monkeypatch.setattr(trees, "DENSE", dense)
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(300, 6)).round(1)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(int) + (x[:, 3] > 1)
+    sample, n, deep = grown(x, y, 6, depth)
+    model = trees.Trees.load(trees.fit(spark, sample, n, deep, 3))
+    base, rows = x[:5], x[50:54]
+    found = trees.Attributor(model, base).values(rows)
+    expected = np.zeros_like(found)
+    subsets = list(itertools.product([False, True], repeat=6))
+    for i, row in enumerate(rows):
+        for z in base:
+            outputs = dict(zip(subsets, model.probabilities(np.where(np.array(subsets), row, z))))
+            for j in range(6):
+                for s in subsets:
+                    if not s[j]:
+                        share = math.factorial(sum(s)) * math.factorial(5 - sum(s)) / math.factorial(6)
+                        with_j = tuple(k == j or v for k, v in enumerate(s))
+                        expected[i, :, j] += share * (outputs[with_j] - outputs[s]) / len(base)
+    assert np.abs(found - expected).max() < 1e-9
+    assert np.abs(found.sum(axis=2) - model.probabilities(rows) + model.probabilities(base).mean(axis=0)).max() < 1e-9
+
+
+def test_trees_cut_where_impurity_falls_most():
+    """One tree on all inputs against every cut of the root, and pure leaves when nothing bounds the depth."""
+    draw = np.random.default_rng(2)
+    x = draw.integers(0, 6, (80, 1)).astype(float)
+    y = ((x[:, 0] > 2) ^ (draw.random(80) < 0.1)).astype(int)
+    sample, _, _ = grown(x, y, 1, 1)
+    tree = trees.grow(sample, [4, 0], 1)
+    times = np.bincount(np.random.default_rng([4, 0]).integers(0, 80, 80), minlength=80).astype(float)
+    weight = times * (80 / (2 * np.bincount(y, times, 2)))[y]
+
+    def gini(part):
+        w = np.array([weight[part & (y == k)].sum() for k in (0, 1)])
+        return w.sum() - (w**2).sum() / w.sum() if w.sum() else 0.0
+
+    falls = {c + 0.5: gini(np.ones(80, bool)) - gini(x[:, 0] <= c) - gini(x[:, 0] > c) for c in range(5)}
+    assert tree["threshold"][0] == max(falls, key=falls.get) and tree["gain"][0] == pytest.approx(max(falls.values()))
+    distinct = np.arange(60, dtype=float)[:, None]
+    whole = trees.grow(trees.Sample.build(distinct, np.zeros((60, 0)), [], np.arange(60) % 3, 3), [1, 1], None)
+    leaves = [whole["shares"][3 * i : 3 * i + 3] for i, c in enumerate(whole["column"]) if c < 0]
+    assert all(max(v) == pytest.approx(1) for v in leaves)
+
+
+def test_forest_reads_texts_and_missing_cuts(spark):
+    draw = np.random.default_rng(8)
+    codes = draw.integers(0, 3, (400, 1))
+    sample, n, depth = grown(np.zeros((400, 1)), (codes[:, 0] == 1).astype(int), 8, 4, codes, [3])
+    table = trees.fit(spark, sample, n, depth, 1)
+    model = trees.Trees.load(table)
+    probabilities = model.probabilities(np.array([[0.0, 0], [0.0, 1], [0.0, 2], [0.0, -1], [np.nan, 1]]))
+    assert probabilities.argmax(axis=1).tolist() == [0, 1, 0, 0, 1]
+    assert model.importances(*sample.slots).sum() == pytest.approx(1) and model.importances(*sample.slots)[0] == 0
+    again = trees.Trees.load(trees.fit(spark, sample, n, depth, 1))
+    assert all(np.array_equal(getattr(model, f), getattr(again, f)) for f in ("roots", "column", "threshold", "shares"))
+    with pytest.raises(ValueError, match="numeric"):
+        trees.Attributor(model, np.zeros((1, 2)))
+    flat = trees.Trees.load(trees.fit(spark, trees.Sample.build(np.ones((9, 1)), np.zeros((9, 0)), [], np.zeros(9), 1), 2, 3, 1))
+    assert flat.importances(np.array([0]), np.array([-1])).tolist() == [0.0]
+    assert trees.Attributor(flat, np.ones((2, 1))).values(np.ones((3, 1))).tolist() == [[[0.0]]] * 3
+
+
+def test_forests_too_large_to_send_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(trees, "MAX_NODES", 10)
+    sample, n, depth = grown(np.arange(50, dtype=float)[:, None], np.arange(50) % 2, 4, None)
+    with pytest.raises(ValueError, match="nodes"):
+        trees.Trees.load(trees.fit(spark, sample, n, depth, 1))
+
+
+def test_permuted_falls_equal_numpy(spark, rows):
+    test = rows.select("id", (F.col("id") % 3).cast("int").alias("code"), F.array("x", "y").alias("inputs"))
+    found = {r.feature: r for r in forest.permuted_falls(test, scoring.python_scorer(predict), FEATURES, ["id"], 3, seed=4).collect()}
+    data = sorted((hashlib.md5(f"4|{r.id}".encode()).hexdigest(), r.id, r.code, r.inputs) for r in test.collect())
+    code, x = np.array([d[2] for d in data]), np.array([d[3] for d in data])
+    place = np.arange(300)
+    for j, name in enumerate(FEATURES):
+        falls = []
+        for t in range(3):
+            donor = (place * forest.PRIMES[t] + forest.SHIFT * (4 + t + 1)) % 300
+            assert len(set(donor.tolist())) == 300
+            mixed = x.copy()
+            mixed[:, j] = x[donor, j]
+            falls.append((predict(x).argmax(1) == code).mean() - (predict(mixed).argmax(1) == code).mean())
+        assert found[name].perm_importance_mean == pytest.approx(np.mean(falls))
+        assert found[name].perm_importance_std == pytest.approx(np.std(falls))
+    assert forest.permuted_falls(test.limit(0), scoring.python_scorer(predict), FEATURES, ["id"]).count() == 0
+
+
 def test_prompt_text(spark):
     attributions = spark.createDataFrame([(1, "b", 0.5), (1, "a", 0.5), (1, "c", 0.25)], "id int, feature string, abs_mean double")
     predictions = spark.createDataFrame([(1, 3, "3", [0.1, 0.1, 0.1, 0.7])], "id int, pred int, true string, probs array<double>")
@@ -167,5 +280,6 @@ def test_registered_forest_has_the_operators_own_size(monkeypatch):
     monkeypatch.setattr(modelling, "flow", lambda *a, **k: SimpleNamespace(drop=lambda *c: None))
     own = inspect.signature(forest.proxy_forest)
     monkeypatch.setattr(forest, "proxy_forest", lambda *a, **k: taken.update(own.bind(*a, **k).arguments))
-    modelling._forest(None, "")
+    monkeypatch.setattr(modelling, "FORESTS", {})
+    modelling._forest(SimpleNamespace(sparkContext=SimpleNamespace(applicationId="none")), "")
     assert {k: taken.get(k, own.parameters[k].default) for k in ("trees", "depth")} == {"trees": 400, "depth": 10}
