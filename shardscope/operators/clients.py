@@ -8,10 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardscope.functions.scalars import numeric_columns, quoted
-from shardscope.operators.clean import with_gaps
-from shardscope.operators.quantiles import medians
 from shardscope.operators.totals import long_values, running_totals
-from shardscope.session import local_if_small
+from shardscope.session import local_if_small, written
 
 
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
@@ -124,31 +122,45 @@ def ks_drift(
     """
     columns = list(columns or numeric_columns(df, exclude=[label]))
     clients = list(label_map)
-    middle = medians(df, with_gaps(df, columns))
-    fill = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(middle.get(c)).cast("double"))])
     sums = ["whole", *[f"member{i}" for i in range(len(clients))]]
     cells = long_values(df, columns, by=[quoted(label).alias("class")])
-    freq = (
-        cells.withColumn("value", F.coalesce("value", F.element_at(fill, F.col("feature"))))
-        .filter("value is not null")
-        .groupBy("feature", "value")
-        .agg(
+    freq = written(
+        cells.groupBy("feature", "value").agg(
             F.count("*").alias("whole"),
             *[F.count_if(F.col("class").isin(list(label_map[c]))).alias(f"member{i}") for i, c in enumerate(clients)],
         )
     )
-    cumulative = running_totals(freq, ["feature"], "value", sums)
-
-    def share(name: str) -> Column:
-        return (F.col(f"{name}_before") + F.col(name)) / F.nullif(F.col(f"{name}_total"), F.lit(0))
-
-    largest = cumulative.groupBy("feature").agg(
-        F.array(
-            *[
-                F.struct(F.lit(c).alias("client"), F.max(F.abs(share("whole") - share(f"member{i}"))).alias("ks_stat"))
-                for i, c in enumerate(clients)
-            ]
-        ).alias("per_client")
+    gaps = freq.filter("value is null").select("feature", *[F.col(s).alias(f"{s}_gaps") for s in sums])
+    cumulative = written(running_totals(freq.filter("value is not null"), ["feature"], "value", sums))
+    # The median is one or two rows of the running totals. Filled cells lie on it, so cumulative shares rise by them from there on.
+    upto = F.col("whole_before") + F.col("whole")
+    place = (F.col("whole_total") - 1) * 0.5
+    ends = [F.min(F.when(upto > f(place), F.struct("value", *[(F.col(f"{s}_before") + F.col(s)).alias(s) for s in sums]))) for f in (F.floor, F.ceil)]
+    middles = local_if_small(
+        cumulative.groupBy("feature")
+        .agg(ends[0].alias("low"), ends[1].alias("high"), *[F.max(f"{s}_total").alias(f"{s}_all") for s in sums])
+        .join(gaps, "feature", "left")
+        .select(
+            "feature",
+            ((F.col("low.value") + F.col("high.value")) / 2).alias("middle"),
+            # between two values the median takes the shares of the lower one, with all filled cells
+            F.when(F.col("low.value") < F.col("high.value"), F.col("low")).alias("between"),
+            *[F.coalesce(f"{s}_gaps", F.lit(0)).alias(f"{s}_gaps") for s in sums],
+            *[f"{s}_all" for s in sums],
+        )
+    )
+
+    def shares(counts: dict[str, Column]) -> dict[str, Column]:
+        return {s: counts[s] / F.nullif(F.col(f"{s}_all") + F.col(f"{s}_gaps"), F.lit(0)) for s in sums}
+
+    filled = F.col("value") >= F.col("middle")
+    at_values = shares({s: F.col(f"{s}_before") + F.col(s) + F.when(filled, F.col(f"{s}_gaps")).otherwise(0) for s in sums})
+    at_middle = shares({s: F.col(f"between.{s}") + F.col(f"{s}_gaps") for s in sums})
+    gap = [F.greatest(*[F.abs(at["whole"] - at[f"member{i}"]) for at in (at_values, at_middle)]) for i in range(len(clients))]
+    largest = (
+        cumulative.join(middles, "feature")
+        .groupBy("feature")
+        .agg(F.array(*[F.struct(F.lit(c).alias("client"), F.max(g).alias("ks_stat")) for c, g in zip(clients, gap)]).alias("per_client"))
     )
     return largest.select("feature", F.inline("per_client")).select("client", "feature", "ks_stat")
 

@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardscope.functions.scalars import finite, not_nan, numeric_columns, quoted, text_columns
-from shardscope.operators.quantiles import exact_quantiles
-from shardscope.operators.totals import as_text, long_values, value_counts
-from shardscope.session import local_if_small
+from shardscope.operators.quantiles import order_statistics
+from shardscope.operators.totals import as_text, value_counts
 
 MOSTLY_MISSING_PCT = 95.0
 ALWAYS_ZERO_PCT = 99.999
@@ -137,67 +136,22 @@ def robust_stats(df: DataFrame, columns: Sequence[str] | None = None, by: str |
     columns = list(columns or numeric_columns(df, exclude=[by] if by else []))
     keys = [by] if by else []
     rows = df.filter(quoted(by).isNotNull()) if by else df
-    wide = local_if_small(_quartiles(rows, columns, keys))
-    deviations = local_if_small(_medians_of_deviations(rows, columns, wide, by))
-    moments = (
-        long_values(rows, columns, by=keys)
-        .groupBy(*keys, "feature")
-        .agg(
-            F.count("value").alias("count"),
-            F.avg("value").alias("mean"),
-            F.var_pop("value").alias("var"),
-            F.stddev_pop("value").alias("std"),
-            F.skewness("value").alias("skew"),
-            F.kurtosis("value").alias("kurtosis"),
-        )
-    )
-    joined = moments.join(wide, [*keys, "feature"]).join(deviations, [*keys, "feature"])
-    return joined.select(
-        *keys, "feature", "count", "mean", "median", "var", "std", "skew", "kurtosis", "q1", "q3",
-        (F.col("q3") - F.col("q1")).alias("iqr"), "mad",
+    found = order_statistics(rows, columns, [0.25, 0.5, 0.75], keys, deviation=True, moments=True)
+    q1, median, q3 = (F.get("values", F.lit(i)) for i in range(3))
+    return found.select(
+        *[quoted(k) for k in keys], "feature", F.col("n").alias("count"), "mean", median.alias("median"), "var", "std", "skew", "kurtosis",
+        q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"), "mad",
     )
 
 
-def mad(df: DataFrame, columns: Sequence[str], by: str | None = None, **options: int) -> DataFrame:
+def mad(df: DataFrame, columns: Sequence[str], by: str | None = None, **options: float) -> DataFrame:
     """``[<by>,] feature, mad``: median absolute deviation from the median.
 
-    ``options`` go to ``exact_quantiles``.
+    ``options`` go to ``order_statistics``.
     """
     keys = [by] if by else []
     rows = df.filter(quoted(by).isNotNull()) if by else df
-    middle = exact_quantiles(rows, columns, [0.5], by=keys, **options)
-    wide = local_if_small(middle.select(*keys, "feature", F.col("value").alias("median")))
-    return _medians_of_deviations(rows, columns, wide, by, **options)
-
-
-def _medians_of_deviations(
-    rows: DataFrame, columns: Sequence[str], wide: DataFrame, by: str | None, **options: int
-) -> DataFrame:
-    keys = [by] if by else []
-    found = exact_quantiles(_deviations(rows, columns, wide, by), columns, [0.5], by=keys, **options)
-    return found.select(*keys, "feature", F.col("value").alias("mad"))
-
-
-def _quartiles(rows: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    def at(prob: float) -> Column:
-        return F.max(F.when(F.col("prob") == prob, F.col("value")))
-
-    quantiles = exact_quantiles(rows, columns, [0.25, 0.5, 0.75], by=keys)
-    return quantiles.groupBy(*keys, "feature").agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
-
-
-def _deviations(rows: DataFrame, columns: Sequence[str], wide: DataFrame, by: str | None) -> DataFrame:
-    """Absolute distance of every value from its median, under the original column names."""
-    if by is None:
-        mids = {r.feature: r["median"] for r in wide.select("feature", "median").collect()}
-        return rows.select(*[F.abs(finite(quoted(c)) - F.lit(mids[c]).cast("double")).alias(c) for c in columns])
-    per_class = local_if_small(
-        wide.groupBy(F.col(by).alias("class_of_median")).agg(
-            F.map_from_entries(F.collect_list(F.struct("feature", "median"))).alias("mids")
-        )
-    )
-    joined = rows.join(per_class, rows[by] == per_class["class_of_median"])
-    return joined.select(quoted(by), *[F.abs(finite(quoted(c)) - F.col("mids")[c]).alias(c) for c in columns])
+    return order_statistics(rows, columns, [0.5], keys, deviation=True, **options).select(*[quoted(k) for k in keys], "feature", "mad")
 
 
 def leaky_name(feature: Column) -> Column:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from shardscope.functions.scalars import finite, numeric_columns, quoted
 from shardscope.functions.tails import chi2_tail, f_tail
 from shardscope.operators.clean import impute_median, most_frequent
-from shardscope.operators.quantiles import exact_quantiles
-from shardscope.operators.totals import as_text, long_values, running_totals, value_counts
+from shardscope.operators.quantiles import exact_quantiles, medians
+from shardscope.operators.totals import as_text, running_totals, value_counts
 from shardscope.session import local_if_small, settle
 
 HOT_ROWS = 100_000
@@ -141,11 +141,26 @@ def _attach_ranks(cells: DataFrame, ranks: DataFrame, rows: int, features: int)
 def anova(df: DataFrame, label: str, columns: Sequence[str] | None = None) -> DataFrame:
     """One-way F statistic and p-value per numeric feature, after filling with global medians."""
     columns = list(columns or numeric_columns(df, exclude=[label]))
-    filled = impute_median(df.filter(quoted(label).isNotNull()), columns, fitted_on=df)
+    known = [finite(quoted(c)) for c in columns]
+    # One wide aggregate: what is filled in adds to a class in closed form, so no row is filled or unfolded.
+    per_column = [F.struct(F.lit(c).alias("feature"), F.count(v).alias("known"), F.avg(v).alias("centre"), F.var_pop(v).alias("var")) for c, v in zip(columns, known)]
+    moments = df.groupBy(quoted(label).alias("class")).agg(F.count("*").alias("n"), F.array(*per_column).alias("cells"))
+    parts = settle(moments.select("class", "n", F.inline("cells")))
+    short = [r.feature for r in parts.groupBy("feature").agg((F.sum("n") - F.sum("known")).alias("gaps")).filter("gaps > 0").collect()]
+    middles = F.create_map(*[x for c, m in medians(df, short).items() for x in (F.lit(c), F.lit(m).cast("double"))]) if short else None
+    middle = F.lit(None).cast("double") if middles is None else F.try_element_at(middles, F.col("feature"))
+    gaps = F.when(F.col("middle").isNotNull(), F.col("n") - F.col("known")).otherwise(F.lit(0))
+    size = F.col("known") + F.col("gaps")
+    centre, var = F.coalesce("centre", F.lit(0.0)), F.coalesce("var", F.lit(0.0))
+    at = F.coalesce("middle", F.lit(0.0))
+    mean = (F.col("known") * centre + F.col("gaps") * at) / F.nullif(size, F.lit(0))
+    spread = F.col("known") * (var + F.pow(centre - F.col("mean"), 2)) + F.col("gaps") * F.pow(at - F.col("mean"), 2)
     per_class = (
-        long_values(filled, columns, by=[quoted(label).alias("class")])
-        .groupBy("feature", "class")
-        .agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
+        parts.filter(F.col("class").isNotNull())
+        .withColumn("middle", middle)
+        .withColumn("gaps", gaps)
+        .withColumn("mean", mean)
+        .select("feature", "class", size.alias("n"), "mean", (spread / F.nullif(size, F.lit(0))).alias("var"))
         .filter("n > 0")
     )
     grand = F.sum(F.col("n") * F.col("mean")).over(Window.partitionBy("feature")) / F.sum("n").over(

@@ -71,6 +71,8 @@ def small_table(df: DataFrame, limit: int = SMALL_ROWS) -> pa.Table | None:
 def local_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """Return a summary of at most ``limit`` rows as a local relation, anything larger unchanged.
 
+    For tables known to be short, such as classes x classes, and for written ones; what may be long is settled.
+
     Spark knows the exact size of a local relation, so a join with it becomes a broadcast join
     exactly when it fits ``spark.sql.autoBroadcastJoinThreshold``. Larger summaries stay
     distributed and are joined by shuffle, with adaptive skew handling.
@@ -80,6 +82,5 @@ def local_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
 
 
 def settle(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Run a summary once: a short one becomes local, a long one goes to the checkpoint folder."""
-    kept = local_if_small(df, limit)
-    return materialise(df) if kept is df else kept
+    """Run a summary once, into the shared folder; a short one becomes local."""
+    return local_if_small(written(df), limit)

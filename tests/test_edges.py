@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shardscope.functions.scalars import argmax, hash_order
 from shardscope.functions.tails import beta_share, gamma_tail
-from shardscope.operators import clean, clients, evaluate, features, profile, relate, sampling, totals
+from shardscope.operators import clean, clients, evaluate, features, forest, profile, quantiles, relate, sampling, totals
 from shardscope.operators.quantiles import exact_quantiles
 
 NAN, INF = float("nan"), float("inf")
@@ -67,6 +68,78 @@ def test_a_missed_bracket_is_widened(spark):
     assert [r.value for r in found] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("by", [[], ["label"]])
+def test_median_deviation_folds_the_sketch(spark, monkeypatch, by):
+    """Long groups whose brackets are cut, against numpy; then the same through the path for very many groups."""
+    rows = spark.range(40_000).select(
+        (F.col("id") % 2).cast("string").alias("label"),
+        (F.pmod(F.xxhash64("id"), F.lit(9_973)) / 7.0 - F.col("id") % 3 * 100).alias("x"),
+        F.when(F.col("id") % 3 > 0, F.floor(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(5))).cast("double")).alias("y"),
+    )
+    held = rows.toPandas()
+    expected = {}
+    for key, part in [((), held)] if not by else [((k,), v) for k, v in held.groupby("label")]:
+        for c in "xy":
+            v = part[c].dropna().to_numpy()
+            expected[*key, c] = (len(v), *np.percentile(v, [25, 50, 75]), np.median(np.abs(v - np.median(v))), v.mean())
+    for accuracy, cells in ((200, 2_000_000), (quantiles.ACCURACY, 2_000_000), (quantiles.ACCURACY, 0)):
+        monkeypatch.setattr(quantiles, "MAX_CELLS", cells if by else 2_000_000)
+        found = quantiles.order_statistics(rows, ["x", "y"], [0.25, 0.5, 0.75], by, True, True, accuracy).collect()
+        assert {(*[r[b] for b in by], r.feature): (r.n, *r["values"], r.mad, r["mean"]) for r in found} == {k: pytest.approx(v) for k, v in expected.items()}
+
+
+def test_brackets_hold_few_values(spark):
+    """The second scan of a long table keeps a small share of it, and counts the rest."""
+    rows = spark.range(200_000).select(F.lit(0).alias("group_key"), (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / 3.0).alias("v0"), F.lit(0).alias("g"))
+    found = quantiles._sketch(rows, 1, [0.5], 2e-4, True, False, quantiles.ACCURACY).toArrow().to_pylist()
+    brackets = quantiles._brackets(found, np.array([[200_000]]), [0.5], 2e-4, True, quantiles.ACCURACY)
+    kept = quantiles._kept(rows, brackets, 1)
+    sizes = {r.slot: r.n for r in kept.where("value IS NOT NULL").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
+    assert 0 < sizes[0] < 400 and 0 < sizes[1] < 2_000
+
+
+def test_tables_without_rows(spark, odd):
+    """Empty slices are common: every operator that stands on percentiles answers with NULL or with no rows."""
+    none, numbers = odd.limit(0), ["x", "holes"]
+    assert [(r.feature, r.n, r.value) for r in exact_quantiles(none, numbers, [0.5]).orderBy("feature").collect()] == [("holes", 0, None), ("x", 0, None)]
+    assert exact_quantiles(none, numbers, [0.5], ["label"]).count() == 0
+    assert {(r["count"], r.median, r.mad, r["mean"]) for r in profile.robust_stats(none, numbers).collect()} == {(0, None, None, None)}
+    assert profile.robust_stats(none, numbers, "label").count() == 0
+    assert {r.mad for r in profile.mad(none, numbers).collect()} == {None} and profile.mad(none, numbers, "label").count() == 0
+    assert clean.robust_scale(none, numbers).count() == 0 and clean.impute_median(none, numbers).count() == 0
+    filled = clean.impute_median(odd, numbers, fitted_on=none)
+    assert filled.count() == odd.count() and filled.filter("x is null").count() == odd.filter("x is null").count()
+    assert {r.x for r in clean.robust_scale(odd, ["x"], fitted_on=none).collect()} == {None}
+    assert clean.robust_scale_per_client(none.withColumnRenamed("label", "client"), numbers).count() == 0
+    assert relate.mutual_info(none, "label", numbers).count() == 0
+    assert relate.anova(none, "label", numbers).count() == 0
+    assert relate.pearson(none, numbers).filter("r <> 0").count() == 0
+    assert clients.ks_drift(none, {"c": ["a"]}, "label", numbers).count() == 0
+    found = forest.principal_components(none.withColumn("id", F.lit(1)), "label", numbers, ["id"])
+    assert found.variance.count() == 0 and found.scores.count() == 0
+    with pytest.raises(ValueError, match="labelled rows"):
+        forest.fit_numeric_forest(none, "label", numbers)
+
+
+def test_drift_of_filled_cells(spark):
+    """Missing cells count as the global median, which may lie between two values; against the plain definition."""
+    draw = np.random.default_rng(3)
+    rows = [(["a", "b", "c"][i % 3], None if draw.random() < 0.3 else float(draw.integers(0, 8)) + (0.25 if i % 3 == 0 else 0), float(i % 4) if i % 2 else None) for i in range(90)]
+    rows += [("a", None, 1.0)] * 20
+    table = spark.createDataFrame(rows, "label string, x double, y double")
+    held = table.toPandas()
+    holders = {"one": ["a"], "two": ["b", "c"]}
+    expected = {}
+    for f in "xy":
+        v = held[f].fillna(held[f].median())
+        points = np.sort(v.unique())
+        for client, labels in holders.items():
+            own = v[held.label.isin(labels)]
+            expected[client, f] = max(abs((v <= p).mean() - (own <= p).mean()) for p in points)
+    found = {(r.client, r.feature): r.ks_stat for r in clients.ks_drift(table, holders, "label").collect()}
+    assert found == {k: pytest.approx(v) for k, v in expected.items()}
+
+
 def test_missing_counts(odd):
     found = by_feature(profile.missingness(odd))
     assert found["nothing",].missing_pct == 100 and found["nothing",].nunique_non_null == 0
