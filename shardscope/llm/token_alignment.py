@@ -34,7 +34,7 @@ A_MODEL, A_RANKS, B_MODEL = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece
 #: Ends of both sides in a piece.
 PIECE = 1 << 14
 #: A pair with 1 / SHARE of all links is sent to the tasks.
-SHARE = 1 << 17
+SHARE = 1 << 20
 #: Tokens that an array step takes at once, and distinct pairs a task holds before it hands them on.
 STEP, HELD = 1 << 20, 1 << 21
 #: Texts with a longer run go to A through its own file.
