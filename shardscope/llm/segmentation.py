@@ -36,6 +36,8 @@ SPACE = 0xFF
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 SLOT_BITS = 20
 LIFT, EARLY = 37.5, 128
+#: Steps of all paths that are looked at together.
+WIDEST = 1 << 20
 
 
 def model_path(name: str = MODEL) -> str:
@@ -163,17 +165,22 @@ def lattice(data: np.ndarray, rest: np.ndarray, pieces: Pieces) -> Lattice:
     start, length, place = start[order], length[order], place[order]
     piece, weight = pieces.ids[place], pieces.weights[place]
     del order, place
-    heads = np.searchsorted(start, np.arange(n + 1))
+    heads = np.concatenate([[0], np.cumsum(np.bincount(start, minlength=n))])
     # backward sums, all nodes with the same number of bytes left at once
     beta = np.zeros(n + 1)
-    by_rest = np.argsort(rest[start], kind="stable").astype(np.int32)
-    left = rest[start[by_rest]]
+    left = rest[start]
+    short = left.astype(np.int16) if len(left) and left.max() < 1 << 15 else left  # sorted by digits
+    by_rest = np.argsort(short, kind="stable").astype(np.int32)
+    left = left[by_rest]
     cuts = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1], [True]]))
     for lo, hi in zip(cuts[:-1], cuts[1:]):
         e = by_rest[lo:hi]
-        value = weight[e] + np.where(length[e] == rest[start[e]], 0.0, beta[start[e] + length[e]])
-        head = np.flatnonzero(np.concatenate([[True], start[e][1:] != start[e][:-1]]))
-        beta[start[e][head]] = np.logaddexp.reduceat(value, head)
+        node = start[e]
+        value = weight[e] + np.where(length[e] == left[lo], 0.0, beta[node + length[e]])
+        head = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        top = np.maximum.reduceat(value, head)
+        raised = np.exp(value - np.repeat(top, np.diff(np.append(head, len(e)))))
+        beta[node[head]] = top + np.log(np.add.reduceat(raised, head))
     logs = weight + np.where(length == rest[start], 0.0, beta[start + length]) - beta[start]
     sums = np.cumsum(np.exp(logs))
     first = heads[start]
@@ -186,9 +193,9 @@ def lattice(data: np.ndarray, rest: np.ndarray, pieces: Pieces) -> Lattice:
     return Lattice(rest, start, length, piece, logs, aside, upto, heads)
 
 
-def _folded(*parts: np.ndarray | int) -> np.ndarray:
-    """One hash of ``parts``, numbers or arrays of one length."""
-    h = np.zeros(1, np.uint64)
+def _folded(*parts: np.ndarray | int, start: np.ndarray | None = None) -> np.ndarray:
+    """One hash of ``parts``, numbers or arrays of one length, going on from the hash ``start``."""
+    h = np.zeros(1, np.uint64) if start is None else start
     with np.errstate(over="ignore"):
         for p in parts:
             h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + np.asarray(p, np.uint64) + np.uint64(0x632BE59BD9B4E019))
@@ -200,10 +207,13 @@ def _uniform(*parts: np.ndarray | int) -> np.ndarray:
     return ((_folded(*parts) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
-def _walk(lat: Lattice, nodes: np.ndarray, keys: np.ndarray, sample: int, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Draw edges from each node to its unit's end: the edges, one unit after another, and where each unit's begin."""
+def _walk(lat: Lattice, nodes: np.ndarray, chances: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Draw edges from each node to its unit's end: the edges, one unit after another, and where each unit's begin.
+
+    ``chances`` are hashes of row key and sample, folded with the unit here.
+    """
     active, now, drawn = np.arange(len(nodes)), nodes, []
-    chance, step = _folded(keys, sample, units), 0
+    chance, step = _folded(units, start=chances), 0
     while len(active):
         edge = lat.heads[now]
         open_ = np.flatnonzero(lat.heads[now + 1] - edge > 1)
@@ -247,26 +257,36 @@ class Path:
         return float(lat.logs[self.edges].sum())
 
 
-def _regions(lat: Lattice, edges: np.ndarray, before: float, value: float, chance: np.uint64, most: int) -> np.ndarray:
-    """Values of the regions that the steps of ``edges`` leave aside; -inf where one cannot be among the ``most`` largest.
+def _regions(lat: Lattice, edges: np.ndarray, begins: np.ndarray, before: np.ndarray, value: np.ndarray, chance: np.ndarray, most: int) -> list[np.ndarray]:
+    """Per path, the values of the regions that its steps leave aside; -inf, or past the end, where one cannot be among its ``most`` largest.
 
-    A uniform number of 53 bits lifts a location by less than ``LIFT``, so late steps whose location lies further below the values of the
-    first ones need no number at all.
+    Path p has ``edges[begins[p] : begins[p + 1]]``. A uniform number of 53 bits lifts a location by less than ``LIFT``, and no location lies above what the steps before it
+    leave, so late steps need no number, and no look at all once that is too low. All paths go on together, each along its own row.
     """
-    location = np.empty(len(edges))
-    if len(edges):
-        location[0] = before
-        np.cumsum(lat.logs[edges[:-1]], out=location[1:])
-        location[1:] += before
-        location += lat.aside[edges]
-    out = np.full(len(edges), -np.inf)
-    at = np.arange(min(len(edges), EARLY))
-    out[at] = _truncated(location[at], value, _uniform(at.astype(np.uint64) + chance))
-    if len(edges) > EARLY:
-        floor = np.partition(out[:EARLY], EARLY - most)[EARLY - most] if most <= EARLY else -np.inf
-        at = EARLY + np.flatnonzero(location[EARLY:] + LIFT >= floor)
-        out[at] = _truncated(location[at], value, _uniform(at.astype(np.uint64) + chance))
-    return out
+    lengths = np.diff(begins)
+    parts: list[list[np.ndarray]] = [[np.zeros(0)] for _ in lengths]
+    prefix, floor = np.array(before, float), np.full(len(lengths), -np.inf)
+    open_, first, width = np.flatnonzero(lengths), 0, EARLY
+    while len(open_):
+        left = []
+        for on in np.array_split(open_, -(-len(open_) * width // WIDEST)):
+            size = np.minimum(width, lengths[on] - first)
+            inside = np.arange(width) < size[:, None]
+            edge = edges[np.where(inside, (begins[on] + first)[:, None] + np.arange(width), 0)]
+            upto = np.cumsum(np.where(inside, lat.logs[edge], 0.0), axis=1)
+            location = lat.aside[edge] + prefix[on, None]
+            location[:, 1:] += upto[:, :-1]
+            row, step = np.nonzero(inside & (location + LIFT >= floor[on, None]))
+            found = np.full(location.shape, -np.inf)
+            found[row, step] = _truncated(location[row, step], value[on][row], _uniform((first + step).astype(np.uint64) + chance[on][row]))
+            if first == 0 and most <= EARLY:
+                floor[on] = np.partition(found, EARLY - most, axis=1)[:, EARLY - most]
+            for k, p in enumerate(on.tolist()):
+                parts[p].append(found[k, : size[k]].copy())
+            prefix[on] += upto[:, -1]
+            left.append(on[(lengths[on] > first + width) & (prefix[on] + LIFT >= floor[on])])
+        open_, first, width = np.concatenate(left), first + width, min(width * 8, 1 << 13)
+    return [np.concatenate(p) for p in parts]
 
 
 def segment(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces: Pieces, samples: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -304,18 +324,18 @@ def segment(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces: Pie
     roots = -np.log(-np.log(_uniform(seeds, 0, 1 << 41)))
     counts = np.diff(first_unit)
     within = np.arange(len(starts)) - np.repeat(first_unit[:-1], counts)
-    edges, begins = _walk(lat, at, np.repeat(seeds, counts), 0, within) if lat else (at, np.zeros(1, np.int64))
+    edges, begins = _walk(lat, at, np.repeat(_folded(seeds, 0), counts), within) if lat else (at, np.zeros(1, np.int64))
     unit_of = np.repeat(within, np.diff(begins))
     chances_of = _folded(seeds, 0, 1 << 40)
     paths: list[list[Path]] = []
-    for t in range(n):
-        lo, hi = begins[first_unit[t]], begins[first_unit[t + 1]]
-        own = edges[lo:hi]
-        regions = _regions(lat, own, 0.0, float(roots[t]), chances_of[t], samples + 1) if lat else np.zeros(0)
-        paths.append([Path(own, unit_of[lo:hi], float(roots[t]), regions, 0, {})])
+    cuts = begins[first_unit]
+    regions = _regions(lat, edges, cuts, np.zeros(n), roots, chances_of, samples + 1) if lat else [np.zeros(0)] * n
+    for t, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
+        paths.append([Path(edges[lo:hi], unit_of[lo:hi], float(roots[t]), regions[t], 0, {})])
     for sample in range(1, samples):
         turns, nodes, node_units, node_keys, sizes = [], [], [], [], []
-        chances_of, picks, rests = _folded(seeds, sample, 1 << 40), _uniform(seeds, sample, 1 << 42), _uniform(seeds, sample, 1 << 43)
+        begun = _folded(seeds, sample)
+        chances_of, picks, rests = _folded(1 << 40, start=begun), _uniform(seeds, sample, 1 << 42), _uniform(seeds, sample, 1 << 43)
         for t in range(n):
             best = _best(paths[t]) if len(paths[t]) == sample else None
             if best is None:
@@ -341,21 +361,22 @@ def segment(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces: Pie
             nodes += [np.array(rest_of, np.int64), later]
             numbers = np.concatenate([np.full(len(rest_of), unit), np.arange(unit + 1, unit + 1 + len(later))])
             node_units.append(numbers)
-            node_keys.append(np.full(len(numbers), seeds[t]))
+            node_keys.append(np.full(len(numbers), begun[t]))
             sizes.append(len(numbers))
             turns.append((t, path, step, edge, value, prefix))
         if not turns:
             break
         units = np.concatenate(node_units)
-        edges, begins = _walk(lat, np.concatenate(nodes), np.concatenate(node_keys), sample, units)
+        edges, begins = _walk(lat, np.concatenate(nodes), np.concatenate(node_keys), units)
         edge_units = np.repeat(units, np.diff(begins))
         begins = begins[np.concatenate([[0], np.cumsum(sizes)])]
-        for (t, path, step, edge, value, prefix), lo, hi in zip(turns, begins[:-1], begins[1:]):
-            own = edges[lo:hi]
-            regions = _regions(lat, own, prefix + float(lat.logs[edge]), value, chances_of[t], samples + 1)
-            all_edges = np.concatenate([path.edges[:step], [edge], own])
+        before = np.array([prefix + float(lat.logs[edge]) for _, _, _, edge, _, prefix in turns])
+        values, own_chances = np.array([turn[4] for turn in turns]), chances_of[[turn[0] for turn in turns]]
+        regions = _regions(lat, edges, begins, before, values, own_chances, samples + 1)
+        for k, ((t, path, step, edge, value, _), lo, hi) in enumerate(zip(turns, begins[:-1], begins[1:])):
+            all_edges = np.concatenate([path.edges[:step], [edge], edges[lo:hi]])
             all_units = np.concatenate([path.units[: step + 1], edge_units[lo:hi]])
-            paths[t].append(Path(all_edges, all_units, value, regions, step + 1, {}))
+            paths[t].append(Path(all_edges, all_units, value, regions[k], step + 1, {}))
     out = []
     for own in paths:
         best = _best(own)
