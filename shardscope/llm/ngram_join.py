@@ -6,8 +6,9 @@
    the level, a third of all shingles; they are counted over all documents and joined back, hot shingles aggregating before the shuffle.
    Shingles of one document come first and are never sent on, so texts with enough of their own have no candidates at all.
 3. The sets of a prefix shingle meet at the smallest of them, their hub. A hub's sets are verified in blocks of bounded size.
-   In a block, index lists run by set size and are read whole: nothing is skipped where sizes cannot match. The overlaps of a set that
-   is close to its predecessor are the predecessor's, corrected by the lists of the few shingles in which the two differ.
+   In a block, index lists run by set size and are read from the first size that can match up to the set itself; what lies before and after is
+   skipped by position. The overlaps of a set that is close to its predecessor are the predecessor's, corrected by the lists of the few shingles in
+   which the two differ, and counted anew only for the sizes that the predecessor could not match.
 4. Where a hub has several blocks, each holds the hub too. Sets that its links do not tie to the hub meet all other blocks in a second
    pass; two sets that are tied to it need no link of their own to be in one component. No pair is ever expanded.
 """
@@ -107,19 +108,22 @@ def _hubs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(kept.join(met, "token").select("hub", "node", "n").distinct(), "hubs")
 
 
-def block_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links (i, j) that span the components of the similar pairs among ``sets``; ``sets`` are sorted and not empty."""
+def block_links(sets: list[np.ndarray], percent: int = PERCENT, tally: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) that span the components of the similar pairs among ``sets``; ``sets`` are sorted and not empty.
+
+    ``tally`` is given the number of entries of index lists that each step read.
+    """
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    sizes = np.array([len(sets[i]) for i in order])
+    n, sizes = len(order), np.array([len(sets[i]) for i in order])
     flat = np.concatenate([sets[i] for i in order])
     _, flat = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(len(order)), sizes)
-    # index lists by token, each in the order of sizes
-    by_token = np.argsort(flat, kind="stable")
-    lists, heads = owner[by_token], np.searchsorted(flat[by_token], np.arange(flat.max() + 2))
+    owner = np.repeat(np.arange(n), sizes)
+    # index lists by token, each in the order of sizes: a place in all of them is token * n + set
+    places = np.sort(flat * n + owner)
+    lists = places % n
     ends = np.cumsum(sizes)
     own = [np.sort(flat[e - s : e]) for s, e in zip(sizes, ends)]
-    parent = list(range(len(order)))
+    parent = list(range(n))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -127,32 +131,35 @@ def block_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[in
             i = parent[i]
         return i
 
-    def counted(tokens: np.ndarray, first: int) -> np.ndarray:
-        """How many of ``tokens`` each set from ``first`` on holds."""
-        parts = []
-        for t in tokens:
-            part = lists[heads[t] : heads[t + 1]]
-            if len(part) > 1:
-                parts.append(part[np.searchsorted(part, first) :] if part[0] < first else part)
-        return np.bincount(np.concatenate(parts), minlength=len(order)) if parts else np.zeros(len(order), np.int64)
-
-    links, overlaps, before = [], None, None
-    for i in range(len(order) - 1, -1, -1):
+    def counted(tokens: np.ndarray, first: int, last: int) -> np.ndarray:
+        """How many of ``tokens`` each set from ``first`` to before ``last`` holds. Lists are entered and left by position; the rest of them is skipped."""
+        enter, leave = (np.searchsorted(places, tokens * n + at) for at in (first, last))
+        size = leave - enter
+        if tally is not None:
+            tally.append(int(size.sum()))
+        at = np.repeat(enter - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.bincount(lists[at] - first, minlength=last - first)
+
+    links: list[tuple[int, int]] = []
+    # overlaps with the sets from ``known`` on of the set ``before``
+    overlaps, known, before = None, 0, 0
+    for i in range(n - 1, -1, -1):
         least = int(np.searchsorted(sizes, -(-int(sizes[i]) * percent // 100)))
-        if least == i and (i == 0 or sizes[i - 1] < sizes[least]):
+        if least == i:
             overlaps = None
             continue
-        if overlaps is not None:
+        derived = overlaps is not None and known <= i
+        if derived:
             gone, come = np.setdiff1d(own[before], own[i], True), np.setdiff1d(own[i], own[before], True)
-            if len(gone) + len(come) < len(own[i]) // 2:
-                overlaps = overlaps - counted(gone, 0) + counted(come, 0)
-            else:
-                overlaps = counted(own[i], 0)
+            derived = len(gone) + len(come) < len(own[i]) // 2
+        if derived:
+            # sets too small for the larger set before are met here for the first time
+            upper = overlaps[: i - known] - counted(gone, known, i) + counted(come, known, i)
+            overlaps = np.concatenate([counted(own[i], least, known), upper])
         else:
-            overlaps = counted(own[i], 0)
-        before = i
-        inside = overlaps[least:i]
-        similar = 100 * inside >= percent * (sizes[i] + sizes[least:i] - inside)
+            overlaps = counted(own[i], least, i)
+        known, before = least, i
+        similar = 100 * overlaps >= percent * (sizes[i] + sizes[least:i] - overlaps)
         for j in (np.flatnonzero(similar) + least).tolist():
             a, b = root(i), root(j)
             if a != b:
