@@ -1,11 +1,13 @@
-"""Exact duplicates by a tree merge of digest runs, with DataFrame operations only.
+"""Exact duplicates by a tree merge of sorted digest runs, with DataFrame operations only.
 
 Every text is reduced to its SHA-256, its byte length and a second hash, so that a group is only formed where all three agree.
-The rows of a partition start in one of ``runs`` runs. In every round ``fan_in`` neighbouring runs exchange their digests and are merged: equal digests
-become one entry that keeps the winning row and the number of rows. Rounds are keyed by (run, digest), so that no task holds a
-run, and copies shrink to one entry per run before the first shuffle: a text that a third of all rows share is a handful of
-entries. After the last round one entry per text is left and is joined back to the rows on the digest; that join is a plain
-equi-join whose hot side adaptive execution may split.
+The rows of a partition are one run. First every task sorts its rows by digest and merges equal ones into one entry that keeps the winning row and
+the number of rows, so that a text that a third of all rows share is a handful of entries before anything is shuffled.
+Then runs exchange their entries in binomial rounds: in round r the ``fan_in`` runs that differ in the r-th digit of their number deal their entries to
+one another by the r-th digit of the digest. What a run receives is sorted by digest and the equal entries of its partners,
+now side by side, are merged in a pass over the sorted run. After the last round a run holds all entries of its part of the digests, once each;
+no run ever holds more than its share, and there are as many runs as the session has shuffle partitions. The entries are joined back to the rows on
+the digest; that join is a plain equi-join whose hot side adaptive execution may split.
 """
 
 from __future__ import annotations
@@ -30,27 +32,42 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     )
 
 
-def merge_runs(rows: DataFrame, runs: int = 64, fan_in: int = 4, keep: str = "largest") -> DataFrame:
+def merge_runs(rows: DataFrame, runs: int | None = None, fan_in: int = 4, keep: str = "largest") -> DataFrame:
     """One row per text: digest columns, ``keep`` (struct of identifier and row number) and ``group_size``.
 
-    ``keep`` is the largest or smallest identifier; null is smaller than any identifier. The result does not depend on ``runs``.
+    ``keep`` is the largest or smallest identifier; null is smaller than any identifier. The result depends neither on ``runs`` (raised to a power of
+    ``fan_in``; by default at least the session's shuffle partitions) nor on ``fan_in``.
     """
     if keep not in ("largest", "smallest"):
         raise ValueError("keep is 'largest' or 'smallest'")
     best = F.max if keep == "largest" else F.min
+    wanted = runs or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rounds = 0
+    while fan_in**rounds < wanted:
+        rounds += 1
+    total = fan_in**rounds
+
+    def merged(level: DataFrame) -> DataFrame:
+        return level.groupBy("_llm_run", *DIGEST).agg(best("keep").alias("keep"), F.sum("group_size").alias("group_size"))
+
+    def dealt(level: DataFrame, digit: int) -> DataFrame:
+        """The run whose ``digit`` is that of the digest, the other digits unchanged."""
+        unit = fan_in**digit
+        own = F.floor(F.col("_llm_run") / unit) % fan_in
+        part = F.floor(F.pmod(F.col("_llm_check"), F.lit(total)) / unit) % fan_in
+        return level.withColumn("_llm_run", (F.col("_llm_run") + (part - own) * unit).cast("long"))
+
     level = rows.select(
         *DIGEST,
-        F.pmod(F.shiftright("_llm_row", 33), F.lit(runs)).alias("_llm_run"),
+        F.pmod(F.shiftright("_llm_row", 33), F.lit(total)).cast("long").alias("_llm_run"),
         F.struct("doc_id", "_llm_row").alias("keep"),
         F.lit(1).cast("long").alias("group_size"),
     )
-    left = runs
-    while True:
-        level = level.groupBy("_llm_run", *DIGEST).agg(best("keep").alias("keep"), F.sum("group_size").alias("group_size"))
-        if left == 1:
-            return level.drop("_llm_run")
-        left = -(-left // fan_in)
-        level = level.withColumn("_llm_run", F.floor(F.col("_llm_run") / fan_in)) if left > 1 else level.withColumn("_llm_run", F.lit(0).cast("long"))
+    # the first round: its partial aggregates are the sorted runs of the partitions, each digest once
+    level = merged(dealt(level, 0) if rounds else level)
+    for digit in range(1, rounds):
+        level = merged(dealt(level, digit).repartition(total, "_llm_run").sortWithinPartitions("_llm_run", *DIGEST))
+    return level.drop("_llm_run")
 
 
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "largest") -> DataFrame:
