@@ -79,7 +79,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     ranges = ranges.join(by_source.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     end = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     ranges = ranges.withColumn("end", end).withColumn("begin", F.col("end") - F.col("words"))
-    ranges = ranges.withColumn("inside", F.when(F.col("end") <= F.col("budget"), 1).when(F.col("begin") >= F.col("budget"), 0))
+    # a source whose target is whole epochs has no budget left, not even for texts without words
+    inside = F.when(F.col("budget") <= 0, 0).when(F.col("end") <= F.col("budget"), 1).when(F.col("begin") >= F.col("budget"), 0)
+    ranges = ranges.withColumn("inside", inside)
     ranges = written(ranges, "ranges").withColumnsRenamed({"source": "_s", "bucket": "_b"})
     placed = rows.join(ranges, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")))
     # only the range in which the budget ends is put in order; a row is taken when its middle lies within the budget
@@ -93,19 +95,23 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: every document as often as it is taken, with the columns it came with."""
+    """The mix itself: every document as often as it is taken, with the columns it came with, whatever their names.
+
+    Documents without words are taken in the whole epochs of their source, and in the fractional one when their key is before its end. A null
+    identifier or source is one like any other; an empty table gives no rows.
+    """
     words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), 0)
     chosen = mix(docs, key, text, source).where("copies > 0").select(
-        F.col("doc_id").alias("_llm_id"), F.col("source").alias("_llm_source"), F.col("size").alias("_llm_size"),
-        F.col("kinds").alias("_llm_kinds"), F.col("copies").cast("int").alias("_llm_copies"),
-    )
-    rows = docs.withColumn("_llm_words", words).select(
-        *docs.columns, F.size("_llm_words").alias("_llm_n"), F.size(F.array_distinct("_llm_words")).alias("_llm_d")
+        F.col("doc_id").alias("id_taken"), F.col("source").alias("source_taken"), F.col("size").alias("size_taken"),
+        F.col("kinds").alias("kinds_taken"), F.col("copies").cast("int").alias("copies"),
     )
-    same = F.col(key).eqNullSafe(F.col("_llm_id")) & F.col(source).eqNullSafe(F.col("_llm_source"))
-    same = same & (F.col("_llm_n") == F.col("_llm_size")) & (F.col("_llm_d") == F.col("_llm_kinds"))
-    repeated = rows.join(chosen, same).withColumn("_llm_copy", F.explode(F.sequence(F.lit(1), F.col("_llm_copies"))))
-    return repeated.select(*docs.columns)
+    # the caller's columns travel as one struct, so their names meet none of these
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), words.alias("words"))
+    rows = rows.select("row", F.size("words").alias("size"), F.size(F.array_distinct("words")).alias("kinds"))
+    same = F.col("row")[key].eqNullSafe(F.col("id_taken")) & F.col("row")[source].eqNullSafe(F.col("source_taken"))
+    same = same & (F.col("size") == F.col("size_taken")) & (F.col("kinds") == F.col("kinds_taken"))
+    repeated = rows.join(chosen, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return repeated.select("row.*")
 
 
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:

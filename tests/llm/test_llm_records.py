@@ -52,6 +52,15 @@ def test_mixing(docs, none):
     assert mixing.mixed_rows(docs).columns == docs.columns
 
 
+def test_no_document_is_taken_more_often_than_its_epochs(spark):
+    """A small source reaches its cap of two epochs; its empty texts are taken twice like all others, whatever the columns are called."""
+    rows = [(i, "" if i % 3 == 0 else f"a{i} b c", "small", 1, 2, 3) for i in range(30)] + [(100 + i, f"x{i} y z " * 9, "tall", 1, 2, 3) for i in range(40)]
+    names = "doc_id long, text string, source string, _llm_n int, _llm_words int, copies int"
+    made = Counter(r.doc_id for r in mixing.mixed_rows(spark.createDataFrame(rows, names)).collect())
+    assert {made[i] for i in range(30)} == {2} and max(made.values()) == 2
+    assert mixing.mixed_rows(spark.createDataFrame(rows, names)).columns == ["doc_id", "text", "source", "_llm_n", "_llm_words", "copies"]
+
+
 def test_mixing_prefers_quality(spark):
     """Of equally many texts with and without repetition fewer repetitive ones are taken."""
     good = [" ".join(f"g{i}x{j}" for j in range(20)) for i in range(200)]
