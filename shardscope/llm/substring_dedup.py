@@ -30,8 +30,6 @@ from shardscope.llm.common import key_filter, maybe_in, reach_workers, signed, s
 WINDOW, ANCHOR = 20, 10
 #: Words of a shard's references and of a block of streamed pieces (aims, not limits), and of the range whose owners share a shard.
 SHARD_WORDS, BLOCK_WORDS, RANGE_WORDS = 40_000, 400_000, 8192
-#: A place is mark << PLACE_BITS | word; the mark tells texts of one identifier apart.
-PLACE_BITS = 40
 
 
 def anchors(words: np.ndarray, first: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,16 +59,17 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
                 starts, ends, first = word_bounds(data, offsets)
                 hashes, at, _, _ = anchors(word_hashes(data, starts, ends), first, window)
                 owner = np.searchsorted(first, at, "right") - 1
-                place = (marks[row + owner].astype(np.int64) << PLACE_BITS) | (at - first[owner])
-                ids = batch.column(0).take(pa.array(row + owner))
+                place = (at - first[owner]).astype(np.int32)
+                ids, own = batch.column(0).take(pa.array(row + owner)), marks[row + owner]
                 for k in range(0, max(len(at), 1), 1 << 16):
                     end = k + (1 << 16)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(hashes[k:end])), ids[k:end], pa.array(place[k:end])], ["h", "d", "place"])
+                    found = [pa.array(signed(hashes[k:end])), ids[k:end], pa.array(own[k:end]), pa.array(place[k:end])]
+                    yield pa.RecordBatch.from_arrays(found, ["h", "d", "mark", "place"])
 
-    return docs.select("d", "mark", "text").mapInArrow(run, "h long, d long, place long")
+    return docs.select("d", "mark", "text").mapInArrow(run, "h long, d long, mark long, place int")
 
 
-PIECES = "shard long, role int, d long, mark int, start int, n int, piece binary"
+PIECES = "shard long, role int, d long, mark long, start int, n int, piece binary"
 
 
 def _pieces(docs: DataFrame, hits: DataFrame, shards: int, window: int) -> DataFrame:
@@ -179,7 +178,7 @@ class Automaton:
         return out[window - 1 :]
 
 
-FOUND = "d long, mark int, lo int, hi int, h1 long, h2 long"
+FOUND = "d long, mark long, lo int, hi int, h1 long, h2 long"
 
 
 def _streamed(pieces: DataFrame, window: int) -> DataFrame:
@@ -220,18 +219,15 @@ def _streamed(pieces: DataFrame, window: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """d, mark, lo, hi: spans of words covered by windows that start earlier too. ``docs`` has d, mark and text."""
     rows = _anchor_rows(docs, window)
-    firsts = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("d", "place")).alias("first")).where("n > 1").drop("n")
+    firsts = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("d", "mark", "place")).alias("first")).where("n > 1").drop("n")
     # written first: the join then has both its shuffles to itself, and a hot anchor's side of it can be split
     firsts = written(firsts, "firsts")
-    hits = written(rows.join(firsts, "h").select("d", "place", F.col("first.d").alias("fd"), F.col("first.place").alias("fp")), "hits")
-    own = (F.col("d") == F.col("fd")) & (F.col("place") == F.col("fp"))
-    mask = (1 << PLACE_BITS) - 1
+    firsts_of = [F.col(f"first.{c}").alias(n) for c, n in (("d", "fd"), ("mark", "fm"), ("place", "fp"))]
+    hits = written(rows.join(firsts, "h").select("d", "mark", "place", *firsts_of), "hits")
+    own = (F.col("d") == F.col("fd")) & (F.col("mark") == F.col("fm")) & (F.col("place") == F.col("fp"))
     shards = max(1, hits.where(own).count() * (window - ANCHOR) // SHARD_WORDS)
-    word = F.col("fp").bitwiseAND(F.lit(mask))
-    to = F.pmod(F.xxhash64("fd", F.shiftright("fp", PLACE_BITS), F.floor(word / RANGE_WORDS)), F.lit(shards))
-    named = hits.select(
-        "d", F.shiftright("place", PLACE_BITS).cast("int").alias("mark"), F.col("place").bitwiseAND(F.lit(mask)).cast("int").alias("at"), to.alias("to"), own.alias("own")
-    )
+    to = F.pmod(F.xxhash64("fd", "fm", F.floor(F.col("fp") / RANGE_WORDS)), F.lit(shards))
+    named = hits.select("d", "mark", F.col("place").alias("at"), to.alias("to"), own.alias("own"))
     found = written(_streamed(written(_pieces(docs, named, shards, window), "pieces"), window), "found")
     open_ = found.where("h1 IS NOT NULL").withColumn("own", F.struct("d", "mark", "lo"))
     least = open_.groupBy("h1", "h2").agg(F.min("own").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -251,7 +247,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     reach_workers(docs.sparkSession)
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    mark = F.xxhash64(whole).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    # tells texts of one identifier apart
+    mark = F.xxhash64(whole)
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("d"), mark.alias("mark"), whole.alias("text"))
     spans = repeated_spans(plain.select("d", "mark", "text"), window)
     spans = written(spans.groupBy("d", "mark").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "spans")

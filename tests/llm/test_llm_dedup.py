@@ -37,7 +37,7 @@ def test_exact_duplicates(spark, docs):
 
 @pytest.mark.parametrize("runs, fan_in", [(1, 2), (5, 2), (64, 8)])
 def test_merge_does_not_depend_on_runs(docs, runs, fan_in):
-    rows = exact_dedup.digests(docs).cache()
+    rows = exact_dedup.digests(docs.repartition(7)).cache()
     one = {r.text_sha256: (r.keep.doc_id, r.group_size) for r in exact_dedup.merge_runs(rows, 64, 4, "smallest").collect()}
     assert one == {r.text_sha256: (r.keep.doc_id, r.group_size) for r in exact_dedup.merge_runs(rows, runs, fan_in, "smallest").collect()}
     with pytest.raises(ValueError):
@@ -72,6 +72,24 @@ def test_block_links_equal_all_pairs():
         assert plain.components(range(size), found) == plain.components(range(size), real)
 
 
+def test_index_lists_are_skipped_where_sizes_cannot_match():
+    """Sets of sizes from 20 to 400 that all share twenty tokens: a list entered whole would be read to its end for every set."""
+    shared = list(range(20))
+    sets = [np.array(sorted([*shared, *range(1000 * i, 1000 * i + 4 * i)]), np.uint64) for i in range(1, 96)]
+    sets += [np.array(sorted([*s.tolist()[:-1], 9_000_000 + i]), np.uint64) for i, s in enumerate(sets)]
+    tally = []
+    found = ngram_join.block_links(sets, tally=tally)
+    real = [
+        (i, j) for i in range(len(sets)) for j in range(i)
+        if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))
+    ]
+    assert plain.components(range(len(sets)), found) == plain.components(range(len(sets)), real)
+    sizes = [len(s) for s in sets]
+    could = sum(len(shared) for a in sizes for b in sizes if 75 * a <= 100 * b <= 100 * a)
+    every = len(shared) * len(sets) ** 2
+    assert sum(tally) < every / 3 and sum(tally) < 1.2 * could
+
+
 @pytest.mark.parametrize("block", [1_000_000, 90])
 def test_near_duplicates(spark, docs, block):
     """With small blocks every hub is split, and its loose sets meet the other blocks."""
@@ -138,3 +156,14 @@ def test_repeated_rows_count_as_one_document(spark):
     df = spark.createDataFrame([(d, t, None, None, 0, 0, 0.0, "") for d, t in rows], plain.SCHEMA)
     found = Counter((r.doc_id, r.n_removed) for r in substring_dedup.without_repeats(df).collect())
     assert found == Counter({(None, 0): 1, (4, 25): 2, (8, 25): 1})
+
+
+def test_texts_of_one_identifier_are_told_apart(spark):
+    """Two texts of an identifier whose hashes agree in their last 16 bits: only the one that repeats a passage loses it."""
+    made = spark.range(60_000).selectExpr("concat('own', id, ' ', array_join(transform(sequence(1, 30), i -> concat('q', id, 'x', i)), ' ')) AS text")
+    twins = made.selectExpr("text", "xxhash64(text) & 65535 AS m").groupBy("m").agg({"text": "min", "m": "count"}).where("`count(m)` > 1").limit(1).collect()[0]
+    other = made.where(f"xxhash64(text) & 65535 = {twins.m}").where(f"text <> '{twins['min(text)']}'").first().text
+    passage = twins["min(text)"]
+    rows = [(1, passage), (7, passage), (7, other)]
+    found = {(r.doc_id, r.kept): r.n_removed for r in substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(1, passage): 0, (7, ""): 31, (7, other): 0}
