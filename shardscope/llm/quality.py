@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardscope.llm.common import LOWER, crc_part, mix64, reach_workers, slices, table, window_hashes, word_bounds, word_hashes, written
+from shardscope.llm.common import LOWER, crc_part, key_filter, maybe_in, mix64, reach_workers, slices, table, window_hashes, word_bounds, word_hashes, written
 
 STATISTICS = (
     "upper", "bang", "pipe", "symbol", "accent", "newline", "same_next", "repeated_words", "repeated_pairs",
@@ -179,9 +179,15 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents the classifier does not reject, with the columns they came with: one pass of scoring over the texts."""
-    features = written(statistics(docs, key, text).where(crc_part(F.col("doc_id"), FOLDS) != HELD_OUT), "statistics")
-    marks = labels.select(F.col("doc_id").alias("_llm_id"), F.col("quality").alias("_llm_label")).distinct()
+    """The documents the classifier does not reject, with the columns they came with: one pass of scoring over the texts.
+
+    Learns like ``classify``. A bitmap of the labelled identifiers keeps most other texts out of the pass for learning; it decides nothing. Documents with a
+    null identifier or text are scored like any other.
+    """
+    marks = labels.select(F.col("doc_id").cast("long").alias("_llm_id"), F.col("quality").alias("_llm_label")).distinct()
+    named = docs.select(F.col(key).cast("long").alias("_llm_id"), F.col(text).alias("_llm_text")).where(crc_part(F.col(key), FOLDS) != HELD_OUT)
+    likely = maybe_in(named, key_filter(marks, "_llm_id"), "_llm_id").where("_maybe")
+    features = written(statistics(likely, "_llm_id", "_llm_text"), "statistics")
     model = fit(features.join(marks, F.col("doc_id") == F.col("_llm_id")), "_llm_label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
