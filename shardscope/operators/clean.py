@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shardscope.functions.scalars import finite, literal_map, quoted, to_number
 from shardscope.operators.quantiles import exact_quantiles, medians
-from shardscope.operators.totals import as_text, running_totals, value_counts
+from shardscope.operators.totals import as_text, value_counts
 from shardscope.session import local_if_small
 
 # Most distinct labels that a plan may list.
@@ -154,15 +154,72 @@ def row_weights(df: DataFrame, weights: DataFrame, label: str = "label") -> Data
     return df.join(local_if_small(weights.select(label, "weight")), label, "left")
 
 
+# Digits by which a descent reads a code, and keys that it sorts in the end.
+DESCENT, FEW = 4, 50_000
+
+
+def order_code(df: DataFrame, key: Sequence[str]) -> Column:
+    """A text of hexadecimal digits whose order is that of the composite key: NULL first, numbers by value, texts by their bytes."""
+
+    def signed(value: Column) -> Column:
+        # the largest half of the digits for positive numbers
+        return F.lpad(F.hex(value.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+
+    parts = []
+    for name in key:
+        kind, value = df.schema[name].dataType, quoted(name)
+        if kind.typeName() in ("byte", "short", "integer", "long", "boolean"):
+            code = signed(value.cast("int").cast("long") if kind.typeName() == "boolean" else value.cast("long"))
+        elif kind.typeName() == "date":
+            code = signed(F.unix_date(value).cast("long"))
+        elif kind.typeName() in ("timestamp", "timestamp_ntz"):
+            code = signed(F.unix_micros(value.cast("timestamp")))
+        elif kind.typeName() in ("string", "binary"):
+            code = F.concat(F.hex(value.cast("binary")), F.lit(" "))
+        elif kind.typeName() in ("float", "double"):
+            code = _double_code(value.cast("double"))
+        else:
+            raise TypeError(f"a key of type {kind.simpleString()} has no code")
+        parts.append(F.when(value.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), code)))
+    return F.concat(*parts)
+
+
+def _double_code(value: Column) -> Column:
+    """Sign, shifted exponent and 17 digits, complemented for negative numbers; the infinities and NaN at the ends."""
+    text = F.format_string("%.16e", F.abs(value))
+    exponent = F.lpad((F.substring_index(text, "e", -1).cast("int") + 500).cast("string"), 3, "0")
+    digits = F.when(value == 0, F.lit("0" * 20)).otherwise(F.concat(exponent, F.replace(F.substring_index(text, "e", 1), F.lit("."), F.lit(""))))
+    infinite = F.abs(value) == F.lit(float("inf"))
+    size = F.when(infinite, F.lit("9" * 20)).otherwise(digits)
+    return F.when(F.isnan(value), F.lit("2" * 21)).when(value >= 0, F.concat(F.lit("1"), size)).otherwise(F.concat(F.lit("0"), F.translate(size, "0123456789", "9876543210")))
+
+
 def row_at(df: DataFrame, key: Sequence[str], position: int) -> DataFrame:
-    """The row at a 0-based position in the order of a unique key; outside the table is an error."""
-    total = df.count()
-    if not 0 <= position < total:
-        raise IndexError(f"position {position} is outside 0..{total - 1}")
-    keys = df.select(F.struct(*[quoted(k) for k in key]).alias("row_key"), F.lit(1).alias("n"))
-    placed = running_totals(keys, [], "row_key", ["n"]).filter(F.col("n_before") == position)
-    wanted = placed.select("row_key.*").first().asDict()
-    same = [quoted(k).eqNullSafe(F.lit(wanted[k])) for k in key]
+    """The row at a 0-based position in the order of a unique key; outside the table is an error.
+
+    The position is looked for by descent: the codes of what is left are counted by their next digits after those they all share, and
+    the prefix that holds the position is what is left. Only a last prefix of at most ``FEW`` keys is sorted.
+    """
+    coded = df.select(order_code(df, key).alias("code"), *[quoted(k) for k in key])
+    prefix, place = "", position
+    found = coded.agg(F.count("*").alias("n"), F.min("code").alias("low"), F.max("code").alias("high")).first()
+    if not 0 <= position < found.n:
+        raise IndexError(f"position {position} is outside 0..{found.n - 1}")
+    while found.n > FEW and found.low != found.high:
+        shared = next(i for i, (a, b) in enumerate(zip(found.low + "~", found.high + "~")) if a != b)
+        cut = F.substring("code", 1, shared + DESCENT)
+        counts = coded.filter(F.col("code").startswith(prefix)).groupBy(cut.alias("part")).agg(
+            F.count("*").alias("n"), F.min("code").alias("low"), F.max("code").alias("high")
+        )
+        # at most as many parts as there are texts of so many digits
+        for found in counts.orderBy("part").collect():
+            if place < found.n:
+                break
+            place -= found.n
+        prefix = found.part
+    left = coded.filter(F.col("code").startswith(prefix)).drop("code") if found.n <= FEW else coded.filter(F.col("code") == found.low).drop("code")
+    wanted = left.orderBy(*[quoted(k).asc_nulls_first() for k in key]).offset(place).first().asDict()
+    same = [quoted(k).eqNullSafe(F.lit(wanted[k]).cast(df.schema[k].dataType)) for k in key]
     condition = same[0]
     for s in same[1:]:
         condition = condition & s

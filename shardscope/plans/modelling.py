@@ -335,6 +335,35 @@ def pca(spark, folder):
     return rounded(forest.principal_components(wide, "label", names, ["vec_id"]).variance, 9)
 
 
+PCA_COLUMNS = [f"e{i}" for i in range(8)]
+
+
+def _pca_sql() -> str:
+    """Trace and squared sum of the covariances, which are the sums of the variances and of their squares."""
+    fit = ", ".join(f"quantile_cont({c}, 0.5) AS {c}_m, nullif(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 0) AS {c}_r" for c in PCA_COLUMNS)
+    scaled = ", ".join(f"({c} - {c}_m) / coalesce({c}_r, 1) AS {c}" for c in PCA_COLUMNS)
+    trace = " + ".join(f"covar_samp({c}, {c})" for c in PCA_COLUMNS)
+    squares = " + ".join(f"covar_samp({a}, {b}) ** 2" for a in PCA_COLUMNS for b in PCA_COLUMNS)
+    return f"""WITH rows AS (SELECT {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS {c}' for i, c in enumerate(PCA_COLUMNS))} FROM embeddings WHERE label IS NOT NULL),
+      fit AS (SELECT {fit} FROM rows), scaled AS (SELECT {scaled} FROM rows CROSS JOIN fit)
+      SELECT {len(PCA_COLUMNS)} AS components, 1e0 AS share_sum, round(({squares}) / ({trace}) ** 2, 7) AS square_sum, 1e0 AS last_cumulative, count(*) AS scored FROM scaled"""
+
+
+@query("l1_pca_sums", _pca_sql())
+def pca_sums(spark, folder):
+    """All components of eight dimensions: their shares add up, and their squares follow from the covariances."""
+    rows = table(spark, folder, "embeddings")
+    wide = rows.select("vec_id", F.col("label").cast("string").alias("label"), *[F.get("embedding", F.lit(i)).alias(c) for i, c in enumerate(PCA_COLUMNS)])
+    found = forest.principal_components(wide, "label", PCA_COLUMNS, ["vec_id"], k=len(PCA_COLUMNS))
+    sums = found.variance.agg(
+        F.count("*").cast("int").alias("components"),
+        F.round(F.sum("ratio"), 9).alias("share_sum"),
+        F.round(F.sum(F.col("ratio") * F.col("ratio")), 7).alias("square_sum"),
+        F.round(F.max("cumulative"), 9).alias("last_cumulative"),
+    )
+    return sums.crossJoin(found.scores.agg(F.count("*").alias("scored")))
+
+
 FORESTS: dict[tuple[str, str], forest.Forest] = {}
 
 

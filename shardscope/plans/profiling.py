@@ -291,6 +291,43 @@ def mutual_info(spark, folder):
     return rounded(relate.mutual_info(flow(spark, folder, gaps=True), "label", FEATURES, BINS, discrete=["tax"]), 9)
 
 
+def _digamma_sql(n: str) -> str:
+    x = f"({n} + 6e0)"
+    steps = " - ".join(f"1e0 / ({n} + {i})" for i in range(6))
+    return f"(ln{x} - 1 / (2 * {x}) - 1 / (12 * {x}**2) + 1 / (120 * {x}**4) - 1 / (252 * {x}**6) + 1 / (240 * {x}**8) - {steps})"
+
+
+def _neighbours_sql() -> str:
+    """Three neighbours on either side by lag and lead, counts of ranges by ASOF joins with running totals."""
+    beside = ", ".join(
+        f"{{'d': abs(value - {f}(value, {i}) OVER w), 'n': {f}(n, {i}) OVER w}}" for f in ("lag", "lead") for i in (1, 2, 3)
+    )
+    cells = per_feature("SELECT label, '{c}' AS feature, coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM flow)) AS value FROM flow")
+    return f"""WITH {GAPS}, cells AS ({cells}),
+      counts AS (SELECT feature, label, value, count(*) AS n FROM cells GROUP BY ALL),
+      points AS (SELECT *, sum(n) OVER (PARTITION BY feature, label) AS class_n FROM counts QUALIFY class_n > 1),
+      beside AS (SELECT *, least(3, class_n - 1) AS k, [{{'d': 0e0, 'n': n - 1}}, {beside}] AS near FROM points
+                 WINDOW w AS (PARTITION BY feature, label ORDER BY value)),
+      unfolded AS (SELECT feature, label, value, n, class_n, k, unnest(near) AS x FROM beside),
+      summed AS (SELECT *, sum(x.n) OVER (PARTITION BY feature, label, value ORDER BY x.d) AS upto FROM unfolded WHERE x.d IS NOT NULL),
+      radius AS (SELECT feature, label, value, any_value(n) AS n, any_value(class_n) AS class_n, any_value(k) AS k, min(x.d) AS r
+                 FROM summed WHERE upto >= k GROUP BY ALL),
+      ranks AS (SELECT feature, value, sum(n) AS own, sum(sum(n)) OVER (PARTITION BY feature ORDER BY value) AS upto FROM points GROUP BY feature, value),
+      wide AS (SELECT a.*, coalesce(h.upto, 0) - coalesce(l.upto, 0) AS m
+               FROM (SELECT *, value + r AS high, value - r AS low FROM radius WHERE r > 0) a
+               ASOF LEFT JOIN ranks h ON a.feature = h.feature AND a.high > h.value
+               ASOF LEFT JOIN ranks l ON a.feature = l.feature AND a.low >= l.value),
+      flat AS (SELECT a.*, own AS m FROM radius a JOIN ranks USING (feature, value) WHERE r = 0),
+      every AS (SELECT feature, n, class_n, k, m FROM wide UNION ALL SELECT feature, n, class_n, k, m FROM flat)
+      SELECT feature, round(greatest({_digamma_sql('sum(n)')} + sum(n * {_digamma_sql('k')}) / sum(n) - sum(n * {_digamma_sql('class_n')}) / sum(n)
+             - sum(n * {_digamma_sql('m')}) / sum(n), 0), 7) AS mutual_info FROM every GROUP BY feature"""
+
+
+@query("a21_neighbour_info", _neighbours_sql())
+def neighbour_info(spark, folder):
+    return rounded(relate.neighbour_info(flow(spark, folder, gaps=True), "label", FEATURES), 7)
+
+
 @query(
     "w3_top_features",
     f"{CHI2} SELECT feature, value, round(chi2, 6) AS chi2 FROM chi ORDER BY round(chi2, 6) DESC, feature, value LIMIT 15",

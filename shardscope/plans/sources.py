@@ -128,19 +128,21 @@ def coerce_numeric(spark, folder):
 
 @query(
     "s5_read_clients",
-    """SELECT event_type AS __label, count(*) AS n, CAST(1 AS BOOLEAN) AS has_client, CAST(sum(user_id) AS BIGINT) AS users
-       FROM events GROUP BY 1""",
+    """SELECT CAST(user_id % 4 AS INTEGER) AS client, event_type AS __label, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users,
+              round(sum(value), 6) AS value_sum FROM events GROUP BY 1, 2""",
 )
 def read_clients(spark, folder):
-    """Write the events as client files, read them back with the file name as client."""
+    """Write the events as one file per client, read them back with the file name as client."""
     root = scratch(spark)
-    events = table(spark, folder, "events")
-    events.select(F.col("event_type").alias("__label"), "event_id", "user_id", "value").write.option("header", "true").csv(root)
+    events = table(spark, folder, "events").select(F.col("event_type").alias("__label"), "event_id", "user_id", "value")
+    # four values in four ranges: the number in a file's name is the client's
+    events.repartitionByRange(4, F.col("user_id") % 4).write.option("header", "true").csv(root)
     read = readers.read_clients(spark, root, "part-*.csv", types=EVENT_TYPES)
-    return read.groupBy("__label").agg(
-        F.count("*").alias("n"),
-        F.bool_and(F.col("client").startswith("part-")).alias("has_client"),
-        F.sum("user_id").alias("users"),
+    client = F.regexp_extract("client", "^part-0*([0-9]+)-", 1).cast("int")
+    return rounded(
+        read.groupBy(client.alias("client"), "__label").agg(
+            F.count("*").alias("n"), F.sum("user_id").alias("users"), F.sum("value").alias("value_sum")
+        )
     )
 
 

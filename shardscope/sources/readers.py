@@ -62,8 +62,9 @@ def read_tree(
     A single read over files with different headers would assign columns by position, so the files
     are read once per distinct header; columns a file lacks are NULL. ``types`` names column types;
     without it they are inferred, which reads the files once more. One file per folder is looked at and
-    folders are listed, not files; Spark checks the other files while reading and fails on a different
-    header. Only where files of one folder differ, pass ``same_header_per_folder=False``.
+    folders are listed, not files; whatever is selected, every file is read with all its columns and one with a different
+    header fails the job. Where files of one folder differ, pass ``same_header_per_folder=False``: the header of every
+    file is then looked at, and the table has the columns of all.
     """
     rel = relative_path(F.col("_metadata.file_path"), root)
     extra = [label_from_path(rel).alias(LABEL), rel.alias(SOURCE)]
@@ -87,6 +88,8 @@ def _read_by_header(
         if needed is not None and needed not in header:
             raise ValueError(f"column {needed} is missing in {paths[0]}")
         reader = spark.read.option("header", "true").option("enforceSchema", "false").option("pathGlobFilter", pattern)
+        # with pruning, the check of a header would see the selected columns only
+        reader = reader.option("columnPruning", "false")
         if types is None:
             reader = reader.option("inferSchema", "true")
         rows = reader.csv(paths)

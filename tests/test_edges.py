@@ -140,6 +140,75 @@ def test_drift_of_filled_cells(spark):
     assert found == {k: pytest.approx(v) for k, v in expected.items()}
 
 
+def test_neighbour_estimate_equals_brute_force(spark):
+    """2,000 rows, all pairs; ties, a constant, a class of one row, and many small range partitions."""
+    draw = np.random.default_rng(11)
+    size = 2_000
+    label = np.where(np.arange(size) == 5, "lone", draw.choice(["a", "b", "c"], size, p=[0.6, 0.3, 0.1]))
+    x = draw.integers(0, 1 << 20, size) / 1024 + (label == "a") * 300.0
+    columns = {"x": x, "tied": np.floor(x / 64), "same": np.ones(size), "noise": draw.integers(0, 1 << 16, size) / 256}
+    psi = {n: -0.5772156649015329 + sum(1 / i for i in range(1, n)) for n in range(1, size + 1)}
+    expected = {}
+    for name, v in columns.items():
+        total = []
+        for c in "abc":
+            own = np.flatnonzero(label == c)
+            for i in own:
+                away = np.sort(np.abs(v[own] - v[i]))
+                k = min(3, len(own) - 1)
+                r = away[k]
+                others = np.abs(v[label != "lone"] - v[i])
+                total.append(psi[k] - psi[len(own)] - psi[int((others < r).sum() if r > 0 else (others == 0).sum())])
+        expected[name] = max(psi[len(total)] + np.mean(total), 0)
+    rows = [(str(a), *map(float, b)) for a, b in zip(label, zip(*columns.values()))]
+    table = spark.createDataFrame(rows, "label string, " + ", ".join(f"{c} double" for c in columns))
+    found = {r.feature: r.mutual_info for r in relate.neighbour_info(table, "label").collect()}
+    assert found == {c: pytest.approx(v, abs=1e-9) for c, v in expected.items()} and found["x"] > 0.1
+    spread = {r.feature: r.mutual_info for r in relate.neighbour_info(table.limit(60), "label", ["x", "same"], 5).collect()}
+    assert set(spread) == {"x", "same"} and relate.neighbour_info(table.limit(0), "label").count() == 0
+
+
+def test_rank_correlation_of_scattered_gaps(spark):
+    """Every column misses in rows of its own, so ranks differ from pair to pair; against ranks among the common rows."""
+    draw = np.random.default_rng(4)
+    values = draw.integers(0, 9, (300, 7)).astype(float)
+    values[:, 1] += values[:, 0]
+    values[:, 6] = 2.0
+    values[draw.random(values.shape) < 0.3] = np.nan
+    values[:, 3] = np.where(np.isnan(values[:, 2]), np.nan, draw.integers(0, 50, 300))
+    names = [f"c.{i}" for i in range(7)]
+    table = spark.createDataFrame([(i, *[None if np.isnan(x) else float(x) for x in row]) for i, row in enumerate(values)], "id int, " + ", ".join(f"`{n}` double" for n in names))
+
+    def ranks(x):
+        return np.array([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x])
+
+    expected = {}
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            on = ~np.isnan(values[:, i]) & ~np.isnan(values[:, j])
+            x, y = ranks(values[on, i]), ranks(values[on, j])
+            expected[a, b] = np.corrcoef(x, y)[0, 1] if x.std() > 0 and y.std() > 0 else 0.0
+    found = {(r.a, r.b): r.r for r in relate.spearman(table, ["id"], names).collect()}
+    assert found == {k: pytest.approx(v, abs=1e-9) for k, v in expected.items()}
+
+
+def test_codes_of_keys_keep_their_order(spark, monkeypatch):
+    monkeypatch.setattr(clean, "FEW", 2)
+    draw = np.random.default_rng(6)
+    odd_numbers = [None, 0.0, -0.0, 1.0, -1.0, 1e-300, -1e-300, 1e300, 0.1, 0.10000000000000002, 99.0, 100.0, INF, -INF, NAN]
+    texts = [None, "", "a", "a ", "ab", "b", "\u00e9", "zz"]
+    rows = [(odd_numbers[i % 15], texts[i % 8], int(draw.integers(-(1 << 62), 1 << 62)), i) for i in range(240)]
+    table = spark.createDataFrame(rows, "x double, t string, k long, i int")
+    for key in (["x", "t", "k"], ["t", "x", "i"], ["k"]):
+        whole = [r.i for r in table.orderBy(*[F.col(c).asc_nulls_first() for c in key]).collect()]
+        for position in (0, 1, 117, 239):
+            assert clean.row_at(table, key, position).first().i == whole[position]
+    days = spark.sql("SELECT date_add(date'1969-12-25', cast(id AS int)) AS d, id FROM range(20)")
+    assert clean.row_at(days, ["d"], 9).first().id == 9
+    with pytest.raises(TypeError, match="no code"):
+        clean.row_at(spark.sql("SELECT array(1) AS a"), ["a"], 0)
+
+
 def test_missing_counts(odd):
     found = by_feature(profile.missingness(odd))
     assert found["nothing",].missing_pct == 100 and found["nothing",].nunique_non_null == 0

@@ -56,6 +56,24 @@ def test_one_header_per_folder(spark, tmp_path):
     assert readers.read_tree(spark, str(tmp_path), same_header_per_folder=False).agg(F.sum("a")).first()[0] == 15
 
 
+@pytest.mark.parametrize("narrow", ["select", "count", "clients"])
+def test_another_header_fails_under_any_select(spark, tmp_path, narrow):
+    """A file with one more column is not read without it; looked at on its own, its column is there."""
+    first = "__label" if narrow == "clients" else "w"
+    (tmp_path / "client_1.csv").write_text(f"{first},x,y\na,1,2\n")
+    (tmp_path / "client_2.csv").write_text(f"{first},x,y,z\nb,3,4,5\n")
+    read = {
+        "select": lambda each: readers.read_tree(spark, str(tmp_path), types={}, same_header_per_folder=not each).select("x"),
+        "count": lambda each: readers.read_tree(spark, str(tmp_path), types={}, same_header_per_folder=not each).groupBy().count(),
+        "clients": lambda each: readers.read_clients(spark, str(tmp_path), types={}, same_header_per_folder=not each).select("client"),
+    }[narrow]
+    with pytest.raises(Exception, match="(?i)header|CSV"):
+        read(False).collect()
+    assert len(read(True).collect()) == (1 if narrow == "count" else 2)
+    union = readers.read_clients(spark, str(tmp_path), label=first, same_header_per_folder=False)
+    assert union.columns[-1] == "z" or "z" in union.columns
+
+
 def test_file_index(spark, tree):
     found = {r.rel: r.label for r in readers.file_index(spark, str(tree)).collect()}
     assert found == {"benign/normal.csv": "benign", "ddos/TCP DDOS/tcp+1.csv": "ddos_tcp_ddos", "pfcp/x.csv": "pfcp"}
