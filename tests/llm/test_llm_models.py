@@ -38,6 +38,20 @@ def test_classifier_does_not_read_held_out_labels(spark):
     assert all(math.isclose(one[d], two[d], abs_tol=1e-9) for d in one)
 
 
+def test_scores_equal_the_plain_discriminant(spark):
+    """Statistics counted one by one, covariances from the definition, inverses instead of factors."""
+    docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    texts, marks = texts_of(docs), {r.doc_id: r.quality for r in labels.collect()}
+    rows = {d: plain.statistics(t) for d, t in texts}
+    learned = [d for d in rows if d in marks and crc(d) % 3 != 1]
+    scores = plain.quadratic_scores([rows[d] for d, _ in texts], [rows[d] for d in learned], [marks[d] for d in learned], quality.POOLED, quality.ROUND)
+    found = {r.doc_id: (r.score, r.predicted) for r in quality.classify(docs, labels).collect()}
+    assert len(learned) > 30 and set(found) == set(rows)
+    assert all(found[d][0] == pytest.approx(s, abs=1e-6) for (d, _), s in zip(texts, scores))
+    kept = {r.doc_id for r in quality.keep_good(docs, labels).collect()}
+    assert kept == {d for d, (_, predicted) in found.items() if predicted == 1}
+
+
 def test_classifier_on_odd_tables(spark, docs, none):
     marks = spark.createDataFrame([(1, 1), (1, 1), (2, None), (4, 1)], "doc_id long, quality int")
     found = quality.classify(docs, marks).collect()
@@ -59,17 +73,11 @@ def test_statistics_do_not_depend_on_neighbours():
         assert np.allclose(together[i], quality.text_statistics(own, np.array([0, len(own)]))[0])
 
 
-def test_ppm_is_a_distribution(spark, docs):
-    texts = docs.where("text IS NOT NULL").select("text")
-    for nodes in (1 << 20, 200):
-        trie = ppm.train(texts, 3, nodes)
-        for context in (b"w1 ", b"zz", b"", b"p12"):
-            code = 0
-            for b in context[-3:]:
-                code = code << 9 | b + 1
-            symbols = np.arange(1, 258, dtype=np.uint64)
-            logs = trie.log10(np.uint64(code << 9) | symbols)
-            assert math.isclose((10.0**logs).sum(), 1, rel_tol=1e-9)
+def test_plain_ppm_is_a_distribution(docs):
+    model = plain.Ppm([t or "" for _, t in texts_of(docs)], 3)
+    for before in ("w1 ", "zz", "", "p12"):
+        context = tuple([0] * 3 + [b + 1 for b in before.encode()])[-3:]
+        assert math.isclose(sum(model.probability(context, s) for s in range(1, 258)), 1, rel_tol=1e-9)
 
 
 def test_ppm_scores(spark, docs, none):
@@ -93,15 +101,15 @@ def test_ppm_scores(spark, docs, none):
     assert untrained.count() == 0 or untrained.first().n_known == 0
 
 
-def test_ppm_scores_by_all_grams(spark, docs):
-    """However few grams are sent to the tasks, every text costs what the whole trie says."""
-    texts = texts_of(docs)
-    trie = ppm.train(docs.where("crc32(coalesce(cast(doc_id AS string), '')) % 7 <> 2").selectExpr("coalesce(text, '') AS text"), 3, 1 << 40)
-    expected = Counter()
-    for d, t in texts:
-        raw = np.frombuffer((t or "").encode(), np.uint8)
-        expected[(d, round(trie.log10(ppm.grams(raw, np.array([0, len(raw)]), 3)[0]).sum(), 6))] += 1
-    assert Counter((r.doc_id, round(r.score, 6)) for r in ppm.score_texts(docs, order=3, nodes=200).collect()) == expected
+@pytest.mark.parametrize("share", [ppm.SHARE, 200])
+def test_ppm_scores_equal_plain_dictionaries(spark, docs, share):
+    """Training and held-out texts, however few grams are sent to the tasks."""
+    every = docs.unionByName(spark.createDataFrame([(2, "zebra quilt vex w1 w2", None, None, 0, 0, 0.0, ""), (2, "Jumping w3 über", None, None, 0, 0, 0.0, "")], plain.SCHEMA))
+    texts = texts_of(every)
+    model = plain.Ppm([t or "" for d, t in texts if crc(d) % 7 != 2], 3)
+    expected = Counter((d, round(model.score(t or ""), 6)) for d, t in texts)
+    assert any(crc(d) % 7 == 2 for d, _ in texts)
+    assert Counter((r.doc_id, round(r.score, 6)) for r in ppm.score_texts(every, order=3, share=share).collect()) == expected
 
 
 def test_ppm_knows_the_end_of_very_long_texts(spark):
@@ -113,13 +121,14 @@ def test_ppm_knows_the_end_of_very_long_texts(spark):
     assert math.isclose(found[3].base_score, sum(math.log10((c + 1) / (n + v + 1)) for c in counts), abs_tol=1e-9)
 
 
-def test_ppm_cache_changes_nothing(docs):
-    trie = ppm.train(docs.where("text IS NOT NULL").select("text"))
+def test_ppm_cache_changes_nothing():
     raw = "\n".join(t or "" for t in plain.corpus(2)).encode()
     codes, _ = ppm.grams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-    cached = ppm.Cached(trie)
+    known = np.unique(codes)[::2]
+    frequent = ppm.Frequent(known, np.arange(len(known)) / 7.0)
+    cached = ppm.Cached(frequent)
     for _ in range(2):
-        assert np.array_equal(cached.log10(codes), trie.log10(codes))
+        assert np.array_equal(cached.log10(codes), frequent.log10(codes), equal_nan=True)
 
 
 def test_ppm_beats_tokens_on_held_out_text(spark):

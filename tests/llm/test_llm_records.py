@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -188,3 +189,18 @@ def test_pipeline_run_equals_its_stages(spark, stages):
         return Counter((r.doc_id, r["rank"], tuple(r.ids)) for r in df.collect())
 
     assert rows(corpus_pipeline.run(spark, FOLDER)) == rows(stages[4])
+
+
+def test_bootstrap_equals_plain_rounds(spark):
+    """Random graphs of patterns and instances, repeated links included."""
+    pick = random.Random(7)
+    links = []
+    for _ in range(400):
+        value = pick.randrange(60)
+        links.append((pick.choice(["ip", "phone"]), f"p{pick.randrange(12)}", f"v{value}", value < 25))
+    links += [("ip", "alone _", "v99", False), ("ip", "sure _", "s1", True), ("ip", "sure _", "s2", True), ("ip", "sure _", "s3", True), ("ip", "sure _", "v98", False)]
+    table_ = spark.createDataFrame(links, "kind string, pattern string, value string, seed boolean")
+    expected = plain.bootstrap(links, personal_data.ROUNDS, personal_data.SUPPORT, personal_data.LIMIT)
+    found = {(r.kind, r.value): r.score for r in personal_data.bootstrap(table_).collect()}
+    assert found.keys() == expected.keys() and all(np.isclose(found[k], expected[k]) for k in expected)
+    assert any(0 < s for s in expected.values()) and expected["ip", "v99"] == 0
