@@ -1,7 +1,7 @@
 """WARC revisits: a not-modified record gets the latest earlier full response of its canonical URL.
 
-The as-of join is cut into time ranges, so that a URL with a third of all records is no single task: within (URL, range) a window carries the last
-response; a window over the ranges of a URL, one row each, carries it into later ranges. A revisit is checked against the response it met by its validators, and the
+The as-of join is cut into time ranges, more of them the more records there are, so that a URL with a third of all records is no single task: within (URL, range) a
+window carries the last response; a window over the occupied ranges of a URL, one row each, carries it into the next of them. A revisit is checked against the response it met by its validators, and the
 headers that a 304 may change are merged into the response's.
 """
 
@@ -16,7 +16,8 @@ from shardscope.llm.common import table, written
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that do not name another page (fixed values).
 TRACKING = "^(utm_[^=]*|fbclid|gclid|ref)(=|$)"
-RANGES = 64
+#: Time ranges at least, and records for which there is another one.
+RANGES, RANGE_RECORDS = 64, 100_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -47,31 +48,32 @@ def _tag(headers: str) -> Column:
     return F.regexp_replace(F.trim(F.col(headers)["etag"]), "^W/", "")
 
 
-def resolve(records: DataFrame, ranges: int = RANGES) -> DataFrame:
+def resolve(records: DataFrame, ranges: int | None = None) -> DataFrame:
     """record_id, canonical, outcome, response_id, headers of every revisit.
 
     ``records``: record_id, url, at (time), revisit (boolean), headers (map), digest. A response counts for revisits at its own time too; of
     responses at one time the larger record_id does. Entity tags decide where both have one, else dates of modification, else digests:
     outcome is resolved, changed (they differ), unchecked (no validator in common) or missing (no earlier response); only resolved and unchecked revisits
     get headers. Repeated revisits are answered each. Records without URL, time or revisit flag take no part as responses, and as revisits are missing. An empty table gives no rows.
+    The result does not depend on ``ranges``.
     """
     rows = written(
         records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "at", "revisit", _named(F.col("headers")).alias("headers"), "digest"), "records"
     )
     usable = F.col("canonical").isNotNull() & F.col("at").isNotNull()
-    span = rows.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
+    span = rows.agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("n")).first()
+    ranges = ranges or max(RANGES, span["n"] // RANGE_RECORDS)
     low, width = span["low"] or 0, max(1, -(-((span["high"] or 0) - (span["low"] or 0) + 1) // ranges))
     dealt = rows.where(usable & F.col("revisit").isNotNull()).withColumn("range", F.floor((F.col("at") - low) / width))
     response = F.when(~F.col("revisit"), F.struct("at", "record_id"))
     order = Window.partitionBy("canonical", "range").orderBy("at", F.col("revisit").cast("int"), "record_id")
     here = F.last(response, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     asked = dealt.withColumn("here", here).where("revisit").select("record_id", "canonical", "range", "headers", "digest", "here")
-    last = dealt.where(~F.col("revisit")).groupBy("canonical", "range").agg(F.max(F.struct("at", "record_id")).alias("last"))
-    # into which later ranges each range's last response reaches
-    ahead = F.lead("range").over(Window.partitionBy("canonical").orderBy("range"))
-    reach = last.withColumn("until", F.coalesce(ahead, F.lit(ranges).cast("long"))).where("until > range")
-    reach = reach.select("canonical", "last", F.explode(F.sequence(F.col("range") + 1, F.col("until"))).alias("range"))
-    met = asked.join(reach, ["canonical", "range"], "left").withColumn("response_id", F.coalesce("here.record_id", "last.record_id"))
+    last = dealt.groupBy("canonical", "range").agg(F.max(F.when(~F.col("revisit"), F.struct("at", "record_id"))).alias("last"))
+    # the last response of the occupied ranges before
+    earlier = Window.partitionBy("canonical").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.withColumn("last", F.last("last", ignorenulls=True).over(earlier)).where("last IS NOT NULL")
+    met = asked.join(carried, ["canonical", "range"], "left").withColumn("response_id", F.coalesce("here.record_id", "last.record_id"))
     # of responses that repeat a record_id one stands for all, the first by its headers
     one = F.min(F.struct(F.array_sort(F.map_entries("headers")).alias("headers"), "digest")).alias("full")
     full = rows.where(~F.col("revisit")).groupBy(F.col("record_id").alias("response_id")).agg(one)
