@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardscope.functions.scalars import numeric_columns, quoted
+from shardscope.operators.clean import MAX_CLASSES
 from shardscope.operators.totals import long_values, running_totals
 from shardscope.session import local_if_small, written
 
@@ -41,7 +42,9 @@ def class_client_grid(df: DataFrame, client: str = "client", label: str = "label
     entry = F.struct(F.struct("class").alias("key"), "count")
     held = counts.groupBy("client").agg(F.map_from_entries(F.collect_list(entry)).alias("held"))
     kind = counts.schema["class"].dataType
-    classes = [r["class"] for r in counts.select("class").distinct().collect()]
+    classes = [r["class"] for r in counts.select("class").distinct().limit(MAX_CLASSES + 1).collect()]
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
     if not classes:
         return counts.select("class", "client", "count")
     listed = F.array(*[F.struct(F.lit(c).cast(kind).alias("class")) for c in classes])

@@ -274,6 +274,82 @@ def control_rounds(spark, folder):
     return training.run_rounds(train, test, SHAPE, 3, "control", STEP, local=2)
 
 
+def _round_parts() -> tuple[dict, list[str], list[str], str]:
+    """Places of the weights, and of one round over outputs from columns x<i>: shares, errors by parameter, and a row's loss."""
+    width, classes = len(FEATURES), range(len(LABELS))
+    intercept = width * len(LABELS)
+    logits = ["(" + " + ".join([f"x{intercept + k}", *[f"x{k * width + j} * {c}" for j, c in enumerate(FEATURES)]]) + ")" for k in classes]
+    shares = ", ".join(f"{p} AS p{k}" for k, p in enumerate(probability_sql(logits)))
+    errors = [f"weight * (p{k} - CASE WHEN label = '{name}' THEN 1 ELSE 0 END)" for k, name in enumerate(LABELS)]
+    gradients = [f"sum({errors[k]} * {c})" for k in classes for c in FEATURES] + [f"sum({errors[k]})" for k in classes]
+    own = "CASE label " + " ".join(f"WHEN '{name}' THEN p{k}" for k, name in enumerate(LABELS)) + " END"
+    return shares, gradients, [f"x{i}" for i in range(len(gradients))], f"avg(-weight * ln({own}))"
+
+
+ROUND_ROWS = f"""WITH {CLIENTS}, {UNIT_SQL.format(extra='client,', source='clients')},
+      weights AS (SELECT label, sum(count(*)) OVER () / ({len(LABELS)}e0 * count(*)) AS weight FROM unit GROUP BY label),
+      rows AS MATERIALIZED (SELECT unit.*, weight FROM unit JOIN weights USING (label))"""
+
+
+def _adaptive_sql(count: int) -> str:
+    """Every round: the gap is the mean of all clients' steps, m and v follow it and its square."""
+    shares, gradients, x, loss = _round_parts()
+    sql = ROUND_ROWS + ", s0 AS (SELECT " + ", ".join(f"0e0 AS x{i}, 0e0 AS m{i}, 0e0 AS v{i}" for i in range(len(x))) + ")"
+    for r in range(count):
+        gaps = ", ".join(f"-{STEP}e0 * {g} / count(*) AS gap{i}" for i, g in enumerate(gradients))
+        moved = ", ".join(
+            f"{training.BETA_1}e0 * m{i} + (1 - {training.BETA_1}e0) * gap{i} AS m{i}, {training.BETA_2}e0 * v{i} + (1 - {training.BETA_2}e0) * gap{i} * gap{i} AS v{i}, x{i} AS o{i}"
+            for i in range(len(x))
+        )
+        stepped = ", ".join(f"o{i} + {training.SERVER_STEP}e0 * m{i} / (sqrt(v{i}) + {training.TAU:.1e}) AS x{i}, m{i}, v{i}" for i in range(len(x)))
+        sql += f""",
+      g{r} AS MATERIALIZED (SELECT {loss} AS loss, {gaps} FROM (SELECT rows.*, {shares} FROM rows CROSS JOIN s{r})),
+      s{r + 1} AS MATERIALIZED (SELECT {stepped} FROM (SELECT {moved} FROM s{r} CROSS JOIN g{r}))"""
+    return sql + " " + " UNION ALL ".join(f"SELECT {r + 1} AS round, round(loss, 7) AS loss FROM g{r}" for r in range(count))
+
+
+def _control_sql(count: int) -> str:
+    """Every round: clients step by gradient and shift, the server by their mean, controls by what they moved."""
+    shares, gradients, x, loss = _round_parts()
+    n = len(x)
+    sql = ROUND_ROWS + ", s0 AS (SELECT " + ", ".join(f"0e0 AS x{i}, 0e0 AS c{i}" for i in range(n)) + ")"
+    sql += ", k0 AS (SELECT DISTINCT client, " + ", ".join(f"0e0 AS k{i}, 0e0 AS shift{i}" for i in range(n)) + " FROM rows)"
+    bound = training.CONTROL_BOUND
+    for r in range(count):
+        means = ", ".join(f"{g} / count(*) AS g{i}" for i, g in enumerate(gradients))
+        steps = ", ".join(f"x{i} - {STEP}e0 * (g{i} + shift{i}) AS y{i}, k{i}, x{i}, c{i}" for i in range(n))
+        news = ", ".join(f"y{i}, k{i}, k{i} - c{i} + (x{i} - y{i}) / {STEP}e0 AS new{i}" for i in range(n))
+        after = ", ".join(
+            f"any_value(x{i}) + {training.CONTROL_SERVER_STEP}e0 * (avg(y{i}) - any_value(x{i})) AS x{i}, greatest(least(any_value(c{i}) + avg(new{i} - k{i}), {bound}e0), -{bound}e0) AS c{i}"
+            for i in range(n)
+        )
+        kept = ", ".join(f"new{i} AS k{i}, c{i} - new{i} AS shift{i}" for i in range(n))
+        sql += f""",
+      g{r} AS MATERIALIZED (SELECT client, count(*) AS n, {loss} AS loss, {means} FROM (SELECT rows.*, {shares} FROM rows CROSS JOIN s{r}) GROUP BY client),
+      u{r} AS MATERIALIZED (SELECT client, {news} FROM (SELECT client, {steps} FROM g{r} JOIN k{r} USING (client) CROSS JOIN s{r})),
+      s{r + 1} AS MATERIALIZED (SELECT {after} FROM u{r} CROSS JOIN s{r}),
+      k{r + 1} AS MATERIALIZED (SELECT client, {kept} FROM (SELECT * EXCLUDE ({', '.join(f'k{i}' for i in range(n))}) FROM u{r}) CROSS JOIN s{r + 1})"""
+    return sql + " " + " UNION ALL ".join(f"SELECT {r + 1} AS round, round(sum(loss * n) / sum(n), 7) AS loss FROM g{r}" for r in range(count))
+
+
+def _round_losses(spark, folder, method):
+    rows = materialise(_weighted_clients(spark, folder))
+    history = training.run_rounds(rows, rows, SHAPE, 3, method, STEP)
+    return rounded(history.select("round", "loss"), 7)
+
+
+@query("l9_adaptive_losses", _adaptive_sql(3))
+def adaptive_losses(spark, folder):
+    """Losses of three rounds over all rows; each follows from the parameters of the server steps before."""
+    return _round_losses(spark, folder, "adaptive")
+
+
+@query("l11_control_losses", _control_sql(3))
+def control_losses(spark, folder):
+    """The same with control variates."""
+    return _round_losses(spark, folder, "control")
+
+
 PARAMS = """cells AS (
     SELECT label, CAST(unnest(embedding) AS DOUBLE) AS value, generate_subscripts(embedding, 1) - 1 AS idx FROM embeddings),
   updates AS (SELECT label AS client, idx, avg(value) AS value, count(*) AS n, stddev_pop(value) AS c_i FROM cells GROUP BY 1, 2),
