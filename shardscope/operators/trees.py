@@ -23,11 +23,13 @@ from shardscope.operators.scoring import Scorer, feature_array, python_scorer
 from shardscope.session import materialise
 
 # Most cut points of a numeric column; a column with fewer distinct values is cut between all of them.
-CUTS = 255
+CUTS = 127
 # Most nodes of a forest that travels to the tasks (about 40 bytes each and 8 per class).
 MAX_NODES = 4_000_000
 # Path columns for which the weights of all patterns are one product of matrices.
 DENSE = 8
+# Most numbers in the grids of an attributed forest over few columns (8 bytes each, in every worker).
+GRID = 1 << 24
 NODE_FIELDS = "column array<int>, threshold array<double>, category array<int>, left array<int>, right array<int>, shares array<double>, gain array<double>"
 
 
@@ -290,6 +292,7 @@ class Attributor:
         self.leaves = [_leaves(trees, int(r), self.cuts) for r in trees.roots]
         self.base = self._binned(base)
         self.counts = [self._patterns(x, self.base) for x in self.leaves]
+        self.grids = self._grids()
 
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(self.cuts)], axis=1).astype(np.int16)
@@ -305,16 +308,18 @@ class Attributor:
         return out
 
     def values(self, x: np.ndarray) -> np.ndarray:
-        """[row, class, column]; per row and class they sum to f(row) - mean f(background). Rows of equal bins are computed once."""
+        """[row, class, column]; per row and class they sum to f(row) - mean f(background).
+
+        Without grids the leaves are gone through one by one, and rows of equal bins are computed once.
+        """
+        if self.grids is not None:
+            return self._looked_up(self._binned(x))
         binned, place = np.unique(self._binned(x), axis=0, return_inverse=True)
         sums: dict[tuple[int, ...], np.ndarray] = {}
         for leaves, base in zip(self.leaves, self.counts):
             width = leaves.columns.shape[1]
             own = self._patterns(leaves, binned)
-            if width <= DENSE:
-                seen = np.zeros((len(leaves.columns), 1 << width))
-                np.add.at(seen, (np.arange(len(leaves.columns))[:, None], base), 1.0 / len(self.base))
-                weights = np.tensordot(seen, pattern_weights(width), axes=(1, 1))
+            weights = self._tables(leaves, base) if width <= DENSE else None
             for leaf, size in enumerate(leaves.sizes.tolist()):
                 if size == 0:
                     continue
@@ -331,6 +336,76 @@ class Attributor:
         return out.transpose(0, 2, 1)[place.ravel()] / max(self.n_trees, 1)
 
 
+    def _tables(self, leaves: Leaves, base: np.ndarray) -> np.ndarray:
+        """[leaf, pattern, path column]: weights of all patterns of a row, summed over the background."""
+        width = leaves.columns.shape[1]
+        seen = np.zeros((len(leaves.columns), 1 << width))
+        np.add.at(seen, (np.arange(len(leaves.columns))[:, None], base), 1.0 / len(self.base))
+        return np.tensordot(seen, pattern_weights(width), axes=(1, 1))
+
+    def _grids(self) -> dict[tuple[int, ...], np.ndarray] | None:
+        """The values as sums of tables over the bins of few columns, or None where these would be too large.
+
+        A leaf's table over the patterns of its path is a sum over sets of columns of a number times "the row meets all of the set", and a row meets
+        a set inside one box of bins. So every leaf of every tree adds boxes to the tables of its column sets; a box is added at its corners, and
+        running sums along every axis then fill it. A row costs one look into each table, however many trees there are.
+        """
+        sets = {tuple(c[:n].tolist()) for x in self.leaves for c, n in zip(x.columns, x.sizes)}
+        if max(map(len, sets), default=0) > DENSE:
+            return None
+        parts = {tuple(c for k, c in enumerate(s) if a >> k & 1) for s in sets for a in range(1 << len(s))}
+        bins = [len(c) + 2 for c in self.cuts]
+        numbers = self.width * self.n_classes
+        if sum(int(np.prod([bins[c] for c in a], dtype=float)) for a in parts) * numbers > GRID:
+            return None
+        grids = {a: np.zeros((int(np.prod([bins[c] for c in a], dtype=int)), self.width, self.n_classes)) for a in parts}
+        held: dict[tuple[int, ...], list[tuple[np.ndarray, ...]]] = {}
+        for leaves, base in zip(self.leaves, self.counts):
+            width, tables = leaves.columns.shape[1], self._tables(leaves, base)
+            for leaf, size in enumerate(leaves.sizes.tolist()):
+                # columns that only fill the path up are met by every row
+                filled = np.arange(1 << size) | ((1 << width) - (1 << size))
+                columns = tuple(leaves.columns[leaf, :size].tolist())
+                held.setdefault(columns, []).append((tables[leaf, filled, :size], leaves.low[leaf, :size], leaves.high[leaf, :size], leaves.shares[leaf]))
+        for columns, rows in held.items():
+            table, low, high, shares = (np.array(x) for x in zip(*rows))
+            size = len(columns)
+            by_set = table.copy()
+            for k in range(size):
+                with_k = np.flatnonzero(np.arange(1 << size) >> k & 1)
+                by_set[:, with_k] -= by_set[:, with_k ^ (1 << k)]
+            last = np.array([len(self.cuts[c]) for c in columns], np.int64)
+            edges = np.stack([low.astype(np.int64) + 1, np.minimum(high, last) + 1]) if size else np.zeros((2, len(rows), 0), np.int64)
+            for a in range(1 << size):
+                axes = [k for k in range(size) if a >> k & 1]
+                grid = grids[tuple(columns[k] for k in axes)]
+                corner, sign = np.zeros((1, len(rows)), np.int64), np.ones((1, 1))
+                for k in axes:
+                    corner = np.concatenate([corner * bins[columns[k]] + edges[side, :, k] for side in (0, 1)])
+                    sign = np.concatenate([sign, -sign])
+                at = corner.ravel()
+                for k, c in enumerate(columns):
+                    for output in range(self.n_classes):
+                        amount = sign * (by_set[:, a, k] * shares[:, output])[None, :]
+                        grid[:, c, output] += np.bincount(at, amount.ravel(), len(grid))
+        for a, grid in grids.items():
+            shaped = grid.reshape(*[bins[c] for c in a], self.width, self.n_classes)
+            for axis in range(len(a)):
+                np.cumsum(shaped, axis=axis, out=shaped)
+            grid /= max(self.n_trees, 1)
+        return grids
+
+    def _looked_up(self, binned: np.ndarray) -> np.ndarray:
+        bins = [len(c) + 2 for c in self.cuts]
+        out = np.zeros((len(binned), self.width, self.n_classes))
+        for columns, grid in self.grids.items():
+            at = np.zeros(len(binned), np.int64)
+            for c in columns:
+                at = at * bins[c] + binned[:, c]
+            out += grid[at]
+        return out.transpose(0, 2, 1)
+
+
 def _sparse(own: np.ndarray, base: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the patterns that occur, for paths of many columns."""
     mine, row = np.unique(own, return_inverse=True)

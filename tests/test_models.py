@@ -150,17 +150,20 @@ def grown(numbers, classes, n_trees, depth, codes=None, categories=()):
 
 
 @pytest.mark.parametrize("depth", [3, None])
-@pytest.mark.parametrize("dense", [trees.DENSE, 0])
-def test_attribution_equals_all_subsets(spark, monkeypatch, depth, dense):
-    """Six features, the definition of the Shapley value over all 64 subsets."""
+@pytest.mark.parametrize("dense, grid", [(trees.DENSE, 1 << 30), (trees.DENSE, 0), (0, 0)])
+def test_attribution_equals_all_subsets(spark, monkeypatch, depth, dense, grid):
+    """Six features, the definition of the Shapley value over all 64 subsets; by grids, by leaves, by patterns that occur."""
     monkeypatch.setattr(trees, "DENSE", dense)
+    monkeypatch.setattr(trees, "GRID", grid)
     draw = np.random.default_rng(5)
-    x = draw.normal(size=(300, 6)).round(1)
-    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(int) + (x[:, 3] > 1)
+    x = draw.integers(-3, 4, (300, 6)) / 4.0
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(int) + (x[:, 3] > 0.25)
     sample, n, deep = grown(x, y, 6, depth)
     model = trees.Trees.load(trees.fit(spark, sample, n, deep, 3))
     base, rows = x[:5], x[50:54]
-    found = trees.Attributor(model, base).values(rows)
+    attributor = trees.Attributor(model, base)
+    assert (attributor.grids is None) == (grid == 0)
+    found = attributor.values(rows)
     expected = np.zeros_like(found)
     subsets = list(itertools.product([False, True], repeat=6))
     for i, row in enumerate(rows):
