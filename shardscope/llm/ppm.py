@@ -5,8 +5,8 @@ texts; Spark sums them and folds them to all shorter grams. All of them stay, as
 
 Scoring. From the longest seen context down: a symbol seen in the context costs (c - 1/2) / n; otherwise an escape of half the number of its
 seen symbols goes to the next shorter context, where all symbols seen in the longer one are excluded. Below order 0 the unseen symbols of 256
-bytes and the end share evenly. As the model is fixed while it scores, a gram has one cost. The costs of the most frequent grams (at most
-``NODES``) are sent to the tasks. What is left of a text, gathered by gram, meets its costs in an equi-join: a gram of the training texts has
+bytes and the end share evenly. As the model is fixed while it scores, a gram has one cost. The costs of grams with at least 1 / ``SHARE`` of all symbols, which
+are at most ``SHARE`` by construction, are sent to the tasks, in the same way for a corpus of any size. What is left of a text, gathered by gram, meets its costs in an equi-join: a gram of the training texts has
 its cost from its count and the total of its context, any other (held-out texts only) from all its shorter contexts.
 
 Beside it the base score of a text under smoothed counts of whole tokens: frequent tokens (at most ``FREQUENT``, by the same kind of share) are
@@ -27,9 +27,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardscope.llm.common import LOWER, crc_part, reach_workers, slices, table, written
+from shardscope.llm.common import LOWER, crc_part, key_filter, maybe_in, reach_workers, slices, table, written
 
-ORDER, NODES = 5, 1 << 20
+ORDER = 5
+#: A gram with 1 / SHARE of all symbols is sent to the tasks.
+SHARE = 1 << 22
 FREQUENT, FREQUENT_BYTES = 1 << 16, 64
 FOLDS, HELD_OUT = 7, 2
 BITS, END, SYMBOLS = np.uint64(9), 257, 257
@@ -69,85 +71,16 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return codes[heads], np.add.reduceat(n, heads)
 
 
-@dataclass
-class Trie:
-    """Per level d the sorted codes of kept grams of d + 1 symbols, their counts, and each context's totals."""
-
-    order: int
-    codes: list[np.ndarray]
-    counts: list[np.ndarray]
-    contexts: list[np.ndarray]
-    totals: list[np.ndarray]
-    kinds: list[np.ndarray] = field(default_factory=list)
-    kept: list[np.ndarray] = field(default_factory=list)
-    lower: list[np.ndarray] = field(default_factory=list)
-    mark: int = field(default_factory=lambda: uuid.uuid4().int)
-
-    @classmethod
-    def build(cls, order: int, levels: dict[int, tuple[np.ndarray, np.ndarray]], totals: dict[int, tuple[np.ndarray, np.ndarray]]) -> Trie:
-        """``levels``: kept codes and counts; ``totals``: all occurrences of each context, symbols that were not kept included."""
-        none = (np.zeros(0, np.uint64), np.zeros(0))
-        codes, counts = zip(*(_by_code(*levels.get(d, none)) for d in range(order + 1)))
-        contexts, occurrences = zip(*(_by_code(*totals.get(d, none)) for d in range(order + 1)))
-        trie = cls(order, list(codes), list(counts), list(contexts), list(occurrences))
-        for d in range(order + 1):
-            home = np.searchsorted(trie.contexts[d], trie.codes[d] >> BITS)
-            n = len(trie.contexts[d])
-            trie.kinds.append(np.bincount(home, minlength=n).astype(float))
-            trie.kept.append(np.bincount(home, trie.counts[d], n))
-            below = trie._find(trie.codes[d - 1], trie.codes[d] & trie._mask(d)) if d else np.zeros(0, np.int64)
-            trie.lower.append(np.bincount(home, trie.counts[d - 1][below], n) if d else np.zeros(n))
-        return trie
-
-    @staticmethod
-    def _mask(symbols: int) -> np.uint64:
-        return np.uint64((1 << (9 * symbols)) - 1)
-
-    @staticmethod
-    def _find(among: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Place of each code, -1 where it is missing."""
-        if len(among) == 0:
-            return np.full(len(codes), -1)
-        at = np.minimum(np.searchsorted(among, codes), len(among) - 1)
-        return np.where(among[at] == codes, at, -1)
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of the last symbol of each gram after the symbols before it."""
-        out = np.zeros(len(codes))
-        open_, seen_kinds, seen_mass = np.ones(len(codes), bool), np.zeros(len(codes)), np.zeros(len(codes))
-        for d in range(self.order, -1, -1):
-            context = self._find(self.contexts[d], (codes >> BITS) & self._mask(d))
-            here = np.flatnonzero(open_ & (context >= 0))
-            if len(here) == 0:
-                continue
-            at = context[here]
-            total = self.totals[d][at] - seen_mass[here]
-            kinds = self.kinds[d][at] - seen_kinds[here]
-            fallen = self.totals[d][at] - self.kept[d][at]
-            gram = self._find(self.codes[d], codes[here] & self._mask(d + 1))
-            found = gram >= 0
-            cost = np.zeros(len(here))
-            cost[found] = np.log10((self.counts[d][gram[found]] - 0.5) / total[found])
-            missed = ~found & (total > 0)
-            cost[missed] = np.log10((0.5 * kinds[missed] + fallen[missed]) / total[missed])
-            out[here] += cost
-            open_[here[found]] = False
-            seen_kinds[here], seen_mass[here] = self.kinds[d][at], self.lower[d][at]
-        # seen_kinds now holds the number of symbols of the empty context
-        out[open_] -= np.log10(SYMBOLS - seen_kinds[open_])
-        return out
-
-
 def _by_code(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(codes)
     return codes[order], counts[order].astype(float)
 
 
 class Cached:
-    """A trie with a table of costs by gram: one slot per hash, replaced on collision."""
+    """Frequent grams with a table of costs by gram: one slot per hash, replaced on collision."""
 
-    def __init__(self, trie: Trie):
-        self.trie = trie
+    def __init__(self, frequent: Frequent):
+        self.frequent = frequent
         self.keys = np.full(1 << CACHE_BITS, np.uint64(0xFFFFFFFFFFFFFFFF))
         self.costs = np.zeros(1 << CACHE_BITS)
 
@@ -156,7 +89,7 @@ class Cached:
         out, miss = self.costs[slot], np.flatnonzero(self.keys[slot] != codes)
         if len(miss):
             new, back = np.unique(codes[miss], return_inverse=True)
-            costs = self.trie.log10(new)
+            costs = self.frequent.log10(new)
             out[miss] = costs[back]
             at = (new * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE_BITS)
             self.keys[at], self.costs[at] = new, costs
@@ -167,7 +100,7 @@ _CACHED: dict[int, Cached] = {}
 
 
 def cached(shared) -> Cached:
-    """This worker's table for a broadcast trie; the tasks that a worker runs one after another share it."""
+    """This worker's table for broadcast costs; the tasks that a worker runs one after another share it."""
     if shared.value.mark not in _CACHED:
         _CACHED.clear()
         _CACHED[shared.value.mark] = Cached(shared.value)
@@ -204,23 +137,14 @@ def _each(order: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(order))).alias("d")
 
 
-def gram_levels(counted: DataFrame, order: int = ORDER) -> DataFrame:
-    """d, code, n of all grams of d + 1 symbols, for d from 0 to ``order``."""
-    return counted.select("code", "n", _each(order)).groupBy("d", _low("code", "d + 1").alias("code")).agg(F.sum("n").alias("n"))
-
+def gram_levels(counted: DataFrame, contexts: DataFrame, order: int = ORDER) -> DataFrame:
+    """d, code, n of the grams of d + 1 symbols, for d from 0 to ``order``, in one of the ``contexts`` (d, context) at least.
 
-def train(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> Trie:
-    """A trie for one process, of the nodes with at least 1 / ``nodes`` of all symbols: at most ``nodes`` codes and counts per level.
-
-    On texts of up to ``nodes`` symbols it is the whole model, by which ``score_texts`` is tested; that function does not use it.
+    A bitmap of the contexts drops most grams before they are counted again; it lets some others pass.
     """
-    counted = gram_counts(texts, order)
-    symbols = counted.agg(F.sum("n")).first()[0] or 0
-    levels = written(gram_levels(counted, order).where(F.col("n") * nodes >= symbols), "nodes")
-    parents = counted.select("code", "n", _each(order)).groupBy("d", F.shiftright(_low("code", "d + 1"), 9).alias("context"))
-    totals = parents.agg(F.sum("n").alias("n")).where(F.col("n") * nodes >= symbols)
-    totals = totals.join(levels.select("d", F.shiftright("code", 9).alias("context")).distinct(), ["d", "context"], "left_semi")
-    return Trie.build(order, _arrays(levels, "code"), _arrays(totals, "context"))
+    every = counted.select("n", _each(order), "code").select("d", _low("code", "d + 1").alias("code"), "n")
+    needed = maybe_in(every.withColumn("context", F.shiftright("code", 9)), key_filter(contexts, "d", "context"), "d", "context").where("_maybe")
+    return needed.groupBy("d", "code").agg(F.sum("n").alias("n"))
 
 
 # The whole model ----------------------------------------------------------------------------------
@@ -235,8 +159,10 @@ class Frequent:
     mark: int = field(default_factory=lambda: uuid.uuid4().int)
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
-        at = Trie._find(self.codes, codes)
-        return np.where(at >= 0, self.costs[at], np.nan) if len(self.codes) else np.full(len(codes), np.nan)
+        if len(self.codes) == 0:
+            return np.full(len(codes), np.nan)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.costs[at], np.nan)
 
 
 def seen_costs(counted: DataFrame) -> DataFrame:
@@ -245,17 +171,6 @@ def seen_costs(counted: DataFrame) -> DataFrame:
     return counted.select("code", "n", F.log10((F.col("n") - 0.5) / total).alias("cost"))
 
 
-def least_count(costs: DataFrame, most: int) -> int:
-    """The smallest power of 2 that at most ``most`` grams reach."""
-    power = F.floor(F.log2(F.col("n") + 0.5)).cast("int")
-    sizes, held = {r["p"]: r["count"] for r in costs.groupBy(power.alias("p")).count().collect()}, 0
-    for p in range(max(sizes, default=0), -1, -1):
-        held += sizes.get(p, 0)
-        if held > most:
-            return 1 << p + 1
-    return 1
-
-
 def unseen_costs(unseen: DataFrame, counted: DataFrame, order: int = ORDER) -> DataFrame:
     """code, cost of distinct grams (a column code) that the training texts do not have.
 
@@ -263,9 +178,10 @@ def unseen_costs(unseen: DataFrame, counted: DataFrame, order: int = ORDER) -> D
     shorter context; and the count of its own symbol there. Contexts of up to two symbols and grams of up to two are few whatever the corpus
     and shared by many grams, so their tables are broadcast.
     """
-    levels = written(gram_levels(counted, order), "levels")
     contexts = unseen.select("code", _each(order)).select("code", "d", F.shiftright(_low("code", "d + 1"), 9).alias("context"))
     contexts = written(contexts, "contexts")
+    # the symbols of a context, and what they count in the next shorter one, all lie in contexts of the same gram
+    levels = written(gram_levels(counted, contexts.select("d", "context"), order), "levels")
     children = levels.withColumn("context", F.shiftright("code", 9)).join(contexts.select("d", "context").distinct(), ["d", "context"], "left_semi")
     shorter = levels.select((F.col("d") + 1).alias("d"), F.col("code").alias("_suffix"), F.col("n").alias("_n"))
     children = children.withColumn("_suffix", _low("code", "d")).join(shorter, ["d", "_suffix"], "left")
@@ -316,12 +232,6 @@ def _gram_rows(counted: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(counted[0].view(np.int64)), pa.array(counted[1].astype(np.int64))], ["code", "n"])
 
 
-def _arrays(df: DataFrame, column: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    found = df.select("d", column, "n").toArrow()
-    d, codes, n = (found.column(k).to_numpy() for k in ("d", column, "n"))
-    return {int(k): (codes[d == k].astype(np.uint64), n[d == k]) for k in np.unique(d)}
-
-
 # Base score ---------------------------------------------------------------------------------------
 
 
@@ -355,7 +265,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
 
 DOCUMENT = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("mark", T.IntegerType()), T.StructField("held_out", T.BooleanType()),
+    T.StructField("doc_id", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("held_out", T.BooleanType()),
     T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("logs", T.DoubleType()), T.StructField("score", T.DoubleType()),
     T.StructField("codes", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.IntegerType())),
 ])
@@ -372,24 +282,26 @@ def _left(codes: np.ndarray, begins: np.ndarray, at: np.ndarray) -> tuple[pa.Arr
     return tuple(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (codes[heads].astype(np.int64), times.astype(np.int32)))
 
 
-def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, nodes: int = NODES) -> DataFrame:
+def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, share: int = SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Learns from the rows whose crc32(doc_id as text) mod 7 is not 2. Null counts as an empty text, which still has its end. Rows that repeat
     an identifier are scored by their own texts. Without training rows no token is known and all symbols are equally likely.
-    An empty table gives no rows; other columns are not read. At most ``nodes`` grams are sent to the tasks; the scores do not depend on it.
+    An empty table gives no rows; other columns are not read. At most ``share`` grams are sent to the tasks; the scores do not depend on it.
+    The counts hold the training texts themselves, which therefore never escape: only scores of held-out texts compare with one another.
     """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     part = crc_part(F.col(key), FOLDS)
     # the mark tells texts of one identifier apart
     plain = docs.select(
-        whole.alias("text"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(whole).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("mark"), (part == HELD_OUT).alias("held_out")
+        whole.alias("text"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(whole).alias("mark"), (part == HELD_OUT).alias("held_out")
     )
     learning = plain.where(~F.col("held_out"))
     counted = gram_counts(learning, order)
     costs = written(seen_costs(counted), "costs")
-    least = least_count(costs, nodes)
-    sent = costs.where(F.col("n") >= least).select("code", "cost").toArrow()
+    symbols = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    often_seen = F.col("n").cast("double") * share >= symbols
+    sent = costs.where(often_seen).select("code", "cost").toArrow()
     sent_codes, sent_costs = (sent.column(k).to_numpy() for k in (0, 1))
     shared = docs.sparkSession.sparkContext.broadcast(Frequent(*_by_code(sent_codes.astype(np.uint64), sent_costs)))
     del sent, sent_codes, sent_costs
@@ -434,7 +346,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", order:
                 yield pa.RecordBatch.from_arrays([*rows, pa.array(words, pa.binary()), pa.array(times, pa.int32())], ["doc_id", "mark", "token", "times"])
 
     scored = plain.mapInArrow(documents, DOCUMENT)
-    rare = plain.select("text", "doc_id", "mark").mapInArrow(seldom, "doc_id long, mark int, token binary, times int")
+    rare = plain.select("text", "doc_id", "mark").mapInArrow(seldom, "doc_id long, mark long, token binary, times int")
     met = rare.join(counts.where(~frequent), "token").groupBy("doc_id", "mark").agg(
         F.sum(F.col("times").cast("long")).alias("_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("_logs")
     )
@@ -444,7 +356,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", order:
     left = scored.select("doc_id", "mark", "held_out", F.explode(F.arrays_zip("codes", "times")).alias("x")).select("doc_id", "mark", "held_out", "x.*")
     left = left.withColumnRenamed("codes", "code")
     unseen = written(left.where("held_out").select("code").distinct().join(costs, "code", "left_anti"), "unseen")
-    others = costs.where(F.col("n") < least).select("code", "cost").unionByName(unseen_costs(unseen, counted, order))
+    others = costs.where(~often_seen).select("code", "cost").unionByName(unseen_costs(unseen, counted, order))
     far = left.join(others, "code").groupBy("doc_id", "mark").agg(F.sum(F.col("times") * F.col("cost")).alias("_far")).withColumnsRenamed({"doc_id": "_d", "mark": "_m"})
     scored = scored.drop("codes", "times")
     twice = scored.groupBy("doc_id", "mark").agg(F.count("*").alias("_rows")).where("_rows > 1").withColumnsRenamed({"doc_id": "_d", "mark": "_m"})
