@@ -38,6 +38,8 @@ BITS, END, SYMBOLS = np.uint64(9), 257, 257
 #: Stands for the end of a text among the tokens; no word is empty.
 END_TOKEN = b""
 CACHE_BITS = 21
+#: Bytes of text that are scored at once.
+SLICE = 1 << 20
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -265,9 +267,10 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
 
 DOCUMENT = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("held_out", T.BooleanType()),
+    T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()),
     T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("logs", T.DoubleType()), T.StructField("score", T.DoubleType()),
     T.StructField("codes", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.IntegerType())),
+    T.StructField("token", T.ArrayType(T.BinaryType())), T.StructField("token_times", T.ArrayType(T.IntegerType())),
 ])
 
 
@@ -292,11 +295,11 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", order:
     """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     part = crc_part(F.col(key), FOLDS)
-    # the mark tells texts of one identifier apart
+    # the row number is written with the first result and names the row from there on
     plain = docs.select(
-        whole.alias("text"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(whole).alias("mark"), (part == HELD_OUT).alias("held_out")
+        whole.alias("text"), F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), (part == HELD_OUT).alias("held_out")
     )
-    learning = plain.where(~F.col("held_out"))
+    learning = docs.select(whole.alias("text"), (part == HELD_OUT).alias("held_out")).where(~F.col("held_out"))
     counted = gram_counts(learning, order)
     costs = written(seen_costs(counted), "costs")
     symbols = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
@@ -317,11 +320,12 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", order:
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = cached(shared)
         for batch in batches:
-            for first, data, offsets in slices(batch.column(0)):
-                sizes, known, logs = [], [], []
+            for first, data, offsets in slices(batch.column(0), SLICE):
+                sizes, known, logs, seldom = [], [], [], []
                 for words in _tokens(data, offsets):
                     words.append(END_TOKEN)
                     found = [x for x in map(often_logs.get, words) if x is not None]
+                    seldom.append(Counter(x for x in words if x not in often) if len(found) < len(words) else {})
                     sizes.append(len(words))
                     known.append(len(found))
                     logs.append(math.fsum(found))
@@ -331,48 +335,25 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", order:
                 scores = np.add.reduceat(np.where(rare, 0.0, logs10), begins)
                 rows = [batch.column(k).slice(first, len(sizes)) for k in (1, 2, 3)]
                 found = [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(scores), *_left(codes, begins, np.flatnonzero(rare))]
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in seldom])]).astype(np.int32))
+                found.append(pa.ListArray.from_arrays(ends, pa.array([w for c in seldom for w in c], pa.binary())))
+                found.append(pa.ListArray.from_arrays(ends, pa.array([k for c in seldom for k in c.values()], pa.int32())))
                 yield pa.RecordBatch.from_arrays([*rows, *found], schema=pa.schema([(f.name, a.type) for f, a in zip(DOCUMENT, [*rows, *found])]))
 
-    def seldom(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, data, offsets in slices(batch.column(0)):
-                owner, words, times = [], [], []
-                for k, w in enumerate(_tokens(data, offsets), first):
-                    rare = Counter([x for x in w if x not in often])
-                    owner += [k] * len(rare)
-                    words += rare
-                    times += rare.values()
-                rows = [batch.column(c).take(pa.array(owner, pa.int64())) for c in (1, 2)]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(words, pa.binary()), pa.array(times, pa.int32())], ["doc_id", "mark", "token", "times"])
-
-    scored = plain.mapInArrow(documents, DOCUMENT)
-    rare = plain.select("text", "doc_id", "mark").mapInArrow(seldom, "doc_id long, mark long, token binary, times int")
-    met = rare.join(counts.where(~frequent), "token").groupBy("doc_id", "mark").agg(
+    scored = written(plain.mapInArrow(documents, DOCUMENT), "scored")
+    rare = scored.select("row", F.explode(F.arrays_zip("token", F.col("token_times").alias("times"))).alias("x")).select("row", "x.token", "x.times")
+    met = rare.join(counts.where(~frequent), "token").groupBy("row").agg(
         F.sum(F.col("times").cast("long")).alias("_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("_logs")
     )
-    met = met.withColumnsRenamed({"doc_id": "_d", "mark": "_m"})
-    # rows that repeat identifier and text were summed together
-    scored = written(scored, "scored")
-    left = scored.select("doc_id", "mark", "held_out", F.explode(F.arrays_zip("codes", "times")).alias("x")).select("doc_id", "mark", "held_out", "x.*")
-    left = left.withColumnRenamed("codes", "code")
+    left = scored.select("row", "held_out", F.explode(F.arrays_zip(F.col("codes").alias("code"), "times")).alias("x")).select("row", "held_out", "x.code", "x.times")
     unseen = written(left.where("held_out").select("code").distinct().join(costs, "code", "left_anti"), "unseen")
     others = costs.where(~often_seen).select("code", "cost").unionByName(unseen_costs(unseen, counted, order))
-    far = left.join(others, "code").groupBy("doc_id", "mark").agg(F.sum(F.col("times") * F.col("cost")).alias("_far")).withColumnsRenamed({"doc_id": "_d", "mark": "_m"})
-    scored = scored.drop("codes", "times")
-    twice = scored.groupBy("doc_id", "mark").agg(F.count("*").alias("_rows")).where("_rows > 1").withColumnsRenamed({"doc_id": "_d", "mark": "_m"})
-
-    def with_(left: DataFrame, right: DataFrame) -> DataFrame:
-        same = left["doc_id"].eqNullSafe(right["_d"]) & (left["mark"] == right["_m"])
-        return left.join(right, same, "left").drop("_d", "_m")
-
-    rows = with_(with_(with_(scored, met), far), twice)
-    share = F.coalesce("_rows", F.lit(1))
-    known = F.coalesce("_known", F.lit(0)) / share
-    logs = F.coalesce("_logs", F.lit(0.0)) / share
+    far = left.join(others, "code").groupBy("row").agg(F.sum(F.col("times") * F.col("cost")).alias("_far"))
+    rows = scored.drop("codes", "times", "token", "token_times").join(met, "row", "left").join(far, "row", "left")
     return rows.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + known).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("logs") + logs - F.col("n_tokens") * F.lit(base)).alias("base_score"),
-        (F.col("score") + F.coalesce("_far", F.lit(0.0)) / share).alias("score"),
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("logs") + F.coalesce("_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(base)).alias("base_score"),
+        (F.col("score") + F.coalesce("_far", F.lit(0.0))).alias("score"),
     )
 
 
