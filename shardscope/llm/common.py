@@ -45,7 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str = "part") -> DataFrame:
+def written(df: DataFrame, name: str = "part", compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and go on from there.
 
     The written rows survive lost executors and cut the lineage; unlike a checkpoint of rows they are
@@ -53,7 +53,7 @@ def written(df: DataFrame, name: str = "part") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -127,7 +127,7 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
 
     reach_workers(texts.sparkSession)
     counted = texts.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    return written(counted, "grams")
+    return written(counted, "grams", "zstd")
 
 
 def _low(code: str, symbols: str) -> Column:
@@ -181,14 +181,14 @@ def unseen_costs(unseen: DataFrame, counted: DataFrame, order: int = ORDER) -> D
     and shared by many grams, so their tables are broadcast.
     """
     contexts = unseen.select("code", _each(order)).select("code", "d", F.shiftright(_low("code", "d + 1"), 9).alias("context"))
-    contexts = written(contexts, "contexts")
+    contexts = written(contexts, "contexts", "zstd")
     # the symbols of a context, and what they count in the next shorter one, all lie in contexts of the same gram
-    levels = written(gram_levels(counted, contexts.select("d", "context"), order), "levels")
+    levels = written(gram_levels(counted, contexts.select("d", "context"), order), "levels", "zstd")
     children = levels.withColumn("context", F.shiftright("code", 9)).join(contexts.select("d", "context").distinct(), ["d", "context"], "left_semi")
     shorter = levels.select((F.col("d") + 1).alias("d"), F.col("code").alias("_suffix"), F.col("n").alias("_n"))
     children = children.withColumn("_suffix", _low("code", "d")).join(shorter, ["d", "_suffix"], "left")
     stats = children.groupBy("d", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.coalesce(F.sum("_n"), F.lit(0)).alias("lower"))
-    stats = written(stats, "stats")
+    stats = written(stats, "stats", "zstd")
     counts = levels.select("d", F.col("code").alias("_gram"), "n")
     contexts = contexts.withColumn("_gram", _low("code", "d + 1"))
 
@@ -301,14 +301,14 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", order:
     )
     learning = docs.select(whole.alias("text"), (part == HELD_OUT).alias("held_out")).where(~F.col("held_out"))
     counted = gram_counts(learning, order)
-    costs = written(seen_costs(counted), "costs")
+    costs = written(seen_costs(counted), "costs", "zstd")
     symbols = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     often_seen = F.col("n").cast("double") * share >= symbols
     sent = costs.where(often_seen).select("code", "cost").toArrow()
     sent_codes, sent_costs = (sent.column(k).to_numpy() for k in (0, 1))
     shared = docs.sparkSession.sparkContext.broadcast(Frequent(*_by_code(sent_codes.astype(np.uint64), sent_costs)))
     del sent, sent_codes, sent_costs
-    counts = written(token_counts(learning), "tokens")
+    counts = written(token_counts(learning), "tokens", "zstd")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = int(totals[0]), int(totals[1])
     # the end is in every text, so it is sent whatever its share
@@ -340,13 +340,13 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", order:
                 found.append(pa.ListArray.from_arrays(ends, pa.array([k for c in seldom for k in c.values()], pa.int32())))
                 yield pa.RecordBatch.from_arrays([*rows, *found], schema=pa.schema([(f.name, a.type) for f, a in zip(DOCUMENT, [*rows, *found])]))
 
-    scored = written(plain.mapInArrow(documents, DOCUMENT), "scored")
+    scored = written(plain.mapInArrow(documents, DOCUMENT), "scored", "zstd")
     rare = scored.select("row", F.explode(F.arrays_zip("token", F.col("token_times").alias("times"))).alias("x")).select("row", "x.token", "x.times")
     met = rare.join(counts.where(~frequent), "token").groupBy("row").agg(
         F.sum(F.col("times").cast("long")).alias("_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("_logs")
     )
     left = scored.select("row", "held_out", F.explode(F.arrays_zip(F.col("codes").alias("code"), "times")).alias("x")).select("row", "held_out", "x.code", "x.times")
-    unseen = written(left.where("held_out").select("code").distinct().join(costs, "code", "left_anti"), "unseen")
+    unseen = written(left.where("held_out").select("code").distinct().join(costs, "code", "left_anti"), "unseen", "zstd")
     others = costs.where(~often_seen).select("code", "cost").unionByName(unseen_costs(unseen, counted, order))
     far = left.join(others, "code").groupBy("row").agg(F.sum(F.col("times") * F.col("cost")).alias("_far"))
     rows = scored.drop("codes", "times", "token", "token_times").join(met, "row", "left").join(far, "row", "left")
