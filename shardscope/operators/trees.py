@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,10 @@ CUTS = 127
 MAX_NODES = 4_000_000
 # Path columns for which the weights of all patterns are one product of matrices.
 DENSE = 8
+# Rows that walk a tree together, and levels after which those that reached a leaf drop out.
+WALK, STEPS = 1 << 13, 5
+# Cells of a forest's bins that a task evaluates at a time.
+CELLS = 1 << 12
 # Most numbers in the grids of an attributed forest over few columns (8 bytes each, in every worker).
 GRID = 1 << 24
 NODE_FIELDS = "column array<int>, threshold array<double>, category array<int>, left array<int>, right array<int>, shares array<double>, gain array<double>"
@@ -206,21 +210,55 @@ class Trees:
     def sizes(self) -> np.ndarray:
         return np.diff(np.append(self.roots, len(self.column)))
 
+    @cached_property
+    def walks(self) -> list[tuple[np.ndarray, ...]]:
+        """Per tree, by node: column, lowest bin and number of further bins that go to the second child, the two children; a leaf is its own child."""
+        cells = Cells.of(self)
+        low, more = np.zeros(len(self.column), np.uint32), np.zeros(len(self.column), np.uint32)
+        for c, (marks, text) in enumerate(zip(cells.marks, cells.texts)):
+            at = np.flatnonzero(self.column == c)
+            place = np.searchsorted(marks, self.category[at] if text else self.threshold[at])
+            if text:
+                low[at] = place
+            else:
+                more[at] = place
+        out = []
+        for root, size in zip(self.roots.tolist(), self.sizes.tolist()):
+            own, itself = slice(root, root + size), np.arange(size)
+            inner, text = self.column[own] >= 0, self.category[own] >= 0
+            sides = [np.where(inner, side[own] - root, itself) for side in (self.left, self.right)]
+            children = np.stack([np.where(text, sides[0], sides[1]), np.where(text, sides[1], sides[0])], axis=1).ravel()
+            column = np.where(inner, self.column[own], 0)
+            out.append((column, low[own] if text.any() else None, more[own], children, inner))
+        return out
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """Mean class shares of the leaves that each row (numbers, then text codes) reaches."""
         total = np.zeros((len(x), self.shares.shape[1]))
-        rows = np.arange(len(x))
-        for root in self.roots:
-            at, open_ = np.full(len(x), root), rows
-            while len(open_):
-                here = at[open_]
-                column = self.column[here]
-                inner = column >= 0
-                open_, here, column = open_[inner], here[inner], column[inner]
-                value, category = x[open_, column], self.category[here]
-                goes_left = np.where(category < 0, value <= self.threshold[here], value != category)
-                at[open_] = np.where(goes_left, self.left[here], self.right[here])
-            total += self.shares[at]
+        cells = Cells.of(self)
+        for first in range(0, len(x), WALK):
+            # few rows, which stay in the processor's cache with the nodes of a tree
+            binned = cells.binned(x[first : first + WALK])
+            values, width = binned.ravel(), binned.shape[1]
+            start = np.arange(len(binned)) * width
+            for root, (column, low, more, children, inner) in zip(self.roots.tolist(), self.walks):
+                leaf, rows, begins = np.zeros(len(binned), np.int64), None, start
+                here = np.zeros(len(binned), np.int64)
+                while True:
+                    for _ in range(STEPS):
+                        value = values.take(begins + column.take(here))
+                        if low is not None:
+                            value -= low.take(here)
+                        here = children.take(2 * here + (value <= more.take(here)))
+                    if rows is None:
+                        leaf = here.copy()
+                    else:
+                        leaf[rows] = here
+                    open_ = np.flatnonzero(inner.take(here))
+                    if not len(open_):
+                        break
+                    rows, here, begins = open_ if rows is None else rows[open_], here[open_], begins[open_]
+                total[first : first + WALK] += self.shares[root + leaf]
         return total / max(len(self.roots), 1)
 
     def importances(self, columns: np.ndarray, categories: np.ndarray) -> np.ndarray:
@@ -234,10 +272,74 @@ class Trees:
         return out / (out.sum() or 1.0)
 
 
-def scorer(spark: SparkSession, trees: Trees) -> Scorer:
-    """Scorer that sends the trees to the tasks once."""
+@dataclass(frozen=True)
+class Cells:
+    """A forest's bins: numbers between the cut points of all its trees, text codes by the categories that some tree asks for.
+
+    All rows of a cell go the same way in every tree. ``outputs`` has the shares of each cell, once they are known.
+    """
+
+    marks: list[np.ndarray]
+    texts: list[bool]
+    outputs: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, trees: Trees) -> Cells:
+        texts = [bool((trees.category[trees.column == c] >= 0).any()) for c in range(max(int(trees.column.max(initial=0)) + 1, 1))]
+        marks = [np.unique((trees.category if t else trees.threshold)[trees.column == c]).astype(float) for c, t in enumerate(texts)]
+        return cls(marks, texts)
+
+    @property
+    def shape(self) -> tuple[int, ...]:
+        return tuple(len(m) + 1 for m in self.marks)
+
+    @property
+    def count(self) -> int:
+        return math.prod(self.shape)
+
+    def points(self, cells: np.ndarray) -> np.ndarray:
+        """A row of each cell: the upper end of its bins, or a category; the last bin holds all that lies above, or no category of the forest."""
+        ends = [np.append(m, -1.0 if t else np.inf) for m, t in zip(self.marks, self.texts)]
+        return np.stack([e[b] for e, b in zip(ends, np.unravel_index(cells, self.shape))], axis=1)
+
+    def binned(self, x: np.ndarray) -> np.ndarray:
+        """[row, column]: the bin of each value; columns that no tree asks for are left out."""
+        out = np.zeros((len(x), len(self.marks)), np.uint32)
+        for j, (marks, text) in enumerate(zip(self.marks, self.texts)):
+            place = np.searchsorted(marks, x[:, j], "left")
+            out[:, j] = np.where(np.append(marks, np.nan)[place] == x[:, j], place, len(marks)) if text else place
+        return out
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        return self.outputs[np.ravel_multi_index(tuple(self.binned(x).T), self.shape)]
+
+
+def scorer(spark: SparkSession, trees: Trees, rows: int = 0) -> Scorer:
+    """Scorer that sends the trees to the tasks once.
+
+    When ``rows`` rows are to be scored, and the forest has fewer cells than that (``GRID`` numbers at most), tasks evaluate every
+    cell by the same walk first; a row is then one look at its cell, with the same outputs.
+    """
     sent = spark.sparkContext.broadcast(trees)
-    return python_scorer(lambda x: sent.value.probabilities(x))
+    cells = Cells.of(trees)
+    if cells.count > rows or cells.count * trees.shares.shape[1] > GRID:
+        return python_scorer(lambda x: sent.value.probabilities(x))
+    bins = spark.sparkContext.broadcast(cells)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                ids = np.arange(block * CELLS, min((block + 1) * CELLS, bins.value.count))
+                found = sent.value.probabilities(bins.value.points(ids)).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([found], pa.list_(pa.float64()))], ["block", "shares"])
+
+    blocks = -(-cells.count // CELLS)
+    parts = min(blocks, 4 * spark.sparkContext.defaultParallelism)
+    evaluated = spark.range(0, blocks, 1, parts).mapInArrow(run, "block long, shares array<double>")
+    # in the order of the blocks, at most GRID numbers
+    shares = [np.asarray(x.values) for x in evaluated.toArrow().sort_by("block").column("shares")]
+    known = spark.sparkContext.broadcast(Cells(cells.marks, cells.texts, np.concatenate(shares).reshape(cells.count, -1)))
+    return python_scorer(lambda x: known.value.probabilities(x))
 
 
 # Attribution ---------------------------------------------------------------------------------------

@@ -286,3 +286,38 @@ def test_registered_forest_has_the_operators_own_size(monkeypatch):
     monkeypatch.setattr(modelling, "FORESTS", {})
     modelling._forest(SimpleNamespace(sparkContext=SimpleNamespace(applicationId="none")), "")
     assert {k: taken.get(k, own.parameters[k].default) for k in ("trees", "depth")} == {"trees": 400, "depth": 10}
+
+
+def test_forests_score_by_cells_with_equal_outputs(spark):
+    """Walked over bins, node by node in the order of the trees, and looked up when there are more rows than cells."""
+    draw = np.random.default_rng(12)
+    x, codes = draw.integers(0, 9, (500, 2)) / 8.0, draw.integers(0, 3, (500, 1))
+    sample, n, depth = grown(x, (x[:, 0] > 0.5).astype(int) + (codes[:, 0] == 1), 9, 6, codes, [3])
+    model = trees.Trees.load(trees.fit(spark, sample, n, depth, 1))
+    odd = [[np.nan, 0.3, 1.0], [np.inf, -np.inf, 0.0], [0.5, 0.25, -1.0], [2.0, np.nan, 7.0], [0.1, 0.2, np.nan]]
+    rows = np.concatenate([np.concatenate([x, codes], axis=1), odd])
+    expected = np.zeros((len(rows), model.shares.shape[1]))
+    for i, row in enumerate(rows):
+        for at in model.roots.tolist():
+            while model.column[at] >= 0:
+                value, category = row[model.column[at]], model.category[at]
+                at = model.left[at] if (value <= model.threshold[at] if category < 0 else value != category) else model.right[at]
+            expected[i] += model.shares[at]
+    expected /= len(model.roots)
+    cells = trees.Cells.of(model)
+    walked, looked_up = trees.scorer(spark, model), trees.scorer(spark, model, cells.count)
+    assert np.array_equal(walked.matrix(rows), expected) and np.array_equal(looked_up.matrix(rows), expected)
+
+
+def test_rows_are_not_brought_together_by_label(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.sql("SELECT id AS s_suppkey, id % 2 AS s_nationkey FROM range(4)").write.parquet(f"{folder}/supplier.parquet")
+    spark.sql("SELECT id AS n_nationkey, id AS n_regionkey FROM range(2)").write.parquet(f"{folder}/nation.parquet")
+    spark.sql("SELECT id AS r_regionkey, concat('R', id) AS r_name FROM range(2)").write.parquet(f"{folder}/region.parquet")
+    spark.sql(
+        """SELECT id AS l_orderkey, 1 AS l_linenumber, id AS l_partkey, id % 4 AS l_suppkey, 1.0D + id % 50 AS l_quantity, 10.0D * id AS l_extendedprice,
+                  0.01D AS l_discount, 0.02D AS l_tax, if(id % 3 = 0, 'A', if(id % 3 = 1, 'N', NULL)) AS l_returnflag, 'O' AS l_linestatus FROM range(60)"""
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    found = modelling._weighted_clients(spark, folder)
+    assert "hashpartitioning(label" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.label, r.weight) for r in found.collect()} == {("A", 1.0), ("N", 1.0)} and found.count() == 40
