@@ -11,7 +11,7 @@ from shardscope.operators import evaluate, explain, forest, sampling, scoring, t
 from shardscope.plans.evaluation import LISTED, MACRO_SQL, class_sql, matrix_sql
 from shardscope.plans.registry import query
 from shardscope.plans.samples import ordered_sql, quota_sql
-from shardscope.session import materialise, written
+from shardscope.session import local_if_small, materialise, written
 from shardscope.plans.tables import CLIENTS, FEATURES, FLOW, LABELS, clients, flow, rounded, table
 
 # Features brought to about the unit range, as a scaled model table has them.
@@ -203,7 +203,8 @@ SHAPE = training.Shape(FEATURES, LABELS)
 
 def _weighted_clients(spark, folder):
     rows = unit(clients(spark, folder), "row_key", "client")
-    return rows.join(client_ops.class_weights(rows).select("label", "weight"), "label")
+    # one row per label: a join by label would bring all rows of a label to one task
+    return rows.join(local_if_small(client_ops.class_weights(rows).select("label", "weight")), "label")
 
 
 def _training_sql(steps: int) -> str:
