@@ -34,7 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of every row, as token numbers with inclusion scores."""
-    return segmentation.sampled(docs)
+    # the stages before leave the executors' heaps grown, so the lattices get less
+    return segmentation.sampled(docs, step=segmentation.SLICE // 4)
 
 
 STAGES = [

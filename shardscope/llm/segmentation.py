@@ -410,12 +410,13 @@ def decode(ids: list[int], pieces: Pieces) -> bytes:
 SCHEMA = "doc_id long, rank int, n_pieces int, log_prob double, perturbed double, inclusion double"
 
 
-def sampled(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES, model: str | None = None, digest: bool = False) -> DataFrame:
+def sampled(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES, model: str | None = None, digest: bool = False, step: int = SLICE) -> DataFrame:
     """doc_id, rank (from 1), ids, n_pieces, log_prob, perturbed, inclusion: the sampled segmentations of every row.
 
     Null counts as empty; an empty text has one segmentation without pieces. Rows that repeat an identifier draw from the same random numbers, so equal
     texts get equal samples. A null identifier draws as -1. An empty table gives no rows; other columns are not read. With ``digest``, ids_sha256 (of the numbers
-    as little-endian integers of 4 bytes) and same (whether decoding gives the text back) take the place of ids.
+    as little-endian integers of 4 bytes) and same (whether decoding gives the text back) take the place of ids. Texts are cut in slices of about ``step`` bytes, which
+    share a lattice: smaller ones take less memory and more time.
     """
     reach_workers(docs.sparkSession)
     path = model or model_path()
@@ -424,7 +425,7 @@ def sampled(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: i
         pieces = load(path)
         for batch in batches:
             keys = batch.column(0).fill_null(-1).to_numpy()
-            for first, data, offsets in slices(batch.column(1), SLICE):
+            for first, data, offsets in slices(batch.column(1), step):
                 n = len(offsets) - 1
                 found = segment(data, offsets, keys[first : first + n], pieces, samples)
                 owner = [k for k, rows in enumerate(found) for _ in rows]
