@@ -544,31 +544,39 @@ def _leaves(trees: Trees, root: int, cuts: list[np.ndarray]) -> Leaves:
 def attribute(df: DataFrame, trees: Trees, features: Sequence[str], key: Sequence[str], background: DataFrame, limit: int = 1_000) -> DataFrame:
     """``key..., output, feature, value`` of all rows: exact interventional Shapley values of a forest over ``features``.
 
-    ``background`` is a bounded sample and travels with the trees; more than ``limit`` rows are an error, none give values of NULL. For each
-    row and output the values sum to f(row) - mean f(background).
+    See ``attribute_rows``, whose rows are unfolded here.
+    """
+    rows = attribute_rows(df, trees, features, key, background, limit)
+    names, width = F.array(*[F.lit(c) for c in features]), len(features)
+    unfolded = rows.select(*[quoted(k) for k in key], F.posexplode("attribution").alias("place", "value"))
+    return unfolded.select(
+        *[quoted(k) for k in key], F.floor(F.col("place") / width).cast("int").alias("output"), F.get(names, F.col("place") % width).alias("feature"), "value"
+    )
+
+
+def attribute_rows(df: DataFrame, trees: Trees, features: Sequence[str], key: Sequence[str], background: DataFrame, limit: int = 1_000) -> DataFrame:
+    """All rows of ``df`` with ``key...`` and the array ``attribution``: the values of all features for the first output, then for the next.
+
+    Exact interventional Shapley values of a forest over ``features``. ``background`` is a bounded sample and travels with the trees; more than ``limit`` rows are an error, none
+    give values of NULL. For each row and output the values sum to f(row) - mean f(background).
     """
     taken = background.select(*[quoted(c).cast("double") for c in features]).limit(limit + 1).collect()
     if len(taken) > limit:
         raise ValueError(f"the background has more than {limit} rows")
-    sent = df.sparkSession.sparkContext.broadcast((trees, np.array([list(r) for r in taken], float).reshape(-1, len(features))))
-    names, width = list(features), len(features)
+    base, width = np.array([list(r) for r in taken], float).reshape(-1, len(features)), len(features)
+    # made once, whatever the number of tasks; without it the values are missing
+    sent = df.sparkSession.sparkContext.broadcast((Attributor(trees, base) if len(base) else None, trees.shares.shape[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, base = sent.value
-        attributor = Attributor(trees, base) if len(base) else None
+        attributor, outputs = sent.value
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             x = np.array(batch.column(len(key)).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, width)
-            shape = (len(x), trees.shares.shape[1], width)
-            values = attributor.values(x) if attributor else np.full(shape, np.nan)
-            owner = pa.array(np.repeat(np.arange(len(x)), shape[1] * width))
-            columns = [batch.column(i).take(owner) for i in range(len(key))]
-            columns.append(pa.array(np.tile(np.repeat(np.arange(shape[1], dtype=np.int32), width), len(x))))
-            columns.append(pa.array(names * (len(x) * shape[1]), pa.string()))
-            columns.append(pa.array(values.reshape(-1), pa.float64(), from_pandas=True))
-            yield pa.RecordBatch.from_arrays(columns, [*key, "output", "feature", "value"])
+            values = attributor.values(x) if attributor else np.full((len(x), outputs, width), np.nan)
+            flat = pa.array(np.ascontiguousarray(values).reshape(-1), pa.float64(), from_pandas=True)
+            ends = pa.array(np.arange(len(x) + 1) * (outputs * width), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(key)], pa.ListArray.from_arrays(ends, flat)], [*key, "attribution"])
 
     rows = df.select(*[quoted(k) for k in key], feature_array(df, features).alias("inputs"))
-    fields = [T.StructField("output", T.IntegerType()), T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType())]
-    return rows.mapInArrow(run, T.StructType([*[rows.schema[k] for k in key], *fields]))
+    return rows.mapInArrow(run, T.StructType([*[rows.schema[k] for k in key], T.StructField("attribution", T.ArrayType(T.DoubleType()))]))

@@ -534,23 +534,26 @@ ATTRIBUTED: dict[tuple[str, str], tuple] = {}
 
 
 def _attributed(spark, folder):
-    """Exact values of all rows for a forest fitted on a stratified sample, with the table and what scored it; once per session and folder."""
+    """A forest fitted on a stratified sample, the filled table with its background, and what scores it; once per session and folder.
+
+    Attributions are wider than the table and are used up where they are made, so they are never written.
+    """
     at = (spark.sparkContext.applicationId, folder)
     if at not in ATTRIBUTED:
-        rows = flow(spark, folder, gaps=True)
-        sample = forest.attribution_sample(rows, "label", ["row_key"])
+        rows = flow(spark, folder, gaps=True).select("row_key", "label", *FEATURES)
+        sample = materialise(forest.attribution_sample(rows, "label", ["row_key"]))
         model = forest.fit_numeric_forest(sample, "label", FEATURES)
-        filled = materialise(impute_median(rows, FEATURES, fitted_on=sample))
-        base = sampling.background(filled, ["row_key"])
-        values = written(trees.attribute(filled, model, FEATURES, ["row_key"], base))
-        ATTRIBUTED[at] = (values, filled, base, trees.scorer(spark, model))
+        filled = written(impute_median(rows, FEATURES, fitted_on=sample).select("row_key", *FEATURES))
+        base = materialise(sampling.background(filled, ["row_key"]))
+        ATTRIBUTED[at] = (model, filled, base, trees.scorer(spark, model, filled.count()))
     return ATTRIBUTED[at]
 
 
 @query("l8_forest_attribution")
 def forest_attribution(spark, folder):
     """Mean absolute attribution of a numeric forest over all rows; a stratified sample fits it."""
-    return explain.summary(_attributed(spark, folder)[0])
+    model, filled, base, _ = _attributed(spark, folder)
+    return explain.summary(trees.attribute(filled, model, FEATURES, ["row_key"], base))
 
 
 @query(
@@ -560,13 +563,19 @@ def forest_attribution(spark, folder):
 )
 def attribution_sums(spark, folder):
     """Per output, how far any row's values are from adding up to f(row) - mean f(background)."""
-    values, filled, base, scored = _attributed(spark, folder)
-    sums = values.groupBy("row_key", "output").agg(F.sum("value").alias("total"), F.count("*").alias("features"))
-    inputs = filled.select("row_key", scoring.feature_array(filled, FEATURES).alias("inputs"))
-    own = scored(inputs, "inputs", "probs").select("row_key", F.posexplode("probs").alias("output", "p"))
+    model, filled, base, scored = _attributed(spark, folder)
+    width, inputs = len(FEATURES), scoring.feature_array(filled, FEATURES)
     middle = scored(base.select(scoring.feature_array(base, FEATURES).alias("inputs")), "inputs", "probs")
     means = middle.select(F.posexplode("probs").alias("output", "p")).groupBy("output").agg(F.avg("p").alias("mean"))
-    gap = F.abs(F.col("total") - F.col("p") + F.col("mean"))
-    return sums.join(own, ["row_key", "output"]).join(means, "output").groupBy("output").agg(
-        F.count("*").alias("n"), F.max("features").cast("int").alias("features"), F.round(F.max(gap), 9).alias("largest_gap")
+    # the inputs go along as keys, so a row is scored beside its attributions; rows that share a key are summed as one
+    placed = filled.select("row_key", inputs.alias("row_inputs"), *FEATURES)
+    rows = scored(trees.attribute_rows(placed, model, FEATURES, ["row_key", "row_inputs"], base), "row_inputs", "probs")
+    outputs = range(model.shares.shape[1])
+    totals = [F.aggregate(F.slice("attribution", k * width + 1, width), F.lit(0.0), lambda a, x: a + x) for k in outputs]
+    ends = [F.struct(F.sum(t).alias("total"), F.min(F.get("probs", F.lit(k))).alias("low"), F.max(F.get("probs", F.lit(k))).alias("high")) for k, t in zip(outputs, totals)]
+    keyed = rows.groupBy("row_key").agg(F.count("*").alias("rows"), F.array(*ends).alias("ends"))
+    cells = keyed.select("rows", F.posexplode("ends").alias("output", "cell")).join(means, "output")
+    gap = F.greatest(*[F.abs(F.col("cell.total") - F.col(f"cell.{end}") + F.col("mean")) for end in ("low", "high")])
+    return cells.groupBy("output").agg(
+        F.sum("rows").alias("n"), (F.max("rows") * width).cast("int").alias("features"), F.round(F.max(gap), 9).alias("largest_gap")
     )

@@ -321,3 +321,20 @@ def test_rows_are_not_brought_together_by_label(spark, tmp_path):
     found = modelling._weighted_clients(spark, folder)
     assert "hashpartitioning(label" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.label, r.weight) for r in found.collect()} == {("A", 1.0), ("N", 1.0)} and found.count() == 40
+
+
+def test_attributions_of_a_row_stay_one_row(spark):
+    draw = np.random.default_rng(3)
+    x = draw.integers(0, 7, (200, 2)) / 4.0
+    sample, n, depth = grown(x, (x[:, 0] > 0.5).astype(int) + (x[:, 1] > 1), 4, 3)
+    model = trees.Trees.load(trees.fit(spark, sample, n, depth, 1))
+    table = spark.createDataFrame([(i % 30, float(a), float(b)) for i, (a, b) in enumerate(x.tolist()[:40])], "id int, a double, b double")
+    base = table.limit(5)
+    rows = trees.attribute_rows(table, model, ["a", "b"], ["id"], base)
+    assert rows.count() == 40 and {len(r.attribution) for r in rows.collect()} == {2 * model.shares.shape[1]}
+    long = trees.attribute(table, model, ["a", "b"], ["id"], base)
+    assert long.count() == 40 * 2 * model.shares.shape[1]
+    wide = sorted((r.id, k // 2, "ab"[k % 2], v) for r in rows.collect() for k, v in enumerate(r.attribution))
+    assert wide == sorted((r.id, r.output, r.feature, r.value) for r in long.collect())
+    none = trees.attribute(table, model, ["a", "b"], ["id"], base.limit(0))
+    assert none.filter("value is null").count() == long.count()
