@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shardscope.functions.scalars import numeric_columns, quoted
 from shardscope.operators.clean import MAX_CLASSES
-from shardscope.operators.totals import long_values, running_totals
+from shardscope.operators.totals import name_at, placed_values, running_totals
 from shardscope.session import local_if_small, written
 
 
@@ -126,13 +126,12 @@ def ks_drift(
     columns = list(columns or numeric_columns(df, exclude=[label]))
     clients = list(label_map)
     sums = ["whole", *[f"member{i}" for i in range(len(clients))]]
-    cells = long_values(df, columns, by=[quoted(label).alias("class")])
-    freq = written(
-        cells.groupBy("feature", "value").agg(
-            F.count("*").alias("whole"),
-            *[F.count_if(F.col("class").isin(list(label_map[c]))).alias(f"member{i}") for i, c in enumerate(clients)],
-        )
+    cells = placed_values(df, columns, by=[quoted(label).alias("class")])
+    counted = cells.groupBy("place", "value").agg(
+        F.count("*").alias("whole"),
+        *[F.count_if(F.col("class").isin(list(label_map[c]))).alias(f"member{i}") for i, c in enumerate(clients)],
     )
+    freq = written(counted.select(name_at(columns).alias("feature"), "value", *sums))
     gaps = freq.filter("value is null").select("feature", *[F.col(s).alias(f"{s}_gaps") for s in sums])
     cumulative = written(running_totals(freq.filter("value is not null"), ["feature"], "value", sums))
     # The median is one or two rows of the running totals. Filled cells lie on it, so cumulative shares rise by them from there on.

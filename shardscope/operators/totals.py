@@ -31,12 +31,31 @@ def long_values(
     Cells travel as one array and are cleaned after the unfolding, so the generated code stays short
     for tables of a hundred columns.
     """
+    cells = placed_values(df, columns, by, read)
+    kept = [quoted(c) for c in cells.columns if c not in ("place", "value")]
+    return cells.select(*kept, name_at(columns).alias("feature"), "value")
+
+
+def name_at(columns: Sequence[str]) -> Column:
+    """The name of the column at ``place``."""
+    return F.get(F.array(*[F.lit(c) for c in columns]), F.col("place"))
+
+
+def placed_values(
+    df: DataFrame,
+    columns: Sequence[str],
+    by: Sequence[str | Column] = (),
+    read: Callable[[Column], Column] = finite,
+) -> DataFrame:
+    """The same cells as ``by..., place, value``, with the number of the column (the first of its name), a shorter key to group by."""
     kind = "string" if read is as_text else "double"
     by_columns = [quoted(b) if isinstance(b, str) else b for b in by]
     rows = df.select(*by_columns, F.posexplode(F.array(*[quoted(c).cast(kind) for c in columns])).alias("place", "cell"))
     kept = [c for c in rows.columns if c not in ("place", "cell")]
-    names = F.array(*[F.lit(c) for c in columns])
-    return rows.select(*[quoted(c) for c in kept], F.get(names, F.col("place")).alias("feature"), read(F.col("cell")).alias("value"))
+    first = F.col("place")
+    if len(set(columns)) < len(columns):
+        first = F.get(F.array(*[F.lit(list(columns).index(c)) for c in columns]), first)
+    return rows.select(*[quoted(c) for c in kept], first.alias("place"), read(F.col("cell")).alias("value"))
 
 
 def value_counts(
@@ -46,8 +65,10 @@ def value_counts(
     read: Callable[[Column], Column] = finite,
 ) -> DataFrame:
     """``by..., feature, value, n``; missing values keep a row of their own with a NULL value."""
-    cells = long_values(df, columns, by, read)
-    return cells.groupBy(*cells.columns).agg(F.count("*").alias("n"))
+    cells = placed_values(df, columns, by, read)
+    counts = cells.groupBy(*[quoted(c) for c in cells.columns]).agg(F.count("*").alias("n"))
+    kept = [quoted(c) for c in cells.columns if c not in ("place", "value")]
+    return counts.select(*kept, name_at(columns).alias("feature"), "value", "n")
 
 
 def running_totals(freq: DataFrame, by: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
