@@ -264,3 +264,9 @@ def test_tree_of_any_leaf_size(vectors, leaf):
     for q, v in rows[::37]:
         ids, away = tree.search(np.array(v), q, 10, 1.0)
         assert [(q, r + 1, i, d) for r, (i, d) in enumerate(zip(ids.tolist(), away.tolist()))] == brute(rows, [(q, v)])
+
+
+def test_segmentations_do_not_depend_on_slices(spark):
+    docs = spark.createDataFrame([(i, f"row {i} of some words and numbers {i * i}") for i in range(30)], "doc_id long, text string").coalesce(1)
+    found = [sorted((r.doc_id, r.rank, r.n_pieces, tuple(r.ids)) for r in segmentation.sampled(docs, step=step).collect()) for step in (segmentation.SLICE, 64)]
+    assert found[0] == found[1] and len(found[0]) == 60

@@ -477,3 +477,12 @@ def test_missing_labels_stay_in_the_grid(spark):
 def test_small_samples_leave_unlabelled_rows_out(spark):
     rows = spark.createDataFrame([(i, "A" if i % 2 else None) for i in range(50)], "id long, label string")
     assert {sampling.stratified(rows, "label", ["id"], total, 1000).count() for total in (100, 49)} == {25}
+
+
+def test_counts_of_a_column_named_twice(spark):
+    """Cells are counted by the number of their column; one named twice counts twice under its name."""
+    table = spark.createDataFrame([(1.0, 2.0), (1.0, None), (float("nan"), -0.0)], "a double, b double")
+    found = totals.value_counts(table, ["a", "b", "a"]).collect()
+    assert sorted(((r.feature, r.value, r.n) for r in found), key=str) == sorted(
+        [("a", 1.0, 4), ("a", None, 2), ("b", 2.0, 1), ("b", None, 1), ("b", 0.0, 1)], key=str
+    )
