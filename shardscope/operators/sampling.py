@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardscope.functions.scalars import hash_order, quoted
-from shardscope.session import local_if_small, settle
+from shardscope.session import local_if_small, settle, written
 
 SEED = 42
 # Leading hash digits to count by: 65,536 prefixes per class.
@@ -27,20 +27,28 @@ def _tagged(df: DataFrame, label: str | None, key: Sequence[str], seed: int) ->
     )
 
 
-def _cutoffs(tagged: DataFrame, key: Sequence[str], quotas) -> DataFrame:
-    """``cut_stratum, cut_hash, cut_key``: the last row, in hash order, that each class gives."""
+def _histogram(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows per class and prefix, and ``stratum, size`` per class."""
     histogram = settle(tagged.groupBy("stratum", "prefix").agg(F.count("*").alias("n")))
-    sizes = local_if_small(histogram.groupBy("stratum").agg(F.sum("n").alias("size")))
-    quota = quotas(sizes).select(F.col("stratum").alias("quota_stratum"), F.col("quota").cast("bigint").alias("quota"))
+    return histogram, local_if_small(histogram.groupBy("stratum").agg(F.sum("n").alias("size")))
+
+
+def _ends(histogram: DataFrame, quotas: DataFrame) -> DataFrame:
+    """``end_stratum, end_prefix, needed``: the prefix in which the quota of a class ends, and its place there."""
+    quota = quotas.select(F.col("stratum").alias("quota_stratum"), F.col("quota").cast("bigint").alias("quota"))
     upto = F.sum("n").over(Window.partitionBy("stratum").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0))
     running = histogram.withColumn("upto", upto).join(quota, F.col("stratum").eqNullSafe(F.col("quota_stratum")))
-    ends = local_if_small(
+    return local_if_small(
         running.filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota"))).select(
             F.col("stratum").alias("end_stratum"),
             F.col("prefix").alias("end_prefix"),
             (F.col("quota") - (F.col("upto") - F.col("n"))).alias("needed"),
         )
     )
+
+
+def _last(tagged: DataFrame, key: Sequence[str], ends: DataFrame) -> DataFrame:
+    """``cut_stratum, cut_hash, cut_key``: the last row, in hash order, that each class gives."""
     same = F.col("stratum").eqNullSafe(F.col("end_stratum")) & (F.col("prefix") == F.col("end_prefix"))
     # Equal keys collapse first, so the window holds the distinct keys of one prefix per class.
     edge = (
@@ -58,6 +66,12 @@ def _cutoffs(tagged: DataFrame, key: Sequence[str], quotas) -> DataFrame:
     )
 
 
+def _cutoffs(tagged: DataFrame, key: Sequence[str], quotas) -> DataFrame:
+    """The last row of each class for the quotas that ``quotas`` makes of the class sizes."""
+    histogram, sizes = _histogram(tagged)
+    return _last(tagged, key, _ends(histogram, quotas(sizes)))
+
+
 def _split_at_quota(df: DataFrame, label: str | None, key: Sequence[str], seed: int, quotas) -> DataFrame:
     """Add ``taken``: whether the row is among the first ``quota`` of its class in hash order.
 
@@ -124,19 +138,54 @@ def split(df: DataFrame, label: str, key: Sequence[str], test_size: float = 0.2,
     found = classes.agg(F.min("size").alias("smallest"), F.sum("size").alias("rows")).first()
     stratify = (found.smallest or 0) >= 2
 
-    def quotas(sizes: DataFrame) -> DataFrame:
-        total = sizes.agg(F.sum("size")).first()[0] or 0
-        target = -int(-(total * test_size) // 1)
-        share = F.col("size") * F.lit(target) / F.lit(total or 1)
-        base = sizes.withColumn("base", F.floor(share)).withColumn("rest", F.round(share - F.floor(share), 9))
-        place = F.row_number().over(Window.partitionBy().orderBy(F.desc("rest"), "stratum"))
-        left = F.lit(target) - F.sum("base").over(Window.partitionBy())
-        return base.withColumn("quota", F.col("base") + (place <= left).cast("int"))
-
-    parted = _split_at_quota(df, label if stratify else None, key, seed, quotas)
+    parted = _split_at_quota(df, label if stratify else None, key, seed, lambda sizes: _test_quotas(sizes, test_size))
     return parted.withColumnRenamed("taken", "is_test")
 
 
+def _test_quotas(sizes: DataFrame, test_size: float) -> DataFrame:
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    target = -int(-(total * test_size) // 1)
+    share = F.col("size") * F.lit(target) / F.lit(total or 1)
+    base = sizes.withColumn("base", F.floor(share)).withColumn("rest", F.round(share - F.floor(share), 9))
+    place = F.row_number().over(Window.partitionBy().orderBy(F.desc("rest"), "stratum"))
+    left = F.lit(target) - F.sum("base").over(Window.partitionBy())
+    return base.withColumn("quota", F.col("base") + (place <= left).cast("int"))
+
+
+def fitting_and_test(
+    df: DataFrame, label: str, key: Sequence[str], test_size: float, total: int, seed: int = SEED
+) -> tuple[DataFrame, DataFrame]:
+    """The training rows of ``split`` that ``stratified`` draws (without a floor), and the test rows; unlabelled rows are in neither.
+
+    In the hash order of a class the test rows come first and the drawn ones next, so one histogram locates both ends. Rows up
+    to the prefix of the second are written, and both last rows are found among them: two scans of the table. Without
+    strata the drawn rows of a class do not follow its test rows, and split and draw go one after the other.
+    """
+    rows = df.filter(quoted(label).isNotNull())
+    tagged = _tagged(rows, label, key, seed)
+    histogram, sizes = _histogram(tagged)
+    if (sizes.agg(F.min("size")).first()[0] or 0) < 2:
+        whole = written(split(rows, label, key, test_size, seed))
+        drawn = stratified(whole.filter(~F.col("is_test")).drop("is_test"), label, key, total, 0, seed)
+        return written(drawn), whole.filter("is_test").drop("is_test")
+    test = local_if_small(_test_quotas(sizes, test_size).select("stratum", "size", "quota"))
+    rest = F.col("size") - F.col("quota")
+    found = test.agg(F.sum(rest).alias("rows"), F.count(F.when(rest > 0, F.lit(1))).alias("classes")).first()
+    drawn = rest if found.rows <= total else F.least(rest, F.lit(total // found.classes))
+    ends = [_ends(histogram, test), _ends(histogram, test.withColumn("quota", F.col("quota") + drawn))]
+    reach = ends[1].select(F.col("end_stratum").alias("reach_stratum"), F.col("end_prefix").alias("reach"))
+    within = F.col("stratum").eqNullSafe(F.col("reach_stratum")) & (F.col("prefix") <= F.col("reach"))
+    near = written(tagged.join(reach, within).drop("reach_stratum", "reach"))
+    own = F.struct("order_hash", *[quoted(k) for k in key])
+    first, second = (
+        _last(near, key, e).select(F.col("cut_stratum").alias(f"cut_stratum_{i}"), F.col("cut").alias(f"cut_{i}")) for i, e in enumerate(ends)
+    )
+    placed = near.join(first, F.col("stratum").eqNullSafe(F.col("cut_stratum_0")), "left")
+    names, is_test = [quoted(c) for c in df.columns], F.coalesce(own <= F.col("cut_0"), F.lit(False))
+    reached = placed.filter(~is_test).join(second, F.col("stratum").eqNullSafe(F.col("cut_stratum_1"))).filter(own <= F.col("cut_1"))
+    return written(reached.select(*names)), placed.filter(is_test).select(*names)
+
+
 def test_set(df: DataFrame, label: str, key: Sequence[str], total: int = 2000, seed: int = SEED) -> DataFrame:
     """``total`` rows: the same number of each class, the remainder from the largest classes.
 

@@ -338,3 +338,38 @@ def test_attributions_of_a_row_stay_one_row(spark):
     assert wide == sorted((r.id, r.output, r.feature, r.value) for r in long.collect())
     none = trees.attribute(table, model, ["a", "b"], ["id"], base.limit(0))
     assert none.filter("value is null").count() == long.count()
+
+
+@pytest.mark.parametrize("total", [30, 61, 1000])
+@pytest.mark.parametrize("solo", [False, True])
+def test_fitting_and_test_rows_are_those_of_split_and_sample(spark, total, solo):
+    """Classes of very different size, one without a label; with a class of one row nothing is stratified."""
+    label = "CASE WHEN id % 7 = 0 THEN NULL WHEN id < 4 THEN 'few' WHEN id % 5 = 1 THEN 'b' ELSE 'a' END"
+    if solo:
+        label = f"CASE WHEN id = 9 THEN 'solo' ELSE {label} END"
+    rows = spark.range(300).selectExpr("IF(id = 11, NULL, id) AS id", f"{label} AS label", "id * 0.5D AS x")
+    whole = sampling.split(rows.filter("label IS NOT NULL"), "label", ["id"], 0.2, 7)
+    drawn = sampling.stratified(whole.filter("NOT is_test").drop("is_test"), "label", ["id"], total, 0, 7)
+    found = sampling.fitting_and_test(rows, "label", ["id"], 0.2, total, 7)
+    want = drawn, whole.filter("is_test").drop("is_test")
+    assert [sorted(map(str, f.collect())) for f in found] == [sorted(map(str, w.collect())) for w in want]
+    assert found[0].columns == found[1].columns == rows.columns and found[1].count() == 52
+
+
+def test_fitting_and_test_rows_need_a_key(spark):
+    twice = spark.range(100).selectExpr("id DIV 2 AS id", "'a' AS label").unionByName(spark.range(100).selectExpr("id + 100 AS id", "'b' AS label"))
+    with pytest.raises(Exception, match="does not identify"):
+        sampling.fitting_and_test(twice, "label", ["id"], 0.05, 30)
+
+
+def test_a_forest_hashes_the_table_twice(spark, rows):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(i):
+        seen.add(1)
+        return i
+
+    fitted = forest.proxy_forest(rows.select(counted("id").alias("id"), "label", *FEATURES), "label", ["id"], FEATURES, trees=2, depth=2)
+    assert fitted.test.count() == 60
+    assert seen.value == 2 * 300
