@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,13 +76,20 @@ def linear_scorer(model: Linear, probabilities: bool = True) -> Scorer:
 
 
 def python_scorer(predict: Callable[[np.ndarray], np.ndarray]) -> Scorer:
-    """Scorer from a function on a (rows x features) matrix, run on Arrow batches."""
-
-    @F.pandas_udf("array<double>")
-    def outputs(features: pd.Series) -> pd.Series:
-        if features.empty:
-            return pd.Series([], dtype=object)
-        return pd.Series(list(np.asarray(predict(np.stack(features.to_numpy())), dtype=float)))
+    """Scorer from a function on a (rows x features) matrix, run on Arrow batches; no row becomes an object of its own."""
+
+    @F.arrow_udf("array<double>")
+    def outputs(features: pa.Array) -> pa.Array:
+        if not len(features):
+            return pa.array([], pa.list_(pa.float64()))
+        lengths = features.value_lengths().to_numpy(zero_copy_only=False)
+        if features.null_count or (lengths != lengths[0]).any():
+            raise ValueError("every row needs the same number of features")
+        values = features.flatten().to_numpy(zero_copy_only=False)
+        found = np.asarray(predict(values.reshape(len(features), -1).copy()), dtype=float)
+        ends = np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]
+        # an output that is no number is missing
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel(), from_pandas=True))
 
     def run(df: DataFrame, source: str, target: str) -> DataFrame:
         return df.withColumn(target, outputs(F.col(source)))

@@ -11,6 +11,7 @@ from types import SimpleNamespace
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from shardscope.operators import explain, forest, sampling, scoring, training, trees
 from shardscope.plans import modelling
@@ -373,3 +374,16 @@ def test_a_forest_hashes_the_table_twice(spark, rows):
     fitted = forest.proxy_forest(rows.select(counted("id").alias("id"), "label", *FEATURES), "label", ["id"], FEATURES, trees=2, depth=2)
     assert fitted.test.count() == 60
     assert seen.value == 2 * 300
+
+
+def test_rows_are_scored_as_arrow_batches(spark):
+    """No row becomes a Python object: outputs as by matrix, missing inputs are NaN, missing outputs NULL, uneven rows an error."""
+    used = scoring.python_scorer(lambda x: np.stack([x.sum(axis=1), x[:, 0] * 2], axis=1))
+    rows = spark.range(0, 30_000, 1, 2).selectExpr("id", "array(id * 1D, if(id % 9 = 0, NULL, 0.5D)) AS inputs")
+    found = used(rows, "inputs", "probs")
+    assert f", {PythonEvalType.SQL_SCALAR_ARROW_UDF}" in found._jdf.queryExecution().executedPlan().toString()
+    assert all(r.probs == [None if r.id % 9 == 0 else r.id + 0.5, 2.0 * r.id] for r in found.collect())
+    assert used(rows.limit(0), "inputs", "probs").count() == 0
+    for uneven in ("if(id = 3, NULL, inputs)", "if(id = 3, array(1D), inputs)"):
+        with pytest.raises(Exception, match="same number of features"):
+            used(rows.selectExpr(f"{uneven} AS inputs"), "inputs", "probs").agg(F.count("probs")).collect()
