@@ -241,6 +241,7 @@ def prompts(
         F.when(F.col("is_family"), family_name).otherwise(f"Non-{family_name}"),
         "sure",
     )
-    return facts.join(listed, list(key)).select(
+    # both sides have a row per prediction, and Spark underrates a side of few narrow columns: as a broadcast it would fill the driver
+    return facts.join(listed.hint("merge"), list(key)).select(
         *[quoted(c) for c in key], F.concat_ws("\n", head, F.col("feature_lines")).alias("prompt")
     )

@@ -387,3 +387,17 @@ def test_rows_are_scored_as_arrow_batches(spark):
     for uneven in ("if(id = 3, NULL, inputs)", "if(id = 3, array(1D), inputs)"):
         with pytest.raises(Exception, match="same number of features"):
             used(rows.selectExpr(f"{uneven} AS inputs"), "inputs", "probs").agg(F.count("probs")).collect()
+
+
+def test_prompts_of_many_rows_are_not_broadcast(spark):
+    """Neither side goes through the driver; repeated keys meet as in any join, and a missing key meets nothing."""
+    keyed = spark.range(0, 400, 1, 3).selectExpr("IF(id = 7, NULL, IF(id = 9, 8, id)) AS id")
+    attributions = keyed.selectExpr("id", "explode(array('a', 'b')) AS feature").distinct().selectExpr("*", "IF(feature = 'a', 0.25D, 0.5D) AS abs_mean")
+    predictions = keyed.selectExpr("id", "1 AS pred", "'0' AS true", "array(0.25D, 0.75D) AS probs")
+    found = explain.prompts(attributions, predictions, ["id"], ["x", "y"])
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.collect()
+    assert sorted(r.id for r in rows) == sorted([i for i in range(400) if i not in (7, 9)] + [8])
+    assert {r.prompt.split("Confidence: ")[1] for r in rows} == {
+        "75.0%\n\nFeatures that moved the prediction most:\n- b: importance 0.500000\n- a: importance 0.250000"
+    }
