@@ -1,9 +1,9 @@
 """Nearest neighbours by vantage-point trees, one per shard.
 
 Rows are dealt into shards of bounded size by a hash of their identifier. Each shard's tree is built in one task, written as a row of
-bytes, and searched by blocks of queries. A subtree is left out when ``factor`` times the triangle bound exceeds the distance of
-the k-th neighbour so far: factor one is exact search, a larger one leaves out more. The best of each shard meet in a window per
-query, whose limit Spark applies before the shuffle. Work is queries x shards, as the contract asks for; no side is broadcast.
+bytes, and searched by blocks of queries, which follow it in the rows of its shard. A subtree is left out when ``factor`` times the triangle
+bound exceeds the distance of the k-th neighbour so far: factor one is exact search, a larger one leaves out more. The best of each shard meet
+in a window per query, whose limit Spark applies before the shuffle. Work is queries x shards, as the contract asks for; no side is broadcast.
 """
 
 from __future__ import annotations
@@ -145,22 +145,29 @@ def nearest(
     trees = written(dealt.groupBy("_shard", "width").applyInPandas(grow, TREE), "trees")
     asked = usable(queries, key, vector).select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("width"))
     blocks = max(1, math.ceil(asked.count() / BLOCK_QUERIES))
-    # every block of queries meets every shard: rows of (shard, block) hold one block's queries
     asked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit(blocks)).cast("int"))
     packed = asked.groupBy("_block", "width").agg(F.collect_list(F.struct("query_id", "v")).alias("asked"))
+    # every block of queries goes to every shard, whose tree comes first; a join might broadcast the blocks of all shards, which Spark underrates
     packed = packed.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = packed.repartition(min(shards * blocks, 4096), "_shard", "_block").join(trees, ["_shard", "width"])
+    rows = trees.withColumn("_block", F.lit(-1)).unionByName(packed, allowMissingColumns=True)
+    rows = rows.repartition("_shard", "width").sortWithinPartitions("_shard", "width", "_block")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, tree = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                columns = [list(x) for x in zip(*Tree.from_row(row).search_all(row["asked"], k, factor))] or [[], [], []]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
-                    ["query_id", "vec_id", "score"],
-                )
-
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["_block"] < 0:
+                    place, tree = (row["_shard"], row["width"]), Tree.from_row(row)
+                # a shard without vectors of a width has no tree for it
+                elif place == (row["_shard"], row["width"]):
+                    columns = [list(x) for x in zip(*tree.search_all(row["asked"], k, factor))] or [[], [], []]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
+                        ["query_id", "vec_id", "score"],
+                    )
+
+    found = rows.mapInArrow(search, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -248,6 +248,16 @@ def test_exact_neighbours(vectors, shard_rows):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == sorted(expected)
 
 
+def test_queries_and_trees_are_not_broadcast(spark, vectors):
+    """Blocks of queries of every shard are more than any estimate says; queries of a width that no shard has find nothing."""
+    rows, df = vectors
+    queries = df.where("vec_id % 20 = 0").unionByName(spark.createDataFrame([(20, [1.0] * 3, 1)], df.schema))
+    found = vantage.nearest(df, queries, shard_rows=50)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect())
+    assert got == sorted(brute(rows, [(i, v) for i, v in rows if i % 20 == 0]))
+
+
 def test_relaxed_pruning_keeps_recall(spark):
     df = table(spark, FOLDER, "embeddings")
     queries = df.where("vec_id % 10 = 0")
