@@ -153,22 +153,41 @@ def _test_quotas(sizes: DataFrame, test_size: float) -> DataFrame:
 
 
 def fitting_and_test(
-    df: DataFrame, label: str, key: Sequence[str], test_size: float, total: int, seed: int = SEED
+    df: DataFrame, label: str, key: Sequence[str], test_size: float, total: int | None = None, seed: int = SEED
 ) -> tuple[DataFrame, DataFrame]:
-    """The training rows of ``split`` that ``stratified`` draws (without a floor), and the test rows; unlabelled rows are in neither.
+    """The training rows of ``split``, and the test rows; unlabelled rows are in neither. With ``total``, those that ``stratified`` draws (without a floor).
 
-    In the hash order of a class the test rows come first and the drawn ones next, so one histogram locates both ends. Rows up
-    to the prefix of the second are written, and both last rows are found among them: two scans of the table. Without
-    strata the drawn rows of a class do not follow its test rows, and split and draw go one after the other.
+    One histogram locates the ends. Rows are written with their side, and the last row of a class is found among those that share its prefix: two
+    scans of the table. In the hash order of a class the test rows come first and the drawn ones next. Without strata the drawn rows of a class
+    do not follow its test rows, and split and draw go one after the other.
     """
     rows = df.filter(quoted(label).isNotNull())
     tagged = _tagged(rows, label, key, seed)
     histogram, sizes = _histogram(tagged)
+    names = [quoted(c) for c in df.columns]
     if (sizes.agg(F.min("size")).first()[0] or 0) < 2:
         whole = written(split(rows, label, key, test_size, seed))
-        drawn = stratified(whole.filter(~F.col("is_test")).drop("is_test"), label, key, total, 0, seed)
-        return written(drawn), whole.filter("is_test").drop("is_test")
+        fitting, tested = whole.filter(~F.col("is_test")).drop("is_test"), whole.filter("is_test").drop("is_test")
+        return (fitting if total is None else written(stratified(fitting, label, key, total, 0, seed))), tested
     test = local_if_small(_test_quotas(sizes, test_size).select("stratum", "size", "quota"))
+    own = F.struct("order_hash", *[quoted(k) for k in key])
+    if total is None:
+        end = _ends(histogram, test)
+        # only rows of the prefix in which the test rows end keep their hash
+        sided = tagged.join(end.drop("needed"), F.col("stratum").eqNullSafe(F.col("end_stratum")), "left").select(
+            F.struct(*names).alias("row"),
+            F.coalesce(F.col("prefix") < F.col("end_prefix"), F.lit(False)).alias("before_end"),
+            F.when(F.col("prefix") == F.col("end_prefix"), F.col("order_hash")).alias("end_hash"),
+        )
+        near = written(sided)
+        edge = near.filter("end_hash is not null").select(
+            "row.*", F.col("row")[label].alias("stratum"), F.col("end_hash").alias("order_hash"), F.substring("end_hash", 1, DIGITS).alias("prefix")
+        )
+        last = _last(edge, key, end)
+        placed = near.join(last, F.col("row")[label].eqNullSafe(F.col("cut_stratum")), "left")
+        reached = F.struct(F.col("end_hash").alias("order_hash"), *[F.col("row")[k].alias(k) for k in key]) <= F.col("cut")
+        is_test = F.when(F.col("end_hash").isNull(), F.col("before_end")).otherwise(F.coalesce(reached, F.lit(False)))
+        return placed.filter(~is_test).select("row.*"), placed.filter(is_test).select("row.*")
     rest = F.col("size") - F.col("quota")
     found = test.agg(F.sum(rest).alias("rows"), F.count(F.when(rest > 0, F.lit(1))).alias("classes")).first()
     drawn = rest if found.rows <= total else F.least(rest, F.lit(total // found.classes))
@@ -176,12 +195,11 @@ def fitting_and_test(
     reach = ends[1].select(F.col("end_stratum").alias("reach_stratum"), F.col("end_prefix").alias("reach"))
     within = F.col("stratum").eqNullSafe(F.col("reach_stratum")) & (F.col("prefix") <= F.col("reach"))
     near = written(tagged.join(reach, within).drop("reach_stratum", "reach"))
-    own = F.struct("order_hash", *[quoted(k) for k in key])
     first, second = (
         _last(near, key, e).select(F.col("cut_stratum").alias(f"cut_stratum_{i}"), F.col("cut").alias(f"cut_{i}")) for i, e in enumerate(ends)
     )
     placed = near.join(first, F.col("stratum").eqNullSafe(F.col("cut_stratum_0")), "left")
-    names, is_test = [quoted(c) for c in df.columns], F.coalesce(own <= F.col("cut_0"), F.lit(False))
+    is_test = F.coalesce(own <= F.col("cut_0"), F.lit(False))
     reached = placed.filter(~is_test).join(second, F.col("stratum").eqNullSafe(F.col("cut_stratum_1"))).filter(own <= F.col("cut_1"))
     return written(reached.select(*names)), placed.filter(is_test).select(*names)
 

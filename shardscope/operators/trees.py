@@ -1,7 +1,7 @@
 """Decision trees as a table of node arrays: grown one per task row, scored and attributed inside tasks.
 
-A forest is fitted on a bounded sample that travels to the tasks; each task grows its own trees from it, so trees, not rows, are dealt to the
-cluster, and a lost task grows its trees again from their seeds. The fitted forest is a table with one row per tree, written once; what scores with it reads
+A forest's fitting rows travel to the tasks, as rows or, where they are many, as counted cells in blocks that a task reads one after the other; each task
+grows its own trees from them, so trees, not rows, are dealt to the cluster, and a lost task grows its trees again from their seeds. The fitted forest is a table with one row per tree, written once; what scores with it reads
 that table. Tables to be scored or attributed are never unfolded: a batch of rows walks all trees level by level.
 """
 
@@ -14,6 +14,7 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,10 @@ WALK, STEPS = 1 << 13, 5
 CELLS = 1 << 12
 # Most numbers in the grids of an attributed forest over few columns (8 bytes each, in every worker).
 GRID = 1 << 24
+# Drawn cells that a growing tree keeps between its levels (8 bytes each and the bins); of more, each block is drawn and walked again.
+HELD = 1 << 23
+# Counts of a level's cuts that a tree holds at a time (8 bytes each); more nodes take further passes.
+CUT_COUNTS = 1 << 22
 NODE_FIELDS = "column array<int>, threshold array<double>, category array<int>, left array<int>, right array<int>, shares array<double>, gain array<double>"
 
 
@@ -56,11 +61,34 @@ class Sample:
 
     @property
     def slots(self) -> tuple[np.ndarray, np.ndarray]:
-        """Column and category of each input of the forest: numeric columns as they are, one input per category of a text."""
-        n = len(self.cuts)
-        column = [*range(n), *[n + j for j, k in enumerate(self.categories) for _ in range(k)]]
-        category = [-1] * n + [c for k in self.categories for c in range(k)]
-        return np.array(column, np.int64), np.array(category, np.int64)
+        return _slots(self.cuts, self.categories)
+
+
+@dataclass(frozen=True)
+class Counted:
+    """All fitting rows as cells: rows of equal bins and class are one cell with their number.
+
+    ``blocks`` are sent one by one, each with the bins [cell, column], classes and numbers of its cells; ``sizes`` are the blocks' rows.
+    """
+
+    blocks: list[Broadcast]
+    sizes: np.ndarray
+    cells: int
+    cuts: list[np.ndarray]
+    categories: list[int]
+    n_classes: int
+
+    @property
+    def slots(self) -> tuple[np.ndarray, np.ndarray]:
+        return _slots(self.cuts, self.categories)
+
+
+def _slots(cuts: Sequence[np.ndarray], categories: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Column and category of each input of the forest: numeric columns as they are, one input per category of a text."""
+    n = len(cuts)
+    column = [*range(n), *[n + j for j, k in enumerate(categories) for _ in range(k)]]
+    category = [-1] * n + [c for k in categories for c in range(k)]
+    return np.array(column, np.int64), np.array(category, np.int64)
 
 
 def _cut_points(values: np.ndarray) -> np.ndarray:
@@ -158,14 +186,128 @@ def _best_cuts(
     return best, cut, gain
 
 
-def fit(spark: SparkSession, sample: Sample, trees: int, depth: int | None, seed: int) -> DataFrame:
+class _Drawn:
+    """A bootstrap of all counted rows, and the node of the current level that each drawn cell is at; cells in a leaf drop out.
+
+    Rows fall to the blocks, and in a block to its cells, by their numbers, which is a draw of as many rows as there are, with replacement.
+    """
+
+    def __init__(self, sample: Counted, seed: Sequence[int], draw: np.random.Generator) -> None:
+        self.sample, self.seed, self.levels, self.held = sample, list(seed), [], {}
+        n = int(sample.sizes.sum())
+        self.rows = draw.multinomial(n, sample.sizes / n)
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Bins, class, times drawn and node of the cells of each block."""
+        keep = self.sample.cells <= HELD
+        for b, sent in enumerate(self.sample.blocks):
+            bins, classes, counts = sent.value
+            if b in self.held:
+                level, cells, times, node = self.held[b]
+            else:
+                times = np.random.default_rng([*self.seed, b]).multinomial(self.rows[b], counts / counts.sum())
+                level, cells = 0, np.flatnonzero(times).astype(np.int32)
+                times, node = times[cells].astype(np.int64 if times.max() >> 31 else np.int32), np.zeros(len(cells), np.int32)
+            for split, column, category, cut in self.levels[level:]:
+                on = split[node]
+                cells, times, node = cells[on], times[on], node[on]
+                value = bins[cells, column[node]]
+                right = np.where(category[node] < 0, value > cut[node], value == category[node])
+                node = (2 * (np.cumsum(split) - split)[node] + right).astype(np.int32)
+            if keep:
+                self.held[b] = len(self.levels), cells, times, node
+            else:
+                vars(sent).pop("_value", None)
+            if len(cells):
+                yield bins[cells], classes[cells], times, node
+
+
+def grow_counted(sample: Counted, seed: Sequence[int], depth: int | None) -> dict[str, list]:
+    """One tree as by ``grow``, from cells: what is drawn is counted per node, input, bin and class in passes over the blocks, and weighted after."""
+    draw = np.random.default_rng(list(seed))
+    drawn = _Drawn(sample, seed, draw)
+    k = sample.n_classes
+    counts = sum((np.bincount(y, times, k) for _, y, times, _ in drawn), np.zeros(k))[None, :]
+    weight = counts.sum() / (max((counts > 0).sum(), 1) * np.maximum(counts[0], 1))
+    slot_column, slot_category = sample.slots
+    tried = max(1, int(math.sqrt(len(slot_column))))
+    out: dict[str, list] = {f.split()[0]: [] for f in NODE_FIELDS.split(", ")}
+    while len(counts):
+        count, level, totals = len(counts), len(drawn.levels), counts * weight
+        if depth is None or level < depth:
+            slot, cut, gain, left = _best_counted_cuts(sample, drawn, totals, weight, tried, draw)
+        else:
+            (slot, cut, gain), left = _no_cuts(count), np.zeros((count, k))
+        split = slot >= 0
+        ahead = len(out["column"]) + count + 2 * (np.cumsum(split) - split)
+        column, category = (slot_column[slot], slot_category[slot]) if len(slot_column) else (slot, slot)
+        numeric = split & (category < 0)
+        out["column"] += np.where(split, column, -1).tolist()
+        out["category"] += np.where(split, category, -1).tolist()
+        out["threshold"] += [float(sample.cuts[c][b]) if x else 0.0 for c, b, x in zip(column.tolist(), cut.tolist(), numeric.tolist())]
+        out["left"] += np.where(split, ahead, -1).tolist()
+        out["right"] += np.where(split, ahead + 1, -1).tolist()
+        out["shares"] += (totals / totals.sum(axis=1, keepdims=True)).ravel().tolist()
+        out["gain"] += np.where(split, gain, 0.0).tolist()
+        counts = np.stack([left[split], (counts - left)[split]], axis=1).reshape(-1, k)
+        drawn.levels.append((split, column, category, cut))
+    return out
+
+
+def _best_counted_cuts(
+    sample: Counted, drawn: _Drawn, totals: np.ndarray, weight: np.ndarray, tried: int, draw: np.random.Generator
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Input (-1: none), cut and fall of impurity of the best cut of each node, and the drawn rows per class that go left."""
+    slot_column, slot_category = sample.slots
+    count, k = totals.shape
+    (best, cut, gain), lefts = _no_cuts(count), np.zeros((count, k))
+    whole = (totals**2).sum(axis=1) / totals.sum(axis=1)
+    open_ = (totals > 0).sum(axis=1) > 1
+    order = draw.random((count, len(slot_column))).argsort(axis=1)
+    width = max([len(c) + 1 for c in sample.cuts] + [2])
+    for start in range(0, len(slot_column), tried):
+        places = range(start, min(start + tried, len(slot_column)))
+        nodes, step = np.flatnonzero(open_), max(1, CUT_COUNTS // (len(places) * width * k))
+        for some in (nodes[i : i + step] for i in range(0, len(nodes), step)):
+            place = np.full(count, -1)
+            place[some] = np.arange(len(some))
+            counted = np.zeros((len(places), len(some) * width * k))
+            for bins, y, times, node in drawn:
+                at = place[node]
+                rows = np.flatnonzero(at >= 0)
+                at, own_node, own_y, own_times = at[rows], node[rows], y[rows], times[rows]
+                for i, j in enumerate(places):
+                    slot = order[own_node, j]
+                    value, category = bins[rows, slot_column[slot]].astype(np.int64), slot_category[slot]
+                    value = np.where(category < 0, value, value == category)
+                    counted[i] += np.bincount((at * width + value) * k + own_y, own_times, counted.shape[1])
+            for i, j in enumerate(places):
+                upto = counted[i].reshape(len(some), width, k).cumsum(axis=1)[:, :-1]
+                left = upto * weight
+                right = totals[some][:, None, :] - left
+                n_left, n_right = left.sum(axis=2), right.sum(axis=2)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    fall = (left**2).sum(axis=2) / n_left + (right**2).sum(axis=2) / n_right - whole[some][:, None]
+                fall[(n_left < 1e-9) | (n_right < 1e-9)] = -1.0
+                top = fall.argmax(axis=1)
+                fall = fall[np.arange(len(some)), top]
+                better = np.flatnonzero(fall > np.maximum(gain[some], 1e-9))
+                target = some[better]
+                best[target], cut[target], gain[target], lefts[target] = order[target, j], top[better], fall[better], upto[better, top[better]]
+        open_ &= best < 0
+    return best, cut, gain, lefts
+
+
+def fit(spark: SparkSession, sample: Sample | Counted, trees: int, depth: int | None, seed: int) -> DataFrame:
     """``tree`` and its node arrays, one row per tree; children and rows count from the tree's first node, a leaf's column is -1."""
-    sent = spark.sparkContext.broadcast(sample)
+    # blocks of cells are sent already
+    sent = None if isinstance(sample, Counted) else spark.sparkContext.broadcast(sample)
+    cells = sample if sent is None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tree in batch.column(0).to_pylist():
-                grown = grow(sent.value, [seed, tree], depth)
+                grown = grow_counted(cells, [seed, tree], depth) if sent is None else grow(sent.value, [seed, tree], depth)
                 columns = [pa.array([tree], pa.int64())]
                 for field in NODE_FIELDS.split(", "):
                     name, kind = field.split()

@@ -6,6 +6,7 @@ import hashlib
 import inspect
 import itertools
 import math
+from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
@@ -401,3 +402,97 @@ def test_prompts_of_many_rows_are_not_broadcast(spark):
     assert {r.prompt.split("Confidence: ")[1] for r in rows} == {
         "75.0%\n\nFeatures that moved the prediction most:\n- b: importance 0.500000\n- a: importance 0.250000"
     }
+
+
+@pytest.mark.parametrize("solo", [False, True])
+def test_without_a_total_all_training_rows_fit(spark, solo):
+    label = "CASE WHEN id % 7 = 0 THEN NULL WHEN id < 4 THEN 'few' WHEN id % 5 = 1 THEN 'b' ELSE 'a' END"
+    if solo:
+        label = f"CASE WHEN id = 9 THEN 'solo' ELSE {label} END"
+    rows = spark.range(300).selectExpr("IF(id = 11, NULL, id) AS id", f"{label} AS label", "id * 0.5D AS `x.y`")
+    whole = sampling.split(rows.filter("label IS NOT NULL"), "label", ["id"], 0.2, 7)
+    found = sampling.fitting_and_test(rows, "label", ["id"], 0.2, seed=7)
+    want = whole.filter("NOT is_test").drop("is_test"), whole.filter("is_test").drop("is_test")
+    assert [sorted(map(str, f.collect())) for f in found] == [sorted(map(str, w.collect())) for w in want]
+    assert found[0].columns == found[1].columns == rows.columns
+
+
+def counted_rows(spark):
+    """Many equal rows, a number of more than 128 values, one without any value, a text."""
+    rows = spark.range(0, 4000, 1, 3).selectExpr(
+        "CAST(id % 3 = 0 OR id % 1000 < 300 AS INT) AS code",
+        "array(CAST(id % 1000 AS DOUBLE), CAST(id % 5 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(id % 2 AS DOUBLE)) AS inputs",
+    )
+    found = sorted((r.code, r.inputs) for r in rows.collect())
+    x = np.array([[np.nan if v is None else v for v in i] for _, i in found])
+    return rows, x, np.array([c for c, _ in found])
+
+
+@pytest.mark.parametrize("block", [1 << 20, 600])
+def test_counted_cells_hold_all_rows(spark, monkeypatch, block):
+    """The same bins as those of the rows themselves, however they are dealt into blocks."""
+    monkeypatch.setattr(forest, "BLOCK", block)
+    rows, x, y = counted_rows(spark)
+    counted = forest._counted(rows, 3, [2])
+    sample = trees.Sample.build(x[:, :3], x[:, 3:].astype(int), [2], y, 2)
+    assert [c.tolist() for c in counted.cuts] == [c.tolist() for c in sample.cuts]
+    assert (len(counted.blocks) > 1) == (block == 600) and counted.sizes.sum() == 4000 and counted.n_classes == 2
+    found = Counter()
+    for sent in counted.blocks:
+        bins, classes, counts = sent.value
+        found.update({(c, *b): n for c, b, n in zip(classes.tolist(), bins.tolist(), counts.tolist())})
+    assert found == Counter(zip(y.tolist(), *sample.bins.T.tolist())) and len(found) == counted.cells
+
+
+@pytest.mark.parametrize("depth", [1, 6, None])
+def test_counted_trees_cut_where_impurity_falls_most(spark, monkeypatch, depth):
+    """All nodes of a tree that tries all inputs against the rows drawn, and equal trees however cells are held and counted."""
+    monkeypatch.setattr(forest, "BLOCK", 600)
+    monkeypatch.setattr(trees, "math", SimpleNamespace(sqrt=lambda n: n))
+    counted = forest._counted(counted_rows(spark)[0], 3, [2])
+    tree = trees.grow_counted(counted, [4, 0], depth)
+    drawn = list(trees._Drawn(counted, [4, 0], np.random.default_rng([4, 0])))
+    bins, y, times = (np.concatenate([d[i] for d in drawn]) for i in range(3))
+    assert times.sum() == 4000
+    weight = times * (4000 / (2 * np.bincount(y, times, 2)))[y]
+
+    def gini(part):
+        w = np.bincount(y[part], weight[part], 2)
+        return w.sum() - (w**2).sum() / w.sum() if w.sum() else 0.0
+
+    def sides(column, threshold, category):
+        return bins[:, column] != category if category >= 0 else bins[:, column] <= np.searchsorted(counted.cuts[column], threshold)
+
+    open_, cut = [(0, np.ones(len(y), bool))], 0
+    while open_:
+        node, part = open_.pop()
+        shares = np.bincount(y[part], weight[part], 2)
+        assert tree["shares"][2 * node : 2 * node + 2] == pytest.approx(shares / shares.sum())
+        if tree["column"][node] < 0:
+            continue
+        cut += 1
+        left = sides(tree["column"][node], tree["threshold"][node], tree["category"][node])
+        falls = [gini(part) - gini(part & s) - gini(part & ~s) for j, c in enumerate(counted.cuts) for s in (sides(j, t, -1) for t in c)]
+        falls += [gini(part) - gini(part & s) - gini(part & ~s) for s in (sides(3, 0, c) for c in range(2))]
+        assert tree["gain"][node] == pytest.approx(max(falls)) == pytest.approx(gini(part) - gini(part & left) - gini(part & ~left))
+        open_ += [(tree["left"][node], part & left), (tree["right"][node], part & ~left)]
+    assert cut == 1 if depth == 1 else cut > 3
+    monkeypatch.setattr(trees, "HELD", 0)
+    monkeypatch.setattr(trees, "CUT_COUNTS", 1)
+    assert trees.grow_counted(counted, [4, 0], depth) == tree
+    monkeypatch.setattr(trees, "math", math)
+    assert trees.fit(spark, counted, 1, depth, 4).first().threshold == trees.grow_counted(counted, [4, 0], depth)["threshold"]
+
+
+def test_all_training_rows_fit_a_forest(spark, rows, monkeypatch):
+    """More rows than travel: bootstraps draw from all 240 training rows, in equal trees whatever the blocks are cached as."""
+    seen, own = [], forest.fit
+    monkeypatch.setattr(forest, "fit", lambda s, sample, *a: seen.append(sample) or own(s, sample, *a))
+    monkeypatch.setattr(forest, "FOREST_ROWS", 50)
+    fitted = forest.proxy_forest(rows, "label", ["id"], FEATURES, ["client"], trees=5, depth=4)
+    assert seen[0].sizes.sum() == 240 and fitted.test.count() == 60 and fitted.table.count() == 5
+    falls = {r.feature: r.perm_importance_mean for r in forest.permutation_importance(fitted, ["id"], 3).collect()}
+    assert falls["x"] > falls["client"]
+    monkeypatch.setattr(forest, "MAX_TEXTS", 1)
+    with pytest.raises(ValueError, match="texts"):
+        forest.proxy_forest(rows, "label", ["id"], FEATURES, ["client"], trees=5, depth=4)
